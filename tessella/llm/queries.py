@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
+from .mixing import mix
+from .secrets import find_secrets, joined
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in whole texts: the base kinds, and tokens of the randomness battery."""
+    found = find_secrets(_table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("found", lambda c: c["k"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("found", lambda c: c["k"] != "random")
+    return found.select(
+        "doc_id", of("assign"), of("access"), of("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), of("random")
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    rows, _ = mix(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op4_secrets": op4_secrets, "op5_mixing": op5_mixing}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode, encode
+from .kdtree import top_inner_products
 from .minhash import near_duplicates
 from .mixing import mix
+from .rules import judge
 from .secrets import find_secrets, joined
+from .sharding import shard_rows
+from .tables import new_folder
+from .warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +25,20 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to archives in the shared folder and reads the archives back."""
+    folder = new_folder(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), folder)
+    read = read_warc(spark, folder, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents, and the verdict of the rules learned from labels."""
+    judged = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in whole texts: the base kinds, and tokens of the randomness battery."""
     found = find_secrets(_table(spark, sf_dir, "documents"))
@@ -35,7 +55,75 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op4_secrets": op4_secrets, "op5_mixing": op5_mixing}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and what the ids decode to."""
+    import public_tokenizers as public
+
+    path, pattern = public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN
+    ids = encode(_table(spark, sf_dir, "documents"), path, pattern)
+    facts = ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        "ids",
+    )
+    out = decode(facts, path, pattern, carry=("n_tokens", "ids_sha256"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards whose row counts are at most one apart."""
+    rows = shard_rows(_table(spark, sf_dir, "documents"), 24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    found = top_inner_products(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_warc": op2_warc,
+    "op3_rules": op3_rules,
+    "op4_secrets": op4_secrets,
+    "op5_mixing": op5_mixing,
+    "op6_bpe": op6_bpe,
+    "op7_sharding": op7_sharding,
+    "op8_topk": op8_topk,
+}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+            SELECT *, translate(
+                lpad(to_base(('0x' || h[1:5])::BIGINT, 32), 4, '0') || lpad(to_base(('0x' || h[6:10])::BIGINT, 32), 4, '0')
+                || lpad(to_base(('0x' || h[11:15])::BIGINT, 32), 4, '0') || lpad(to_base(('0x' || h[16:20])::BIGINT, 32), 4, '0')
+                || lpad(to_base(('0x' || h[21:25])::BIGINT, 32), 4, '0') || lpad(to_base(('0x' || h[26:30])::BIGINT, 32), 4, '0')
+                || lpad(to_base(('0x' || h[31:35])::BIGINT, 32), 4, '0') || lpad(to_base(('0x' || h[36:40])::BIGINT, 32), 4, '0'),
+                '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+                max(page_id) OVER (PARTITION BY h) AS top
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < top THEN top END AS refers_to
+        FROM d
+    """,
+    "op8_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}

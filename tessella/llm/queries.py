@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .fmindex import remove_repeated_words
 from .kdtree import top_inner_products
 from .minhash import near_duplicates
 from .mixing import mix
 from .rules import judge
 from .secrets import find_secrets, joined
 from .sharding import shard_rows
+from .suffixes import remove_repeated_bytes
 from .tables import new_folder
 from .warc import read_warc, write_warc
 
@@ -83,6 +85,18 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op9_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words outside windows of 35 words that occur anywhere else."""
+    kept = remove_repeated_words(_table(spark, sf_dir, "documents"), length=35, gram=12, texts=False)
+    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes outside strings of 50 bytes that a document with a smaller id has."""
+    kept = remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=50, gram=20, texts=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
@@ -92,6 +106,8 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_sharding": op7_sharding,
     "op8_topk": op8_topk,
+    "op9_fmindex": op9_fmindex,
+    "op10_suffixes": op10_suffixes,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -312,3 +312,16 @@ def near_duplicates(
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.expr("doc_id <=> component_id"))
     )
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their group; an id that several rows share is kept once.
+
+    Rows without an id are in no group and stay. ``options`` are those of ``near_duplicates``.
+    """
+    id_col = options.get("id_col", "doc_id")
+    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    one = named.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+    return one.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -198,6 +198,7 @@ def mix(
             "place",
             "shard",
             "slot",
+            F.expr("slot div blocks").alias("pass"),
             permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "place", F.expr("slot div blocks"))).alias("index"),
         )
     )
@@ -220,4 +221,28 @@ def mix(
         .select("doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
         .unionByName(placed.where("size = 0").select("doc_id", "key", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
     )
-    return rows, pieces.select("doc_id", "key", "place", "shard", "slot", "index", "at", "words")
+    return rows, pieces.select("doc_id", "key", "start", "place", "shard", "slot", "pass", "index", "at", "words")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """The mix as documents: for each pass over its source, a row with the words taken of it.
+
+    A text taken whole stays as it is; of another the words taken are joined by one space. Rows
+    that aren't taken go. Columns stay; ``length_col`` is counted again. Options are ``mix``'s.
+    """
+    _, pieces = mix(docs, id_col=id_col, text_col=text_col, **options)
+    taken = pieces.groupBy("key", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("ranges"))
+    taken = taken.groupBy("key", "start").agg(F.collect_list("ranges").alias("passes"))
+    copy = lambda *order: F.row_number().over(Window.partitionBy("key").orderBy(*order)).alias("copy")
+    taken = taken.select("key", "passes", copy("start"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(row.alias("row"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"))
+    rows = rows.select("row", "key", copy(F.xxhash64("row")))
+    both = rows.join(taken, ["key", "copy"]).select("row", F.explode("passes").alias("ranges"))
+    both = both.select("row", "ranges", F.regexp_extract_all(F.col(f"row.`{text_col}`"), F.lit(WORD), F.lit(0)).alias("words"))
+    size = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + r["words"])
+    part = F.flatten(F.transform("ranges", lambda r: F.slice("words", (r["at"] + 1).cast("int"), r["words"].cast("int"))))
+    made = both.select("row", F.when(size == F.size("words"), F.col(f"row.`{text_col}`")).otherwise(F.array_join(part, " ")).alias("made"))
+    changed = {text_col: F.col("made"), length_col: F.length("made").cast("long")}
+    return made.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -235,3 +235,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rules = fit(counts, labels)
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     return counts.select("*", failed.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the learned list or the repeat rule rejects.
+
+    Unlike the base of ``judge`` this has no least length: labels don't hold one against short
+    texts. Rows, columns and their order of columns stay as they are; edge cases are as there.
+    """
+    known = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("__label")).distinct()
+    sample = docs.join(known, docs[id_col].cast("long") == known["__label"], "left_semi")
+    rules = fit(statistics(sample, id_col, text_col), labels)
+    whole = docs.select(id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    counted = statistics(whole, id_col, text_col, carry=("__row",))
+    return counted.where(verdict(rules) & F.expr("NOT 100 * n_repeat_words > 50 * n_words")).select("__row.*")

@@ -270,3 +270,12 @@ def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])),
     )
     return F.when(F.size(found) > 0, folded).otherwise(text)
+
+
+def masked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """``docs`` with the secrets of each text masked and ``length_col`` counted again; nulls stay null."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    found = find_secrets(docs.select(id_col, text_col, row), id_col=id_col, text_col=text_col, carry=("__row",), **options)
+    clean = found.select(masked(F.col(f"__row.`{text_col}`"), F.col("found")).alias("__clean"), "__row")
+    changed = {text_col: F.col("__clean"), length_col: F.length("__clean").cast("long")}
+    return clean.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])

@@ -515,7 +515,7 @@ def neighborhood_2hop(w):
     """RECURSIVE , near AS (SELECT from_id AS id, to_id AS other, 1 - confidence AS c FROM early_edges WHERE NOT quarantined UNION ALL SELECT to_id, from_id, 1 - confidence FROM early_edges WHERE NOT quarantined),
        best AS (SELECT id, other, min(c) AS c FROM near GROUP BY ALL),
        walk AS (SELECT 's:1' AS id, 0 AS hop, 0.0::DOUBLE AS cost UNION ALL
-                SELECT id, hop, min(cost) FROM (SELECT b.other AS id, w.hop + 1 AS hop, w.cost + b.c AS cost FROM walk w JOIN best b ON b.id = w.id WHERE w.hop < 4 AND w.id <> 's:2') GROUP BY ALL)
+                SELECT id, hop, min(cost) FROM (SELECT b.other AS id, w.hop + 1 AS hop, w.cost + b.c AS cost FROM walk w JOIN best b ON b.id = w.id WHERE w.hop < 8 AND w.id <> 's:2') GROUP BY ALL)
        SELECT hop::INT AS hops, round(min(cost), 6) AS cost FROM walk WHERE id = 's:2' AND hop = (SELECT min(hop) FROM walk WHERE id = 's:2') GROUP BY hop""",
     "early_edges",
 )
@@ -707,7 +707,7 @@ def reach_map(w):
 def fuzzy_search(w):
     """Parts whose names match a few letters; the scorer is held against a table in the tests."""
     labels = w.nodes().where("id LIKE 'p:%'").select("id", "label", F.lit(False).alias("alias"))
-    return A.fuzzy("stl", labels)
+    return A.fuzzy("rwg", labels)
 
 
 # -- portability, hashes, signatures ----------------------------------------------------------

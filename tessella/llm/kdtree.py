@@ -120,7 +120,7 @@ def _visit(k: int):
             tree = build(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("v")))
             ids, keys = queries.column("query_id").to_numpy(), queries.column("qkey").to_numpy()
             floors = queries.column("floor").to_numpy()
-            points = _matrix(queries.column("v"))
+            points = _matrix(queries.column("qv"))
             for first in range(0, len(ids), QUERIES):
                 at = slice(first, first + QUERIES)
                 for i, key, best in zip(ids[at], keys[at], search(tree, points[at], ids[at], floors[at], k)):
@@ -161,7 +161,8 @@ def top_inner_products(
     schema = "query_id long, qkey long, vec_id long, score long"
 
     def wave(asked: DataFrame) -> DataFrame:
-        return usable.select("d", "shard", "vec_id", "v").groupBy("d", "shard").cogroup(asked.groupBy("d", "shard")).applyInArrow(_visit(k), schema)
+        named = asked.select("query_id", "qkey", F.col("v").alias("qv"), F.col("d").alias("qd"), F.col("shard").alias("qshard"), "floor")
+        return usable.select("d", "shard", "vec_id", "v").groupBy("d", "shard").cogroup(named.groupBy("qd", "qshard")).applyInArrow(_visit(k), schema)
 
     home = written(wave(queries.select("*", F.lit(float("-inf")).alias("floor"))), "home")
     kth = home.groupBy("query_id", "qkey").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("kth"))

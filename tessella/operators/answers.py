@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import incidence
@@ -120,3 +120,84 @@ def fuzzy(query: str, labels: DataFrame) -> DataFrame:
 
     scored = labels.withColumn("score", score("label") - F.when(F.col("alias"), 4.0).otherwise(0.0)).where("score IS NOT NULL AND NOT isnan(score)")
     return scored.groupBy("id").agg(F.max_by(F.struct("label", "score"), F.struct("score", "label")).alias("b")).select("id", "b.*")
+
+
+def lod_histogram(view: DataFrame, lod: DataFrame) -> DataFrame:
+    """Rows (lod, nodes) over a view; nodes without a state count as 'hole'."""
+    joined = view.select("id").join(lod.select("id", "lod"), "id", "left")
+    return joined.groupBy(F.coalesce("lod", F.lit("hole")).alias("lod")).agg(F.count("*").alias("nodes"))
+
+
+def receipt_groups(families: DataFrame, omitted: DataFrame) -> DataFrame:
+    """Rows (group, key, n): families by sigma, and omissions by reason."""
+    a = families.groupBy(F.col("sigma").alias("key")).agg(F.sum("edges").alias("n")).select(F.lit("families").alias("group"), "key", "n")
+    return a.unionByName(omitted.groupBy(F.col("reason").alias("key")).agg(F.count("*").alias("n")).select(F.lit("omitted").alias("group"), "key", "n"))
+
+
+def ledger(passages: DataFrame) -> DataFrame:
+    """Passages in reading order: by char_start, then seq, then id."""
+    return passages.orderBy(F.col("char_start").asc_nulls_last(), "seq", "id")
+
+
+def chronology(path: DataFrame, dates: DataFrame) -> DataFrame:
+    """Rows (place, id, at, days): the nodes of a chain in order, with days since the one before.
+
+    No rows for a path that branches, has several heads or a cycle. path: from_id, to_id;
+    dates: id, at. A path is an answer's (at most 24 steps), so its order is found on the driver.
+    """
+    steps = [(r.from_id, r.to_id) for r in path.select("from_id", "to_id").limit(1025).collect()]
+    following, heads = dict(steps), {a for a, _ in steps} - {b for _, b in steps}
+    order = []
+    if len(following) == len(steps) == len(dict((b, a) for a, b in steps)) and len(heads) == 1 and len(steps) <= 1024:
+        order = [heads.pop()]
+        while order[-1] in following:
+            order.append(following[order[-1]])
+    placed = path.sparkSession.createDataFrame(list(enumerate(order)), "place int, id string")
+    w = Window.partitionBy().orderBy("place")
+    day = F.to_date(F.substring("at", 1, 10))
+    return placed.join(dates.select("id", "at"), "id", "left").select("place", "id", "at", F.datediff(day, F.lag(day).over(w)).alias("days"))
+
+
+def word_diff(before: str, after: str, most: int = 1200) -> list[tuple[str, str]] | None:
+    """Runs (same, removed or added; words) of a longest common subsequence; null for long texts."""
+    a, b = before.split(), after.split()
+    if len(a) > most or len(b) > most:
+        return None
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    runs: list[tuple[str, list[str]]] = []
+    i = j = 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            kind, word, i, j = "same", a[i], i + 1, j + 1
+        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
+            kind, word, i = "removed", a[i], i + 1
+        else:
+            kind, word, j = "added", b[j], j + 1
+        if not runs or runs[-1][0] != kind:
+            runs.append((kind, []))
+        runs[-1][1].append(word)
+    return [(k, " ".join(w)) for k, w in runs]
+
+
+def word_diffs(pairs: DataFrame) -> DataFrame:
+    """Adds diff, the runs between columns before and after."""
+
+    @F.pandas_udf("array<struct<kind:string,words:string>>")
+    def diff(before: pd.Series, after: pd.Series) -> pd.Series:
+        found = [None if a is None or b is None else word_diff(a, b) for a, b in zip(before, after)]
+        return pd.Series([None if f is None else [{"kind": k, "words": w} for k, w in f] for f in found])
+
+    return pairs.withColumn("diff", diff("before", "after"))
+
+
+def first_difference(before: Column, after: Column, around: int = 34) -> Column:
+    """struct<at, before, after>: the first place where two texts differ, with what surrounds it; null if none."""
+    n = F.least(F.length(before), F.length(after))
+    a, b = F.split(F.substring(before, F.lit(1), n), "(?!$)"), F.split(F.substring(after, F.lit(1), n), "(?!$)")
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x != y), F.lit(True))
+    at = F.when(differs > 0, differs - 1).otherwise(n).cast("int")
+    cut = lambda t: F.substring(t, F.greatest(at - around, F.lit(0)) + 1, F.lit(2 * around))
+    return F.when(before != after, F.struct(at.alias("at"), cut(before).alias("before"), cut(after).alias("after")))

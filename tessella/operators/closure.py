@@ -134,3 +134,15 @@ def with_packs(core: DataFrame, packs: DataFrame) -> DataFrame:
     """Families of the core and, where it has no such name, of the first pack (by place)."""
     first = packs.groupBy("family").agg(F.min_by(F.struct(*packs.columns), "place").alias("r")).select("r.*")
     return core.unionByName(first.join(core, "family", "left_anti"), allowMissingColumns=True)
+
+
+def string_families(relations: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows (relation, kind, family): what a mapping of strings says of each relation.
+
+    mapping: relation, family, note; a null family with a note is that kind (generic,
+    non_english, junk); a relation that is itself a family's name is 'family'.
+    """
+    names = mapping.where("family IS NOT NULL").select(F.col("family").alias("relation"), F.lit(True).alias("is_family")).distinct()
+    joined = relations.select("relation").join(names, "relation", "left").join(mapping, "relation", "left")
+    kind = F.when(F.col("is_family"), "family").when(F.col("family").isNotNull(), "mapped").when(F.col("note").isNotNull(), F.col("note")).otherwise("unknown")
+    return joined.select("relation", kind.alias("kind"), F.when(F.col("is_family"), F.col("relation")).otherwise(F.col("family")).alias("family"))

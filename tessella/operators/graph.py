@@ -6,6 +6,9 @@ weight, confidence, evidence (array of passage ids), quarantined, reason, at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,3 +205,79 @@ def vocabulary_problems(families: DataFrame) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     return joined.select("family", F.explode(checks).alias("problem")).unionByName(families.groupBy("family").count().where("count > 1").select("family", F.lit("repeated").alias("problem")))
+
+
+def scope_assets(nodes: DataFrame, scope: str) -> DataFrame:
+    """Rows (id): assets that a scope stands for: a continent's or island's, an asset itself, and
+    for anything else its owner; without one, the scope's own id."""
+    own = nodes.where(F.col("id") == scope).select("kind", F.col("parent_id").alias("owner"))
+    assets = nodes.where("kind = 'asset'").select("id", F.col("parent_id").alias("island"))
+    islands = nodes.where("kind = 'island'").select(F.col("id").alias("island"), F.col("parent_id").alias("continent"))
+    below = assets.join(islands, "island", "left").where((F.col("island") == scope) | (F.col("continent") == scope)).select("id")
+    rest = own.where("kind NOT IN ('continent', 'island')").select(F.when(F.col("kind") == "asset", F.lit(scope)).otherwise(F.coalesce("owner", F.lit(scope))).alias("id"))
+    return below.unionByName(rest).distinct()
+
+
+def constellation(edges: DataFrame, gold_edges: DataFrame, gold_nodes: DataFrame) -> DataFrame:
+    """Edges of an answer: those named (id), and those with both ends among the named nodes (id)."""
+    named = edges.join(gold_edges.select("id"), "id", "left_semi")
+    return named.unionByName(among(edges, gold_nodes).select(*edges.columns)).dropDuplicates(["id"])
+
+
+def corroborated(edges: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Rows (id, passage_id): the first other passage that holds both ends of an edge.
+
+    edges: id, from_id, to_id, primary; mentions: id, passage_id, seq. Ends meet by passage, and
+    the least (seq, passage_id) is kept before anything is gathered.
+    """
+    a = edges.select(F.col("id").alias("edge_id"), "from_id", "to_id", "primary")
+    one = a.join(mentions.select(F.col("id").alias("from_id"), "passage_id", "seq"), "from_id")
+    both = one.join(mentions.select(F.col("id").alias("to_id"), "passage_id"), ["to_id", "passage_id"]).where("passage_id <> primary")
+    return both.groupBy(F.col("edge_id").alias("id")).agg(F.min(F.struct("seq", "passage_id"))["passage_id"].alias("passage_id"))
+
+
+def passage_offsets(passages: DataFrame, separator: int = 2) -> DataFrame:
+    """Adds char_start and char_end in the joined document, and the span's hash.
+
+    passages: parent_id, seq, id, text. The hash is 'sha256:' and 32 hex digits.
+    """
+    w = Window.partitionBy("parent_id").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + separator).over(w), F.lit(0)).cast("long")
+    return passages.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("text")).withColumn("span_hash", F.concat(F.lit("sha256:"), F.substring(F.sha2("text", 256), 1, 32)))
+
+
+def first_periods(mentions: DataFrame) -> DataFrame:
+    """Rows (from_id, to_id, family): each asset covers the period it mentions first; (parent_id, id, seq) in."""
+    first = mentions.groupBy("parent_id").agg(F.min(F.struct("seq", "id"))["id"].alias("to_id"))
+    return first.select(F.col("parent_id").alias("from_id"), "to_id", F.lit("_covers_period").alias("family"))
+
+
+def detected_mentions(passages: DataFrame, labels: DataFrame, most: int = 50_000) -> DataFrame:
+    """Rows (id, label): labels that passages hold as whole words, the longest first.
+
+    A found span is blanked, so that a label inside a longer one doesn't count there. Labels are
+    a vocabulary; more than ``most`` raise.
+    """
+    known = [r.label for r in labels.select("label").distinct().limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"a vocabulary has at most {most} labels")
+    ordered = sorted((x for x in known if x), key=lambda x: (-len(x), x))
+    low = [x.lower() for x in ordered]
+
+    def find(text: str) -> list[str]:
+        rest, out = (text or "").lower(), []
+        for label, l in zip(ordered, low):
+            at = rest.find(l)
+            while at >= 0 and (at and rest[at - 1].isalnum() or rest[at + len(l) : at + len(l) + 1].isalnum()):
+                at = rest.find(l, at + 1)
+            if at >= 0:
+                out.append(label)
+                rest = rest[:at] + "\0" * len(l) + rest[at + len(l) :]
+        return out
+
+    @F.pandas_udf("array<string>")
+    def held(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield part.map(find)
+
+    return passages.select("id", F.explode(held("text")).alias("label"))

@@ -107,3 +107,48 @@ def purity(positions: DataFrame, radius: float) -> DataFrame:
     own = positions.select(F.col("id").alias("point"), F.col("community").alias("a"))
     other = positions.select("id", F.col("community").alias("b"))
     return near.join(own, "point").join(other, "id").agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("purity"))
+
+
+def fitted(positions: DataFrame, extent: float = 1000.0, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Positions scaled so that the middle 99 % span the extent, by exact percentiles, one scale for both axes."""
+    q = positions.agg(*[F.expr(f"percentile({c}, {p})").alias(f"{c}{i}") for c in "xy" for i, p in enumerate((low, high))])
+    both = positions.crossJoin(F.broadcast(q))  # one row
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9))
+    at = lambda c: ((F.col(c) - (F.col(f"{c}0") + F.col(f"{c}1")) / 2) / span * extent).alias(c)
+    return both.select(*[at(c) if c in ("x", "y") else F.col(c) for c in positions.columns])
+
+
+def snapped(positions: DataFrame, spacing: float) -> DataFrame:
+    """Adds the nearest point (gx, gy) of a hexagonal grid: odd rows are half a step to the right."""
+    height = spacing * 3**0.5 / 2
+    row = F.round(F.col("y") / height)
+    shift = F.pmod(row, F.lit(2)) * spacing / 2
+    return positions.withColumn("gx", F.round((F.col("x") - shift) / spacing) * spacing + shift).withColumn("gy", row * height)
+
+
+def principal_axes(features: DataFrame, dims: int) -> DataFrame:
+    """Rows (id, px, py): the first two principal components of vectors ``v`` of ``dims`` numbers.
+
+    Sums and products are aggregated where the rows are; only a ``dims`` by ``dims`` matrix
+    reaches the driver. A component's largest loading is positive.
+    """
+    import numpy as np
+
+    at = lambda i: F.element_at("v", i + 1)
+    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
+    sums = features.agg(F.count("*").alias("n"), *[F.sum(at(i)).alias(f"s{i}") for i in range(dims)], *[F.sum(at(i) * at(j)).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    n = sums["n"] or 1
+    mean = np.array([(sums[f"s{i}"] or 0.0) / n for i in range(dims)])
+    cov = np.zeros((dims, dims))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = (sums[f"p{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
+    project = lambda k: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(a)) for a in axes[:, k]]), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x) - float(mean @ axes[:, k])
+    return features.select("id", project(0).alias("px"), project(1).alias("py"))
+
+
+def radii(nodes: DataFrame, extent: float = 1000.0) -> DataFrame:
+    """Adds r: by kind, growing with the square root of the content (column content)."""
+    base = F.when(F.col("kind") == "continent", 0.06).when(F.col("kind") == "island", 0.03).when(F.col("kind") == "asset", 0.008).otherwise(0.003)
+    return nodes.withColumn("r", base * extent * (1 + F.least(F.sqrt(F.coalesce("content", F.lit(0))) / 10, F.lit(1.0))))

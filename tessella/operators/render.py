@@ -135,3 +135,34 @@ def trace_problems(citations: DataFrame, admitted: DataFrame, left_out: DataFram
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.where("rows > 0")
+
+
+def counterfactual(touched: DataFrame, assets: DataFrame, spent: int) -> DataFrame:
+    """One row (tokens, widened): what reading all touched assets costs; if that is less than was
+    spent, what their whole islands cost. touched: id; assets: id, island, tokens."""
+    own = assets.join(touched.select("id").distinct(), "id", "left_semi")
+    wide = assets.join(own.select("island").distinct(), "island", "left_semi")
+    sums = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("a")).crossJoin(wide.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("b")))  # one row each
+    return sums.select(F.when(F.col("a") < spent, F.col("b")).otherwise(F.col("a")).alias("tokens"), (F.col("a") < spent).alias("widened"))
+
+
+def signals(cited: DataFrame, admitted: DataFrame, links: DataFrame, path: DataFrame) -> DataFrame:
+    """One row (semantic, topology, temporal, authorial), null where a signal has nothing to go by.
+
+    semantic is the mean score of citations; topology the share of admitted nodes that the path
+    reaches over admitted links; temporal the admitted share of temporal edges; authorial half
+    the verbatim share and half the share of distinct sources. cited: score, verbatim, source_id;
+    links: id, from_id, to_id, sigma, quarantined, evidence; path: id.
+    """
+    from .graph import among
+    from .paths import hop_closure
+
+    inside = among(links, admitted)
+    reached = hop_closure(inside, path.join(admitted.select("id"), "id", "left_semi"), 24).select("id")
+    n = admitted.agg(F.count("*").alias("n"))
+    r = admitted.join(reached, "id", "left_semi").agg(F.count("*").alias("r"))
+    t = links.where("sigma = 'temporal'").agg(F.count("*").alias("t"), F.count(F.when(~F.col("quarantined"), 1)).alias("ta"))
+    c = cited.agg(F.avg("score").alias("semantic"), F.count("*").alias("c"), F.count(F.when(F.col("verbatim"), 1)).alias("v"), F.countDistinct("source_id").alias("s"))
+    one = n.crossJoin(r).crossJoin(t).crossJoin(c)  # one row each
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return one.select("semantic", share("r", "n").alias("topology"), share("ta", "t").alias("temporal"), (0.5 * share("v", "c") + 0.5 * share("s", "c")).alias("authorial"))

@@ -532,6 +532,65 @@ def centrality(w):
     return paths.centrality(written(w.early_edges(), "early")).select("id", F.round("centrality", 6).alias("centrality"))
 
 
+@query(
+    """SELECT id FROM assets WHERE parent_id IN (SELECT id FROM nodes WHERE parent_id = 'r:1')""",
+    "assets",
+    "nodes",
+)
+def scope_assets(w):
+    """The assets that a continent stands for."""
+    return graph.scope_assets(w.nodes(), "r:1")
+
+
+@query(
+    """SELECT id FROM edges WHERE asset_id = 'o:7' OR (from_id IN ('s:1', 's:2', 's:3') AND to_id IN ('p:1', 'p:2', 'p:3', 'p:4', 'p:5', 'p:6', 'p:7', 'p:8', 'p:9'))""",
+    "edges",
+)
+def constellation_edges(w):
+    """Edges of one order, and those among some suppliers and parts."""
+    nodes = w.spark.createDataFrame([(f"s:{i}",) for i in range(1, 4)] + [(f"p:{i}",) for i in range(1, 10)], "id string")
+    return graph.constellation(w.edges(), w.edges().where("asset_id = 'o:7'"), nodes).select("id")
+
+
+@query(
+    """, m AS (SELECT part AS e, id AS passage, seq, parent_id FROM passages UNION ALL SELECT supplier, id, seq, parent_id FROM passages),
+       x AS (SELECT a.supplier || '>' || a.part AS id, arg_min(b.id, (b.seq, b.id)) AS passage_id FROM
+             (SELECT supplier, part, min(id) AS main FROM passages GROUP BY ALL) a JOIN passages b ON b.supplier = a.supplier AND b.part = a.part AND b.id <> a.main GROUP BY 1)
+       SELECT * FROM x""",
+    "passages",
+)
+def corroborating_evidence(w):
+    """For each supplier and part the first passage with both besides the least id."""
+    p = w.passages()
+    pairs = p.groupBy(F.col("supplier").alias("from_id"), F.col("part").alias("to_id")).agg(F.min("id").alias("primary")).withColumn("id", F.concat("from_id", F.lit(">"), "to_id"))
+    mentions = p.select(F.col("part").alias("id"), F.col("id").alias("passage_id"), "seq").unionByName(p.select(F.col("supplier").alias("id"), F.col("id").alias("passage_id"), "seq"))
+    return graph.corroborated(pairs, mentions)
+
+
+@query(
+    """SELECT segment_id, coalesce(sum(length(text) + 2) OVER (PARTITION BY source_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start,
+         'sha256:' || substr(sha256(text), 1, 32) AS span_hash FROM segments WHERE seq > 0""",
+    "segments",
+)
+def passage_offsets(w):
+    rows = w.segments().where("seq > 0").select(F.col("segment_id").alias("id"), F.col("source_id").alias("parent_id"), "seq", "text")
+    return graph.passage_offsets(rows).select(F.col("id").alias("segment_id"), "char_start", "span_hash")
+
+
+@query("SELECT parent_id AS from_id, arg_min(part, (seq, part)) AS to_id, '_covers_period' AS family FROM passages GROUP BY parent_id", "passages")
+def first_periods(w):
+    return graph.first_periods(w.passages().select("parent_id", F.col("part").alias("id"), "seq"))
+
+
+@query(
+    """SELECT p_partkey::VARCHAR AS id, w AS label FROM part, (SELECT unnest(['red', 'ring', 'small', 'bolt']) AS w) WHERE regexp_matches(p_name, '(^|[^a-z0-9])' || w || '($|[^a-z0-9])')"""
+)
+def detected_mentions(w):
+    """Words of a small vocabulary in part names."""
+    labels = w.spark.createDataFrame([("red",), ("ring",), ("small",), ("bolt",)], "label string")
+    return graph.detected_mentions(w.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("text")), labels)
+
+
 # -- rendering --------------------------------------------------------------------------------
 
 QUESTION = "Which antique or burnished steel parts does the supplier of plated brass deliver?"
@@ -662,6 +721,30 @@ def anchored_rebake(w):
     return layout.rebaked(new, fit).select("id", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
+@query(
+    """, q AS (SELECT quantile_cont(x, 0.005) AS x0, quantile_cont(x, 0.995) AS x1, quantile_cont(y, 0.005) AS y0, quantile_cont(y, 0.995) AS y1 FROM positions)
+       SELECT id, round((x - (x0 + x1) / 2) / greatest(x1 - x0, y1 - y0) * 1000, 6) AS x, round((y - (y0 + y1) / 2) / greatest(x1 - x0, y1 - y0) * 1000, 6) AS y FROM positions, q""",
+    "positions",
+)
+def extent_fit(w):
+    return layout.fitted(w.positions()).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(
+    """, g AS (SELECT id, x, round(y / (20 * sqrt(3) / 2)) AS k FROM positions)
+       SELECT id, round((x - abs(k % 2) * 10) / 20) * 20 + abs(k % 2) * 10 AS gx, round(k * 20 * sqrt(3) / 2, 6) AS gy FROM g""",
+    "positions",
+)
+def latent_grid(w):
+    return layout.snapped(w.positions(), 20.0).select("id", "gx", F.round("gy", 6).alias("gy"))
+
+
+@query()
+def principal_axes(w):
+    """Two principal components of the relation vectors; held against a dense computation in the tests."""
+    return layout.principal_axes(w.relations().select(F.col("relation").alias("id"), F.slice("v", 1, 16).alias("v")), 16)
+
+
 # -- answers ----------------------------------------------------------------------------------
 
 
@@ -710,6 +793,47 @@ def fuzzy_search(w):
     return A.fuzzy("rwg", labels)
 
 
+@query(
+    """SELECT CASE WHEN k % 7 = 0 THEN 'lod-0' WHEN k % 5 = 0 THEN 'lod-1' ELSE 'hole' END AS lod, count(*) AS nodes FROM (SELECT substr(id, 3)::BIGINT AS k FROM positions) GROUP BY 1""",
+    "positions",
+)
+def lod_histogram(w):
+    k = F.col("id").substr(3, 20).cast("long")
+    lod = w.positions().select("id", F.when(k % 7 == 0, "lod-0").when(k % 5 == 0, "lod-1").alias("lod")).where("lod IS NOT NULL")
+    return A.lod_histogram(w.positions(), lod)
+
+
+@query(
+    """SELECT 'families' AS "group", sigma AS key, count(*)::BIGINT AS n FROM edges WHERE NOT quarantined GROUP BY sigma UNION ALL SELECT 'omitted', reason, count(*) FROM edges WHERE quarantined GROUP BY reason""",
+    "edges",
+)
+def receipt_groups(w):
+    used = w.edges().where("NOT quarantined").groupBy("sigma").agg(F.count("*").alias("edges"))
+    return A.receipt_groups(used, w.edges().where("quarantined"))
+
+
+@query(
+    """SELECT relation, CASE WHEN vec_id % 5 = 0 THEN 'mapped' WHEN vec_id % 5 = 1 THEN 'generic' WHEN vec_id % 5 = 2 THEN 'family' ELSE 'unknown' END AS kind,
+         CASE WHEN vec_id % 5 = 0 THEN 'rel:' || (vec_id + 2) WHEN vec_id % 5 = 2 THEN relation END AS family FROM relations WHERE vec_id < 500""",
+    "relations",
+)
+def string_families(w):
+    """A made mapping: every fifth relation goes to the one two further on, and so on."""
+    r = w.relations().where("vec_id < 500")
+    mapping = r.where("vec_id % 5 < 2").select("relation", F.expr("CASE WHEN vec_id % 5 = 0 THEN concat('rel:', vec_id + 2) END").alias("family"), F.expr("CASE WHEN vec_id % 5 = 1 THEN 'generic' END").alias("note"))
+    return closure.string_families(r, mapping)
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(text) > 0 THEN 0 END::INT AS "at" FROM documents WHERE text <> upper(text) AND substr(text, 1, 1) <> substr(upper(text), 1, 1)
+       UNION ALL SELECT doc_id, 1 FROM documents WHERE substr(text, 1, 1) = substr(upper(text), 1, 1) AND substr(text, 2, 1) <> substr(upper(text), 2, 1)"""
+)
+def first_difference(w):
+    """Where texts and their capitals differ first, among those that do in the first two places."""
+    found = w.table("documents").select("doc_id", A.first_difference(F.substring("text", 1, 2), F.upper(F.substring("text", 1, 2))).alias("d"))
+    return found.where("d IS NOT NULL").select("doc_id", "d.at")
+
+
 # -- portability, hashes, signatures ----------------------------------------------------------
 
 

@@ -274,3 +274,45 @@ def test_registry():
     assert r.available("B1") == ["x"] and r.available("B2") == []
     with pytest.raises(ValueError):
         r.register("B1", "x", Always())
+
+
+def test_mentions_blank_longer_labels_first(spark):
+    p = spark.createDataFrame([("1", "New York City and York"), ("2", "yorkshire"), ("3", None)], "id string, text string")
+    labels = spark.createDataFrame([("York",), ("New York City",), ("and",)], "label string")
+    assert sorted(map(tuple, graph.detected_mentions(p, labels).collect())) == [("1", "New York City"), ("1", "York"), ("1", "and")]
+
+
+def test_chronology_orders_a_chain_only(spark):
+    steps = lambda *x: spark.createDataFrame(list(x), "from_id string, to_id string")
+    dates = spark.createDataFrame([("a", "2024-01-01"), ("b", "2024-01-31"), ("c", "2024-02-01T05:00:00")], "id string, at string")
+    got = answers.chronology(steps(("b", "c"), ("a", "b")), dates).orderBy("place").collect()
+    assert [(r.id, r.days) for r in got] == [("a", None), ("b", 30), ("c", 1)]
+    for bad in ([("a", "b"), ("a", "c")], [("a", "b"), ("b", "a")], [("a", "b"), ("c", "d")]):
+        assert answers.chronology(steps(*bad), dates).count() == 0
+
+
+def test_word_diffs(spark):
+    assert answers.word_diff("a b c d", "a x c d e") == [("same", "a"), ("removed", "b"), ("added", "x"), ("same", "c d"), ("added", "e")]
+    assert answers.word_diff("w " * 1201, "w") is None
+    pairs = spark.createDataFrame([("a b", "a c"), (None, "x")], "before string, after string")
+    assert [None if r.diff is None else [tuple(x) for x in r.diff] for r in answers.word_diffs(pairs).collect()] == [[("same", "a"), ("removed", "b"), ("added", "c")], None]
+
+
+def test_signals_and_counterfactual(spark):
+    cited = spark.createDataFrame([(0.5, True, "s1"), (1.0, False, "s1")], "score double, verbatim boolean, source_id string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = render.signals(cited, ids("a", "b", "c", "e"), edges(spark, CHAIN), ids("a")).first()
+    assert (got.semantic, got.topology, got.temporal, got.authorial) == (0.75, 0.75, None, 0.5)
+    assets = spark.createDataFrame([("a", "i", 10), ("b", "i", 50), ("c", "j", 7)], "id string, island string, tokens long")
+    assert tuple(render.counterfactual(ids("a"), assets, 5).first()) == (10, False) and tuple(render.counterfactual(ids("a"), assets, 20).first()) == (60, True)
+
+
+def test_principal_axes_are_the_dense_ones(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(60, 4)) * [3, 2, 1, 0.5]
+    got = layout.principal_axes(spark.createDataFrame([(str(i), x.tolist()) for i, x in enumerate(v)], "id string, v array<double>"), 4)
+    u = v - v.mean(axis=0)
+    axes = np.linalg.eigh(u.T @ u / 60)[1][:, ::-1][:, :2]
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(2)])
+    want = {str(i): tuple(x) for i, x in enumerate(u @ axes)}
+    assert all((r.px, r.py) == pytest.approx(want[r.id]) for r in got.collect())

@@ -12,8 +12,10 @@
     pairs far below the threshold go. The rest are compared on their full sets.
 4.  A list's links leave as a star for each of its groups; components join them.
 
-A list is cut into blocks when it is long, and each pair of blocks is a task's unit of work;
-no link is lost by that, as every two blocks meet.
+The members of a list of more than a block are first compared with a leader, which puts near
+copies of one text into one component. What is left are the members that the leader isn't
+linked to: they meet each other and all the rest, block by block. No link that could join two
+components is lost, and work grows with the list and with how many are left.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from math import sqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,7 +35,9 @@ from .tables import text_slices, written
 from .words import as_large, mix64, split_words, string_hashes, window_hashes, word_hashes
 
 #: Members of a list that one block holds.
-BLOCK = 512
+BLOCK = 1024
+#: Number of the first block of members that aren't linked to their list's leader.
+REST = 1 << 24
 
 
 def miss_probability(k: int, run: int, threshold: float) -> float:
@@ -193,7 +197,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare(k: int, numerator: int, denominator: int):
-    def block(ids: np.ndarray, sides: np.ndarray, packed: list[bytes]) -> np.ndarray:
+    def block(name: int, ids: np.ndarray, sides: np.ndarray, packed: list[bytes]) -> np.ndarray:
         order = np.argsort(ids, kind="stable")
         ids, sides, packed = ids[order], sides[order], [packed[o] for o in order]
         sets = [_unpack(x) for x in packed]
@@ -201,7 +205,7 @@ def _compare(k: int, numerator: int, denominator: int):
         i, j = linked_pairs(sets, left, right, k, numerator, denominator)
         root = _roots(len(ids), i, j)
         moved = np.flatnonzero(root != np.arange(len(ids)))
-        return np.stack([ids[moved], ids[root[moved]]])
+        return np.stack([np.full(len(moved), name), ids[moved], ids[root[moved]]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -230,14 +234,63 @@ def _compare(k: int, numerator: int, denominator: int):
             ids, sides, packed = (table.column(c) for c in ("node", "side", "packed"))
             ids, sides = ids.to_numpy(), sides.to_numpy()
             found = [
-                block(ids[s:e], sides[s:e], packed.slice(s, e - s).to_pylist()) for s, e in zip(bounds, bounds[1:]) if e > s + 1
+                block(keys[0][s], ids[s:e], sides[s:e], packed.slice(s, e - s).to_pylist()) for s, e in zip(bounds, bounds[1:]) if e > s + 1
             ]
-            links = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], ["u", "v"])
+            links = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["list", "u", "v"])
 
     return compare
 
 
+def _compared(placed: DataFrame, sets: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
+    """Links (list, u, v) from rows (list, node, a, b, side): what meets in a (list, a, b) is compared."""
+    whole = placed.join(sets, "node").select("list", "node", "a", "b", "side", "packed")
+    dealt = whole.repartition("list", "a", "b").sortWithinPartitions("list", "a", "b")
+    return dealt.mapInArrow(_compare(k, numerator, denominator), "list long, u long, v long")
+
+
+def _leader_links(long: DataFrame, compared) -> tuple[DataFrame, DataFrame]:
+    """(links, tagged): long lists, after comparing all their members with a leader each.
+
+    A list's leader is its member that is in most long lists: a text that many others were made
+    from. tagged has rows (list, node, rest); rest says that the node isn't linked to its list's
+    leader. Lists often share a leader, and then a member is compared with it once.
+    """
+    popular = long.withColumn("lists", F.count("*").over(Window.partitionBy("node")))  # a sketch's length bounds a node's rows
+    best = F.max(F.struct("lists", (-F.col("node")).alias("node")))
+    leaders = popular.groupBy("list").agg((-best["node"]).alias("leader"))
+    led = written(long.join(leaders, "list"), "led")
+    pairs = led.where("node <> leader").select("leader", "node").distinct()
+    sizes = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "leaders")
+    asked = pairs.join(sizes, "leader").select(F.col("leader").alias("list"), "node", F.pmod(F.xxhash64("node", F.lit(13)), F.col("blocks")).cast("int").alias("a"), F.lit(0).alias("b"), F.lit(2).alias("side"))
+    lead = sizes.select(F.col("leader").alias("list"), F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("side"))
+    found = written(compared(asked.unionByName(lead)), "stars")
+    linked = found.select(F.col("list").alias("leader"), F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("linked", F.lit(True))
+    rest = F.col("linked").isNull() & (F.col("node") != F.col("leader"))
+    return found.select("u", "v"), written(led.join(linked, ["leader", "node"], "left").select("list", "node", rest.alias("rest")), "tagged")
+
+
+def _across(tagged: DataFrame) -> DataFrame:
+    """Rows (list, node, a, b, side) in which all meet that no leader has linked yet.
+
+    Members linked to the leader are in blocks 0, 1, ... and the others in blocks ``REST``,
+    ``REST`` + 1, ...; every block of the others meets every block.
+    """
+    rest = F.col("rest")
+    sizes = tagged.groupBy("list").agg(F.ceil(F.count(F.when(~rest, 1)) / BLOCK).cast("int").alias("m"), F.ceil(F.count(F.when(rest, 1)) / BLOCK).cast("int").alias("r"))
+    hashed = F.xxhash64("node", F.lit(11))
+    placed = tagged.join(sizes.where("r > 0"), "list").select("list", "node", "m", "r", "rest", F.when(rest, REST + F.pmod(hashed, F.col("r"))).otherwise(F.pmod(hashed, F.col("m"))).cast("int").alias("own"))
+    others = F.sequence(F.lit(REST), REST + F.col("r") - 1)
+    every = F.when(F.col("rest"), F.concat(F.sequence(F.lit(0), F.col("m") - 1), others)).otherwise(others)
+    return placed.select("list", "node", "own", F.explode(every).alias("other")).select(
+        "list",
+        "node",
+        F.least("own", "other").alias("a"),
+        F.greatest("own", "other").alias("b"),
+        F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side"),
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), k: int = 48, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -281,21 +334,14 @@ def near_duplicates(
     wanted = members.select("node").distinct()
     texts = read.join(wanted, read["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = texts.mapInArrow(_sets(shingle), "node long, packed binary").distinct()
-    own = F.pmod(F.xxhash64(F.lit(11), "node"), F.col("blocks")).cast("int")
-    placed = (
-        members.select("list", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select(
-            "list",
-            "node",
-            F.least("own", "other").alias("a"),
-            F.greatest("own", "other").alias("b"),
-            F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side"),
-        )
-        .join(sets, "node")
-        .repartition("list", "a", "b")
-        .sortWithinPartitions("list", "a", "b")
-    )
-    links = placed.mapInArrow(_compare(k, numerator, denominator), "u long, v long")
+    short = members.where("blocks = 1").select("list", "node", *[F.lit(0).alias(c) for c in ("a", "b", "side")])
+    long = members.where("blocks > 1").select("list", "node")
+    if long.isEmpty():
+        links = _compared(short, sets, k, numerator, denominator).select("u", "v")
+    else:
+        sets, long = written(sets, "sets"), written(long, "long")
+        stars, state = _leader_links(long, lambda placed: _compared(placed, sets, k, numerator, denominator))
+        links = _compared(short.unionByName(_across(state)), sets, k, numerator, denominator).select("u", "v").unionByName(stars)
     nodes = named.select("set_id", "doc_id").join(classes.select("set_id", "node"), "set_id")
     # texts that share an id are one document
     same = nodes.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")

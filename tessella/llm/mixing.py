@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of an output shard.
 SHARD = 4096
 #: Rows of a source that share a chunk, about.
-CHUNK = 20_000
+CHUNK = 2_000
 _ROUNDS = 12
 
 
@@ -193,6 +193,7 @@ def mix(
     slots = (
         slot_counts(sources, seed)
         .join(sources.select("place", "blocks"), "place")
+        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place", "shard")  # few rows that become many
         .select("place", "shard", "blocks", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
         .select(
             "place",

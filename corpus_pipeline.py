@@ -34,9 +34,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     path, pattern = public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN
-    ids = bpe.encode(docs, path, pattern, carry=("source",))
-    out = bpe.decode(ids.withColumn("__ids", F.col("ids")), path, pattern, carry=("source", "__ids"))
-    return out.select("doc_id", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.round_trip(docs, path, pattern, carry=("source",))
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -9,6 +9,7 @@ table. Rows that are done leave the matrix, and columns are compacted as rows ge
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import text_slices
+from .tables import small_batches, text_slices
 from .words import mix64
 
 #: What a pair that doesn't merge has for a rank.
@@ -26,7 +27,7 @@ NEVER = np.int32(2**31 - 1)
 #: Cells of a matrix, at most, unless one row has more.
 CELLS = 1 << 20
 #: Distinct pieces and their ids that a task remembers, at most.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -230,7 +231,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             keep = [i for i, f in enumerate(part.schema) if f.name != "__text"]
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], column], [*[part.schema[i].name for i in keep], "ids"])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).alias("__text"))
+    read = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "__text")
     return read.mapInArrow(run, f"{kept}, ids array<int>")
 
@@ -247,6 +248,28 @@ def decode(encoded: DataFrame, path: str, pattern: str, carry: tuple[str, ...] =
                 keep = [i for i, f in enumerate(part.schema) if f.name != "ids"]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], pa.array(rows, pa.binary())], [*[part.schema[i].name for i in keep], "decoded"])
 
-    read = encoded.select("doc_id", *carry, "ids")
+    read = small_batches(encoded).select("doc_id", *carry, "ids")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "ids")
     return read.mapInArrow(run, f"{kept}, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, ..., ids, decoded_sha256): ``encode``, and the digest of what the ids decode to.
+
+    One worker does both, so that ids don't go to a second one and back. Cases as in ``encode``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "__text", 2 << 20):
+            use = codec(path, pattern)
+            ids = use.encode(part.column("__text").to_pylist())
+            digests = pa.array([hashlib.sha256(use.decode(x)).hexdigest() for x in ids], pa.string())
+            column = pa.ListArray.from_arrays(
+                np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), np.concatenate([*ids, np.zeros(0, np.int32)])
+            )
+            keep = [i for i, f in enumerate(part.schema) if f.name != "__text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], column, digests], [*[part.schema[i].name for i in keep], "ids", "decoded_sha256"])
+
+    read = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), *carry, F.col(text_col).alias("__text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "__text")
+    return read.mapInArrow(run, f"{kept}, ids array<int>, decoded_sha256 string")

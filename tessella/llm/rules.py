@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import text_slices, written
+from .tables import small_batches, text_slices, written
 from .words import as_large, mix64, split_words, window_hashes, word_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits", "n_distinct")
@@ -87,6 +87,18 @@ def _distinct(of: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return _per_text(of[order][first], n)
 
 
+def _count_beside(column: str):
+    """All columns as they are, and the counts of one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, column):
+            counts = text_counts(part.column(column))
+            added = [pa.array(np.pad(counts[c], (0, part.num_rows - len(counts[c]))), pa.int64()) for c in COUNTS]
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *COUNTS])
+
+    return run
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, "__text"):
         counts = text_counts(part.column("__text"))
@@ -99,7 +111,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, ``COUNTS``), one for each row of ``docs``; a null text has no words."""
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in carry], F.col(text_col).alias("__text"))
+    read = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in carry], F.col(text_col).alias("__text"))
     kept = [f for f in read.schema.fields if f.name != "__text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} long" for c in COUNTS])
     return read.mapInArrow(_count, schema)
@@ -155,25 +167,22 @@ def grow(table: dict[str, np.ndarray], bad: np.ndarray, most: int = 4) -> list[C
     return rule
 
 
-def prune(rule: list[Condition], table: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
-    """Drops last conditions as long as that makes (bad - good) / covered no worse on held-back rows."""
-    n = len(bad)
+def prune(rule: list[Condition], table: dict[str, np.ndarray], bad: np.ndarray) -> list[list[Condition]]:
+    """The rule's beginnings, best first by (bad - good) / covered on held-back rows, then shorter."""
 
     def worth(r: list[Condition]) -> float:
-        inside = _covered(r, table, n)
+        inside = _covered(r, table, len(bad))
         p, q = (inside & bad).sum(), (inside & ~bad).sum()
         return (p - q) / (p + q) if p + q else -1.0
 
-    while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-        rule = rule[:-1]
-    return rule
+    return sorted((rule[:i] for i in range(1, len(rule) + 1)), key=lambda r: (-worth(r), len(r)))
 
 
 def learn(table: dict[str, np.ndarray], bad: np.ndarray, split: np.ndarray, precision: float = 0.95, least: int = 2, most: int = 12) -> list[list[Condition]]:
     """An ordered list of conjunctions that single out bad rows; ``split`` marks the rows to grow on.
 
     A rule counts if, of all rows it covers, at least ``precision`` are bad and at least
-    ``least`` are; the first that doesn't ends the list.
+    ``least`` are; of its beginnings the best that does is taken, and if none does the list ends.
     """
     rules, left = [], np.ones(len(bad), bool)
     while len(rules) < most:
@@ -181,9 +190,11 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, split: np.ndarray, prec
         on, back = left & split, left & ~split
         if not (bad & on).any():
             break
-        rule = prune(grow(take(on), bad[on]), take(back), bad[back])
-        inside = left & _covered(rule, table, len(bad))
-        if not rule or (inside & bad).sum() < max(least, precision * inside.sum()):
+        for rule in prune(grow(take(on), bad[on]), take(back), bad[back]):
+            inside = left & _covered(rule, table, len(bad))
+            if (inside & bad).sum() >= max(least, precision * inside.sum()):
+                break
+        else:
             break
         rules.append(rule)
         left &= ~inside
@@ -201,19 +212,20 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def fit(counts: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[list[Condition]]:
     """Learns the list from counts of labelled rows (doc_id, quality 0 or 1; nulls are left out).
 
-    Bound: at most ``most_rows`` labelled rows are fitted on, those with the smallest hashes.
+    Bound: about ``most_rows`` labelled rows are fitted on, those with the smallest hashes; the
+    share that may go is set before, so that tasks send no more than they keep.
     A doc_id with contradicting labels is left out.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi").select("doc_id", F.col("lo").alias("quality"))
     at = F.xxhash64("doc_id", F.lit(5))
+    share = min(1.0, most_rows / max(1, known.count()))
     rows = (
-        counts.join(known, "doc_id")
+        counts.join(known.where(F.shiftrightunsigned(at, 11) < int(share * 2**53)), "doc_id")
         .where("n_words > 0")
         .select("quality", at.alias("h"), *[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in STATISTICS.items()])
-        .orderBy("h")
-        .limit(most_rows)
         .toPandas()
+        .sort_values(["h", *STATISTICS], ignore_index=True)
     )
     if rows.empty:
         return []
@@ -246,6 +258,9 @@ def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     known = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("__label")).distinct()
     sample = docs.join(known, docs[id_col].cast("long") == known["__label"], "left_semi")
     rules = fit(statistics(sample, id_col, text_col), labels)
-    whole = docs.select(id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    counted = statistics(whole, id_col, text_col, carry=("__row",))
-    return counted.where(verdict(rules) & F.expr("NOT 100 * n_repeat_words > 50 * n_words")).select("__row.*")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with a count's
+    plain = small_batches(docs).toDF(*names)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields] + [f"{c} long" for c in COUNTS])
+    counted = plain.mapInArrow(_count_beside(names[docs.columns.index(text_col)]), schema)
+    kept = counted.where(verdict(rules) & F.expr("NOT 100 * n_repeat_words > 50 * n_words"))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

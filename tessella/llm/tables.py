@@ -44,6 +44,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that goes to a Python worker, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends texts to Python workers in small batches.
+
+    Spark counts rows, of which the default is ten thousand; whole texts are larger than what
+    that suits, and the batches of all of an executor's workers are in memory together.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a slice holds about ``most`` bytes of text; one text stays whole."""
     for batch in batches:

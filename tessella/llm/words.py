@@ -35,6 +35,8 @@ def as_large(texts) -> pa.Array:
     """A plain large_string array; nulls become empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.offset:  # a slice: kernels that return lists don't all heed where it starts
+        texts = texts.take(pa.array(np.arange(len(texts))))
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
 

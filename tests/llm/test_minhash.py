@@ -55,3 +55,12 @@ def test_repeated_and_missing_ids(spark):
 
 def test_empty(spark):
     assert minhash.near_duplicates(rows_of(spark, [])).count() == 0
+
+
+def test_sets_do_not_depend_on_the_slice():
+    import pyarrow as pa
+
+    texts = pa.array([" ".join(f"w{i * j % 37}" for j in range(40)) for i in range(30)] + [None, ""])
+    whole = minhash.shingle_sets(texts, 5)
+    for i in range(len(texts)):
+        assert minhash.shingle_sets(texts.slice(i, 1), 5)[0].tolist() == whole[i].tolist()

@@ -87,6 +87,30 @@ class Spans:
         return Spans(*[getattr(self, f)[at] for f in ("text", "anchor_at", "first", "last", "anchor", "content")])
 
 
+def _least_places(grams: np.ndarray, wide: int) -> np.ndarray:
+    """The place of the least hash among each ``wide`` grams in a row, leftmost first.
+
+    The place is in the low bits of what is compared; where there are more grams than these bits
+    number, overlapping pieces are looked at one by one, with places from the piece's start.
+    """
+    if wide > int(_PLACE) + 1:
+        raise ValueError(f"windows of {wide} grams are longer than a piece")
+    count = len(grams) - wide + 1
+    most = int(_PLACE) + 2 - wide
+    out = np.empty(count, np.int32)
+    for first in range(0, count, most):
+        piece = grams[first : first + most + wide - 1]
+        least = (piece & ~_PLACE) | np.arange(len(piece), dtype=np.uint64)
+        step = 1
+        while step * 2 <= wide:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if wide > step:
+            least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
+        out[first : first + most] = (least & _PLACE).astype(np.int64) + first
+    return out
+
+
 def spans_of(units: Units, windows: Windows) -> Spans:
     n, q, length = len(units.values), windows.gram, windows.length
     wide = length - q + 1
@@ -98,17 +122,10 @@ def spans_of(units: Units, windows: Windows) -> Spans:
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units.values * power)])
     del power
     grams = mix64((prefix[q:] - prefix[:-q]) * back[: n - q + 1])
-    # the least hash of each window, leftmost first: the place is in the low bits
-    least = (grams & ~_PLACE) | np.arange(n - q + 1, dtype=np.uint64)
-    step = 1
-    while step * 2 <= wide:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    if wide > step:
-        least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
+    least = _least_places(grams, wide)
     text_of = np.repeat(np.arange(len(units.starts) - 1, dtype=np.int32), np.diff(units.starts))
     start = np.flatnonzero(text_of[: n - length + 1] == text_of[length - 1 :])
-    place = (least[start] & _PLACE).astype(np.int64)
+    place = least[start]
     del least
     cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(start) != 1) | (np.diff(text_of[start]) != 0))
     if not len(start):

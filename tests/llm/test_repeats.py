@@ -71,6 +71,23 @@ def test_few_symbols_have_many_overlaps(spark):
     assert sorted(((*x[:4], bytes(x[4])) for x in got), key=str) == brute_bytes(both(rows), 14)
 
 
+@pytest.mark.parametrize("places", [63, (1 << 24) - 1])
+def test_spans_of_a_text_beyond_the_places(monkeypatch, places):
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64(places))
+    r = np.random.default_rng(6)
+    values = r.integers(0, 1 << 63, 1000).astype(np.uint64)
+    values[700:800] = values[10:110]
+    spans = repeats.spans_of(repeats.Units(values, np.array([0, 5, 900, 1000])), repeats.Windows("bytes", 30, 12))
+    assert np.all(np.diff(spans.text * 10_000 + spans.anchor_at) > 0)
+    windows = [(t, i) for t, a, b in zip(spans.text.tolist(), spans.first.tolist(), spans.last.tolist()) for i in range(a, b + 1)]
+    assert windows == [(1, i) for i in range(895 - 29)] + [(2, i) for i in range(100 - 29)]
+    assert np.all((spans.first <= spans.anchor_at) & (spans.anchor_at <= spans.first + 18) & (spans.anchor_at >= spans.last))
+    # the repeat is within text 1: places 5..105 and 695..795
+    found = [(int(a), int(p)) for t, a, p in zip(spans.text, spans.anchor, spans.anchor_at) if t == 1]
+    low, high = ({(a, p - at) for a, p in found if at + 18 <= p < at + 70} for at in (5, 695))
+    assert low and low == high
+
+
 def test_digests_and_empty_tables(spark):
     rows = texts()[:6]
     got = fmindex.remove_repeated_words(frame(spark, rows), 12, 4, texts=False).collect()

@@ -129,19 +129,27 @@ def snapped(positions: DataFrame, spacing: float) -> DataFrame:
 def principal_axes(features: DataFrame, dims: int) -> DataFrame:
     """Rows (id, px, py): the first two principal components of vectors ``v`` of ``dims`` numbers.
 
-    Sums and products are aggregated where the rows are; only a ``dims`` by ``dims`` matrix
-    reaches the driver. A component's largest loading is positive.
+    Each task sums its rows and their products in one matrix product; only a ``dims`` by ``dims``
+    matrix reaches the driver. A component's largest loading is positive.
     """
     import numpy as np
-
-    at = lambda i: F.element_at("v", i + 1)
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    sums = features.agg(F.count("*").alias("n"), *[F.sum(at(i)).alias(f"s{i}") for i in range(dims)], *[F.sum(at(i) * at(j)).alias(f"p{i}_{j}") for i, j in pairs]).first()
-    n = sums["n"] or 1
-    mean = np.array([(sums[f"s{i}"] or 0.0) / n for i in range(dims)])
-    cov = np.zeros((dims, dims))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = (sums[f"p{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
+    import pandas as pd
+
+    def sums(batches):
+        total = np.zeros(1 + dims + dims * dims)
+        for b in batches:
+            if len(b):
+                v = np.array(b["v"].tolist(), np.float64).reshape(len(b), dims)
+                total += np.concatenate([[len(b)], v.sum(axis=0), (v.T @ v).ravel()])
+        yield pd.DataFrame({"x": [total]})
+
+    parts = features.where("v IS NOT NULL").select("v").mapInPandas(sums, "x array<double>").select(F.posexplode("x").alias("at", "x"))
+    total = np.zeros(1 + dims + dims * dims)
+    for r in parts.groupBy("at").agg(F.sum("x").alias("x")).collect():
+        total[r["at"]] = r["x"]
+    n = total[0] or 1
+    mean = total[1 : dims + 1] / n
+    cov = total[dims + 1 :].reshape(dims, dims) / n - np.outer(mean, mean)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :2]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
     project = lambda k: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(a)) for a in axes[:, k]]), lambda x, a: x * a), F.lit(0.0), lambda s, x: s + x) - float(mean @ axes[:, k])

@@ -529,7 +529,7 @@ def shortest_path(w):
 @query()
 def centrality(w):
     """Sixteen power iterations; held against a dense computation in the tests."""
-    return paths.centrality(written(w.early_edges(), "early")).select("id", F.round("centrality", 6).alias("centrality"))
+    return paths.centrality(written(w.edges(), "edges")).select("id", F.round("centrality", 6).alias("centrality"))
 
 
 @query(

@@ -27,3 +27,19 @@ def test_string_families_have_every_relation(spark, tmp_path):
         want.add((f"rel:{i}", kind, {"mapped": f"rel:{i + 2}", "family": f"rel:{i}"}.get(kind)))
     got = core.QUERIES["string_families"](spark, str(tmp_path)).collect()
     assert len(got) == 1200 and {tuple(r) for r in got} == want
+
+
+def test_centrality_is_that_of_the_whole_graph(spark, sf):
+    edges = World(spark, sf).edges().where("NOT quarantined").collect()
+    names = sorted({e.from_id for e in edges} | {e.to_id for e in edges})
+    at, m = {k: i for i, k in enumerate(names)}, np.zeros((len(names), len(names)))
+    for e in edges:
+        m[at[e.from_id], at[e.to_id]] += e.weight
+        m[at[e.to_id], at[e.from_id]] += e.weight
+    x = np.ones(len(names))
+    for _ in range(16):
+        x = m @ x
+        x /= np.linalg.norm(x)
+    want = dict(zip(names, 0.55 * x / x.max() + 0.45 * m.sum(0) / m.sum(0).max()))
+    got = {r.id: r.centrality for r in core.QUERIES["centrality"](spark, sf).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)

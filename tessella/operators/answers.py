@@ -193,11 +193,20 @@ def word_diffs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("diff", diff("before", "after"))
 
 
+def _halved(before: Column, after: Column, c: Column) -> Column:
+    """The half of low..high in which two texts begin to differ, or high if they agree up to it."""
+    middle = ((c["low"] + c["high"] + 1) / 2).cast("int")
+    size = middle - c["low"]
+    same = F.substring(before, c["low"] + 1, size) == F.substring(after, c["low"] + 1, size)
+    return F.struct(F.when(same, middle).otherwise(c["low"]).alias("low"), F.when(same, c["high"]).otherwise(middle - 1).alias("high"))
+
+
 def first_difference(before: Column, after: Column, around: int = 34) -> Column:
     """struct<at, before, after>: the first place where two texts differ, with what surrounds it; null if none."""
     n = F.least(F.length(before), F.length(after))
-    a, b = F.split(F.substring(before, F.lit(1), n), "(?!$)"), F.split(F.substring(after, F.lit(1), n), "(?!$)")
-    differs = F.array_position(F.zip_with(a, b, lambda x, y: x != y), F.lit(True))
-    at = F.when(differs > 0, differs - 1).otherwise(n).cast("int")
+    # halves of what may still differ: 31 comparisons of prefixes, whatever the length
+    step = lambda c, _: F.when(c["low"] >= c["high"], c).otherwise(_halved(before, after, c))
+    start = F.struct(F.lit(0).alias("low"), n.cast("int").alias("high"))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step)["low"]
     cut = lambda t: F.substring(t, F.greatest(at - around, F.lit(0)) + 1, F.lit(2 * around))
     return F.when(before != after, F.struct(at.alias("at"), cut(before).alias("before"), cut(after).alias("after")))

@@ -100,11 +100,6 @@ class World:
             F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("at"),
         )
 
-    def early_edges(self) -> DataFrame:
-        """Edges of the orders in the graph window."""
-        early = self.table("orders").where("o_orderdate < TIMESTAMP '1995-02-01'").select(F.concat(F.lit("o:"), "o_orderkey").alias("asset_id"))
-        return self.edges().join(early, "asset_id", "left_semi")
-
     def assets(self) -> DataFrame:
         home = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n:"), "c_nationkey").alias("parent_id"))
         return self.table("orders").join(home, "o_custkey").select(F.concat(F.lit("o:"), "o_orderkey").alias("id"), "parent_id", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.expr("CAST(o_totalprice AS DOUBLE)").alias("price"))
@@ -191,7 +186,6 @@ CTES = {
         strftime("at", '%Y-%m-%dT%H:%M:%S') AS "at"
         FROM (SELECT l_orderkey, l_partkey, l_suppkey, round(max(l_discount) * 100)::INT AS pct, sum(l_quantity) AS q, min(l_linenumber) AS n, max(l_returnflag) AS f, min(l_shipdate) AS "at"
               FROM lineitem GROUP BY ALL)""",
-    "early_edges": "SELECT * FROM edges WHERE asset_id IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-02-01')",
     "assets": """SELECT 'o:' || o_orderkey AS id, 'n:' || c_nationkey AS parent_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS "at", o_totalprice::DOUBLE AS price
         FROM orders JOIN customer ON c_custkey = o_custkey""",
     "nodes": """SELECT 'r:' || r_regionkey AS id, 'continent' AS kind, NULL AS parent_id, r_name AS label FROM region UNION ALL
@@ -215,7 +209,6 @@ CTES = {
 NEEDS = {
     "ownership": ["segments"],
     "explained": ["segments", "sources", "overlay", "citations"],
-    "early_edges": ["edges"],
     "nodes": ["assets"],
     "families": ["relations"],
     "stats": ["triples"],

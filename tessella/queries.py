@@ -501,27 +501,27 @@ def node_degrees(w):
 
 
 @query(
-    """, near AS (SELECT from_id AS id, to_id AS other FROM early_edges WHERE NOT quarantined UNION SELECT to_id, from_id FROM early_edges WHERE NOT quarantined),
+    """, near AS (SELECT from_id AS id, to_id AS other FROM edges WHERE NOT quarantined UNION SELECT to_id, from_id FROM edges WHERE NOT quarantined),
        one AS (SELECT DISTINCT other AS id FROM near WHERE id = 's:1'), two AS (SELECT DISTINCT other AS id FROM near WHERE id IN (SELECT id FROM one))
        SELECT id, min(hop)::INT AS hop FROM (SELECT 's:1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) GROUP BY id""",
-    "early_edges",
+    "edges",
 )
 def neighborhood_2hop(w):
     seeds = w.spark.createDataFrame([("s:1",)], "id string")
-    return paths.hop_closure(written(w.early_edges(), "early"), seeds, 2)
+    return paths.hop_closure(written(w.edges(), "edges"), seeds, 2)
 
 
 @query(
-    """RECURSIVE , near AS (SELECT from_id AS id, to_id AS other, 1 - confidence AS c FROM early_edges WHERE NOT quarantined UNION ALL SELECT to_id, from_id, 1 - confidence FROM early_edges WHERE NOT quarantined),
+    """RECURSIVE , near AS (SELECT from_id AS id, to_id AS other, 1 - confidence AS c FROM edges WHERE NOT quarantined UNION ALL SELECT to_id, from_id, 1 - confidence FROM edges WHERE NOT quarantined),
        best AS (SELECT id, other, min(c) AS c FROM near GROUP BY ALL),
        walk AS (SELECT 's:1' AS id, 0 AS hop, 0.0::DOUBLE AS cost UNION ALL
                 SELECT id, hop, min(cost) FROM (SELECT b.other AS id, w.hop + 1 AS hop, w.cost + b.c AS cost FROM walk w JOIN best b ON b.id = w.id WHERE w.hop < 8 AND w.id <> 's:2') GROUP BY ALL)
        SELECT hop::INT AS hops, round(min(cost), 6) AS cost FROM walk WHERE id = 's:2' AND hop = (SELECT min(hop) FROM walk WHERE id = 's:2') GROUP BY hop""",
-    "early_edges",
+    "edges",
 )
 def shortest_path(w):
     """Hops and cost of the path between two suppliers."""
-    steps = paths.shortest_path(written(w.early_edges(), "early"), "s:1", "s:2")
+    steps = paths.shortest_path(written(w.edges(), "edges"), "s:1", "s:2")
     rows = [(len(steps), round(steps[-1]["cost"], 6))] if steps else []
     return w.spark.createDataFrame(rows, "hops int, cost double")
 
@@ -815,7 +815,7 @@ def receipt_groups(w):
 
 @query(
     """SELECT relation, CASE WHEN vec_id % 5 = 0 THEN 'mapped' WHEN vec_id % 5 = 1 THEN 'generic' WHEN vec_id % 5 = 2 THEN 'family' ELSE 'unknown' END AS kind,
-         CASE WHEN vec_id % 5 = 0 THEN 'rel:' || (vec_id + 2) WHEN vec_id % 5 = 2 THEN relation END AS family FROM relations WHERE vec_id < 500""",
+         CASE WHEN vec_id % 5 = 0 THEN 'rel:' || (vec_id + 2) WHEN vec_id % 5 = 2 THEN relation END AS family FROM relations""",
     "relations",
 )
 def string_families(w):
@@ -826,12 +826,12 @@ def string_families(w):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN length(text) > 0 THEN 0 END::INT AS "at" FROM documents WHERE text <> upper(text) AND substr(text, 1, 1) <> substr(upper(text), 1, 1)
-       UNION ALL SELECT doc_id, 1 FROM documents WHERE substr(text, 1, 1) = substr(upper(text), 1, 1) AND substr(text, 2, 1) <> substr(upper(text), 2, 1)"""
+    """SELECT doc_id, (list_position(list_transform(list_zip(string_split(text, ''), string_split(upper(text), '')), lambda x: x[1] IS DISTINCT FROM x[2]), true) - 1)::INT AS "at"
+       FROM documents WHERE text <> upper(text)"""
 )
 def first_difference(w):
-    """Where texts and their capitals differ first, among those that do in the first two places."""
-    found = w.table("documents").select("doc_id", A.first_difference(F.substring("text", 1, 2), F.upper(F.substring("text", 1, 2))).alias("d"))
+    """Where whole texts and their capitals differ first."""
+    found = w.table("documents").select("doc_id", A.first_difference(F.col("text"), F.upper("text")).alias("d"))
     return found.where("d IS NOT NULL").select("doc_id", "d.at")
 
 

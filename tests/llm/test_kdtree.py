@@ -32,6 +32,9 @@ def test_one_shard_and_several(spark, monkeypatch):
     check(spark, vectors(120))
     monkeypatch.setattr(kdtree, "SHARD", 30)
     check(spark, vectors(120))
+    monkeypatch.setattr(kdtree, "QUERIES", 3)
+    monkeypatch.setattr(kdtree, "BOXES", 0)
+    check(spark, vectors(120, seed=2))
 
 
 def test_ties_copies_nulls_and_lengths(spark, monkeypatch):
@@ -47,7 +50,7 @@ def test_tree_finds_what_a_scan_finds():
     points[:200] = points[0]
     tree = kdtree.build(ids, points, leaf=8)
     queries = points[::50]
-    for q, found in zip(queries, kdtree.search(tree, queries, ids[::50], np.full(len(queries), -np.inf), 7)):
+    for q, found in zip(queries, kdtree.search(tree, queries, ids[::50], [-np.inf] * len(queries), 7)):
         score = points @ q
         me = int(np.flatnonzero((queries == q).all(axis=1))[0]) * 50
         want = sorted(((-int(s), int(i)) for i, s in zip(ids, score) if i != me))[:7]
@@ -60,5 +63,24 @@ def test_large_components(spark):
     assert [(r.query_id, r.vec_id) for r in got.collect()] == [(0, 2)]
 
 
+def test_scores_beyond_64_bits_are_its_ends(spark):
+    rows = [(i, [x, 1.0], 0, "", 0) for i, x in enumerate((3e38, 3e38, -3e38, 2e38, 0.0, 1.0))]
+    got = kdtree.top_inner_products(spark.createDataFrame(rows, DDL), "vec_id = 0", 5).collect()
+    top, least = (1 << 63) - 1, -(1 << 63)
+    one = 256 * math.floor(256 * float(np.float32(3e38)))
+    assert one > top
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, top), (3, top), (5, top), (4, 65536), (2, least)]
+
+
+def test_shards_are_dealt_by_medians(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    splits = kdtree.coarse_splits(list(r.normal(size=(400, 3))), 7)
+    leaves = sorted(-1 - c for _, _, a, b in splits for c in (a, b) if c < 0)
+    assert leaves == list(range(7)) and kdtree.coarse_splits([], 7) == [] and kdtree.coarse_splits([np.ones(3)] * 9, 7) == []
+    monkeypatch.setattr(kdtree, "SHARD", 30)
+    clusters = [(i, [float(i % 4 * 10 + x) for x in r.normal(size=4)], 0, "", 0) for i in range(160)]
+    check(spark, clusters)
+
+
 def test_empty(spark):
     assert kdtree.top_inner_products(spark.createDataFrame([], DDL), "vec_id % 5 = 0", 5).count() == 0

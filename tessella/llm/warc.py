@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: F401
 from pyspark.sql import functions as F
 
-from .tables import text_slices, written
+from .tables import small_batches, text_slices, written
 
 #: Fixed values of the record format.
 VERSION = b"WARC/1.1"
@@ -169,14 +169,17 @@ def write_warc(
     )
     bounds = sorted({sample[i * len(sample) // shards] for i in range(1, shards)}) if sample else []
 
-    @F.pandas_udf("int")
-    def shard_of(page_id, tie):
-        import bisect
-
-        import pandas as pd
-
-        known = page_id.notna()
-        return pd.Series([bisect.bisect_right(bounds, (bool(k), int(p) if k else 0, int(t))) for k, p, t in zip(known, page_id, tie)], dtype="int32")
+    def with_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds how many bounds are not after (has an id, page_id, tie), by searches of sorted keys."""
+        key = [("known", "i1"), ("page", "i8"), ("tie", "i8")]
+        cuts = np.array(bounds, key)
+        for batch in batches:
+            rows = np.zeros(batch.num_rows, key)
+            rows["known"] = batch.column("page_id").is_valid().to_numpy(zero_copy_only=False)
+            rows["page"] = batch.column("page_id").fill_null(0).to_numpy()
+            rows["tie"] = batch.column("tie").to_numpy()
+            shard = np.searchsorted(cuts, rows, "right") if len(cuts) else np.zeros(len(rows), int)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int32())], [*batch.schema.names, "shard"])
 
     first = narrow.where(F.col("size") >= least_payload).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
     marks = (
@@ -189,8 +192,9 @@ def write_warc(
     # rows that share id and digest may differ in url, and then sit in different shards
     marked = marks.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "tie", "refers_to", F.lit(0).alias("kind"))
     full = rows.select("page_id", "url", "html", "digest", "tie", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
-    dealt = full.unionByName(marked).withColumn("shard", shard_of("page_id", "tie"))
-    ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "tie")
+    both = small_batches(full.unionByName(marked))
+    dealt = both.mapInArrow(with_shards, "page_id long, url string, html string, digest string, tie long, refers_to long, kind int, shard int")
+    ordered = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", "tie")
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     rows_of = ordered.select("shard", "page_id", "digest", "tie", "kind", "refers_to", "url", "html").mapInArrow(_write(folder, file_bytes, date), _MANIFEST)

@@ -1,10 +1,12 @@
 """Repeated word windows from a compressed FM-index for each shard.
 
-``repeats`` settles spans whose contents alone decide. The open spans of a share of the anchors
-make a shard: their words, a separator after each, are indexed by the Burrows-Wheeler transform
-in a wavelet matrix of packed bits. Windows of the shard's spans are streamed through backward
-search, which keeps the interval of suffixes that start with what has been read and ends a
-window when fewer than two are left: a matching statistic cut off at the window's length.
+``repeats`` names the spans whose anchors occur more than once and deals them to shards by
+anchor. A shard's distinct spans, a separator after each, are indexed by the Burrows-Wheeler
+transform in a wavelet tree whose shape follows the words' frequencies. The windows of all its
+spans are streamed through backward search, which keeps the interval of suffixes that start
+with what has been read, and ends a window when that interval holds one place of the index: a
+matching statistic cut off at the window's length. What reaches the length, or ends at a place
+that stands for several texts, is reported, and goes to every text that has the span.
 """
 
 from __future__ import annotations
@@ -17,274 +19,262 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .repeats import KNOWN, OPEN, SLICE, Windows, _grouped, concat_data, from_planes, keyed, met, part_count, places_of, planes, spans_of, units_of
+from .repeats import INTERVALS, SLICE, Windows, by_part, candidates, chosen_spans, covered, cut_hot, dealt_parts, from_planes, gathered, gathered_rows, interval_batches, keyed, planes, row_batches, runs_of, spans_of, units_of
 from .tables import text_slices, written
-from .words import split_words
+from .words import mix64, split_words
 
-#: Kind of a row whose data are intervals of units.
-INTERVALS = 3
 #: Windows that one search takes at a time.
-_STREAM = 1 << 18
+_STREAM = 1 << 17
 
 
-class WaveletMatrix:
-    """A sequence of small integers with rank queries, one packed bit row for each binary digit."""
+class WaveletTree:
+    """A sequence of small integers with rank queries, compressed to about its entropy.
+
+    The code of a value has ceil(log2(n / times)) bits, so that all nodes together hold no more
+    than n * (H0 + 1). Codes are canonical: shorter ones are smaller, and values whose code ends
+    at a level are the first of the next one and drop out. A level keeps its bits in 64-bit
+    words with the ones before each: 16 bits within a block of 1,024 words, 64 for a block.
+    """
 
     def __init__(self, values: np.ndarray, largest: int):
-        self.levels = max(1, int(largest).bit_length())
-        self.words, self.before, self.zeros = [], [], []
-        values = values.astype(np.int64)
-        for level in reversed(range(self.levels)):
-            bit = (values >> level & 1).astype(bool)
-            padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
-            padded[: len(bit)] = bit
+        times = np.bincount(values, minlength=largest + 1)
+        used = np.flatnonzero(times)
+        size = np.zeros(largest + 1, np.int64)
+        size[used] = np.maximum(1, np.ceil(np.log2(len(values) / times[used]) - 1e-9)) if len(used) else 0
+        self.size, deep = size, int(size.max(initial=0))
+        order = used[np.lexsort((used, size[used]))]
+        code = np.zeros(largest + 1, np.int64)
+        code[order] = np.cumsum(np.int64(1) << (deep - size[order])) - (np.int64(1) << (deep - size[order]))
+        before = np.concatenate([[0], np.cumsum(times[order])])
+        self.words, self.near, self.far, self.begin, self.ones, self.bit = [], [], [], [], [], []
+        rest = code[values]
+        for level in range(deep):
+            bits = (rest >> (deep - 1 - level) & 1).astype(bool)
+            padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
+            padded[: len(bits)] = bits
             words = np.packbits(padded, bitorder="little").view(np.uint64)
+            count = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]])
             self.words.append(words)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int32)[:-1]]).astype(np.int32))
-            self.zeros.append(int(len(bit) - bit.sum()))
-            values = np.concatenate([values[~bit], values[bit]])
-        self.start = self._descend(np.arange(largest + 1), np.zeros(largest + 1, np.int64))
-
-    def _descend(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k in range(self.levels):
-            word = at >> 6
-            low = self.words[k][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.before[k][word] + np.bitwise_count(low)
-            at = np.where(value >> (self.levels - 1 - k) & 1, self.zeros[k] + ones, at - ones)
-        return at
-
-    def rank(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each value occurs before each position."""
-        return self._descend(value, at) - self.start[value]
+            self.far.append(count[::1024].copy())
+            self.near.append((count - np.repeat(self.far[-1], 1024)[: len(count)]).astype(np.uint16))
+            # where the node of each value starts on this level
+            done = np.searchsorted(size[order], level, "right")
+            prefix = code[order] >> (deep - level)
+            begin = np.zeros(largest + 1, np.int64)
+            begin[order] = np.maximum(before[np.searchsorted(prefix, prefix)] - before[done], 0)
+            self.begin.append(begin.astype(np.int32))
+            self.ones.append(self._ones(level, begin).astype(np.int32))
+            self.bit.append((code >> (deep - 1 - level) & 1).astype(bool))
+            if level + 1 == deep:
+                break
+            node = np.flatnonzero(np.diff(rest >> (deep - level), prepend=-1))  # starts of the nodes
+            block = np.repeat(np.arange(len(node)), np.diff(np.append(node, len(rest))))
+            zeros = np.concatenate([[0], np.cumsum(~bits)])
+            own = zeros[:-1] - zeros[node][block]  # zeros before each in its node
+            inside = np.arange(len(rest)) - node[block]
+            total = zeros[np.append(node[1:], len(rest))] - zeros[node]
+            place = node[block] + np.where(bits, total[block] + inside - own, own)
+            moved = np.empty_like(rest)
+            moved[place] = rest
+            rest = moved[before[np.searchsorted(size[order], level + 1, "right")] - before[done] :]
+
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        word = at >> 6
+        low = self.words[level][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.far[level][word >> 10] + self.near[level][word] + np.bitwise_count(low)
+
+    def rank(self, value: np.ndarray, *at: np.ndarray) -> np.ndarray:
+        """How often each value occurs before each of its positions: a row for each ``at``."""
+        out = np.zeros((len(at), len(value)), np.int64)
+        order = np.argsort(self.size[value])
+        value, at = value[order], np.stack(at)[:, order].astype(np.int64)
+        ends = np.searchsorted(self.size[value], np.arange(len(self.words) + 1), "right")
+        done = ends[0]
+        value, at = value[done:], at[:, done:]
+        for level in range(len(self.words)):
+            ones = self._ones(level, self.begin[level][value] + at) - self.ones[level][value]
+            at = np.where(self.bit[level][value], ones, at - ones)
+            # values whose code ends here are the first
+            end = ends[level + 1] - done
+            out[:, order[done : done + end]] = at[:, :end]
+            value, at, done = value[end:], at[:, end:], done + end
+            if not len(value):
+                break
+        return out
 
 
 class FMIndex:
-    """Counts of patterns of up to ``context`` symbols in a text of integers from 0 to largest."""
+    """Which patterns of up to ``context`` symbols occur twice in a text of integers from 0 on.
+
+    ``twice`` says for each place of the text whether it stands for several occurrences.
+    """
 
-    def __init__(self, text: np.ndarray, context: int):
+    def __init__(self, text: np.ndarray, context: int, twice: np.ndarray | None = None):
         n, largest = len(text), int(text.max(initial=0))
-        rank, width = text.astype(np.int64), 1
-        while width < context:  # order by ever longer prefixes, up to the longest pattern
-            other = np.zeros(n, np.int64)
-            other[: max(0, n - width)] = rank[width:] + 1
-            key = rank * (int(rank.max(initial=0)) + 2) + other
-            order = np.argsort(key, kind="stable")
+        bits = (largest + 1).bit_length()
+        width = max(1, min(62 // bits, context))
+        key = np.zeros(n, np.int64)
+        for k in range(width):  # as many symbols as fit in a word, past the end 0
+            key <<= bits
+            key[: max(0, n - k)] += text[k:].astype(np.int64) + 1
+        while True:  # order by ever longer prefixes, up to the longest pattern
+            order = np.argsort(key)
+            new = np.diff(key[order], prepend=key[order[:1]]) != 0
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-            width *= 2
-            if int(rank.max(initial=0)) == n - 1:
+            rank[order] = np.cumsum(new)
+            if width >= context or int(new.sum()) == n - 1:
                 break
-        order = np.argsort(rank, kind="stable")
-        self.bwt = WaveletMatrix(text[order - 1], largest)
+            key = rank * (int(new.sum()) + 2)
+            key[: max(0, n - width)] += rank[width:] + 1
+            width *= 2
+        self.bwt = WaveletTree(text[order - 1], largest)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=largest + 1))])
+        self.twice = np.zeros(n + 1, bool)
+        if twice is not None:
+            self.twice[:n] = twice[order]
 
-    def repeated(self, text: np.ndarray, start: np.ndarray, length: int, least: int = 2) -> np.ndarray:
-        """Whether each window of ``text`` (by its start) occurs ``least`` times or more."""
+    def repeated(self, text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+        """Whether each window of ``text`` (by its start) occurs twice or more."""
         out = np.zeros(len(start), bool)
         alive = np.arange(len(start))
         symbol = text[start + length - 1]
         low, high = self.less[symbol], self.less[symbol + 1]
-        for back in range(length - 2, -1, -1):
-            on = high - low >= least
-            alive, low, high = alive[on], low[on], high[on]
-            if not len(alive):
-                return out
+        for back in range(length - 2, -2, -1):
+            # an interval of one holds the window itself, and keeps to it as the window goes on
+            many = high - low > 1
+            if not many.all():
+                out[alive[~many]] = self.twice[low[~many]]
+                alive, low, high = alive[many], low[many], high[many]
+            if back < 0 or not len(alive):
+                break
             symbol = text[start[alive] + back]
-            both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-            low, high = self.less[symbol] + both[: len(alive)], self.less[symbol] + both[len(alive) :]
-        out[alive[high - low >= least]] = True
+            low, high = self.less[symbol] + self.bwt.rank(symbol, low, high)
+        out[alive] = True
         return out
 
 
-def _settle(anchor: np.ndarray, content: np.ndarray, own: np.ndarray):
-    """Within a slice: of equal spans one is sent, the others are known to repeat."""
-    order, group = _grouped(content, anchor)
-    times = np.bincount(group)[group] if len(order) else group
-    first = np.ones(len(order), bool)
-    first[1:] = group[1:] != group[:-1]
-    many = np.zeros(len(order), bool)
-    many[order] = times > 1
-    return order[~first], many, order[first]
-
-
-def _decide(order: np.ndarray, group: np.ndarray, doc: np.ndarray, flag: np.ndarray):
-    times = np.bincount(group) + np.bincount(group, flag)
-    many = times[group] > 1
-    first = np.ones(len(order), bool)
-    first[1:] = group[1:] != group[:-1]
-    return many, first, many
+def folded(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each row, first row of each group) by equal contents; rows lie one after the other.
 
-
-def _span_rows(windows: Windows, parts: int):
-    """Packs the words of open spans by part."""
+    Rows are put together by a hash and then compared; one that only shares a hash stays alone.
+    """
+    begin = np.cumsum(size) - size
+    inside = np.arange(len(flat)) - np.repeat(begin, size)
+    hashes = np.add.reduceat(mix64(flat.astype(np.uint64) + mix64(inside.astype(np.uint64))), begin) if len(size) else np.zeros(0, np.uint64)
+    order = np.lexsort((size, hashes))
+    new = np.ones(len(size), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (size[order][1:] != size[order][:-1])
+    head = np.empty(len(size), np.int64)
+    head[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    unlike = flat != flat[gathered(begin[head], size)]
+    if unlike.any():
+        bad = np.add.reduceat(unlike, begin) > 0
+        head[bad] = np.flatnonzero(bad)
+    first, group = np.unique(head, return_inverse=True)
+    return group, first
+
+
+def _span_rows(windows: Windows, parts: int, hot: np.ndarray):
+    """Packs the words of candidate spans by part, equal ones of a slice once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
-            units = units_of(batch.column("text"), windows.units)
-            spans = spans_of(units, windows)
-            keys = batch.column("rk").to_numpy()
-            chosen, many = chosen_spans(spans, batch.column("found").to_pylist(), len(keys), 1)
-            some = spans.take(chosen)
-            part = (some.anchor % np.uint64(parts)).astype(np.int64)
-            size = some.last - some.first + windows.length
+            units = units_of(batch.column("text"), "words")
+            spans, deal = cut_hot(units, chosen_spans(spans_of(units, windows), batch.column("found")), windows, hot)
+            rk, own = batch.column("rk").to_numpy(), batch.column("own").to_numpy()
+            size = spans.more + windows.length
+            begin = units.starts[spans.text] + spans.first
+            group, head = folded(units.data[gathered(begin, size)], size)
+            part = (deal % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((group, part))
             out = []
-            for p in np.unique(part):
-                at = np.flatnonzero(part == p)
-                begin = units.starts[some.text[at]] + some.first[at]
-                total = size[at]
-                inside = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-                words = units.values[np.repeat(begin, total) + inside]
+            for a, b in runs_of(part[order]):
+                at = order[a:b]
+                which, code = np.unique(group[at], return_inverse=True)
+                some = head[which]
+                words, coded = np.unique(units.data[gathered(begin[some], size[some])], return_inverse=True)
+                wide = 2 if len(words) <= 1 << 16 else 4
                 data = (
-                    struct.pack("<ii", len(at), len(words))
-                    + keys[some.text[at]].astype("<i8").tobytes()
-                    + planes(some.first[at], 4)
-                    + planes(total, 2)
-                    + many[at].astype(np.uint8).tobytes()
-                    + planes((words >> np.uint64(8)).view(np.int64), 6)
+                    struct.pack("<iiiii", len(some), len(words), len(coded), wide, b - a)
+                    + planes(size[some], 4)
+                    + words.astype("<u8").tobytes()
+                    + planes(coded, wide)
+                    + planes(code, 4)
+                    + rk[spans.text[at]].astype("<i8").tobytes()
+                    + own[spans.text[at]].astype("<i8").tobytes()
+                    + spans.first[at].astype("<i4").tobytes()
                 )
-                out.append((int(p), data))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["part", "data"])
+                out.append((int(part[at[0]]), data))
+            yield from row_batches(out, ["part", "data"], [pa.int32(), pa.binary()])
 
     return run
 
 
-def chosen_spans(spans, found: list, texts: int, n_flags: int) -> tuple[np.ndarray, np.ndarray]:
-    """The spans of a batch whose anchors ``found`` names for their texts, with their flags."""
-    text, place, flag = [], [], []
-    for t, values in enumerate(found):
-        for data in values or ():
-            at, more = places_of(data, n_flags)
-            text.append(np.full(len(at), t))
-            place.append(at)
-            flag.append(more if n_flags else np.zeros(len(at), bool))
-    if not text:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    text, place, flag = np.concatenate(text), np.concatenate(place), np.concatenate(flag)
-    wide = np.int64(1) << np.int64(40)
-    key, own = text * wide + place, spans.text * wide + spans.anchor_at
-    at = np.searchsorted(own, key)
-    hit = (at < len(own)) & (own[np.minimum(at, max(0, len(own) - 1))] == key) if len(own) else np.zeros(len(key), bool)
-    at, first = np.unique(at[hit], return_index=True)
-    return at, flag[hit][first]
-
-
-def interval_rows(rk: np.ndarray, start: np.ndarray, length: int) -> list[tuple]:
-    """(rk, packed intervals) from windows' starts; runs of windows become one interval."""
-    order = np.lexsort((start, rk))
-    rk, start = rk[order], start[order]
-    if not len(rk):
-        return []
-    new = np.ones(len(rk), bool)
-    new[1:] = (rk[1:] != rk[:-1]) | (start[1:] > start[:-1] + length)
-    first = np.flatnonzero(new)
-    end = start[np.concatenate([first[1:] - 1, [len(rk) - 1]])] + length
-    rk, start = rk[first], start[first]
-    bounds = np.flatnonzero(np.diff(rk, prepend=rk[0] - 1) != 0).tolist() + [len(rk)]
-    return [(int(rk[a]), planes(start[a:b], 4) + planes(end[a:b], 4)) for a, b in zip(bounds[:-1], bounds[1:])]
-
-
-def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The values of each part; the rows of a part come together."""
-    current, held = None, []
-    for batch in batches:
-        for p, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
-            if p != current and held:
-                yield held
-                held = []
-            current = p
-            held.append(data)
-    if held:
-        yield held
-
-
-def interval_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[], []]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([INTERVALS] * len(rows), pa.int32()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["kind", "rk", "data"]
-    )
+def _unpacked(blobs: list[bytes]):
+    """(words, sizes) of the spans of a part, and (span, rk, own, first) of its entries."""
+    held: list[list] = [[], [], [], [], [], []]
+    spans = 0
+    for data in blobs:
+        n, known, total, wide, m = struct.unpack_from("<iiiii", data)
+        size, at = from_planes(data, 20, n, 4)
+        words, at = np.frombuffer(data, "<u8", known, at), at + 8 * known
+        coded, at = from_planes(data, at, total, wide)
+        code, at = from_planes(data, at, m, 4)
+        values = [words[coded], size, code + spans, np.frombuffer(data, "<i8", m, at), np.frombuffer(data, "<i8", m, at + 8 * m), np.frombuffer(data, "<i4", m, at + 16 * m)]
+        for x, y in zip(held, values):
+            x.append(y)
+        spans += n
+    return [np.concatenate(x) for x in held]
 
 
 def _search(windows: Windows):
-    def shard(blobs: list[bytes]) -> list[tuple]:
-        rk, first, size, many, words = [], [], [], [], []
-        for data in blobs:
-            n, total = struct.unpack_from("<ii", data)
-            rk.append(np.frombuffer(data, "<i8", n, 8))
-            x, at = from_planes(data, 8 + 8 * n, n, 4)
-            first.append(x)
-            x, at = from_planes(data, at, n, 2)
-            size.append(x)
-            many.append(np.frombuffer(data, np.uint8, n, at).astype(bool))
-            x, at = from_planes(data, at + n, total, 6)
-            words.append(x)
-        rk, first, size, many, words = (np.concatenate(x) for x in (rk, first, size, many, words))
-        # rows that share an id and a text came as one
-        _, keep = np.unique(np.stack([rk, first]), axis=1, return_index=True)
-        begin = np.cumsum(size) - size
-        rk, first, size, many, begin = rk[keep], first[keep], size[keep], many[keep], begin[keep]
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        _, codes = np.unique(words[np.repeat(begin, size) + inside], return_inverse=True)
+    def shard(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        words, size, span, rk, own, first = _unpacked(blobs)
+        group, head = folded(words, size)
+        entry = group[span]
+        begin, size = (np.cumsum(size) - size)[head], size[head]
+        _, codes = np.unique(words[gathered(begin, size)], return_inverse=True)
         place = np.cumsum(size + 1) - (size + 1)
         text = np.zeros(int((size + 1).sum()), np.int64)
-        text[np.repeat(place, size) + inside] = codes + 1
-        index = FMIndex(text, windows.length)
-        asked = np.flatnonzero(~many)
-        n = size[asked] - windows.length + 1
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(place[asked], n) + inside
-        hit = np.concatenate([np.zeros(0, bool), *[index.repeated(text, start[a : a + _STREAM], windows.length) for a in range(0, len(start), _STREAM)]])
-        return interval_rows(np.repeat(rk[asked], n)[hit], (np.repeat(first[asked], n) + inside)[hit], windows.length)
+        text[gathered(place, size)] = codes + 1
+        index = FMIndex(text, windows.length, np.repeat(np.bincount(entry, minlength=len(size)) > 1, size + 1))
+        n = size - windows.length + 1
+        start = gathered(place, n)
+        hit = np.concatenate([index.repeated(text, start[a : a + _STREAM], windows.length) for a in range(0, len(start), _STREAM)])
+        # runs of hit windows, as intervals of the span
+        of, inside = np.repeat(np.arange(len(n)), n)[hit], (start - np.repeat(place, n))[hit]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (inside[1:] > inside[:-1] + windows.length)
+        run = np.flatnonzero(new)
+        last = np.append(run[1:] - 1, len(of) - 1)[: len(run)]
+        of, low, high = of[run], inside[run], inside[last] + windows.length
+        # and of every text that has the span
+        times = np.bincount(of, minlength=len(n))
+        each = gathered((np.cumsum(times) - times)[entry], times[entry])
+        who = np.repeat(np.arange(len(entry)), times[entry])
+        yield from interval_batches(rk[who], own[who], first[who] + low[each], first[who] + high[each])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in by_part(batches):
-            yield interval_batch(shard(blobs))
+            yield from shard(blobs)
 
     return run
 
 
-def removed_units(units, spans, found: list, windows: Windows) -> np.ndarray:
-    """A mask of the units that known spans and intervals cover."""
-    n = len(units.values)
-    edge = np.zeros(n + 1, np.int32)
-    known = [[v["data"] for v in x or () if v["kind"] == KNOWN] for x in found]
-    at, _ = chosen_spans(spans, known, len(known), 0)
-    some = spans.take(at)
-    offset = units.starts[some.text]
-    np.add.at(edge, offset + some.first, 1)
-    np.add.at(edge, offset + some.last + windows.length, -1)
-    for t, values in enumerate(found):
-        for v in values or ():
-            if v["kind"] == INTERVALS:
-                m = len(v["data"]) // 8
-                start, place = from_planes(v["data"], 0, m, 4)
-                end, _ = from_planes(v["data"], place, m, 4)
-                np.add.at(edge, units.starts[t] + start, 1)
-                np.add.at(edge, units.starts[t] + end, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def with_found(rows: DataFrame, spans: DataFrame, intervals: DataFrame) -> DataFrame:
-    """``rows`` with ``found``: the settled spans and intervals of each."""
-    both = spans.where(F.col("kind") == KNOWN).unionByName(intervals).distinct()
-    found = both.groupBy("rk").agg(F.collect_list(F.struct("kind", "data")).alias("found"))
-    return rows.join(found, "rk", "left")
-
-
-def _keep_words(windows: Windows, texts: bool):
+def _keep_words(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
             cut = split_words(batch.column("text"))
-            units = units_of(batch.column("text"), "words")
-            gone = removed_units(units, spans_of(units, windows), batch.column("found").to_pylist(), windows)
-            kept = np.concatenate([[0], np.cumsum(~gone)])[cut.starts]
-            lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), cut.words.filter(pa.array(~gone)).cast(pa.string()))
+            starts = cut.starts
+            stay = ~covered(starts, batch.column("found"))
+            kept = np.concatenate([[0], np.cumsum(stay)])[starts]
+            lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), cut.words.filter(pa.array(stay)).cast(pa.string()))
             joined = pc.binary_join(lists, " ")
-            digest = pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in joined]) if not texts else joined.cast(pa.string())
-            total = np.diff(cut.starts)
+            column = joined if texts else pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined.to_pylist()], pa.string())
+            total = np.diff(starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(total - np.diff(kept), pa.int64()), digest.cast(pa.string())],
+                [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(total - np.diff(kept), pa.int64()), column.cast(pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
@@ -300,17 +290,14 @@ def remove_repeated_words(
     in the same text included. kept is what stays, joined by one space, or with ``texts`` false
     its SHA-256 in hex. ``gram`` is the length of the grams that anchor windows.
 
-    Defined cases: a null or empty text has no words; rows that share an id are texts of their
-    own, and equal ones repeat each other; a row without an id neither counts as a repeat nor
-    loses words; words are compared by 64-bit hashes; an empty table gives an empty table.
+    Defined cases: a null or empty text has no words; every row is a text of its own, whether
+    it has an id, shares it, or is equal to another; words are compared by 64-bit hashes; an
+    empty table gives an empty table; other columns are left unread.
     """
     windows = Windows("words", length, gram or max(1, length // 3))
     rows = keyed(docs, id_col, text_col)
-    parts = part_count(rows)
-    spans = met(rows, windows, parts, _settle, _decide)
-    open_ = concat_data(spans.where(F.col("kind") == OPEN).select("rk", "data"))
-    packed = rows.where("doc_id IS NOT NULL").join(open_, "rk").mapInArrow(_span_rows(windows, parts), "part int, data binary")
-    searched = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_search(windows), "kind int, rk long, data binary")
-    intervals = written(searched, "intervals")
-    out = with_found(rows, spans.select("kind", "rk", "data"), intervals).select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("found")).alias("found"))
-    return out.mapInArrow(_keep_words(windows, texts), "doc_id long, n_words long, n_removed long, kept string")
+    open_ = candidates(rows, windows)
+    packed = open_.rows.mapInArrow(_span_rows(windows, open_.parts, open_.hot), "part int, data binary")
+    intervals = written(dealt_parts(packed, open_.parts).mapInArrow(_search(windows), INTERVALS), "intervals")
+    out = gathered_rows(rows, intervals, "left").select("doc_id", "text", "found")
+    return out.mapInArrow(_keep_words(texts), "doc_id long, n_words long, n_removed long, kept string")

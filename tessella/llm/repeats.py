@@ -5,20 +5,18 @@ Of the grams (``gram`` units) in a window the one with the least hash is its anc
 windows have equal anchors at equal offsets. Neighbouring windows with one anchor make a span:
 the units that they cover.
 
-*   Spans meet by their anchor's hash. Where an anchor has one span content only, the contents
-    decide everything: its windows repeat if the span does.
-*   Where an anchor has several, one span of each content is open: its windows have to be
-    compared with those of the others, which the caller's index does.
-
-What a task sends is packed: for each part (a share of the anchors' hashes) one binary value
-with the entries of all its texts, of which equal spans in the same task are one.
+A window whose anchor occurs once cannot repeat. ``candidates`` counts anchors and names the
+spans of the others; nothing is decided here. The contents of these spans go to the shard of
+their anchor, where the caller's index compares them. Spans of an anchor that very many others
+have are cut by a second anchor, the least gram beside the first, so that they meet in shards
+of their own: equal windows have the second one in common too.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +26,23 @@ from pyspark.sql import functions as F
 from .tables import text_slices, written
 from .words import as_large, mix64, split_words, word_hashes
 
-#: Bytes of text for each part.
-PART = 12 << 20
+#: Bytes of text for each part, and the fewest parts.
+PART = 16 << 20
+PARTS = 64
 #: Bytes of text that a task packs together.
-SLICE = 4 << 20
-#: Bytes kept of an anchor's hash (beside its part) and of a span's.
-_HASH = 5
+SLICE = 12 << 20
+#: Windows that are looked at together; longer texts are cut at its multiples.
+PIECE = 1 << 17
+#: Times that an anchor occurs, from which on its spans are cut.
+HOT = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_PLACE = np.uint64((1 << 24) - 1)
+#: Low bits of a compared gram that hold its place in a piece.
+_PLACE = np.uint64((1 << 20) - 1)
+_MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SCATTER = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
-KNOWN, ASK, OPEN = 0, 1, 2
+PLACES, HOT_ANCHORS = 0, 1
 
 
 @dataclass(frozen=True)
@@ -49,94 +53,136 @@ class Windows:
     length: int
     gram: int
 
+    def __post_init__(self):
+        if self.length > 1 << 16 or not 0 < self.gram <= self.length:
+            raise ValueError(f"windows of {self.length} {self.units} with grams of {self.gram}")
+
 
 @dataclass
 class Units:
-    values: np.ndarray  # scattered 64-bit values
+    data: np.ndarray  # bytes, or a 64-bit hash for each word
     starts: np.ndarray
 
-
-def byte_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts, and where each text starts; nulls are empty."""
-    texts = as_large(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return data, offsets - offsets[0]
+    def values(self, low: int, high: int) -> np.ndarray:
+        own = self.data[low:high]
+        return _SCATTER[own] if own.dtype == np.uint8 else own
 
 
 def units_of(texts: pa.Array, kind: str) -> Units:
-    if kind == "bytes":
-        data, starts = byte_units(texts)
-        return Units(mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))[data], starts)
-    batch = split_words(texts)
-    return Units(word_hashes(batch), batch.starts)
+    if kind == "words":
+        batch = split_words(texts)
+        return Units(word_hashes(batch), batch.starts)
+    texts = as_large(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return Units(np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
 @dataclass
 class Spans:
-    """Spans of a batch; positions are relative to the text."""
+    """Spans of a batch, in order of text and place; places are relative to the text."""
 
     text: np.ndarray
-    anchor_at: np.ndarray
     first: np.ndarray  # the first window's start
-    last: np.ndarray  # the last window's start
+    more: np.ndarray  # how many windows follow it
+    at: np.ndarray  # the anchor's place from the first window's start
     anchor: np.ndarray
-    content: np.ndarray
 
     def take(self, at: np.ndarray) -> Spans:
-        return Spans(*[getattr(self, f)[at] for f in ("text", "anchor_at", "first", "last", "anchor", "content")])
+        return Spans(*[getattr(self, f.name)[at] for f in fields(self)])
 
 
-def _least_places(grams: np.ndarray, wide: int) -> np.ndarray:
-    """The place of the least hash among each ``wide`` grams in a row, leftmost first.
+def _together(spans: list[Spans]) -> Spans:
+    if not spans:
+        none = np.zeros(0, np.int64)
+        return Spans(none, none, none, none, none.astype(np.uint64))
+    return Spans(*[np.concatenate([getattr(s, f.name) for s in spans]) for f in fields(Spans)])
 
-    The place is in the low bits of what is compared; where there are more grams than these bits
-    number, overlapping pieces are looked at one by one, with places from the piece's start.
-    """
-    if wide > int(_PLACE) + 1:
-        raise ValueError(f"windows of {wide} grams are longer than a piece")
-    count = len(grams) - wide + 1
-    most = int(_PLACE) + 2 - wide
-    out = np.empty(count, np.int32)
-    for first in range(0, count, most):
-        piece = grams[first : first + most + wide - 1]
-        least = (piece & ~_PLACE) | np.arange(len(piece), dtype=np.uint64)
-        step = 1
-        while step * 2 <= wide:
-            least = np.minimum(least[:-step], least[step:])
-            step *= 2
-        if wide > step:
-            least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
-        out[first : first + most] = (least & _PLACE).astype(np.int64) + first
-    return out
 
+_POWERS: dict[str, np.ndarray] = {}
 
-def spans_of(units: Units, windows: Windows) -> Spans:
-    n, q, length = len(units.values), windows.gram, windows.length
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get("up", ())) < n:
+        most = max(n, PIECE + 4096)
+        _POWERS.update(up=np.cumprod(np.full(most, _BASE)), back=np.cumprod(np.full(most, _BACK)))
+    return _POWERS["up"][:n], _POWERS["back"][:n]
+
+
+def _piece(values: np.ndarray, starts: np.ndarray, windows: Windows, avoid: np.ndarray | None = None) -> Spans:
+    """Spans of a piece's texts; grams with the hash that ``avoid`` has at their place come last."""
+    n, q, length = len(values), windows.gram, windows.length
     wide = length - q + 1
     if n < length:
-        none = np.zeros(0, np.int64)
-        return Spans(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    power = np.cumprod(np.full(n, _BASE))
-    back = np.cumprod(np.full(n, _BACK))
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units.values * power)])
-    del power
+        return _together([])
+    up, back = _powers(n)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up)])
     grams = mix64((prefix[q:] - prefix[:-q]) * back[: n - q + 1])
-    least = _least_places(grams, wide)
-    text_of = np.repeat(np.arange(len(units.starts) - 1, dtype=np.int32), np.diff(units.starts))
+    if avoid is not None:
+        grams = np.where(grams == avoid[: len(grams)], _MOST, grams)
+    least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    step = 1
+    while step * 2 <= wide:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    if wide > step:
+        least = np.minimum(least[: len(least) - (wide - step)], least[wide - step :])
+    text_of = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
     start = np.flatnonzero(text_of[: n - length + 1] == text_of[length - 1 :])
-    place = least[start]
-    del least
-    cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(start) != 1) | (np.diff(text_of[start]) != 0))
     if not len(start):
-        return spans_of(Units(units.values[:0], units.starts * 0), windows)
-    one, two = start[np.concatenate([[0], cut + 1])], start[np.concatenate([cut, [len(start) - 1]])]
-    place = place[np.concatenate([[0], cut + 1])]
-    shape = ((place - one) * 256 + (two - one)).astype(np.uint64)
-    content = mix64((prefix[two + length] - prefix[one]) * back[one] + shape * _BASE)
-    text = text_of[one].astype(np.int64)
-    offset = units.starts[text]
-    return Spans(text, place - offset, one - offset, two - offset, grams[place], content)
+        return _together([])
+    place = (least[start] & _PLACE).astype(np.int64)
+    cut = np.flatnonzero((place[1:] != place[:-1]) | (np.diff(start) != 1))
+    one, two = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(start) - 1]])
+    first = start[one]
+    text = text_of[first].astype(np.int64)
+    return Spans(text, first - starts[text], start[two] - first, place[one] - first, grams[place[one]])
+
+
+def spans_of(units: Units, windows: Windows) -> Spans:
+    """All spans of all texts. Where a piece ends a span ends too, which depends on the text alone."""
+    starts, out, t = units.starts, [], 0
+    while t < len(starts) - 1:
+        u = max(t + 1, int(np.searchsorted(starts, starts[t] + PIECE, "right")) - 1)
+        low, high = int(starts[t]), int(starts[u])
+        for a in range(low, high if high - low > PIECE else low + 1, PIECE):
+            b = min(high, a + PIECE + windows.length - 1)
+            inner = starts[t : u + 1] - low if b == high and a == low else np.array([0, b - a])
+            some = _piece(units.values(a, b), inner, windows)
+            some.text += t
+            some.first += a - low
+            out.append(some)
+        t = u
+    return _together(out)
+
+
+def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices begin, ..., begin + size - 1 of every range, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def cut_hot(units: Units, spans: Spans, windows: Windows, hot: np.ndarray) -> tuple[Spans, np.ndarray]:
+    """The spans, those of a hot anchor cut by second anchors, and the key by which each is dealt."""
+    if not len(hot) or not len(spans.text):
+        return spans, spans.anchor
+    place = np.minimum(np.searchsorted(hot, spans.anchor), len(hot) - 1)
+    is_hot = hot[place] == spans.anchor
+    if not is_hot.any():
+        return spans, spans.anchor
+    rest, own = spans.take(np.flatnonzero(~is_hot)), spans.take(np.flatnonzero(is_hot))
+    size = own.more + windows.length
+    ends, out, keys = np.cumsum(size), [rest], [rest.anchor]
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
+        some, n = own.take(np.arange(a, b)), size[a:b]
+        begin = units.starts[some.text] + some.first
+        data = units.data[gathered(begin, n)]
+        got = _piece(_SCATTER[data] if data.dtype == np.uint8 else data, np.concatenate([[0], np.cumsum(n)]), windows, np.repeat(some.anchor, n))
+        of = got.text
+        out.append(Spans(some.text[of], some.first[of] + got.first, got.more, some.at[of] - got.first, some.anchor[of]))
+        keys.append(mix64(some.anchor[of] * _BASE + got.anchor))
+        a = b
+    return _together(out), np.concatenate(keys)
 
 
 def planes(values: np.ndarray, size: int) -> bytes:
@@ -150,166 +196,176 @@ def from_planes(data: bytes, at: int, n: int, size: int) -> tuple[np.ndarray, in
     return out.view("<i8").ravel(), at + n * size
 
 
-def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group of each row in that order) by equal keys."""
-    order = np.lexsort(keys)
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    return order, np.cumsum(new) - 1
+def runs_of(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of each run of rows that agree in all of the keys."""
+    if len(keys[0]):
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        bounds = [0, *cuts.tolist(), len(keys[0])]
+        yield from zip(bounds[:-1], bounds[1:])
+
+
+def row_batches(rows: list[tuple], names: list[str], kinds: list[pa.DataType], most: int = 2000) -> Iterator[pa.RecordBatch]:
+    for first in range(0, max(1, len(rows)), most):
+        columns = list(zip(*rows[first : first + most])) or [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
 
+def ints_rows(kind: int | None, rk: np.ndarray, own: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """([kind,] rk, own, data) for each row key; data holds the 32-bit values of its rows in turn."""
+    order = np.lexsort((own, rk))
+    rk, own = rk[order], own[order]
+    flat = np.stack([v[order] for v in values], axis=1).astype("<i4")
+    lead = () if kind is None else (kind,)
+    return [(*lead, int(rk[a]), int(own[a]), flat[a:b].tobytes()) for a, b in runs_of(rk, own)]
 
-def _ask(windows: Windows, parts: int, settle: Callable) -> Callable:
-    """Packs each slice's spans by part; spans that the slice itself settles are known."""
+
+def row_ints(found: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, values) of the packed 32-bit values of each text; values has ``width`` columns."""
+    if isinstance(found, pa.ChunkedArray):
+        found = found.combine_chunks()
+    held = found.flatten().to_pylist()
+    of = np.repeat(np.arange(len(found)), np.array(found.value_lengths().fill_null(0)))
+    sizes = np.array([len(x) for x in held], np.int64)
+    flat = np.frombuffer(b"".join(held), "<i4").astype(np.int64).reshape(-1, width)
+    return np.repeat(of, sizes // (4 * width)), flat
+
+
+def _ask(windows: Windows, parts: int) -> Callable:
+    """Packs each slice's anchors by part; spans whose anchor the slice repeats are named at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
             spans = spans_of(units_of(batch.column("text"), windows.units), windows)
-            keys, ids = batch.column("rk").to_numpy(), batch.column("doc_id").to_numpy()
-            own = ids[spans.text]
-            settled, many, sent = settle(spans.anchor, spans.content, own)
-            out: list[tuple] = []
-            for text, at in _by_text(spans.text[settled], spans.anchor_at[settled]):
-                out.append((int(keys[text] % parts), KNOWN, int(keys[text]), planes(np.diff(at, prepend=0), 4)))
-            some = spans.take(sent)
-            flag = many[sent]
+            rk, own = batch.column("rk").to_numpy(), batch.column("own").to_numpy()
+            _, first, group, times = np.unique(spans.anchor, return_index=True, return_inverse=True, return_counts=True)
+            many = np.flatnonzero(times[group] > 1)
+            out = [(int(k % parts), PLACES, k, o, d) for k, o, d in ints_rows(None, rk[spans.text[many]], own[spans.text[many]], spans.first[many])]
+            some, count = spans.take(first), np.minimum(times, 1 << 30)
             part = (some.anchor % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((some.anchor_at, some.text, part))
-            bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts))
-            for a, b in zip(bounds[:-1], bounds[1:]):
+            order = np.lexsort((some.first, some.text, part))
+            for a, b in runs_of(part[order]):
                 at = order[a:b]
-                texts, count = np.unique(some.text[at], return_counts=True)
-                fresh = np.diff(some.text[at], prepend=-1) != 0
-                places = np.where(fresh, some.anchor_at[at], np.diff(some.anchor_at[at], prepend=0))
-                high = (some.anchor[at] // np.uint64(parts)).astype(np.uint64)
-                out.append(
-                    (
-                        int(part[at[0]]),
-                        ASK,
-                        None,
-                        struct.pack("<ii", len(texts), b - a)
-                        + keys[texts].astype("<i8").tobytes()
-                        + ids[texts].astype("<i8").tobytes()
-                        + count.astype("<i4").tobytes()
-                        + planes(high.view(np.int64), _HASH)
-                        + planes(some.content[at].view(np.int64), _HASH)
-                        + planes(places, 4)
-                        + flag[at].astype(np.uint8).tobytes(),
-                    )
-                )
-            columns = list(zip(*out)) or [[], [], [], []]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            for first in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[first : first + 2000], t) for c, t in zip(columns, kinds)], ["part", "kind", "rk", "data"])
+                texts, n = np.unique(some.text[at], return_counts=True)
+                data = struct.pack("<ii", len(texts), b - a) + rk[texts].astype("<i8").tobytes() + own[texts].astype("<i8").tobytes() + n.astype("<i4").tobytes()
+                data += some.anchor[at].astype("<u8").tobytes() + some.first[at].astype("<i4").tobytes() + planes(count[at], 4)
+                out.append((int(part[at[0]]), None, None, None, data))
+            yield from row_batches(out, ["part", "kind", "rk", "own", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
 
-def _by_text(text: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """(text, values...) for each text that has rows; values sorted by the first of them."""
-    order = np.lexsort((values[0], text))
-    bounds = np.flatnonzero(np.diff(text[order], prepend=-1, append=-2))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        yield (int(text[order[a]]), *[v[order[a:b]] for v in values])
-
-
-def _meet(decide: Callable) -> Callable:
-    """Puts the entries of a part together; yields what is known and what is open."""
+def _count(hot: int) -> Callable:
+    """Names the spans whose anchors occur more than once in a part, and its hot anchors."""
 
-    def part(blobs: list[bytes]) -> Iterator[tuple]:
-        rks, ids, of, anchors, contents, places, flags, seen = [], [], [], [], [], [], [], 0
+    def part(blobs: list[bytes]) -> list[tuple]:
+        held: list[list] = [[], [], [], [], []]
         for data in blobs:
             texts, n = struct.unpack_from("<ii", data)
-            at = 8
-            rks.append(np.frombuffer(data, "<i8", texts, at))
-            ids.append(np.frombuffer(data, "<i8", texts, at + 8 * texts))
-            count = np.frombuffer(data, "<i4", texts, at + 16 * texts)
-            at += 20 * texts
-            anchor, at = from_planes(data, at, n, _HASH)
-            content, at = from_planes(data, at, n, _HASH)
-            place, at = from_planes(data, at, n, 4)
-            place = np.cumsum(place.astype(np.int32))
-            starts = np.concatenate([[0], np.cumsum(count)])
-            # places are steps from the text's one before; the first is from the text's start
-            step = np.repeat(np.concatenate([[0], place])[starts[:-1]], count)
-            of.append(np.repeat(np.arange(texts), count) + seen)
-            places.append(place - step)
-            anchors.append(anchor)
-            contents.append(content)
-            flags.append(np.frombuffer(data, np.uint8, n, at).astype(bool))
-            seen += texts
-        rk, doc, text = np.concatenate(rks), np.concatenate(ids), np.concatenate(of)
-        anchor, content, place, flag = (np.concatenate(x) for x in (anchors, contents, places, flags))
-        order, group = _grouped(content, anchor)
-        removed, rest, many = decide(order, group, doc[text[order]], flag[order])
-        first = np.ones(len(order), bool)
-        first[1:] = group[1:] != group[:-1]
-        anchor_group = np.cumsum(np.diff(anchor[order], prepend=anchor[order][0] - 1) != 0) - 1
-        several = np.bincount(anchor_group, first)[anchor_group] > 1
-        back = order[removed]
-        for t, at in _by_text(text[back], place[back]):
-            yield KNOWN, int(rk[t]), planes(np.diff(at, prepend=0), 4)
-        keep = rest & several
-        back = order[keep]
-        for t, at, more in _by_text(text[back], place[back], many[keep]):
-            yield OPEN, int(rk[t]), planes(np.diff(at, prepend=0), 4) + more.astype(np.uint8).tobytes()
+            count = np.frombuffer(data, "<i4", texts, 8 + 16 * texts)
+            at = 8 + 20 * texts
+            held[0].append(np.repeat(np.frombuffer(data, "<i8", texts, 8), count))
+            held[1].append(np.repeat(np.frombuffer(data, "<i8", texts, 8 + 8 * texts), count))
+            held[2].append(np.frombuffer(data, "<u8", n, at))
+            held[3].append(np.frombuffer(data, "<i4", n, at + 8 * n))
+            held[4].append(from_planes(data, at + 12 * n, n, 4)[0])
+        rk, own, anchor, first, count = (np.concatenate(x) for x in held)
+        known, group = np.unique(anchor, return_inverse=True)
+        total = np.bincount(group, count)
+        open_ = np.flatnonzero((total[group] > 1) & (count == 1))
+        out = ints_rows(PLACES, rk[open_], own[open_], first[open_])
+        if (total > hot).any():
+            out.append((HOT_ANCHORS, 0, 0, known[total > hot].astype("<u8").tobytes()))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        current, out = None, []
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [[], [], []]
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], ["kind", "rk", "data"])
-            out.clear()
-            return made
-
+        current, held = None, []
+        send = lambda rows: row_batches(rows, ["kind", "rk", "own", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()], 5000)
         for batch in batches:
-            for p, kind, rk, data in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "rk", "data"))):
-                if kind == KNOWN:
-                    out.append((KNOWN, rk, data))
+            known = []
+            for p, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "rk", "own", "data"))):
+                if row[0] is not None:
+                    known.append(tuple(row))
                     continue
                 if p != current and held:
-                    out += part(held)
+                    yield from send(part(held))
                     held = []
-                    yield flush()
                 current = p
-                held.append(data)
-            if len(out) > 5000:
-                yield flush()
-        if held:
-            out += part(held)
-        yield flush()
+                held.append(row[-1])
+            yield from send(known)
+        yield from send(part(held) if held else [])
 
     return run
 
 
-def places_of(data: bytes, n_flags: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors' places, and a flag for each if there is one, of a packed value."""
-    n = len(data) // (4 + n_flags)
-    steps, at = from_planes(data, 0, n, 4)
-    return np.cumsum(steps.astype(np.int32)), np.frombuffer(data, np.uint8, n_flags * n, at).astype(bool)
+@dataclass
+class Candidates:
+    rows: DataFrame  # (doc_id, text, rk, own, found): the places of its candidate spans
+    hot: np.ndarray
+    parts: int
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, text, rk); rk tells rows apart unless id and text are equal."""
+    """Rows (doc_id, text, rk, own); rk and own tell rows apart unless id and text are equal."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.select("*", F.xxhash64("doc_id", "text").alias("rk"))
+    return read.select("*", F.xxhash64("doc_id", "text").alias("rk"), F.coalesce("doc_id", F.lit(0)).alias("own"))
+
+
+def gathered_rows(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``rows`` with ``found``: the distinct data of their keys, whose number the text bounds."""
+    return rows.join(found.select("rk", "own", "data").distinct().groupBy("rk", "own").agg(F.collect_list("data").alias("found")), ["rk", "own"], how)
 
 
-def part_count(rows: DataFrame) -> int:
-    """Parts that the spans of these texts are dealt to."""
+def candidates(rows: DataFrame, windows: Windows) -> Candidates:
+    """The rows that have spans whose anchor occurs more than once, with the places of these spans.
+
+    The hot anchors are collected: each occurs more than ``HOT`` times and more than once in
+    2**23 bytes of text, so that there are a few hundred thousand at most.
+    """
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    return max(4, -(-size // PART))
+    parts = max(PARTS, -(-size // PART))
+    asked = rows.mapInArrow(_ask(windows, parts), "part int, kind int, rk long, own long, data binary")
+    dealt = asked.repartitionById(parts, "part").sortWithinPartitions("part")
+    spans = written(dealt.mapInArrow(_count(max(HOT, size >> 23)), "kind int, rk long, own long, data binary"), "spans")
+    hot = [np.frombuffer(r["data"], "<u8") for r in spans.where(F.col("kind") == HOT_ANCHORS).select("data").collect()]
+    return Candidates(gathered_rows(rows, spans.where(F.col("kind") == PLACES), "inner"), np.unique(np.concatenate([np.zeros(0, np.uint64), *hot])), parts)
+
+
+def chosen_spans(spans: Spans, found: pa.Array) -> Spans:
+    """The spans of a batch whose places ``found`` names for their texts."""
+    text, first = row_ints(found, 1)
+    wide = np.int64(1) << np.int64(40)
+    return spans.take(np.flatnonzero(np.isin(spans.text * wide + spans.first, text * wide + first[:, 0])))
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The values of each part; the rows of a part come together."""
+    current, held = None, []
+    for batch in batches:
+        for p, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
+            if p != current and held:
+                yield held
+                held = []
+            current = p
+            held.append(data)
+    if held:
+        yield held
+
+
+def dealt_parts(packed: DataFrame, parts: int) -> DataFrame:
+    return packed.repartitionById(parts, "part").sortWithinPartitions("part")
+
+
+INTERVALS = "rk long, own long, data binary"
 
 
-def met(rows: DataFrame, windows: Windows, parts: int, settle: Callable, decide: Callable) -> DataFrame:
-    """Rows (kind, rk, data), written: anchors of spans that are settled, and of those still open."""
-    asked = rows.where("doc_id IS NOT NULL").mapInArrow(_ask(windows, parts, settle), "part int, kind int, rk long, data binary")
-    dealt = asked.repartition(parts, "part").sortWithinPartitions("part")
-    return written(dealt.mapInArrow(_meet(decide), "kind int, rk long, data binary"), "spans")
+def interval_batches(rk: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return row_batches(ints_rows(None, rk, own, start, end), ["rk", "own", "data"], [pa.int64(), pa.int64(), pa.binary()], 5000)
 
 
-def concat_data(found: DataFrame) -> DataFrame:
-    """Rows (rk, found array<binary>), each value once; what a text can have bounds a row."""
-    return found.distinct().groupBy("rk").agg(F.collect_list("data").alias("found"))
+def covered(starts: np.ndarray, found: pa.Array) -> np.ndarray:
+    """A mask of the units in the intervals that ``found`` holds for each text."""
+    text, interval = row_ints(found, 2)
+    edge = np.zeros(int(starts[-1]) + 1, np.int64)
+    np.add.at(edge, starts[text] + interval[:, 0], 1)
+    np.add.at(edge, starts[text] + interval[:, 1], -1)
+    return np.cumsum(edge[:-1]) > 0

@@ -1,11 +1,12 @@
 """Repeated byte strings by a distributed merge sort of suffixes that knows common prefixes.
 
-``repeats`` settles spans whose contents alone decide. Of the open spans, the suffixes that
-start at anchors are sorted: each task sorts its own into runs, a run for each part, and sends
-them front-coded (shared prefix length and rest). A part's runs are combined by a loser tree
-whose nodes hold how much a loser shares with what passed it, so that a prefix once compared
+Every string of ``length`` bytes holds an anchor (see ``repeats``), so suffixes at anchors are
+enough: two strings are equal if they agree from the anchor on and before it. Of the spans whose
+anchors occur more than once, each task sorts the suffixes into runs, a run for each part, and
+sends them front-coded (shared prefix length and rest). A part's runs are combined by a loser
+tree whose nodes hold how much a loser shares with what passed it, so that a prefix once compared
 isn't compared again. Neighbours in the sorted order then tell, by their common prefixes and by
-what precedes the anchors, which windows are equal and which document is the first to hold them.
+what precedes the anchors, which strings are equal and which document is the first to hold them.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .fmindex import by_part, chosen_spans, interval_batch, interval_rows, removed_units, with_found
-from .repeats import OPEN, SLICE, Windows, _grouped, byte_units, concat_data, from_planes, keyed, met, part_count, planes, spans_of, units_of
+from .repeats import INTERVALS, SLICE, Windows, by_part, candidates, chosen_spans, covered, cut_hot, dealt_parts, from_planes, gathered, gathered_rows, interval_batches, keyed, planes, row_batches, runs_of, spans_of, units_of
 from .tables import text_slices, written
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of two strings that share ``known`` bytes."""
     most = min(len(a), len(b))
+    while known + 8 <= most and a[known : known + 8] == b[known : known + 8]:
+        known += 8
     while known < most and a[known] == b[known]:
         known += 1
     return known
@@ -82,56 +83,79 @@ class LoserTree:
             self.top = run
 
 
-def _runs(windows: Windows, parts: int):
-    """Sorts the open suffixes of a slice, front-codes them, and packs them by part."""
+def _matrix(data: np.ndarray, begin: np.ndarray, size: np.ndarray, wide: int, backwards: bool = False) -> np.ndarray:
+    """A row of ``wide`` bytes for each range, zeros after its end; backwards from its end."""
+    at = np.arange(wide)
+    place = (begin + size - 1)[:, None] - at if backwards else begin[:, None] + at
+    inside = at < size[:, None]
+    return np.where(inside, data[np.where(inside, place, 0)], 0).astype(np.uint8) if len(data) else np.zeros((len(begin), wide), np.uint8)
+
+
+def _lanes(matrix: np.ndarray) -> list[np.ndarray]:
+    """The rows as big-endian 64-bit columns, so that they compare like their bytes."""
+    wide = -(-max(1, matrix.shape[1]) // 8) * 8
+    padded = np.zeros((len(matrix), wide), np.uint8)
+    padded[:, : matrix.shape[1]] = matrix
+    return list(padded.view(">u8").astype(np.uint64).T)
+
+
+def _runs(windows: Windows, parts: int, hot: np.ndarray):
+    """Sorts the candidate suffixes of a slice, front-codes them, and packs them by part.
+
+    Spans that are equal in the slice are one entry of a run with several owners.
+    """
     longest, before = windows.length, windows.length - windows.gram
 
+    def sorted_runs(data: np.ndarray, spans, deal: np.ndarray, begin: np.ndarray, rk: np.ndarray, own: np.ndarray) -> list[tuple]:
+        left = spans.at
+        size = spans.more + longest - left
+        suffix = _matrix(data, begin + left, size, longest)
+        back = _matrix(data, begin, left, before, True)
+        part = (deal % np.uint64(parts)).astype(np.int64)
+        keys = [part, *_lanes(suffix), size, *_lanes(back), left]
+        order = np.lexsort(keys[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        head = order[new]  # the first of each group of equal spans
+        unlike = suffix[head][1:] != suffix[head][:-1]
+        shared = np.concatenate([[0], np.where(unlike.any(axis=1), unlike.argmax(axis=1), longest)])
+        shared = np.minimum(shared, np.minimum(size[head], np.concatenate([[0], size[head][:-1]])))
+        shared[1:][part[head][1:] != part[head][:-1]] = 0
+        at = np.arange(longest)
+        rests = (at >= shared[:, None]) & (at < size[head][:, None])
+        flat, ends = suffix[head][rests], np.concatenate([[0], np.cumsum(rests.sum(axis=1))])
+        fronts, cuts = back[head][np.arange(before) < left[head][:, None]], np.concatenate([[0], np.cumsum(left[head])])
+        entry = np.cumsum(new) - 1
+        out = []
+        for a, b in runs_of(part[head]):
+            e, f = np.searchsorted(entry, [a, b])
+            mine = order[e:f]
+            own_ends, own_cuts = ends[a : b + 1], cuts[a : b + 1]
+            parts_ = [
+                struct.pack("<iiii", b - a, own_ends[-1] - own_ends[0], own_cuts[-1] - own_cuts[0], f - e),
+                planes(shared[a:b], 2),
+                planes(np.diff(own_ends), 2),
+                planes(left[head[a:b]], 2),
+                planes(spans.more[head[a:b]], 2),
+                planes(entry[e:f] - a, 4),
+                rk[spans.text[mine]].astype("<i8").tobytes(),
+                own[spans.text[mine]].astype("<i8").tobytes(),
+                spans.first[mine].astype("<i4").tobytes(),
+                flat[own_ends[0] : own_ends[-1]].tobytes(),
+                fronts[own_cuts[0] : own_cuts[-1]].tobytes(),
+            ]
+            out.append((int(part[head[a]]), b"".join(parts_)))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
-            data, _ = byte_units(batch.column("text"))
             units = units_of(batch.column("text"), "bytes")
-            spans = spans_of(units, windows)
-            keys, ids = batch.column("rk").to_numpy(), batch.column("doc_id").to_numpy()
-            chosen, _ = chosen_spans(spans, batch.column("found").to_pylist(), len(keys), 1)
-            some = spans.take(chosen)
-            raw = data.tobytes()
-            offset = units.starts[some.text]
-            place, first = offset + some.anchor_at, offset + some.first
-            end = np.minimum(offset + some.last + windows.length, place + longest)
-            part = (some.anchor % np.uint64(parts)).astype(np.int64)
-            suffix = [raw[a:b] for a, b in zip(place.tolist(), end.tolist())]
-            order = np.array(sorted(range(len(suffix)), key=lambda i: (part[i], suffix[i])), np.int64)
-            bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts)) if len(order) else [0]
-            out = []
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                at = order[a:b].tolist()
-                shared, rest, last = [], [], b""
-                for i in at:
-                    h = common(last, suffix[i], 0)
-                    shared.append(h)
-                    last = suffix[i]
-                    rest.append(last[h:])
-                own = order[a:b]
-                left = some.anchor_at[own] - some.first[own]
-                lefts = b"".join(raw[f:p] for f, p in zip(first[own].tolist(), place[own].tolist()))
-                out.append(
-                    (
-                        int(part[own[0]]),
-                        struct.pack("<iii", len(at), sum(map(len, rest)), len(lefts))
-                        + keys[some.text[own]].astype("<i8").tobytes()
-                        + ids[some.text[own]].astype("<i8").tobytes()
-                        + planes(some.anchor_at[own], 4)
-                        + planes(left, 2)
-                        + planes(some.last[own] - some.first[own], 2)
-                        + planes(np.array(shared), 2)
-                        + planes(np.array([len(x) for x in rest]), 2)
-                        + b"".join(rest)
-                        + lefts,
-                    )
-                )
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["part", "data"])
-
-    assert before < 65536
+            spans, deal = cut_hot(units, chosen_spans(spans_of(units, windows), batch.column("found")), windows, hot)
+            if len(spans.text):
+                begin = units.starts[spans.text] + spans.first
+                rows = sorted_runs(units.data, spans, deal, begin, batch.column("rk").to_numpy(), batch.column("own").to_numpy())
+                yield from row_batches(rows, ["part", "data"], [pa.int32(), pa.binary()])
+
     return run
 
 
@@ -144,94 +168,91 @@ def _strings(shared: list[int], sizes: list[int], rest: bytes, first: int) -> It
         yield last, h, first + i
 
 
-def earlier_windows(doc: np.ndarray, common_with_last: np.ndarray, lefts: list[bytes], span: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
+def earlier_windows(doc: np.ndarray, common_with_last: np.ndarray, left: np.ndarray, back: np.ndarray, more: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     """(row, offset of the anchor in the window) of each window that an earlier document holds.
 
-    Rows are in the order of their suffixes. Two windows with the anchor at offset o are equal
-    if the suffixes share length - o bytes and the o bytes before the anchors are the same.
+    Rows are in the order of their suffixes; ``back`` holds the bytes before the anchors, from
+    the anchor backwards. Two windows with the anchor at offset o are equal if the suffixes
+    share length - o bytes and the o bytes before the anchors are the same.
     """
     n, most = len(doc), windows.length - windows.gram
-    left = np.array([len(x) for x in lefts], np.int64)
-    back = np.zeros((n, most), np.uint8)
-    for i, x in enumerate(lefts):
-        back[i, : len(x)] = np.frombuffer(x, np.uint8)[::-1]
-    hashes = np.full(n, 1, np.uint64)
-    rows, offsets = [], []
+    rows, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    same = np.zeros(n, np.int64)  # a number for the o bytes before each anchor
     for o in range(most + 1):
         if o:
-            hashes = hashes * np.uint64(0x100000001B3) + back[:, o - 1] + np.uint64(1)
-        has = np.flatnonzero((o <= left) & (o >= left - span))
+            _, same = np.unique(same * 256 + back[:, o - 1], return_inverse=True)
+        has = np.flatnonzero((o <= left) & (o >= left - more))
         if len(has) < 2:
             continue
-        block = np.cumsum(common_with_last < windows.length - o)
-        order, group = _grouped(hashes[has], block[has])
-        first = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, group, doc[has][order])
-        late = doc[has][order] > first[group]
+        block = np.cumsum(common_with_last < windows.length - o)[has]
+        key = block * (n + 1) + same[has]
+        order = np.argsort(key)
+        group = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
+        own = doc[has][order]
+        first = np.minimum.reduceat(own, np.flatnonzero(np.diff(group, prepend=-1)))
+        late = own > first[group]
         rows.append(has[order][late])
         offsets.append(np.full(int(late.sum()), o))
-    return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *offsets])
+    return np.concatenate(rows), np.concatenate(offsets)
 
 
 def _merge(windows: Windows):
-    def part(blobs: list[bytes]) -> list[tuple]:
-        runs, rk, doc, place, left, span, lefts, seen = [], [], [], [], [], [], [], 0
+    before = windows.length - windows.gram
+
+    def part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        runs, held, seen = [], [[] for _ in range(7)], 0
         for data in blobs:
-            n, size, _ = struct.unpack_from("<iii", data)
-            rk.append(np.frombuffer(data, "<i8", n, 12))
-            doc.append(np.frombuffer(data, "<i8", n, 12 + 8 * n))
-            at = 12 + 16 * n
-            values = []
-            for wide in (4, 2, 2, 2, 2):
+            n, size, front, m = struct.unpack_from("<iiii", data)
+            at, values = 16, []
+            for wide in (2, 2, 2, 2):
                 x, at = from_planes(data, at, n, wide)
                 values.append(x)
-            place.append(values[0])
-            left.append(values[1])
-            span.append(values[2])
-            runs.append(_strings(values[3].tolist(), values[4].tolist(), data[at : at + size], seen))
-            at += size
-            for m in values[1].tolist():
-                lefts.append(data[at : at + m])
-                at += m
+            entry, at = from_planes(data, at, m, 4)
+            rk, own, first = np.frombuffer(data, "<i8", m, at), np.frombuffer(data, "<i8", m, at + 8 * m), np.frombuffer(data, "<i4", m, at + 16 * m)
+            at += 20 * m
+            runs.append(_strings(values[0].tolist(), values[1].tolist(), data[at : at + size], seen))
+            back = np.zeros((n, before), np.uint8)
+            back[np.arange(before) < values[2][:, None]] = np.frombuffer(data, np.uint8, front, at + size)
+            for x, y in zip(held, (values[2], values[3], back, entry + seen, rk, own, first)):
+                x.append(y)
             seen += n
-        rk, doc, place, left, span = (np.concatenate(x) for x in (rk, doc, place, left, span))
+        left, more, back, entry, rk, own, first = (np.concatenate(x) for x in held)
         row, shared = np.zeros(seen, np.int64), np.zeros(seen, np.int64)
         for i, (_, h, payload) in enumerate(LoserTree(runs)):
             row[i], shared[i] = payload, h
-        at, offset = earlier_windows(doc[row], shared, [lefts[i] for i in row.tolist()], span[row], windows)
-        return interval_rows(rk[row[at]], place[row[at]] - offset, windows.length)
+        least = np.full(seen, np.iinfo(np.int64).max)
+        np.minimum.at(least, entry, own)
+        at, offset = earlier_windows(least[row], shared, left[row], back[row], more[row], windows)
+        # what an earlier document has goes from the owners with the least id, all from the others
+        span, start = row[at], left[row[at]] - offset
+        order = np.lexsort((start, span))
+        span, start = span[order], start[order]
+        new = np.ones(len(span), bool)
+        new[1:] = (span[1:] != span[:-1]) | (start[1:] > start[:-1] + windows.length)
+        run = np.flatnonzero(new)
+        last = np.append(run[1:] - 1, len(span) - 1)[: len(run)]
+        span, low, high = span[run], start[run], start[last] + windows.length
+        times = np.bincount(span, minlength=seen)
+        mine, late = np.flatnonzero(own == least[entry]), np.flatnonzero(own > least[entry])
+        each = gathered((np.cumsum(times) - times)[entry[mine]], times[entry[mine]])
+        who = np.repeat(mine, times[entry[mine]])
+        low, high = np.concatenate([low[each], np.zeros(len(late), np.int64)]), np.concatenate([high[each], more[entry[late]] + windows.length])
+        who = np.concatenate([who, late])
+        yield from interval_batches(rk[who], own[who], first[who] + low, first[who] + high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in by_part(batches):
-            yield interval_batch(part(blobs))
+            yield from part(blobs)
 
     return run
 
 
-def _settle(anchor: np.ndarray, content: np.ndarray, own: np.ndarray):
-    """Within a slice: spans that an earlier document of the slice has too are known."""
-    order, group = _grouped(content, anchor)
-    late = np.zeros(len(order), bool)
-    if len(order):
-        first = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, group, own[order])
-        late[order] = own[order] > first[group]
-    return np.flatnonzero(late), np.zeros(len(order), bool), np.flatnonzero(~late)
-
-
-def _decide(order: np.ndarray, group: np.ndarray, doc: np.ndarray, flag: np.ndarray):
-    first = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, group, doc)
-    late = doc > first[group]
-    return late, ~late, flag
-
-
-def _keep_bytes(windows: Windows, texts: bool):
+def _keep_bytes(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
-            data, starts = byte_units(batch.column("text"))
             units = units_of(batch.column("text"), "bytes")
-            gone = removed_units(units, spans_of(units, windows), batch.column("found").to_pylist(), windows)
+            data, starts = units.data, units.starts
+            gone = covered(starts, batch.column("found"))
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             inner = starts[:-1][starts[:-1] < len(gone)]
@@ -239,8 +260,7 @@ def _keep_bytes(windows: Windows, texts: bool):
             total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[starts])
             kept, stay = data[~gone].tobytes(), np.concatenate([[0], np.cumsum(~gone)])[starts].tolist()
             values = [kept[a:b] for a, b in zip(stay[:-1], stay[1:])]
-            kind = pa.binary() if texts else pa.string()
-            column = pa.array(values if texts else [hashlib.sha256(x).hexdigest() for x in values], kind)
+            column = pa.array(values, pa.binary()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (np.diff(starts), total(gone), total(begins))], column],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
@@ -264,11 +284,8 @@ def remove_repeated_bytes(
     """
     windows = Windows("bytes", length, gram or max(1, length * 2 // 5))
     rows = keyed(docs, id_col, text_col)
-    parts = part_count(rows)
-    spans = met(rows, windows, parts, _settle, _decide)
-    open_ = concat_data(spans.where(F.col("kind") == OPEN).select("rk", "data"))
-    runs = rows.where("doc_id IS NOT NULL").join(open_, "rk").mapInArrow(_runs(windows, parts), "part int, data binary")
-    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(windows), "kind int, rk long, data binary")
-    intervals = written(merged, "intervals")
-    out = with_found(rows, spans.select("kind", "rk", "data"), intervals).select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("found")).alias("found"))
-    return out.mapInArrow(_keep_bytes(windows, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}")
+    open_ = candidates(rows.where("doc_id IS NOT NULL"), windows)
+    runs = open_.rows.mapInArrow(_runs(windows, open_.parts, open_.hot), "part int, data binary")
+    intervals = written(dealt_parts(runs, open_.parts).mapInArrow(_merge(windows), INTERVALS), "intervals")
+    out = gathered_rows(rows, intervals, "left").select("doc_id", "text", "found")
+    return out.mapInArrow(_keep_bytes(texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}")

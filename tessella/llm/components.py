@@ -22,11 +22,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Rows (node, component) for every node that has a link, component the smallest node reached.
 
     ``links`` has integer columns u and v; direction, repeats, self-links and nulls don't
-    matter. Rounds end when a round changes nothing, and each round's edges are written to the
+    matter. Rounds go on until one changes nothing, and each round's edges are written to the
     shared folder. Minima are aggregated before the shuffle and handed back by a join whose
     other side has one row a node, so that a node with very many links is split by AQE.
     """
@@ -34,7 +34,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"
     )
     state = None
-    for _ in range(most_rounds):
+    while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -42,4 +42,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             )
         state = now
         edges = written(_small_star(_large_star(edges)), "links")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

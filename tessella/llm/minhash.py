@@ -1,42 +1,45 @@
 """Near-duplicate documents from bottom-k sketches of one hash function.
 
-1.  A document's set is its distinct word shingles, each hashed once; the ``k`` smallest
-    hashes are its sketch. Documents with the same set form a class, which its smallest id
-    stands for, so that copies cost one row.
+1.  A document's set is its distinct word shingles, each hashed once to 64 bits; the ``k``
+    smallest hashes are its sketch. Documents with the same set form a class, so that copies
+    cost one row. Up to step 4 only sketches move.
 2.  Inverted lists of retained values give the overlaps. A list belongs to a run of ``run``
     values that are neighbours in a sketch: two sets with similarity J share a value with
     probability J at each rank of their union's sketch, so nearly every pair at the threshold
     shares such a run, while sets that only share a passage hardly ever do. Small sets are
-    also listed under each single value. Lists with the same members are kept once.
-3.  In a list, the sketches of two members estimate their similarity from the union's sketch;
-    pairs far below the threshold go. The rest are compared on their full sets.
-4.  A list's links leave as a star for each of its groups; components join them.
-
-The members of a list of more than a block are first compared with a leader, which puts near
-copies of one text into one component. What is left are the members that the leader isn't
-linked to: they meet each other and all the rest, block by block. No link that could join two
-components is lost, and work grows with the list and with how many are left.
+    also listed under each single value.
+3.  Each list has a leader, the member that is in most lists: a text that many others were made
+    from. The members of all lists of a leader are one group, so that two that share a list are
+    in a group together. They are first compared with the leader, which puts near copies of one
+    text into one component at a cost that grows with the group. Then only members of different
+    components are left to meet, block by block.
+4.  Wherever two meet, their similarity is first estimated from the union's sketch; pairs far
+    below the threshold go. The texts of those that are left are fetched and their full sets
+    compared, which alone makes a link.
+5.  Links leave a group as a star for each of its components; connected components join them.
+
+No link that could join two components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .tables import text_slices, written
-from .words import as_large, mix64, split_words, string_hashes, window_hashes, word_hashes
+from .words import as_large, mix64, split_words, window_hashes, word_hashes
 
-#: Members of a list that one block holds.
-BLOCK = 1024
-#: Number of the first block of members that aren't linked to their list's leader.
+#: Members of a group that one block holds, and their shingles, about.
+BLOCK = 512
+BLOCK_SHINGLES = 4 << 20
+#: Number of the first block of members outside the component of their group's leader.
 REST = 1 << 24
 
 
@@ -77,53 +80,42 @@ def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     return out
 
 
-def run_keys(values: np.ndarray, k: int, run: int, small: int) -> np.ndarray:
-    """The keys of the inverted lists that a set with these sorted hashes belongs to."""
-    sketch = values[:k]
+def run_keys(sketch: np.ndarray, size: int, run: int, small: int) -> np.ndarray:
+    """The keys of the inverted lists that a set of this size and sketch belongs to."""
     keys = mix64(window_hashes(sketch, run) + np.uint64(run)) if len(sketch) >= run else sketch[:0]
-    return np.concatenate([keys, sketch]) if run > 1 and 0 < len(values) <= small else keys
+    return np.concatenate([keys, sketch]) if run > 1 and 0 < size <= small else keys
 
 
-def _describe(shingle: int, k: int, run: int, small: int):
+def _describe(shingle: int, k: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
             sets = shingle_sets(part.column("text"), shingle)
-            keys = [run_keys(x, k, run, small).view(np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("rk"),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([hashlib.md5(x.tobytes()).digest() if len(x) else None for x in sets], pa.binary()),
-                    pa.ListArray.from_arrays(
-                        np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32),
-                        np.concatenate([*keys, np.zeros(0, np.int64)]),
-                    ),
+                    pa.array([x[:k].tobytes() for x in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_id", "keys"],
+                ["doc_id", "rk", "n_shingles", "set_id", "sketch"],
             )
 
     return describe
 
 
-#: Bytes of a hash in the sets that are compared; 40 bits tell the shingles of two texts apart.
-_KEEP = 5
+def _sketches(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def _sets(shingle: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            found = shingle_sets(part.column("text"), shingle)
-            packed = [x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_KEEP].tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
-
-    return sets
-
+def _entries(run: int, small: int):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [run_keys(x, n, run, small) for x, n in zip(_sketches(batch.column("sketch")), batch.column("n").to_pylist())]
+            cls = np.repeat(batch.column("cls").to_numpy(), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))], ["cls", "key"])
 
-def _unpack(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(packed, np.uint8).reshape(-1, _KEEP)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 8 - _KEEP :] = raw
-    return wide.view(">u8").ravel().astype(np.int64)
+    return entries
 
 
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -156,21 +148,30 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out[np.ix_(left, right)]
 
 
-def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, k: int, numerator: int, denominator: int):
-    """Pairs (i of left, j of right) whose similarity is numerator / denominator or more."""
-    sizes = np.array([len(x) for x in sets])
-    sketches = [x[:k] for x in sets]
+def possible(sketches: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Which pairs of ``left`` and ``right`` may reach the threshold, by their union's sketch.
+
+    The union's sketch reaches up to the smaller of the two greatest retained values.
+    """
     overlap = shared_counts(sketches, left, right)
-    # the union's sketch reaches up to the smaller of the two greatest retained values
-    top = np.array([x[-1] if len(x) else -1 for x in sketches])
-    upto = np.stack([np.searchsorted(sketches[i], top, "right") for i in range(len(sets))])
+    top = np.array([x[-1] if len(x) else 0 for x in sketches], np.uint64)
+    upto = np.stack([np.searchsorted(sketches[i], top, "right") for i in range(len(sketches))])
     seen = upto[np.ix_(left, right)] + upto.T[np.ix_(left, right)]
+    small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
+    return _estimate(overlap, seen, small, large, numerator, denominator)
+
+
+def _estimate(overlap, seen, small, large, numerator: int, denominator: int):
     union = np.maximum(seen - overlap, 1)
     threshold = numerator / denominator
     margin = 6 * np.sqrt(threshold * (1 - threshold) / union)
-    small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
-    maybe = (overlap / union >= threshold - margin) & (denominator * small.astype(np.int64) >= numerator * large)
-    i, j = np.nonzero(maybe)
+    return (overlap / union >= threshold - margin) & (denominator * small.astype(np.int64) >= numerator * large)
+
+
+def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, k: int, numerator: int, denominator: int):
+    """Pairs (i of left, j of right) whose similarity is numerator / denominator or more."""
+    sizes = np.array([len(x) for x in sets])
+    i, j = np.nonzero(possible([x[:k] for x in sets], sizes, left, right, numerator, denominator))
     if not len(i):
         return i, j
     both = shared_counts(sets, left, right)[i, j].astype(np.int64)
@@ -196,101 +197,186 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(k: int, numerator: int, denominator: int):
-    def block(name: int, ids: np.ndarray, sides: np.ndarray, packed: list[bytes]) -> np.ndarray:
-        order = np.argsort(ids, kind="stable")
-        ids, sides, packed = ids[order], sides[order], [packed[o] for o in order]
-        sets = [_unpack(x) for x in packed]
-        left, right = np.flatnonzero(sides != 2), np.flatnonzero(sides != 1)
-        i, j = linked_pairs(sets, left, right, k, numerator, denominator)
-        root = _roots(len(ids), i, j)
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return np.stack([np.full(len(moved), name), ids[moved], ids[root[moved]]])
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, pa.Table]]:
+    """(leader, a, b, rows) of each block; its rows come together, as they are sorted."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("leader", "a", "b")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            if s == e:
+                continue
+            own = tuple(keys[:, s].tolist())
+            if held and own != name:
+                yield (*name, pa.Table.from_batches(held))
+                held = []
+            name = own
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield (*name, pa.Table.from_batches(held))
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """(classes, sides, their rows, left, right), each class once, in order."""
+    cls, at = np.unique(rows.column("cls").to_numpy(), return_index=True)
+    sides = rows.column("side").to_numpy()[at]
+    return cls, sides, at.tolist(), np.flatnonzero(sides != 2), np.flatnonzero(sides != 1)
+
+
+def _near(numerator: int, denominator: int):
+    """By sketches alone: the members of each block that have to be compared with others in it."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for leader, a, b, rows in _groups(batches):
+            cls, sides, at, left, right = _sides(rows)
+            if not len(left) or not len(right):
+                continue
+            rows = rows.combine_chunks().take(pa.array(at))
+            sketches, sizes, own = _sketches(rows.column("sketch")), rows.column("n").to_numpy(), rows.column("own").to_numpy()
+            pairs = possible(sketches, sizes, left, right, numerator, denominator) & (own[left][:, None] != own[right][None, :])
+            some = np.unique(np.concatenate([left[pairs.any(axis=1)], right[pairs.any(axis=0)]]))
+            columns = [np.full(len(some), leader, np.int64), cls[some], np.full(len(some), a, np.int32), np.full(len(some), b, np.int32), sides[some].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["leader", "cls", "a", "b", "side"])
+
+    return near
+
+
+def _compare(shingle: int, k: int, numerator: int, denominator: int):
+    """On full sets: a star for each component of a block."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def groups() -> Iterator[pa.Table]:
-            """Tables of whole groups: the rows of (list, a, b) come together, as they are sorted."""
-            for batch in batches:
-                held.append(batch)
-                keys = [batch.column(c).to_numpy() for c in ("list", "a", "b")]
-                change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1 if batch.num_rows else []
-                first = [h.column(c)[0].as_py() for h in held[:1] for c in ("list", "a", "b")]
-                if len(held) > 1 and batch.num_rows and first != [x[0] for x in keys]:
-                    yield pa.Table.from_batches(held[:-1])
-                    held[:] = [batch]
-                if len(change):
-                    yield pa.Table.from_batches([*held[:-1], batch.slice(0, change[-1])])
-                    held[:] = [batch.slice(change[-1])]
-            if held:
-                yield pa.Table.from_batches(held)
-
-        for table in groups():
-            table = table.combine_chunks()
-            keys = [table.column(c).to_numpy() for c in ("list", "a", "b")]
-            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1
-            bounds = [0, *cuts.tolist(), table.num_rows]
-            ids, sides, packed = (table.column(c) for c in ("node", "side", "packed"))
-            ids, sides = ids.to_numpy(), sides.to_numpy()
-            found = [
-                block(keys[0][s], ids[s:e], sides[s:e], packed.slice(s, e - s).to_pylist()) for s, e in zip(bounds, bounds[1:]) if e > s + 1
-            ]
-            links = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["list", "u", "v"])
+        for _, _, _, rows in _groups(batches):
+            cls, _, at, left, right = _sides(rows)
+            sets = shingle_sets(rows.column("text").combine_chunks().take(pa.array(at)), shingle)
+            i, j = linked_pairs(sets, left, right, k, numerator, denominator) if len(left) and len(right) else (left[:0], right[:0])
+            root = _roots(len(cls), i, j)
+            moved = np.flatnonzero(root != np.arange(len(cls)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[moved], pa.int64()), pa.array(cls[root[moved]], pa.int64())], ["u", "v"])
 
     return compare
 
 
-def _compared(placed: DataFrame, sets: DataFrame, k: int, numerator: int, denominator: int) -> DataFrame:
-    """Links (list, u, v) from rows (list, node, a, b, side): what meets in a (list, a, b) is compared."""
-    whole = placed.join(sets, "node").select("list", "node", "a", "b", "side", "packed")
-    dealt = whole.repartition("list", "a", "b").sortWithinPartitions("list", "a", "b")
-    return dealt.mapInArrow(_compare(k, numerator, denominator), "list long, u long, v long")
+def _likely(numerator: int, denominator: int):
+    """Keeps the rows of (leader, cls) that may reach the threshold, by their two sketches."""
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (_sketches(batch.column(c)) for c in ("sketch", "other"))
+            seen, overlap = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+            for i, (x, y) in enumerate(zip(one, two)):
+                top = min(x[-1], y[-1])
+                x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+                seen[i], overlap[i] = len(x) + len(y), len(np.intersect1d(x, y, assume_unique=True))
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            keep = _estimate(overlap, seen, np.minimum(n, m), np.maximum(n, m), numerator, denominator)
+            yield batch.select(["leader", "cls", "n"]).filter(pa.array(keep))
 
-def _leader_links(long: DataFrame, compared) -> tuple[DataFrame, DataFrame]:
-    """(links, tagged): long lists, after comparing all their members with a leader each.
+    return likely
 
-    A list's leader is its member that is in most long lists: a text that many others were made
-    from. tagged has rows (list, node, rest); rest says that the node isn't linked to its list's
-    leader. Lists often share a leader, and then a member is compared with it once.
-    """
-    popular = long.withColumn("lists", F.count("*").over(Window.partitionBy("node")))  # a sketch's length bounds a node's rows
-    best = F.max(F.struct("lists", (-F.col("node")).alias("node")))
-    leaders = popular.groupBy("list").agg((-best["node"]).alias("leader"))
-    led = written(long.join(leaders, "list"), "led")
-    pairs = led.where("node <> leader").select("leader", "node").distinct()
-    sizes = written(pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "leaders")
-    asked = pairs.join(sizes, "leader").select(F.col("leader").alias("list"), "node", F.pmod(F.xxhash64("node", F.lit(13)), F.col("blocks")).cast("int").alias("a"), F.lit(0).alias("b"), F.lit(2).alias("side"))
-    lead = sizes.select(F.col("leader").alias("list"), F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("side"))
-    found = written(compared(asked.unionByName(lead)), "stars")
-    linked = found.select(F.col("list").alias("leader"), F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("linked", F.lit(True))
-    rest = F.col("linked").isNull() & (F.col("node") != F.col("leader"))
-    return found.select("u", "v"), written(led.join(linked, ["leader", "node"], "left").select("list", "node", rest.alias("rest")), "tagged")
+
+def _blocks(count, shingles):
+    return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("leader", "a", "b").sortWithinPartitions("leader", "a", "b")
 
 
 def _across(tagged: DataFrame) -> DataFrame:
-    """Rows (list, node, a, b, side) in which all meet that no leader has linked yet.
+    """Rows (leader, cls, a, b, side) in which all meet that are in different components.
 
-    Members linked to the leader are in blocks 0, 1, ... and the others in blocks ``REST``,
-    ``REST`` + 1, ...; every block of the others meets every block.
+    Members in the component of their leader are in blocks 0, 1, ... and the others in blocks
+    ``REST``, ``REST`` + 1, ...; every block of the others meets every block. Groups without
+    others are settled.
     """
     rest = F.col("rest")
-    sizes = tagged.groupBy("list").agg(F.ceil(F.count(F.when(~rest, 1)) / BLOCK).cast("int").alias("m"), F.ceil(F.count(F.when(rest, 1)) / BLOCK).cast("int").alias("r"))
-    hashed = F.xxhash64("node", F.lit(11))
-    placed = tagged.join(sizes.where("r > 0"), "list").select("list", "node", "m", "r", "rest", F.when(rest, REST + F.pmod(hashed, F.col("r"))).otherwise(F.pmod(hashed, F.col("m"))).cast("int").alias("own"))
+    sized = lambda where: F.coalesce(_blocks(F.count(F.when(where, 1)), F.sum(F.when(where, F.col("n")))), F.lit(0))
+    open_ = tagged.groupBy("leader").agg(sized(~rest).alias("m"), sized(rest).alias("r")).where("r > 0")
+    hashed = F.xxhash64("cls", F.lit(11))
+    placed = tagged.join(open_, "leader").select("leader", "cls", "m", "r", "rest", F.when(rest, REST + F.pmod(hashed, F.col("r"))).otherwise(F.pmod(hashed, F.col("m"))).cast("int").alias("own"))
     others = F.sequence(F.lit(REST), REST + F.col("r") - 1)
-    every = F.when(F.col("rest"), F.concat(F.sequence(F.lit(0), F.col("m") - 1), others)).otherwise(others)
-    return placed.select("list", "node", "own", F.explode(every).alias("other")).select(
-        "list",
-        "node",
+    all_ = F.when(F.col("m") > 0, F.concat(F.sequence(F.lit(0), F.greatest("m", F.lit(1)) - 1), others)).otherwise(others)
+    return placed.select("leader", "cls", "own", F.explode(F.when(rest, all_).otherwise(others)).alias("other")).select(
+        "leader",
+        "cls",
         F.least("own", "other").alias("a"),
         F.greatest("own", "other").alias("b"),
         F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side"),
     )
 
 
+def _class_links(classes: DataFrame, rows: DataFrame, shingle: int, numerator: int, denominator: int, k: int) -> DataFrame:
+    """Links (u, v) between classes (cls, n, sketch, doc_id, rk), whose texts are in ``rows``."""
+    run, small = choose_run(k, numerator / denominator)
+    entries = classes.select("cls", "n", "sketch").mapInArrow(_entries(run, small), "cls long, key long")
+    lists = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "lists")
+    members = written(entries.join(lists, "key").select(F.col("key").alias("list"), "cls").distinct(), "members")
+    wanted = written(members.groupBy("cls").agg(F.count("*").alias("lists")), "wanted")
+    facts = written(classes.join(wanted.hint("merge"), "cls").select("cls", "n", "sketch", "lists"), "facts")
+    place = classes.join(wanted.hint("merge"), "cls", "left_semi").select("cls", F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"))
+    here = (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    # too many to broadcast where it matters, so that every size takes the same plan
+    texts = written(rows.join(written(place, "places").hint("merge"), here).select("cls", "text"), "texts")
+
+    def compared(placed: DataFrame) -> DataFrame:
+        whole = _dealt(placed.join(texts, "cls").select("leader", "a", "b", "side", "cls", "text"))
+        return whole.mapInArrow(_compare(shingle, k, numerator, denominator), "u long, v long")
+
+    # members and leaders
+    counted = members.join(facts.select("cls", "n", "lists"), "cls")
+    best = F.max(F.struct("lists", (-F.col("cls")).alias("cls")))
+    leaders = counted.groupBy("list").agg((-best["cls"]).alias("leader"))
+    group = written(counted.join(leaders, "list").where("cls <> leader").select("leader", "cls", "n").distinct(), "groups")
+    both = group.join(facts.select("cls", "sketch"), "cls").join(facts.select(F.col("cls").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("other")), "leader")
+    likely = written(both.mapInArrow(_likely(numerator, denominator), "leader long, cls long, n long"), "likely")
+    sizes = likely.groupBy("leader").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    asked = likely.join(sizes, "leader").select("leader", "cls", F.pmod(F.xxhash64("cls", F.lit(13)), F.col("blocks")).cast("int").alias("a"), F.lit(0).alias("b"), F.lit(2).alias("side"))
+    lead = sizes.select("leader", F.col("leader").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("side"))
+    stars = written(compared(asked.unionByName(lead)), "stars")
+
+    # members of different components
+    found = components(stars)
+    tagged = written(
+        group.join(found.select(F.col("node").alias("cls"), F.col("component").alias("c")), "cls", "left")
+        .join(found.select(F.col("node").alias("leader"), F.col("component").alias("l")), "leader", "left")
+        .select("leader", "cls", "n", F.coalesce("c", "cls").alias("own"), (F.coalesce("c", "cls") != F.coalesce("l", "leader")).alias("rest")),
+        "tagged",
+    )
+    own = tagged.select("leader", "cls", F.col("own").alias("component")).join(facts.select("cls", "n", "sketch"), "cls")
+    meet = _across(tagged).join(own, ["leader", "cls"]).select("leader", "a", "b", "side", "cls", F.col("component").alias("own"), "n", "sketch")
+    open_ = written(_dealt(meet).mapInArrow(_near(numerator, denominator), "leader long, cls long, a int, b int, side int"), "near")
+    return stars.unionByName(written(compared(open_), "links"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return read.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), "text")
+
+
+def _labelled(rows: DataFrame, shingle: int, similarity: tuple[int, int], k: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes) of (doc_id, rk, text): described rows, and classes with their component.
+
+    With ``by_id`` rows without an id take no part, and the classes of one id are linked.
+    """
+    numerator, denominator = similarity
+    described = written(rows.mapInArrow(_describe(shingle, k), "doc_id long, rk long, n_shingles long, set_id binary, sketch binary"), "sketches")
+    named = described.where("set_id IS NOT NULL AND doc_id IS NOT NULL" if by_id else "set_id IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk")).alias("first")
+    grouped = named.groupBy("set_id").agg(first, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(grouped.select("set_id", "first", "first.doc_id", "first.rk", "n", "sketch", F.monotonically_increasing_id().alias("cls")), "classes")
+    links = _class_links(classes, rows, shingle, numerator, denominator, k)
+    if by_id:  # texts that share an id are one document
+        several = named.groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("two")).where("one <> two").select("doc_id")
+        twice = named.select("doc_id", "set_id").join(several, "doc_id").join(classes.select("set_id", "cls"), "set_id")
+        least = twice.groupBy("doc_id").agg(F.min("cls").alias("v"))
+        links = links.unionByName(twice.join(least, "doc_id").select(F.col("cls").alias("u"), "v"))
+    found = components(links).withColumnRenamed("node", "cls")
+    placed = classes.select("set_id", "first", "cls").join(found, "cls", "left").select("set_id", "first", F.coalesce("component", "cls").alias("component"))
+    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
+    return described, placed.join(heads, "component").select("set_id", "head")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), k: int = 48, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -301,73 +387,41 @@ def near_duplicates(
 
     Defined cases: a null or empty text and one of white space only has no shingle and no
     link. Rows that share an id count as one document, so they share a component. A row
-    without an id is linked with nothing: component_id is null and kept true. Other columns
-    are left unread. An empty table gives an empty table.
+    without an id is linked with nothing: component_id is null and kept true. Words and
+    shingles are compared by 64-bit hashes. Other columns are left unread. An empty table
+    gives an empty table.
     """
-    numerator, denominator = similarity
-    run, small = choose_run(k, numerator / denominator)
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = written(
-        read.mapInArrow(_describe(shingle, k, run, small), "doc_id long, n_shingles long, set_id binary, keys array<long>"),
-        "sketches",
-    )
-    named = described.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
-    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-
-    entries = written(classes.select("node", F.explode("keys").alias("key")), "entries")
-    lists = (
-        entries.groupBy("key")
-        .agg(
-            F.count("*").alias("n"),
-            F.bit_xor(F.xxhash64("node")).alias("s1"),
-            F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("s2"),
-        )
-        .where("n > 1")
-        .groupBy("n", "s1", "s2")
-        .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    members = written(
-        entries.join(lists, "key").select(F.col("key").alias("list"), "node", "blocks").distinct(), "members"
-    )
-
-    wanted = members.select("node").distinct()
-    texts = read.join(wanted, read["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = texts.mapInArrow(_sets(shingle), "node long, packed binary").distinct()
-    short = members.where("blocks = 1").select("list", "node", *[F.lit(0).alias(c) for c in ("a", "b", "side")])
-    long = members.where("blocks > 1").select("list", "node")
-    if long.isEmpty():
-        links = _compared(short, sets, k, numerator, denominator).select("u", "v")
-    else:
-        sets, long = written(sets, "sets"), written(long, "long")
-        stars, state = _leader_links(long, lambda placed: _compared(placed, sets, k, numerator, denominator))
-        links = _compared(short.unionByName(_across(state)), sets, k, numerator, denominator).select("u", "v").unionByName(stars)
-    nodes = named.select("set_id", "doc_id").join(classes.select("set_id", "node"), "set_id")
-    # texts that share an id are one document
-    same = nodes.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
-    twice = nodes.join(same, "doc_id").select("node", "u").where("node <> u").select(F.col("node").alias("u"), F.col("u").alias("v"))
-    found = components(links.unionByName(twice))
-    label = (
-        classes.select("set_id", "node")
-        .join(found, "node", "left")
-        .select("set_id", F.coalesce("component", "node").alias("component"))
-    )
+    described, label = _labelled(_keyed(docs, id_col, text_col), shingle, similarity, k, True)
     return (
         described.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
-        .join(label, "set_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .join(label.select("set_id", F.col("head.doc_id").alias("component_id")), "set_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.expr("doc_id <=> component_id"))
     )
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group; an id that several rows share is kept once.
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), k: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group: one of each group stays.
 
-    Rows without an id are in no group and stay. ``options`` are those of ``near_duplicates``.
+    It is the one with the smallest id, rows without an id last, and of several texts under that
+    id one of them. Groups are those of texts: rows that share an id but not a group all stay.
+    Rows without words are in no group and stay. Other columns are carried unchanged; of rows
+    that are equal in id and text one stays, whatever their other columns are.
     """
-    id_col = options.get("id_col", "doc_id")
-    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    one = named.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
-    return one.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))
+    keyed = _keyed(docs, id_col, text_col)
+    described, label = _labelled(keyed, shingle, similarity, k, False)
+    ruled = described.where("set_id IS NOT NULL").select("set_id", "doc_id", "rk").join(label, "set_id")
+    away = written(
+        ruled.select("doc_id", "rk", (~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("rk") == F.col("head.rk")))).alias("gone"))
+        .groupBy("doc_id", "rk")
+        .agg(F.max("gone").alias("gone"), F.count("*").alias("times"))
+        .where("gone OR times > 1")
+        .select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), "gone"),
+        "away",
+    )
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("__row"), F.col(id_col).cast("long").alias("__doc"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("__key"))
+    same = (F.col("__key") == F.col("__rk")) & F.col("__doc").eqNullSafe(F.col("__id"))
+    told = rows.join(away.hint("merge"), same, "left")
+    one = told.where("NOT gone").groupBy("__doc", "__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return told.where("gone IS NULL").select("__row.*").unionByName(one.select("__row.*"))

@@ -209,21 +209,25 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return F.expr(f"CASE {whens} ELSE true END")
 
 
-def fit(counts: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> list[list[Condition]]:
-    """Learns the list from counts of labelled rows (doc_id, quality 0 or 1; nulls are left out).
+def chosen(labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """Rows (doc_id, quality) that a list is fitted on, one for each id.
 
-    Bound: about ``most_rows`` labelled rows are fitted on, those with the smallest hashes; the
-    share that may go is set before, so that tasks send no more than they keep.
-    A doc_id with contradicting labels is left out.
+    Bound: about ``most_rows``, those with the smallest hashes; the share that may go is set
+    before, so that tasks send no more than they keep. Labels other than 0 and 1 and ids with
+    contradicting labels are left out.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi").select("doc_id", F.col("lo").alias("quality"))
-    at = F.xxhash64("doc_id", F.lit(5))
     share = min(1.0, most_rows / max(1, known.count()))
+    return known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) < int(share * 2**53))
+
+
+def fit(counts: DataFrame, labelled: DataFrame) -> list[list[Condition]]:
+    """Learns the list from the counts of the ``chosen`` rows, which are bounded and broadcast."""
     rows = (
-        counts.join(known.where(F.shiftrightunsigned(at, 11) < int(share * 2**53)), "doc_id")
+        counts.join(F.broadcast(labelled), "doc_id")
         .where("n_words > 0")
-        .select("quality", at.alias("h"), *[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in STATISTICS.items()])
+        .select("quality", F.xxhash64("doc_id", F.lit(5)).alias("h"), *[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in STATISTICS.items()])
         .toPandas()
         .sort_values(["h", *STATISTICS], ignore_index=True)
     )
@@ -244,7 +248,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table; further columns are ignored.
     """
     counts = written(statistics(docs, id_col, text_col, carry), "counts")
-    rules = fit(counts, labels)
+    rules = fit(counts, chosen(labels))
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     return counts.select("*", failed.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
@@ -255,9 +259,10 @@ def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Unlike the base of ``judge`` this has no least length: labels don't hold one against short
     texts. Rows, columns and their order of columns stay as they are; edge cases are as there.
     """
-    known = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("__label")).distinct()
-    sample = docs.join(known, docs[id_col].cast("long") == known["__label"], "left_semi")
-    rules = fit(statistics(sample, id_col, text_col), labels)
+    labelled = chosen(labels)
+    ids = F.broadcast(labelled.select(F.col("doc_id").alias("__label")))  # bounded; texts stay where they are
+    sample = docs.join(ids, docs[id_col].cast("long") == ids["__label"], "left_semi")
+    rules = fit(statistics(sample, id_col, text_col), labelled)
     names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column's name clashes with a count's
     plain = small_batches(docs).toDF(*names)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields] + [f"{c} long" for c in COUNTS])

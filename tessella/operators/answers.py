@@ -210,3 +210,48 @@ def first_difference(before: Column, after: Column, around: int = 34) -> Column:
     at = F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step)["low"]
     cut = lambda t: F.substring(t, F.greatest(at - around, F.lit(0)) + 1, F.lit(2 * around))
     return F.when(before != after, F.struct(at.alias("at"), cut(before).alias("before"), cut(after).alias("after")))
+
+
+#: Directions, and the cosine of a cone's half angle of 60 degrees.
+DIRECTIONS = {"up": (0, 1), "down": (0, -1), "left": (-1, 0), "right": (1, 0)}
+CONE = 0.5000000000000001
+
+
+def nearest_in_direction(positions: DataFrame, start: str) -> DataFrame:
+    """Rows (direction, id, cost): the nearest node in each direction's cone; none for an empty cone.
+
+    The cost is the distance over the squared cosine of the angle off the axis, ties by id.
+    """
+    at = positions.where(F.col("id") == start).select(F.col("x").alias("__x"), F.col("y").alias("__y")).limit(1)
+    dx, dy = F.col("x") - F.col("__x"), F.col("y") - F.col("__y")
+    far = positions.where(F.col("id") != start).crossJoin(F.broadcast(at)).select("id", dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("d")).where("d > 0")  # one row
+    axes = F.explode(F.array(*[F.struct(F.lit(k).alias("direction"), F.lit(a).alias("ax"), F.lit(b).alias("ay")) for k, (a, b) in DIRECTIONS.items()]))
+    each = far.select("id", "dx", "dy", "d", axes.alias("a")).withColumn("cos", (F.col("dx") * F.col("a.ax") + F.col("dy") * F.col("a.ay")) / F.col("d"))
+    costs = each.where(F.col("cos") > CONE).select("a.direction", F.struct((F.col("d") / (F.col("cos") * F.col("cos"))).alias("cost"), "id").alias("c"))
+    return costs.groupBy("direction").agg(F.min("c").alias("c")).select("direction", "c.id", "c.cost")
+
+
+def inside_frustum(x: Column, y: Column, frame: tuple[float, float, float, float], margin: float = 0.12) -> Column:
+    """Whether a point is in the frame (centre x, centre y, width, height), less a margin."""
+    cx, cy, w, h = frame
+    return (F.abs(x - cx) <= w / 2 * (1 - margin)) & (F.abs(y - cy) <= h / 2 * (1 - margin))
+
+
+def hop_evidence(path: DataFrame, cited: DataFrame) -> DataFrame:
+    """Rows (edge_id, attached, admitted): passages of each step (edge_id, evidence), and citations
+    (passage_id) of them."""
+    wanted = path.select("edge_id", F.explode(F.array_distinct("evidence")).alias("passage_id"))
+    times = cited.groupBy("passage_id").agg(F.count("*").alias("n"))
+    got = wanted.join(times, "passage_id").groupBy("edge_id").agg(F.sum("n").alias("admitted"))
+    return path.select("edge_id", F.greatest(F.size("evidence"), F.lit(0)).alias("attached")).join(got, "edge_id", "left").select("edge_id", "attached", F.coalesce("admitted", F.lit(0)).alias("admitted"))
+
+
+def citation_edges(cited: DataFrame, path: DataFrame, bridge: str | None = None) -> DataFrame:
+    """Rows (passage_id, from_id): from the subject of each step whose evidence a citation is.
+
+    cited: passage_id, bridged. A bridged citation of no step hangs on the ``bridge``, if given.
+    """
+    steps = path.select("from_id", F.explode(F.array_distinct("evidence")).alias("passage_id"))
+    rows = cited.select("passage_id", "bridged").distinct().join(steps, "passage_id", "left")
+    other = F.when(F.col("bridged"), F.lit(bridge).cast("string"))
+    return rows.select("passage_id", F.coalesce("from_id", other).alias("from_id")).where("from_id IS NOT NULL")

@@ -281,3 +281,42 @@ def detected_mentions(passages: DataFrame, labels: DataFrame, most: int = 50_000
             yield part.map(find)
 
     return passages.select("id", F.explode(held("text")).alias("label"))
+
+
+def truth_gated_rate(edges: DataFrame) -> DataFrame:
+    """One row (gated, rate): edges that the gate applies to, and the quarantined share of them."""
+    report = integrity_report(edges).withColumn("gated", F.col("total") - F.col("exempt"))
+    return report.select("gated", F.when(F.col("gated") > 0, F.col("quarantined") / F.col("gated")).otherwise(0.0).alias("rate"))
+
+
+def entity_overlay(entities: DataFrame, places: DataFrame, view: DataFrame) -> DataFrame:
+    """Entities (id, centrality, ...) that have a place (id, place_id: asset, passage or island) in
+    the view (id), the most central first."""
+    seen = places.join(view.select(F.col("id").alias("place_id")), "place_id", "left_semi").select("id").distinct()
+    return entities.join(seen, "id", "left_semi").orderBy(F.desc("centrality"), "id")
+
+
+def hover_edges(edges: DataFrame, view: DataFrame, hovered: str, hops: int = 1, cap: int = EDGE_CAP, most_nodes: int = 4096) -> DataFrame:
+    """The heaviest edges of a view (id) with either end within ``hops`` of the hovered node."""
+    from .paths import hop_closure
+
+    near = hop_closure(edges, view.sparkSession.createDataFrame([(hovered,)], "id string"), max(1, hops), most_nodes).select("id")
+    inside = among(edges, view)
+    either = [inside.join(near.select(F.col("id").alias(end)), end, "left_semi").select(*edges.columns) for end in ("from_id", "to_id")]
+    return either[0].unionByName(either[1]).dropDuplicates(["id"]).orderBy(F.desc("weight"), "id").limit(cap)
+
+
+def scoped_timeline(assets: DataFrame, edges: DataFrame, owners: DataFrame, scope: DataFrame, start: str, end: str, limit: int = 200) -> DataFrame:
+    """Rows (at, id, event, truncated): the timeline of the assets in ``scope`` (id).
+
+    A dated edge is in scope if an end or a passage of its evidence belongs (owners: id,
+    asset_id) to one of them. truncated is how many events the limit leaves out.
+    """
+    held = owners.join(scope.select(F.col("id").alias("asset_id")), "asset_id", "left_semi").select(F.col("id").alias("part")).distinct()
+    dated = edges.where("NOT quarantined AND sigma IN ('temporal', 'episodic')").where(F.col("at").between(start, end))
+    parts = F.concat(F.array("from_id", "to_id"), F.coalesce("evidence", F.array().cast("array<string>")))
+    touching = dated.select("id", F.explode(parts).alias("part")).join(held, "part", "left_semi").select("id").distinct()
+    own = assets.join(scope.select("id"), "id", "left_semi").where(F.col("at").between(start, end)).select("at", "id", F.lit("boundary").alias("event"))
+    events = own.unionByName(dated.join(touching, "id", "left_semi").select("at", "id", F.col("family").alias("event")))
+    total = events.agg(F.greatest(F.count("*") - max(1, limit), F.lit(0)).alias("truncated"))
+    return events.orderBy("at", "id").limit(max(1, limit)).crossJoin(F.broadcast(total))  # one row

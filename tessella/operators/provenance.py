@@ -130,3 +130,59 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key with the greatest ``order``."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def mention_ledger(mentions: DataFrame, sources: DataFrame) -> DataFrame:
+    """Mentions of the given sources, with their place in (cluster_id, mention_idx) order from 1."""
+    w = Window.partitionBy("source_id").orderBy("cluster_id", "mention_idx")
+    return mentions.join(sources.select("source_id").distinct(), "source_id", "left_semi").withColumn("place", F.row_number().over(w))
+
+
+#: What a trace says when a cited segment isn't the source's own text.
+DISCLOSURE = "Some cited segments have references resolved. The first segment of each source is its own text, which content_hash covers; the overlay holds every substitution."
+
+
+def render_traces(answers: DataFrame, explained: DataFrame, disclosure: str = DISCLOSURE) -> DataFrame:
+    """Rows (answer_id, coverage, citations, resolution_disclosure), one for each answer.
+
+    citations is an array in cite_order; the disclosure is null unless a citation isn't verbatim.
+    A citation isn't verbatim if its source has an overlay and its segment isn't the first.
+    """
+    verbatim = ~F.coalesce(F.col("has_overlay") & (F.col("seq") > 0), F.lit(False))
+    cited = explained.select("answer_id", F.struct("cite_order", "segment_id", "source_label", "evidence_snippet", verbatim.alias("verbatim"), "content_hash").alias("c"))
+    lists = cited.groupBy("answer_id").agg(F.sort_array(F.collect_list("c")).alias("citations"))
+    known = F.size(F.filter("citations", lambda c: c["source_label"].isNotNull()))
+    coverage = F.when(F.coalesce(known, F.lit(0)) <= 0, "none").when(known == F.size("citations"), "full").otherwise("partial")
+    disclosed = F.when(F.exists("citations", lambda c: ~c["verbatim"]), F.lit(disclosure))
+    none = F.array().cast(lists.schema["citations"].dataType)
+    return answers.select("answer_id").join(lists, "answer_id", "left").select("answer_id", coverage.alias("coverage"), F.coalesce("citations", none).alias("citations"), disclosed.alias("resolution_disclosure"))
+
+
+def recorded_claims(claims: DataFrame, evidence: DataFrame, nested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims, evidence) after the answers in ``nested`` (answer_id, claims) are verified anew.
+
+    All old claims and evidence of those answers go, of answers with an empty array too. An entry
+    of claims has the fields of the claims table, markers as an array, and an array evidence.
+    """
+    flat = nested.select("answer_id", F.inline("claims"))
+    new = flat.select(*[(F.array_join(c, ",") if c == "markers" else F.col(c)).alias(c) for c in claims.columns])
+    cited = flat.select("answer_id", "claim_index", F.inline("evidence")).select(*evidence.columns)
+    scope = nested.select("answer_id").distinct()
+    keep = lambda t: t.join(scope, "answer_id", "left_anti").select(*t.columns)
+    return keep(claims).unionByName(new), keep(evidence).unionByName(cited)
+
+
+def _quoted(text: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.array(text)), "(?s)^.(.*).$", 1)
+
+
+def recorded_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """Verification runs after an upsert by answer_id.
+
+    new has thresholds as a map and tiers_offered as an array; they are stored as JSON text with
+    sorted keys, a space after each colon and comma. Null maps and arrays are stored as empty.
+    """
+    entry = lambda e: F.concat(_quoted(e["key"]), F.lit(": "), F.coalesce(e["value"].cast("string"), F.lit("null")))
+    bounds = F.concat(F.lit("{"), F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("thresholds")), entry), ", "), F.lit("")), F.lit("}"))
+    tiers = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("tiers_offered", _quoted), ", "), F.lit("")), F.lit("]"))
+    return merged(runs, new.withColumn("thresholds", bounds).withColumn("tiers_offered", tiers).select(*runs.columns), ["answer_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_terms, question_fit, token_count
+from ..functions.text import TERM_BREAK, content_terms, question_fit, token_count
 
 #: Fixed values.
 BUDGET, CITATIONS, SLOTS, POINTERS = 10_000, 5, 8, 128
@@ -166,3 +166,84 @@ def signals(cited: DataFrame, admitted: DataFrame, links: DataFrame, path: DataF
     one = n.crossJoin(r).crossJoin(t).crossJoin(c)  # one row each
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return one.select("semantic", share("r", "n").alias("topology"), share("ta", "t").alias("temporal"), (0.5 * share("v", "c") + 0.5 * share("s", "c")).alias("authorial"))
+
+
+def lexical_matches(query: str, entities: DataFrame) -> DataFrame:
+    """Rows (id, label, score) of entities (id, label, aliases, centrality) that a question names.
+
+    The lengths of the question's terms of three characters or more that the label or an alias
+    contains, repeated terms and stopwords included, plus the centrality.
+    """
+    text = F.lower(F.concat_ws(" ", "label", F.concat_ws(" ", "aliases")))
+    terms = F.filter(F.split(F.lit(query.lower()), TERM_BREAK), lambda t: F.length(t) > 2)
+    hits = F.aggregate(terms, F.lit(0), lambda a, t: a + F.when(text.contains(t), F.length(t)).otherwise(0))
+    return entities.select("id", "label", hits.alias("hits"), "centrality").where("hits > 0").select("id", "label", (F.col("hits") + F.col("centrality")).alias("score"))
+
+
+def best_match(matches: DataFrame) -> DataFrame:
+    """One row (best, score, second, error): the best match, and the best of those before it.
+
+    Matches are in order of id, and the first of equal scores is the best; second isn't the
+    runner-up of all but of the rows before the best. error is QUERY_NO_MATCH without a match.
+    """
+    top = matches.groupBy("score").agg(F.min("id").alias("id")).agg(F.max_by(F.struct("id", "score"), "score").alias("b")).select(F.col("b.id").alias("best"), F.col("b.score").alias("score"))
+    before = matches.join(F.broadcast(top.select("best")), F.col("id") < F.col("best"))  # one row
+    after = before.groupBy("score").agg(F.min("id").alias("id")).agg(F.max_by("id", "score").alias("second"))
+    return top.crossJoin(after).select("best", "score", "second", F.when(F.col("best").isNull(), "QUERY_NO_MATCH").alias("error"))  # one row each
+
+
+def dispatched(questions: DataFrame, pinned: DataFrame, staged: DataFrame) -> DataFrame:
+    """Rows (question, route, query_id): pinned, then staged by id or by text, else free.
+
+    questions: question, text; pinned: text, query_id; staged: query_id, text. Texts are compared
+    trimmed and lower-cased; of several entries the smallest id counts.
+    """
+    key = F.lower(F.trim("text"))
+    asked = questions.select("question", key.alias("key"))
+    one = pinned.groupBy(key.alias("key")).agg(F.min("query_id").alias("p"))
+    named = staged.select(F.lower("query_id").alias("key"), "query_id").unionByName(staged.select(key.alias("key"), "query_id")).groupBy("key").agg(F.min("query_id").alias("s"))
+    found = asked.join(one, "key", "left").join(named, "key", "left")
+    route = F.when(F.col("p").isNotNull(), "pinned").when(F.col("s").isNotNull(), "staged").otherwise("free")
+    return found.select("question", route.alias("route"), F.coalesce("p", "s").alias("query_id"))
+
+
+def staged_answers(staged: DataFrame, families: DataFrame) -> DataFrame:
+    """Rows (query_id, answer): the answer, and its chain in words, if it has one.
+
+    staged: query_id, gold, chain (array of subject, family, object); families: family, label.
+    """
+    steps = staged.select("query_id", F.posexplode("chain").alias("k", "c")).select("query_id", "k", "c.subject", "c.family", "c.object")
+    said = steps.join(families.select("family", "label"), "family", "left").select("query_id", F.struct("k", F.concat_ws(" ", "subject", F.coalesce("label", "family"), "object").alias("text")).alias("t"))
+    chains = said.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["text"]), "; ").alias("chain"))
+    answer = F.concat("gold", F.lit("."), F.coalesce(F.concat(F.lit(" "), F.col("c.chain"), F.lit(".")), F.lit("")))
+    return staged.alias("s").join(chains.alias("c"), "query_id", "left").select("query_id", answer.alias("answer"))
+
+
+def staged_seeds(staged: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (query_id, id): ends of the gold edges, and the gold nodes that are no passages."""
+    gold = staged.select("query_id", F.explode("gold_edge_ids").alias("id")).join(edges.select("id", "from_id", "to_id"), "id")
+    ends = gold.select("query_id", F.explode(F.array("from_id", "to_id")).alias("id"))
+    named = staged.select("query_id", F.explode("gold_node_ids").alias("id")).join(nodes.where("kind <> 'passage'").select("id"), "id", "left_semi")
+    return ends.unionByName(named.select("query_id", "id")).distinct()
+
+
+def candidate_nodes(path: DataFrame, seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (id, kind, on_path, centrality): what an answer may admit, in order of admission.
+
+    Nodes of the path (from_id, to_id), seeds (id), and neighbours of the path's nodes by edges
+    that aren't quarantined; entities, and assets that are on the path.
+    """
+    from .graph import incidence
+
+    own = path.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    near = incidence(edges.where("NOT quarantined").select("id", "from_id", "to_id")).join(own, "id", "left_semi").select(F.col("other").alias("id"))
+    ids = own.unionByName(seeds.select("id")).unionByName(near).distinct().join(own.withColumn("__on", F.lit(True)), "id", "left")
+    rows = ids.join(nodes, "id").select("id", "kind", F.coalesce("__on", F.lit(False)).alias("on_path"), "centrality")
+    return rows.where("kind = 'entity' OR kind = 'asset' AND on_path").orderBy(F.desc("on_path"), F.desc("centrality"), "id")
+
+
+def mention_links(cited: DataFrame, mentions: DataFrame, admitted: DataFrame) -> DataFrame:
+    """Rows (passage_id, entity_ids): the admitted entities that each cited passage mentions."""
+    held = mentions.select("passage_id", "id").distinct().join(admitted.select("id"), "id", "left_semi")
+    lists = held.groupBy("passage_id").agg(F.sort_array(F.collect_list("id")).alias("entity_ids"))
+    return cited.select("passage_id").distinct().join(lists, "passage_id", "left").select("passage_id", F.coalesce("entity_ids", F.array().cast("array<string>")).alias("entity_ids"))

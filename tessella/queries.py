@@ -873,3 +873,217 @@ def sign_verify_roundtrip(w):
     out = trust.signed(rows, "portable_artifact", bytes(range(32)), "2024-01-01T00:00:00+00:00")
     return out.select("vec_id", F.get_json_object("envelope", "$.payload_hash").alias("payload_hash"), trust.verified("envelope").alias("v")).select("vec_id", "payload_hash", "v.valid", "v.reason")
 
+
+# -- traces, verification, plans of answers -----------------------------------------------------
+
+
+@query(
+    """SELECT source_id, 'c' || (length(text) % 3) AS cluster_id, seq AS mention_idx, row_number() OVER (PARTITION BY source_id ORDER BY 'c' || (length(text) % 3), seq)::INT AS place
+       FROM segments WHERE seq > 0""",
+    "segments",
+)
+def mention_ledger(w):
+    """Every line as a mention, clustered by its length, in ledger order."""
+    mentions = w.segments().where("seq > 0").select("source_id", F.concat(F.lit("c"), F.length("text") % 3).alias("cluster_id"), F.col("seq").alias("mention_idx"))
+    return P.mention_ledger(mentions, w.sources())
+
+
+@query(
+    """SELECT a.answer_id, CASE WHEN count(e.source_label) = 0 THEN 'none' WHEN count(e.source_label) = count(e.answer_id) THEN 'full' ELSE 'partial' END AS coverage,
+         coalesce(bool_or(has_overlay AND seq > 0), false) AS disclosed,
+         coalesce(string_agg(cite_order || '=' || segment_id || '=' || CASE WHEN has_overlay AND seq > 0 THEN 'resolved' ELSE 'verbatim' END, ';' ORDER BY cite_order), '') AS citations
+       FROM answers a LEFT JOIN explained e ON e.answer_id = a.answer_id GROUP BY a.answer_id""",
+    "explained",
+    "answers",
+)
+def render_traces(w):
+    said = F.transform("citations", lambda c: F.concat_ws("=", c["cite_order"].cast("string"), c["segment_id"], F.when(c["verbatim"], "verbatim").otherwise("resolved")))
+    return P.render_traces(w.answers(), explained(w)).select("answer_id", "coverage", F.col("resolution_disclosure").isNotNull().alias("disclosed"), F.array_join(said, ";").alias("citations"))
+
+
+@query(
+    """, v AS (SELECT 'ans:' || doc_id * 13 AS answer_id FROM labels WHERE doc_id % 3 = 0)
+       SELECT answer_id, claim_index, verdict, '' AS markers, (SELECT count(*) FROM evidence e WHERE e.answer_id = c.answer_id AND e.claim_index = c.claim_index) AS evidence
+       FROM claims c WHERE answer_id NOT IN (SELECT answer_id FROM v)
+       UNION ALL SELECT answer_id, k::INT, CASE k WHEN 0 THEN 'supported' ELSE 'contradicted' END, CASE k WHEN 0 THEN '1,2' ELSE '' END, 1 - k FROM v, (SELECT unnest([0, 1]) AS k)""",
+    "claims",
+    "evidence",
+)
+def recorded_claims(w):
+    """Claims and how much evidence they have, once every third answer is verified anew."""
+    nested = w.table("labels").where("doc_id % 3 = 0").selectExpr(
+        "concat('ans:', doc_id * 13) AS answer_id",
+        """array(named_struct('claim_index', 0, 'verdict', 'supported', 'confidence', 1D, 'markers', array('1', '2'),
+                   'evidence', array(named_struct('rank', 1, 'segment_id', concat('seg:', doc_id, ':0'), 'score', 0.9D, 'role', 'candidate'))),
+                 named_struct('claim_index', 1, 'verdict', 'contradicted', 'confidence', 0D, 'markers', array(), 'evidence', array())) AS claims""",
+    )
+    claims, evidence = P.recorded_claims(w.claims().withColumn("markers", F.lit("")), w.evidence(), nested)
+    count = evidence.groupBy("answer_id", "claim_index").agg(F.count("*").alias("evidence"))
+    return claims.join(count, ["answer_id", "claim_index"], "left").select("answer_id", "claim_index", "verdict", "markers", F.coalesce("evidence", F.lit(0)).alias("evidence"))
+
+
+@query(
+    """SELECT 'ans:' || doc_id * 13 AS answer_id, CASE WHEN doc_id % 3 = 0 THEN '{"beta": 0.25, "tau": ' || (1 + quality) / 2.0::DOUBLE || '}' ELSE '{}' END AS thresholds,
+         CASE WHEN doc_id % 3 = 0 THEN '["cosine", "nli \\"b\\""]' ELSE '[]' END AS tiers_offered FROM labels"""
+)
+def recorded_runs(w):
+    """Verification runs, every third replaced."""
+    ids = w.table("labels").select("doc_id", "quality", F.concat(F.lit("ans:"), F.expr("doc_id * 13")).alias("answer_id"))
+    old = ids.select("answer_id", F.lit("{}").alias("thresholds"), F.lit("[]").alias("tiers_offered"))
+    new = ids.where("doc_id % 3 = 0").select("answer_id", F.expr("map('tau', (1 + quality) / 2D, 'beta', 0.25D)").alias("thresholds"), F.array(F.lit("cosine"), F.lit('nli "b"')).alias("tiers_offered"))
+    return P.recorded_runs(old, new)
+
+
+def entities(w: World) -> DataFrame:
+    """Parts and suppliers, their centrality made of their numbers."""
+    rows = w.nodes().where("id LIKE 'p:%' OR id LIKE 's:%'")
+    return rows.withColumn("aliases", F.array("id")).withColumn("centrality", F.expr("(CAST(substring(id, 3) AS LONG) * 7) % 100 / 100D"))
+
+
+_MATCH = f""", t AS (SELECT unnest(list_filter(string_split_regex(lower('{QUESTION}'), '{T.TERM_BREAK}'), lambda t: length(t) > 2)) AS t),
+    m AS (SELECT id, label, sum(length(t))::DOUBLE + any_value((substr(id, 3)::BIGINT * 7) % 100 / 100.0::DOUBLE) AS score
+          FROM nodes, t WHERE (id LIKE 'p:%' OR id LIKE 's:%') AND contains(lower(label || ' ' || id), t) GROUP BY id, label) """
+
+
+@query(_MATCH + "SELECT id, label, round(score, 6) AS score FROM m", "nodes")
+def lexical_matches(w):
+    return render.lexical_matches(QUESTION, entities(w)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    _MATCH
+    + """, b AS (SELECT id, score FROM m ORDER BY score DESC, id LIMIT 1)
+         SELECT (SELECT id FROM b) AS best, (SELECT round(score, 6) FROM b) AS score, (SELECT id FROM m WHERE id < (SELECT id FROM b) ORDER BY m.score DESC, id LIMIT 1) AS second,
+           CASE WHEN NOT EXISTS (SELECT * FROM b) THEN 'QUERY_NO_MATCH' END AS error""",
+    "nodes",
+)
+def best_match(w):
+    """What a question names, the best before it, and the error without any."""
+    return render.best_match(render.lexical_matches(QUESTION, entities(w))).withColumn("score", F.round("score", 6))
+
+
+@query(
+    """SELECT event_id AS question, CASE WHEN event_type = 'view' THEN 'pinned' WHEN event_id % 3 < 2 THEN 'staged' ELSE 'free' END AS route,
+         CASE WHEN event_type = 'view' THEN 'q:view' WHEN event_id % 3 < 2 THEN 'Q:' || user_id END AS query_id FROM events"""
+)
+def dispatched(w):
+    """Events as questions: one kind is pinned, others name a staged question by id or by text."""
+    e = w.table("events")
+    text = F.expr("CASE WHEN event_type = 'view' THEN ' View ' WHEN event_id % 3 = 0 THEN concat('q:', user_id) WHEN event_id % 3 = 1 THEN concat('What of ', user_id, '?') ELSE concat('free ', event_id) END")
+    staged = e.select(F.concat(F.lit("Q:"), "user_id").alias("query_id"), F.concat(F.lit("what of "), "user_id", F.lit("?")).alias("text")).distinct()
+    pinned = w.spark.createDataFrame([("view", "q:view")], "text string, query_id string")
+    return render.dispatched(e.select(F.col("event_id").alias("question"), text.alias("text")), pinned, staged)
+
+
+def staged(w: World) -> DataFrame:
+    """A staged question for each order: its passages' chain, and its edges and nodes."""
+    p = w.passages().select(F.col("parent_id").alias("query_id"), F.struct("seq", F.col("supplier").alias("subject"), F.lit("supplies").alias("family"), F.col("part").alias("object")).alias("c"), "id", F.expr("concat('x:', substring(parent_id, 3), '-', substring(part, 3), '-', substring(supplier, 3))").alias("e"))
+    rows = p.groupBy("query_id").agg(F.sort_array(F.collect_list("c")).alias("c"), F.collect_list("e").alias("gold_edge_ids"), F.collect_list("id").alias("ids"))
+    chain = F.transform("c", lambda c: F.struct(c["subject"].alias("subject"), c["family"].alias("family"), c["object"].alias("object")))
+    return rows.select("query_id", F.concat(F.lit("Order "), "query_id").alias("gold"), chain.alias("chain"), "gold_edge_ids", F.concat("ids", F.array("query_id")).alias("gold_node_ids"))
+
+
+@query("SELECT parent_id AS query_id, 'Order ' || parent_id || '. ' || string_agg(supplier || ' delivers ' || part, '; ' ORDER BY seq) || '.' AS answer FROM passages GROUP BY parent_id", "passages")
+def staged_answers(w):
+    return render.staged_answers(staged(w), w.spark.createDataFrame([("supplies", "delivers")], "family string, label string"))
+
+
+@query("SELECT DISTINCT parent_id AS query_id, unnest([supplier, part, parent_id]) AS id FROM passages", "passages")
+def staged_seeds(w):
+    return render.staged_seeds(staged(w), w.edges(), w.nodes())
+
+
+@query(
+    """, own AS (SELECT DISTINCT unnest([from_id, to_id]) AS id FROM edges WHERE asset_id = 'o:7'),
+       ids AS (SELECT id FROM own UNION SELECT 's:1' UNION SELECT 'o:7' UNION SELECT to_id FROM edges WHERE NOT quarantined AND from_id IN (SELECT id FROM own)
+               UNION SELECT from_id FROM edges WHERE NOT quarantined AND to_id IN (SELECT id FROM own))
+       SELECT id, kind, id IN (SELECT id FROM own) AS on_path FROM ids JOIN nodes USING (id) WHERE kind = 'entity'""",
+    "edges",
+    "nodes",
+)
+def candidate_nodes(w):
+    """What the answer of one order may admit; the order itself isn't on the path and is left out."""
+    seeds = w.spark.createDataFrame([("s:1",), ("o:7",)], "id string")
+    return render.candidate_nodes(w.edges().where("asset_id = 'o:7'"), seeds, w.edges(), w.nodes().withColumn("centrality", F.lit(0.5))).drop("centrality")
+
+
+@query(
+    """SELECT id AS passage_id, array_to_string(list_sort(list_filter([part, supplier], lambda x: substr(x, 3)::BIGINT % 3 = 0)), ',') AS entity_ids FROM passages""",
+    "passages",
+)
+def mention_links(w):
+    """The entities of each passage whose number three divides."""
+    p = w.passages()
+    mentions = p.select(F.col("id").alias("passage_id"), F.explode(F.array("part", "supplier")).alias("id"))
+    admitted = w.nodes().where("kind = 'entity' AND CAST(substring(id, 3) AS LONG) % 3 = 0")
+    return render.mention_links(p.select(F.col("id").alias("passage_id")), mentions, admitted).withColumn("entity_ids", F.array_join("entity_ids", ","))
+
+
+@query("""SELECT count(*) FILTER (sigma <> 'structural') AS gated, round(count(*) FILTER (quarantined) / count(*) FILTER (sigma <> 'structural')::DOUBLE, 6) AS rate FROM edges""", "edges")
+def truth_gated_rate(w):
+    return graph.truth_gated_rate(w.edges()).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT DISTINCT supplier AS id FROM passages WHERE parent_id IN (SELECT id FROM assets WHERE parent_id = 'n:1')", "passages", "assets")
+def entity_overlay(w):
+    """Suppliers and parts are entities; suppliers have their orders as places."""
+    places = w.passages().select(F.col("supplier").alias("id"), F.col("parent_id").alias("place_id"))
+    return graph.entity_overlay(entities(w), places, w.assets().where("parent_id = 'n:1'")).select("id")
+
+
+@query(
+    """, near AS (SELECT 's:1' AS id UNION SELECT to_id FROM edges WHERE NOT quarantined AND from_id = 's:1')
+       SELECT id FROM edges WHERE (from_id IN (SELECT id FROM near) OR to_id IN (SELECT id FROM near)) ORDER BY weight DESC, id LIMIT 512""",
+    "edges",
+)
+def hover_edges(w):
+    """The heaviest edges around one supplier, all nodes in view."""
+    return graph.hover_edges(written(w.edges(), "edges"), w.nodes().select("id"), "s:1").select("id")
+
+
+@query(
+    """, o AS (SELECT id FROM assets WHERE parent_id = 'n:3'),
+       ev AS (SELECT "at", id, 'boundary' AS event FROM assets WHERE parent_id = 'n:3'
+              UNION ALL SELECT "at", id, family FROM edges WHERE sigma IN ('temporal', 'episodic') AND NOT quarantined AND asset_id IN (SELECT id FROM o)),
+       f AS (SELECT * FROM ev WHERE "at" BETWEEN '1995-01-01' AND '1996-12-31')
+       SELECT *, (SELECT greatest(count(*) - 50, 0) FROM f) AS truncated FROM f ORDER BY "at", id LIMIT 50""",
+    "assets",
+    "edges",
+)
+def scoped_timeline(w):
+    """The first events of one island, and how many there are beyond."""
+    owners = w.assets().select(F.concat(F.lit("l:"), F.expr("substring(id, 3)")).alias("id"), F.col("id").alias("asset_id"))
+    return graph.scoped_timeline(w.assets(), w.edges(), owners, w.assets().where("parent_id = 'n:3'"), "1995-01-01", "1996-12-31", 50)
+
+
+@query(
+    """, d AS (SELECT b.id, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d FROM positions a, positions b WHERE a.id = 'p:11' AND b.id <> 'p:11'),
+       c AS (SELECT direction, id, d, (dx * ax + dy * ay) / d AS cos FROM d, (VALUES ('up', 0, 1), ('down', 0, -1), ('left', -1, 0), ('right', 1, 0)) v(direction, ax, ay) WHERE d > 0)
+       SELECT direction, arg_min(id, (d / (cos * cos), id)) AS id FROM c WHERE cos > 0.5000000000000001 GROUP BY direction""",
+    "positions",
+)
+def nearest_in_direction(w):
+    return A.nearest_in_direction(w.positions(), "p:11").select("direction", "id")
+
+
+@query("SELECT id FROM positions WHERE abs(x - 400) <= 300 / 2 * 0.88 AND abs(y - 300) <= 200 / 2 * 0.88", "positions")
+def inside_frustum(w):
+    return w.positions().where(A.inside_frustum(F.col("x"), F.col("y"), (400, 300, 300, 200))).select("id")
+
+
+@query("SELECT id AS edge_id, len(evidence) AS attached, CASE WHEN substr(asset_id, 3)::BIGINT % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS admitted FROM edges", "edges")
+def hop_evidence(w):
+    """Every edge as a step; every third order's passage is cited."""
+    cited = w.assets().where("CAST(substring(id, 3) AS LONG) % 3 = 0").select(F.concat(F.lit("l:"), F.expr("substring(id, 3)")).alias("passage_id"))
+    return A.hop_evidence(w.edges().withColumnRenamed("id", "edge_id"), cited).withColumn("attached", F.col("attached").cast("long"))
+
+
+@query(
+    """SELECT evidence[1] AS passage_id, from_id FROM edges UNION ALL SELECT 'none:' || n_nationkey, 's:1' FROM nation WHERE n_nationkey % 2 = 0""",
+    "edges",
+)
+def citation_edges(w):
+    """Every order's passage on the subjects of its edges; some passages of no step on a bridge."""
+    own = w.assets().select(F.concat(F.lit("l:"), F.expr("substring(id, 3)")).alias("passage_id"), F.lit(False).alias("bridged"))
+    other = w.table("nation").select(F.concat(F.lit("none:"), "n_nationkey").alias("passage_id"), F.expr("n_nationkey % 2 = 0").alias("bridged"))
+    return A.citation_edges(own.unionByName(other), w.edges(), "s:1")

@@ -316,3 +316,44 @@ def test_principal_axes_are_the_dense_ones(spark):
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(2)])
     want = {str(i): tuple(x) for i, x in enumerate(u @ axes)}
     assert all((r.px, r.py) == pytest.approx(want[r.id]) for r in got.collect())
+
+
+def test_matches_traces_and_runs_without_rows(spark):
+    none = spark.createDataFrame([], "id string, label string, aliases array<string>, centrality double")
+    assert tuple(render.best_match(render.lexical_matches("steel pipe", none)).first()) == (None, None, None, "QUERY_NO_MATCH")
+    some = spark.createDataFrame([("a", "Steel", None, 0.1), ("b", "steel", ["pipe"], 0.2), ("c", "Steel pipe", [], 0.2), ("d", "of", None, 0.9)], none.schema)
+    got = render.best_match(render.lexical_matches("steel pipe of steel", some)).first()
+    assert (got.best, round(got.score, 6), got.second, got.error) == ("b", 14.2, "a", None)
+    runs = spark.createDataFrame([("a", "{}", "[]"), ("b", "{}", "[]")], "answer_id string, thresholds string, tiers_offered string")
+    new = spark.createDataFrame([("b", {"z": 1.0, "a": None}, ["x"]), ("c", None, None)], "answer_id string, thresholds map<string,double>, tiers_offered array<string>")
+    assert sorted(map(tuple, provenance.recorded_runs(runs, new).collect())) == [("a", "{}", "[]"), ("b", '{"a": null, "z": 1.0}', '["x"]'), ("c", "{}", "[]")]
+    explained = spark.createDataFrame([("a", 1, "s", "q", None, None, "h", None)], "answer_id string, cite_order int, segment_id string, evidence_snippet string, source_label string, seq int, content_hash string, has_overlay boolean")
+    traces = {r.answer_id: (r.coverage, len(r.citations), r.resolution_disclosure) for r in provenance.render_traces(runs, explained).collect()}
+    assert traces == {"a": ("none", 1, None), "b": ("none", 0, None)}
+
+
+def test_verdicts_of_an_answer_without_claims_go(spark):
+    claims = spark.createDataFrame([("a", 0, "supported"), ("b", 0, "supported")], "answer_id string, claim_index int, verdict string")
+    evidence = spark.createDataFrame([("a", 0, "s", 1)], "answer_id string, claim_index int, segment_id string, rank int")
+    nested = spark.createDataFrame([("a", [])], "answer_id string, claims array<struct<claim_index:int,verdict:string,evidence:array<struct<segment_id:string,rank:int>>>>")
+    left, cited = provenance.recorded_claims(claims, evidence, nested)
+    assert [r.answer_id for r in left.collect()] == ["b"] and cited.count() == 0
+
+
+def test_candidates_hold_assets_of_the_path_only(spark):
+    path = spark.createDataFrame([("a", "x")], "from_id string, to_id string")
+    nodes = spark.createDataFrame([("a", "entity", 0.1), ("b", "entity", 0.9), ("c", "entity", 0.5), ("x", "asset", 0.0), ("y", "asset", 1.0), ("p", "passage", 1.0)], "id string, kind string, centrality double")
+    e = edges(spark, [("1", "a", "b", 1.0, 1.0, [], False), ("2", "a", "y", 1.0, 1.0, [], False), ("3", "c", "x", 1.0, 1.0, [], True), ("4", "p", "a", 1.0, 1.0, [], False)])
+    seeds = spark.createDataFrame([("c",), ("missing",)], "id string")
+    assert [(r.id, r.on_path) for r in render.candidate_nodes(path, seeds, e, nodes).collect()] == [("a", True), ("x", True), ("b", False), ("c", False)]
+
+
+def test_steps_citations_and_directions(spark):
+    path = spark.createDataFrame([("1", "a", ["p", "q", "q"]), ("2", "b", None), ("3", "c", ["p"])], "edge_id string, from_id string, evidence array<string>")
+    cited = spark.createDataFrame([("p", False), ("z", True), ("w", False)], "passage_id string, bridged boolean")
+    assert sorted(map(tuple, answers.hop_evidence(path, cited).collect())) == [("1", 3, 1), ("2", 0, 0), ("3", 1, 1)]
+    assert sorted(map(tuple, answers.citation_edges(cited, path, "m").collect())) == [("p", "a"), ("p", "c"), ("z", "m")]
+    assert answers.citation_edges(cited, path).count() == 2
+    at = spark.createDataFrame([("o", 0.0, 0.0), ("same", 0.0, 0.0), ("n", 0.0, 5.0), ("ne", 1.0, 2.0), ("e", 3.0, 0.0)], "id string, x double, y double")
+    assert {r.direction: r.id for r in answers.nearest_in_direction(at, "o").collect()} == {"up": "ne", "right": "e"}
+    assert graph.truth_gated_rate(edges(spark, CHAIN).limit(0).withColumn("at", F.lit(""))).first().rate == 0.0

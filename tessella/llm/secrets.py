@@ -14,7 +14,8 @@ Each is compared with what random characters give (the token has to pass all thr
 ``GATE``) and the first two with what written language gives: the p-value is the larger of the
 two probabilities that a text token looks as random as this one. Both narrow with n, so that a
 short token needs more. A Benjamini-Hochberg threshold over all tokens of the corpus, weighted
-by length, then bounds the share of false finds. It is read off a histogram of fixed size.
+by length, then bounds the share of false finds; weights are taken relative to their mean over
+all tokens. The threshold is read off a histogram of fixed size.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ GATE = 1e-3
 _TEXT_CHANGES = 0.12
 #: Sum of squared character frequencies in written text.
 _TEXT_SQUARES = 0.07
+#: A token's weight is its length, up to _LONGEST; p-values are stated for the weight _UNIT.
+_LONGEST, _UNIT = 128, 32
 #: Bins a power of ten of the p-values' histogram, and the powers it spans.
 _STEPS, _POWERS = 50, 40
 
@@ -104,7 +107,7 @@ def spans(text: Column, pattern: str, found: Column) -> Column:
 
 
 def _battery(tokens: Column) -> Column:
-    """array<struct<s, e, p>>: the p-value of each token, 1 where the battery rules it out."""
+    """array<struct<s, e, p, w>>: each token's p-value at weight ``_UNIT`` and its weight w; p is 1 where the battery rules it out."""
 
     def encoding(t: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -179,18 +182,19 @@ def _battery(tokens: Column) -> Column:
         as_runs = _upper_tail((c["changes"] - (n - 1) * _TEXT_CHANGES - 0.5) / F.sqrt((n - 1) * _TEXT_CHANGES * (1 - _TEXT_CHANGES)))
         fit = (chance >= GATE) & (runs >= GATE) & (apart >= GATE)
         # weight: a token's share of the error grows with its length
-        return F.when(fit, F.least(F.lit(1.0), F.greatest(as_text, as_runs) * 32 / F.least(n, F.lit(128.0)))).otherwise(F.lit(1.0))
+        return F.when(fit, F.least(F.lit(1.0), F.greatest(as_text, as_runs) * _UNIT / F.least(n, F.lit(float(_LONGEST))))).otherwise(F.lit(1.0))
 
-    return F.transform(summed, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), p_value(c).alias("p")))
+    return F.transform(summed, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), p_value(c).alias("p"), F.least(c["n"], F.lit(float(_LONGEST))).cast("long").alias("w")))
 
 
-def false_discovery_threshold(counts: dict[int, int], alpha: float) -> float:
+def false_discovery_threshold(counts: dict[int, int], alpha: float, weight: float | None = None) -> float:
     """The largest p-value to accept, from the number of p-values in each bin.
 
     Bin b holds p <= 10 ** (-b / _STEPS); a bin is accepted whole, by its upper end, so the
-    bound on false finds holds as for sorted p-values.
+    bound on false finds holds as for sorted p-values. ``weight`` is the sum of the weights that
+    the p-values were divided by; without it each has weight 1.
     """
-    total, seen, best = sum(counts.values()), 0, 0.0
+    total, seen, best = sum(counts.values()) if weight is None else weight, 0, 0.0
     for b in sorted(counts, reverse=True):
         seen += counts[b]
         upper = 10.0 ** (-b / _STEPS)
@@ -243,8 +247,8 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01, id_col: str = "doc_id", t
         "secrets",
     )
     power = F.floor(-F.log10(F.greatest(F.col("t.p"), F.lit(10.0**-_POWERS))) * _STEPS).cast("int")
-    bins = scanned.select(F.explode("tested").alias("t")).groupBy(power.alias("b")).count().collect()  # at most _STEPS * _POWERS + 1 rows
-    limit = false_discovery_threshold({r["b"]: r["count"] for r in bins}, alpha)
+    bins = scanned.select(F.explode("tested").alias("t")).groupBy(power.alias("b")).agg(F.count("*").alias("n"), F.sum("t.w").alias("w")).collect()  # at most _STEPS * _POWERS + 1 rows
+    limit = false_discovery_threshold({r["b"]: r["n"] for r in bins}, alpha, sum(r["w"] for r in bins) / _UNIT)
     random = F.transform(
         F.filter("tested", lambda c: c["p"] <= F.lit(limit)),
         lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.lit("random").alias("k"), F.lit(len(BASE)).alias("o")),

@@ -16,12 +16,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session sets none (tests on one machine), a temporary folder is made once for
-    the application; a cluster must set it.
+    Where a session on one machine sets none (tests), a temporary folder is made once for the
+    application; on a cluster that raises ValueError.
     """
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         path = _OWN.setdefault(context.applicationId, "")
         if not path:
             path = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessella-")

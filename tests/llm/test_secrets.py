@@ -1,6 +1,8 @@
 import base64
+import math
 import random
 import re
+from collections import Counter
 
 from cases import frame, row, texts
 from tessella.llm import secrets
@@ -49,8 +51,6 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
 def test_false_discovery_threshold_is_the_step_up_rule():
     r = random.Random(1)
     p = [10 ** (-r.uniform(0, 8)) for _ in range(50)] + [r.random() for _ in range(200)]
-    import math
-
     bins = {}
     for x in p:
         b = math.floor(-math.log10(x) * secrets._STEPS)
@@ -60,6 +60,54 @@ def test_false_discovery_threshold_is_the_step_up_rule():
     exact = max([x for i, x in enumerate(ranked) if x * len(p) <= 0.05 * (i + 1)], default=0)
     assert exact * 10 ** (-1 / secrets._STEPS) <= limit <= exact * 10 ** (1 / secrets._STEPS)
     assert secrets.false_discovery_threshold({}, 0.05) == 0
+    assert secrets.false_discovery_threshold(bins, 0.05, 2.0 * len(p)) == secrets.false_discovery_threshold(bins, 0.025)
+
+
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def plain_p(t):
+    """The battery's p-value of one token before weighting, or None where no encoding fits."""
+    kind = next((k for k, (pattern, _) in secrets.ENCODINGS.items() if re.search(pattern, t)), None)
+    if kind is None:
+        return None
+    alphabet = secrets.ENCODINGS[kind][1]
+    v = [alphabet.index(c) + 1 for c in (t.lower() if kind == "base36" else t)]
+    sort = lambda c: (c.isdigit(), c.isupper(), c.islower())
+    n, m, changes = len(v), len(alphabet), sum(sort(a) != sort(b) for a, b in zip(t, t[1:]))
+    rate = 1 - sum((k / m) ** 2 for k in Counter(map(sort, alphabet)).values())
+    chi2 = sum((v.count(x) - n / m) ** 2 / (n / m) for x in range(1, m + 1))
+    cube = 2 / (9 * (m - 1))
+    chance = tail(((chi2 / (m - 1)) ** (1 / 3) - (1 - cube)) / math.sqrt(cube))
+    runs = 2 * tail(abs(changes - (n - 1) * rate) / math.sqrt((n - 1) * rate * (1 - rate)))
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:] + v[:1])) / spread if spread else 1.0
+    apart = 2 * tail(abs(serial + 1 / (n - 1)) * math.sqrt(n))
+    excess = max(m * secrets._TEXT_SQUARES - 1, 0.25) * (n - 1)
+    c = secrets._TEXT_CHANGES
+    as_text = tail((m - 1 + excess - chi2) / math.sqrt(2 * (m - 1) + 4 * excess))
+    as_runs = tail((changes - (n - 1) * c - 0.5) / math.sqrt((n - 1) * c * (1 - c)))
+    return max(as_text, as_runs) if min(chance, runs, apart) >= secrets.GATE else 1.0
+
+
+def test_random_spans_are_those_of_the_plain_battery(spark):
+    r = random.Random(11)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", secrets.ENCODINGS["base64"][1], secrets.ENCODINGS["base64url"][1]]
+    tokens = ["".join(r.choice(a) for _ in range(r.randint(20, 200))) for a in alphabets for _ in range(30)]
+    tokens += ["".join(r.choice(["red", "Sky", "path", "2", "/", "home", "X"]) for _ in range(r.randint(12, 40))) for _ in range(60)]
+    tokens = [t for t in tokens if re.fullmatch(secrets.TOKEN, t) and not base(t)]
+    p = {i: x for i, x in ((i, plain_p(t)) for i, t in enumerate(tokens)) if x is not None}
+    weight = {i: min(len(tokens[i]), 128) for i in p}
+    mean = sum(weight.values()) / len(weight)
+    shared = {i: min(1.0, p[i] / (weight[i] / mean)) for i in p}
+    limit = max([x for k, x in enumerate(sorted(shared.values())) if x * len(p) <= 0.01 * (k + 1)], default=0)
+    step = 10 ** (1.5 / secrets._STEPS)  # the histogram's bins, and the tail's approximation
+    got = {x.doc_id: [(c.k, c.s, c.e) for c in x.found] for x in secrets.find_secrets(frame(spark, [row(i, f"é {t} .") for i, t in enumerate(tokens)])).collect()}
+    sure, never = {i for i in p if shared[i] * step <= limit}, {i for i in range(len(tokens)) if shared.get(i, 1) > limit * step}
+    assert len(sure) > 60 and len(never) > 60
+    assert all(got[i] == [("random", 2, 2 + len(tokens[i]))] for i in sure) and not any(got[i] for i in never)
 
 
 def test_masks(spark):

@@ -1,7 +1,10 @@
+import bisect
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from cases import frame, row, texts
 from tessella.llm import sharding
@@ -36,6 +39,34 @@ def test_flow_is_clockwise_to_the_next_with_room():
     assert sorted((s, slot) for c, a, b, s, first in moves for slot in range(first, first + b - a)) == [(s, i) for s in range(3) for i in range(2)]
 
 
+def walked(keys, shards, nodes, room):
+    """{key: (shard, slot)}: every key walks the ring on its own, one virtual node a step."""
+    positions, owner = sharding.ring(shards, nodes)
+    n, used, place, waiting = len(owner), [0] * shards, {}, sorted(keys)
+    while waiting:
+        asks = {}
+        for key in waiting:
+            arc = bisect.bisect_left(positions, key[0]) % n
+            steps = next(j for j in range(n) if used[owner[(arc + j) % n]] < room[owner[(arc + j) % n]])
+            asks.setdefault(owner[(arc + steps) % n], []).append((steps, arc, key[1] % sharding.PARTS, key))
+        for shard, asking in asks.items():
+            for *_, key in sorted(asking)[: room[shard] - used[shard]]:
+                place[key] = (shard, used[shard])
+                used[shard] += 1
+        waiting = [key for key in waiting if key not in place]
+    return place
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.1])
+def test_equals_a_walk_of_each_key(spark, slack):
+    rows = [row(d if d % 5 else 7, f"text {d}") for d in range(700)]  # one id holds a fifth of the rows
+    docs = frame(spark, rows)
+    keys = docs.select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("c"), F.xxhash64("doc_id").alias("k"), F.xxhash64(F.encode("text", "UTF-8")).alias("s")).collect()
+    want = walked([(x.k, x.s, x.doc_id, x.c) for x in keys], 24, 8, sharding.capacities(len(rows), 24, slack))
+    got = sharding.shard_rows(docs, 24, nodes=8, slack=slack).collect()
+    assert {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in got} == {(d, c): place for (_, _, d, c), place in want.items()}
+
+
 def test_written_shards(spark, tmp_path):
     rows = [row(d, f"text {d}") for d in range(50)]
     sharding.write_shards(frame(spark, rows), str(tmp_path / "out"), 4)

@@ -11,10 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where none is set, one machine's temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where none is set, a local master's temporary folder."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         path = _OWN.setdefault(context.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         _OWN[context.applicationId] = path
     return path.rstrip("/")

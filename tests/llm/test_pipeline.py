@@ -9,6 +9,7 @@ import tiktoken
 
 import corpus_pipeline
 from brute import near_duplicates, words
+from cases import frame, texts
 from test_rules import counts
 from test_secrets import base
 
@@ -69,3 +70,20 @@ def test_tokens_are_the_librarys(steps):
     library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = sorted((r.doc_id, library.encode_ordinary(r.text)) for r in steps[4].collect())
     assert sorted((r.doc_id, r.ids) for r in steps[5].collect()) == want
+
+
+@pytest.mark.parametrize("rows", [texts(), []], ids=["edge cases", "empty table"])
+def test_stages_take_nulls_repeats_and_clashing_names(spark, sf, rows):
+    docs = frame(spark, rows)
+    key = lambda r: str(tuple(r))
+    given = sorted(map(key, docs.collect()))
+    apply = {name: stage(spark, docs, sf) for name, stage in corpus_pipeline.STAGES}
+    assert all(x.schema.simpleString() == docs.schema.simpleString() for name, x in apply.items() if name != "tokens")
+    out = {name: x.collect() for name, x in apply.items()}
+    assert not Counter(map(key, out["quality rules"])) - Counter(given)
+    assert not Counter(map(key, out["near-duplicates"])) - Counter(given)
+    wordless = lambda found: sum(not words(r.text) for r in found)
+    assert wordless(out["near-duplicates"]) == sum(not words(t[1]) for t in rows) and wordless(out["mixing"]) == 0
+    assert sorted(map(key, out["secret scan"])) == given  # these texts hold none
+    ids = [r for r in out["tokens"] if r.n_tokens == 0]
+    assert len(out["tokens"]) == len(rows) and len(ids) == sum(not t[1] for t in rows)

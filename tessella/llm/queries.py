@@ -10,11 +10,14 @@ from .fmindex import remove_repeated_words
 from .kdtree import top_inner_products
 from .minhash import near_duplicates
 from .mixing import mix
+from .negatives import hard_negatives
+from .quantize import product_codes
 from .rules import judge
 from .secrets import find_secrets, joined
 from .sharding import shard_rows
 from .suffixes import remove_repeated_bytes
 from .tables import new_folder
+from .toxicity import toxicity
 from .warc import read_warc, write_warc
 
 
@@ -97,6 +100,24 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: the noisy-or of sentence scores learned from document labels."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by four codebooks of 256 entries after four rounds."""
+    coded = product_codes(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every hundredth vector; labels of every seventh are moved by one."""
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), "vec_id % 100 = 0")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
@@ -108,8 +129,53 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_fmindex": op9_fmindex,
     "op10_suffixes": op10_suffixes,
+    "op11_toxicity": op11_toxicity,
+    "op12_codes": op12_codes,
+    "op13_negatives": op13_negatives,
 }
 
+_DISTANCE = "list_sum(list_transform(list_zip(x.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds one after the other, each a join of all parts with all entries."""
+
+    def nearest(k: int) -> str:
+        return f"""n{k} AS MATERIALIZED (
+            SELECT x.vec_id, x.p, x.y, arg_min(b.j, ({_DISTANCE}, b.j)) AS j, min({_DISTANCE}) AS dist
+            FROM x JOIN b{k} b ON x.p = b.p GROUP BY ALL
+        )"""
+
+    def moved(k: int) -> str:
+        return f"""b{k + 1} AS MATERIALIZED (
+            SELECT b.p, b.j, coalesce(m.y, b.y) AS y
+            FROM b{k} b LEFT JOIN (
+                SELECT p, j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS y
+                FROM (SELECT p, j, i, count(*)::HUGEINT AS n, sum(c)::HUGEINT AS s
+                      FROM (SELECT p, j, unnest(y) AS c, generate_subscripts(y, 1) AS i FROM n{k}) GROUP BY ALL)
+                GROUP BY p, j
+            ) m ON b.p = m.p AND b.j = m.j
+        )"""
+
+    steps = ", ".join([f"{nearest(k)}, {moved(k)}" for k in range(rounds)] + [nearest(rounds)])
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), x AS MATERIALIZED (
+            SELECT vec_id, p::INT AS p, q[p * len(q) // 4 + 1 : (p + 1) * len(q) // 4] AS y FROM v, range(4) t(p)
+        ), b0 AS MATERIALIZED (
+            SELECT p, (row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1)::INT AS j, y FROM x QUALIFY j < 256
+        ), {steps}, c AS (
+            SELECT v.vec_id, v.label, string_agg(printf('%02x', n.j), '' ORDER BY n.p) AS code, sum(n.dist)::BIGINT AS error
+            FROM v JOIN n{rounds} n ON v.vec_id = n.vec_id GROUP BY ALL
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, j)) FROM b{rounds}) AS codebooks_sha256
+        FROM c
+    """
+
+
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -142,4 +208,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_codes": _codes_sql(),
+    "op13_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b, a.y = b.y AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+        ), p AS (
+            SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+        ), n AS (
+            SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INT AS rank
+            FROM p JOIN s ON p.a = s.a AND NOT s.same
+            WHERE 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
 }

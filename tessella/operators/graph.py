@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Fixed values.
 EDGE_CAP, BUNDLE_CAP, EXEMPLARS, CONFIDENCE_FLOOR = 512, 256, 2, 0.55
 QUARANTINE_REASONS = (
@@ -175,9 +177,13 @@ def reading_fiber(passages: DataFrame) -> DataFrame:
 
 
 def session_fiber(sessions: DataFrame) -> DataFrame:
-    """Rows (from_id, to_id, family): sessions of a region linked by date, both ways; (id, region, at) in."""
-    w = Window.partitionBy("region").orderBy("at", "id")
-    near = sessions.select("id", F.lead("id").over(w).alias("next")).where("next IS NOT NULL")
+    """Rows (from_id, to_id, family): sessions of a region linked by date, both ways; (id, region, at) in.
+
+    Neighbours meet by their rank over all sessions, so that a region may have any number.
+    """
+    from .topology import followed
+
+    near = written(followed(sessions, "region", "at"), "fiber")
     return near.select(F.col("next").alias("from_id"), F.col("id").alias("to_id"), F.lit("_session_follows").alias("family")).unionByName(
         near.select(F.col("id").alias("from_id"), F.col("next").alias("to_id"), F.lit("_session_precedes").alias("family"))
     )

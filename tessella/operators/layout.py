@@ -92,12 +92,13 @@ def community_spread(positions: DataFrame) -> DataFrame:
 def content_hash(lines: DataFrame, column: str = "line") -> DataFrame:
     """One row: a hash of all lines whatever their order, for telling states apart.
 
-    Lines are hashed where they are, and a sorted hash of hashed prefixes' hashes is taken, so
-    that no task holds all lines: 4096 groups by the first three hex digits, then their digests.
+    The hash is additive: the four 64-bit words of the lines' SHA-256 are summed, which every
+    task does for its own lines, and the sums and the number of lines are hashed.
     """
-    hashed = lines.select(F.sha2(F.col(column), 256).alias("h"))
-    per = hashed.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"))
-    return per.agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("p", "d"))), ""), 256), 1, 16).alias("bake_id"))
+    h = F.sha2(F.col(column), 256)
+    words = [F.sum(F.conv(F.substring(h, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")) for i in range(4)]
+    sums = lines.agg(F.concat_ws(",", F.count(column).cast("string"), *[F.coalesce(w, F.lit(0)).cast("string") for w in words]).alias("s"))
+    return sums.select(F.substring(F.sha2("s", 256), 1, 16).alias("bake_id"))
 
 
 def purity(positions: DataFrame, radius: float) -> DataFrame:

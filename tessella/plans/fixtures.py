@@ -154,6 +154,123 @@ class World:
             F.expr("concat('n:', p_partkey % 25)").alias("community"),
         )
 
+    def trade_edges(self) -> DataFrame:
+        """supplies edges, and bought edges from the parts of an order to its customer."""
+        bought = self.table("lineitem").select("l_orderkey", "l_partkey").distinct().join(self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+        bought = bought.select(
+            F.concat(F.lit("b:"), F.concat_ws("-", "l_orderkey", "l_partkey")).alias("id"),
+            F.concat(F.lit("p:"), "l_partkey").alias("from_id"),
+            F.concat(F.lit("c:"), "o_custkey").alias("to_id"),
+            F.lit("bought").alias("family"),
+            F.expr("(100 - (l_orderkey * 7 + l_partkey) % 60) / 100.0D").alias("confidence"),
+            F.expr("CASE WHEN l_orderkey % 4 = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE array(concat('l:', l_orderkey)) END").alias("evidence"),
+            F.expr("l_orderkey % 9 = 0").alias("quarantined"),
+        )
+        return self.edges().select(*bought.columns).unionByName(bought)
+
+    def answer_paths(self) -> DataFrame:
+        """A path for each order: from the supplier of its first line to the customer, or part of that.
+
+        Every fifth order lists its steps backwards, every fifth has those of its first two
+        lines' suppliers instead, and every fifth ends at the part.
+        """
+        orders = self.table("orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("parent_id"), F.col("o_orderkey").alias("k"), F.concat(F.lit("c:"), "o_custkey").alias("customer"))
+        rows = self.passages().where("seq <= 1").join(orders, "parent_id")
+        supply = F.struct(F.col("seq").alias("step"), F.expr("concat('x:', k, '-', substring(part, 3), '-', substring(supplier, 3))").alias("edge_id"), F.col("supplier").alias("from_id"), F.col("part").alias("to_id"))
+        buy = F.struct(F.expr("CASE WHEN k % 5 = 2 THEN -1 ELSE 1 END").alias("step"), F.expr("concat('b:', k, '-', substring(part, 3))").alias("edge_id"), F.col("part").alias("from_id"), F.col("customer").alias("to_id"))
+        steps = F.when(F.expr("k % 5 = 3"), F.array(supply)).when(F.expr("seq > 0"), F.array().cast("array<struct<step:int,edge_id:string,from_id:string,to_id:string>>")).when(F.expr("k % 5 = 4"), F.array(supply)).otherwise(F.array(supply, buy))
+        return rows.select(F.col("parent_id").alias("path_id"), F.inline(steps))
+
+    def layout_nodes(self) -> DataFrame:
+        """Nodes of all kinds with their place among siblings; only islands have a community of their own.
+
+        Passages are held by orders, orders and entities by islands, sources and parts by nothing.
+        """
+        n = self.nodes().select("id", "kind", "parent_id", F.when(F.col("kind") == "island", F.col("id")).alias("community"), F.expr("CASE WHEN kind IN ('asset', 'entity') THEN CAST(substring(id, 3) AS INT) ELSE 0 END").alias("place"))
+        p = self.passages().select("id", F.lit("passage").alias("kind"), "parent_id", F.lit(None).cast("string").alias("community"), F.col("seq").alias("place"))
+        s = self.assets().select(F.expr("concat('src:', substring(id, 3))").alias("id"), F.lit("source").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("community"), F.lit(0).alias("place"))
+        return n.unionByName(p).unionByName(s).withColumn("centrality", F.expr("CASE WHEN place % 10 = 9 THEN 1.5D ELSE place % 10 / 10D END"))
+
+    def layout_links(self) -> tuple[DataFrame, DataFrame]:
+        """(mentions, attachments): passages of parts and suppliers; orders of suppliers and of their own sources."""
+        p = self.passages()
+        mentions = p.select(F.explode(F.array("part", "supplier")).alias("id"), F.col("id").alias("passage_id"))
+        held = p.select(F.col("supplier").alias("id"), F.col("parent_id").alias("asset_id")).distinct()
+        return mentions, held.unionByName(self.assets().select(F.expr("concat('src:', substring(id, 3))").alias("id"), F.col("id").alias("asset_id")))
+
+    # -- a world with faults --------------------------------------------------------------------
+
+    def line_texts(self) -> DataFrame:
+        """Passages with the number of their order and a sentence of their own."""
+        s = self.table("supplier").select(F.concat(F.lit("s:"), "s_suppkey").alias("supplier"), "s_name")
+        p = self.table("part").select(F.concat(F.lit("p:"), "p_partkey").alias("part"), "p_name")
+        rows = self.passages().join(s, "supplier").join(p, "part")
+        return rows.select("id", "parent_id", "seq", "part", "supplier", F.expr("CAST(substring(parent_id, 3) AS LONG)").alias("k"), F.concat("s_name", F.lit(" supplies "), "p_name", F.lit(".")).alias("v"))
+
+    def faulty(self) -> dict[str, DataFrame]:
+        """Orders as sources, assets and passages; a few of them break an invariant each."""
+        from pyspark.sql import Window
+
+        lines = self.line_texts()
+        either = lambda when, bad, good: F.expr(f"CASE WHEN {when} THEN {bad} ELSE {good} END")
+        digest = lambda c: f"concat('sha256:', substring(sha2({c}, 256), 1, 32))"
+        texts = lines.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "v"))), lambda x: x["v"]), "\n").alias("text"))
+        sources = texts.select(
+            F.expr("concat('src:', k)").alias("id"), "text", either("k % 397 = 1", "'sha256:bad'", digest("text")).alias("content_hash"), either("k % 409 = 3", "1", "0").alias("seq"), either("k % 401 = 2", "'summary'", "'verbatim'").alias("kind")
+        )
+        before = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        placed = lines.withColumn("char_start", F.coalesce(F.sum(F.length("v") + 1).over(before), F.lit(0)).cast("long"))
+        told = "CASE WHEN seq % 5 <> 4 AND k % 439 = 8 THEN concat(v, '!') WHEN seq % 5 = 4 AND k % 41 <> 9 THEN replace(v, 'supplies', 'ships') ELSE v END"
+        passages = placed.select(
+            "id",
+            either("k % 419 = 4", "'o:gone'", "parent_id").alias("parent_id"),
+            either("k % 421 = 5", "'src:gone'", "concat('src:', k)").alias("source_id"),
+            F.expr(told).alias("text"),
+            either("seq % 5 = 4", "'resolved'", "'verbatim'").alias("resolution"),
+            "char_start",
+            either("k % 431 = 6 AND seq = 0", "char_start", "char_start + length(v)").alias("char_end"),
+            either("k % 433 = 7", "'sha256:bad'", digest("v")).alias("content_hash"),
+        )
+        owners = self.assets().select("id", "parent_id", F.expr("CAST(substring(id, 3) AS LONG)").alias("k"))
+        assets = owners.join(lines.select(F.col("parent_id").alias("id")).distinct(), "id", "left_semi").select("id", either("k % 449 = 10", "'n:gone'", "parent_id").alias("parent_id"), either("k % 457 = 11", "'src:gone'", "concat('src:', k)").alias("source_id"))
+        islands = self.table("nation").select(F.expr("concat('n:', n_nationkey)").alias("id"), either("n_nationkey = 24", "'r:gone'", "concat('r:', n_regionkey)").alias("parent_id"))
+        mentions = lines.select(F.explode(F.array("part", "supplier")).alias("id"), F.col("id").alias("passage_id"), F.col("parent_id").alias("asset_id"))
+        homes = mentions.join(owners.select(F.col("id").alias("asset_id"), F.col("parent_id").alias("island")), "asset_id").groupBy("id").agg(F.collect_set("island").alias("islands"))
+        named = self.nodes().where("kind = 'entity' AND (id NOT LIKE 'c:%' OR id LIKE 'c:%77')").select("id", "label", F.expr("CAST(substring(id, 3) AS LONG)").alias("k"))
+        entities = named.join(homes, "id", "left").select("id", "label", F.coalesce("islands", F.array().cast("array<string>")).alias("islands"), "k")
+        entities = entities.select("id", "label", "islands", F.expr("(size(islands) > 1) <> (k % 97 = 3)").alias("is_bridge"))
+        gated = self.edges().select("id", "quarantined", "reason").join(lines.select(F.expr("concat('x:', k, '-', substring(part, 3), '-', substring(supplier, 3))").alias("id"), "k", "seq", "part", "supplier", F.col("id").alias("passage")), "id")
+        claims = gated.select(
+            "id",
+            either("k % 461 = 12", "'s:gone'", "supplier").alias("from_id"),
+            F.col("part").alias("to_id"),
+            F.lit("supplies").alias("family"),
+            either("k % 463 = 13", "'episodic'", "'factual'").alias("sigma"),
+            either("k % 467 = 14", "'supplies'", "'supplied_by'").alias("inverse_family"),
+            "quarantined",
+            F.expr("CASE WHEN NOT quarantined THEN CASE WHEN k % 487 = 16 THEN 'inverse_conflict' END WHEN k % 59 = 15 THEN NULL WHEN k % 61 = 20 THEN 'other' ELSE reason END").alias("reason"),
+            F.expr("CASE WHEN k % 491 = 17 THEN CAST(array() AS ARRAY<STRING>) WHEN k % 499 = 18 THEN array(concat('l:', k + 1, '.0')) ELSE array(passage) END").alias("evidence"),
+        )
+        after = lines.where("seq > 0").select("k", "seq", F.col("id").alias("from_id"), F.expr("concat('l:', k, '.', seq - 1)").alias("to_id"))
+        fiber = after.select(
+            F.concat(F.lit("f:"), "from_id").alias("id"), "from_id", "to_id", F.lit("_follows").alias("family"), F.lit("structural").alias("sigma"), F.lit("_precedes").alias("inverse_family"),
+            F.expr("k % 503 = 19").alias("quarantined"), F.expr("CASE WHEN k % 503 = 19 THEN 'inverse_conflict' END").alias("reason"), F.array("from_id").alias("evidence"),
+        )
+        first = lines.where("seq = 0 AND k % 50 = 0")
+        staged = first.select(
+            F.expr("concat('q:', k)").alias("id"),
+            F.expr("CASE WHEN k % 250 = 0 THEN array(part, supplier, concat('gone:', k)) ELSE array(part, supplier) END").alias("node_ids"),
+            F.expr("array(CASE WHEN k % 350 = 0 THEN 'x:gone' ELSE concat('x:', k, '-', substring(part, 3), '-', substring(supplier, 3)) END)").alias("edge_ids"),
+        )
+        families = self.spark.createDataFrame(
+            [("supplies", "factual", "supplied_by"), ("supplied_by", "factual", "supplies"), ("_follows", "structural", "_precedes"), ("_precedes", "structural", "_follows")], "family string, sigma string, inverse string"
+        )
+        continents = self.table("region").select(F.expr("concat('r:', r_regionkey)").alias("id"))
+        return {
+            "continents": continents, "islands": islands, "assets": assets, "sources": sources, "passages": passages, "entities": entities, "mentions": mentions.select("id", "passage_id"),
+            "edges": claims.unionByName(fiber), "families": families, "staged": staged,
+        }
+
 
 CTES = {
     "sources": """SELECT 'doc:' || doc_id AS source_id, source AS source_label, '' AS source_uri, lang AS source_type,
@@ -196,6 +313,47 @@ CTES = {
         SELECT 'p:' || p_partkey, (p_partkey % 25)::INT FROM part) JOIN nation ON n_nationkey = k""",
     "passages": """SELECT 'l:' || l_orderkey || '.' || seq AS id, 'o:' || l_orderkey AS parent_id, seq, 'p:' || l_partkey AS part, 's:' || l_suppkey AS supplier FROM (
         SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY n, l_partkey, l_suppkey) - 1)::INT AS seq FROM (SELECT l_orderkey, l_partkey, l_suppkey, min(l_linenumber) AS n FROM lineitem GROUP BY ALL))""",
+    "trade_edges": """SELECT id, from_id, to_id, family, confidence, evidence, quarantined FROM edges UNION ALL
+        SELECT 'b:' || l_orderkey || '-' || l_partkey, 'p:' || l_partkey, 'c:' || o_custkey, 'bought', (100 - (l_orderkey * 7 + l_partkey) % 60) / 100.0::DOUBLE,
+        CASE WHEN l_orderkey % 4 = 0 THEN [] ELSE ['l:' || l_orderkey] END, l_orderkey % 9 = 0
+        FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey""",
+    "answer_paths": """SELECT parent_id AS path_id, step, edge_id, from_id, to_id FROM (
+            SELECT *, seq AS step, 'x:' || k || '-' || substr(part, 3) || '-' || substr(supplier, 3) AS edge_id, supplier AS from_id, part AS to_id FROM path_lines WHERE k % 5 = 3 OR seq = 0 UNION ALL
+            SELECT *, CASE WHEN k % 5 = 2 THEN -1 ELSE 1 END, 'b:' || k || '-' || substr(part, 3), part, 'c:' || o_custkey FROM path_lines WHERE k % 5 < 3 AND seq = 0)""",
+    "path_lines": "SELECT p.*, o_orderkey AS k, o_custkey FROM passages p JOIN orders ON parent_id = 'o:' || o_orderkey WHERE seq <= 1",
+    "line_texts": """SELECT id, parent_id, seq, part, supplier, substr(parent_id, 3)::BIGINT AS k, s_name || ' supplies ' || p_name || '.' AS v
+        FROM passages JOIN supplier ON supplier = 's:' || s_suppkey JOIN part ON part = 'p:' || p_partkey""",
+    "f_sources": """SELECT 'src:' || k AS id, text, CASE WHEN k % 397 = 1 THEN 'sha256:bad' ELSE 'sha256:' || sha256(text)[:32] END AS content_hash, (k % 409 = 3)::INT AS seq,
+        CASE WHEN k % 401 = 2 THEN 'summary' ELSE 'verbatim' END AS kind FROM (SELECT k, string_agg(v, chr(10) ORDER BY seq) AS text FROM line_texts GROUP BY k)""",
+    "f_passages": """SELECT id, CASE WHEN k % 419 = 4 THEN 'o:gone' ELSE parent_id END AS parent_id, CASE WHEN k % 421 = 5 THEN 'src:gone' ELSE 'src:' || k END AS source_id,
+        CASE WHEN seq % 5 <> 4 AND k % 439 = 8 THEN v || '!' WHEN seq % 5 = 4 AND k % 41 <> 9 THEN replace(v, 'supplies', 'ships') ELSE v END AS text,
+        CASE WHEN seq % 5 = 4 THEN 'resolved' ELSE 'verbatim' END AS resolution, a AS char_start, a + CASE WHEN k % 431 = 6 AND seq = 0 THEN 0 ELSE length(v) END AS char_end,
+        CASE WHEN k % 433 = 7 THEN 'sha256:bad' ELSE 'sha256:' || sha256(v)[:32] END AS content_hash
+        FROM (SELECT *, coalesce(sum(length(v) + 1) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM line_texts)""",
+    "f_assets": """SELECT id, CASE WHEN k % 449 = 10 THEN 'n:gone' ELSE parent_id END AS parent_id, CASE WHEN k % 457 = 11 THEN 'src:gone' ELSE 'src:' || k END AS source_id
+        FROM (SELECT id, parent_id, substr(id, 3)::BIGINT AS k FROM assets WHERE id IN (SELECT parent_id FROM line_texts))""",
+    "f_islands": "SELECT 'n:' || n_nationkey AS id, CASE WHEN n_nationkey = 24 THEN 'r:gone' ELSE 'r:' || n_regionkey END AS parent_id FROM nation",
+    "f_mentions": "SELECT part AS id, id AS passage_id, parent_id AS asset_id FROM line_texts UNION ALL SELECT supplier, id, parent_id FROM line_texts",
+    "f_entities": """SELECT id, label, coalesce(n, 0) AS islands, (coalesce(n, 0) > 1) <> (substr(id, 3)::BIGINT % 97 = 3) AS is_bridge FROM nodes
+        LEFT JOIN (SELECT m.id, count(DISTINCT a.parent_id) AS n FROM f_mentions m JOIN assets a ON a.id = asset_id GROUP BY ALL) USING (id) WHERE kind = 'entity' AND (id NOT LIKE 'c:%' OR id LIKE 'c:%77')""",
+    "f_edges": """SELECT e.id, CASE WHEN k % 461 = 12 THEN 's:gone' ELSE supplier END AS from_id, part AS to_id, 'supplies' AS family, CASE WHEN k % 463 = 13 THEN 'episodic' ELSE 'factual' END AS sigma,
+        CASE WHEN k % 467 = 14 THEN 'supplies' ELSE 'supplied_by' END AS inverse_family, quarantined,
+        CASE WHEN NOT quarantined THEN CASE WHEN k % 487 = 16 THEN 'inverse_conflict' END WHEN k % 59 = 15 THEN NULL WHEN k % 61 = 20 THEN 'other' ELSE reason END AS reason,
+        CASE WHEN k % 491 = 17 THEN [] WHEN k % 499 = 18 THEN ['l:' || (k + 1) || '.0'] ELSE [l.id] END AS evidence
+        FROM edges e JOIN line_texts l ON e.id = 'x:' || k || '-' || substr(part, 3) || '-' || substr(supplier, 3) UNION ALL
+        SELECT 'f:' || id, id, 'l:' || k || '.' || (seq - 1), '_follows', 'structural', '_precedes', k % 503 = 19, CASE WHEN k % 503 = 19 THEN 'inverse_conflict' END, [id] FROM line_texts WHERE seq > 0""",
+    "f_staged": """SELECT 'q:' || k AS id, CASE WHEN k % 250 = 0 THEN [part, supplier, 'gone:' || k] ELSE [part, supplier] END AS node_ids,
+        [CASE WHEN k % 350 = 0 THEN 'x:gone' ELSE 'x:' || k || '-' || substr(part, 3) || '-' || substr(supplier, 3) END] AS edge_ids FROM line_texts WHERE seq = 0 AND k % 50 = 0""",
+    "layout_nodes": """SELECT *, CASE WHEN place % 10 = 9 THEN 1.5 ELSE place % 10 / 10.0 END::DOUBLE AS centrality FROM (
+        SELECT id, kind, parent_id, CASE WHEN kind = 'island' THEN id END AS community, CASE WHEN kind IN ('asset', 'entity') THEN substr(id, 3)::INT ELSE 0 END AS place FROM nodes UNION ALL
+        SELECT id, 'passage', parent_id, NULL, seq FROM passages UNION ALL SELECT 'src:' || substr(id, 3), 'source', NULL, NULL, 0 FROM assets)""",
+    "layout_links": """SELECT 'edge' AS link, from_id AS a, to_id AS b, greatest(0.02, least(1.0, weight)) * CASE WHEN quarantined THEN 0.35 ELSE 1.0 END::DOUBLE * CASE WHEN sigma = 'structural' THEN 1.15 ELSE 1.0 END::DOUBLE AS weight
+        FROM edges WHERE from_id IN (SELECT id FROM layout_nodes) AND to_id IN (SELECT id FROM layout_nodes) UNION ALL
+        SELECT 'spine', parent_id, id, 1.0::DOUBLE FROM layout_nodes WHERE parent_id IN (SELECT id FROM layout_nodes) UNION ALL
+        SELECT 'sibling', id, n, 0.9::DOUBLE FROM (SELECT id, lead(id) OVER (PARTITION BY parent_id ORDER BY place, id) AS n FROM layout_nodes WHERE parent_id IN (SELECT id FROM layout_nodes)) WHERE n IS NOT NULL UNION ALL
+        SELECT 'mention', unnest([part, supplier]), id, 0.75::DOUBLE FROM passages UNION ALL
+        SELECT 'attach', id, asset_id, 0.55::DOUBLE FROM (SELECT DISTINCT supplier AS id, parent_id AS asset_id FROM passages) WHERE asset_id IN (SELECT id FROM layout_nodes) UNION ALL
+        SELECT 'attach', 'src:' || substr(id, 3), id, 0.55::DOUBLE FROM assets""",
     "relations": "SELECT 'rel:' || vec_id AS relation, list_transform(embedding, lambda x: x::DOUBLE) AS v, label, vec_id FROM embeddings",
     "triples": "SELECT 'reg' || (vec_id + k) % 6 AS register, 'rel:' || vec_id AS relation FROM (SELECT vec_id, unnest(range(0, (vec_id % 4)::INT + 1)) AS k FROM embeddings)",
     "families": "SELECT 'fam:' || label AS family, label AS place, v FROM relations QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1",
@@ -208,6 +366,19 @@ CTES = {
 #: The views that each view is made of.
 NEEDS = {
     "ownership": ["segments"],
+    "trade_edges": ["edges"],
+    "line_texts": ["passages"],
+    "layout_nodes": ["nodes", "assets", "passages"],
+    "layout_links": ["edges", "layout_nodes", "passages", "assets"],
+    "f_sources": ["line_texts"],
+    "f_passages": ["line_texts"],
+    "f_assets": ["assets", "line_texts"],
+    "f_mentions": ["line_texts"],
+    "f_entities": ["nodes", "f_mentions", "assets"],
+    "f_edges": ["edges", "line_texts"],
+    "f_staged": ["line_texts"],
+    "path_lines": ["passages"],
+    "answer_paths": ["path_lines"],
     "explained": ["segments", "sources", "overlay", "citations"],
     "nodes": ["assets"],
     "families": ["relations"],

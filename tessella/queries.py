@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import ORACLES, QUERIES, query
 from .functions import text as T
 from .operators import answers as A
 from .operators import audit, closure, erasure, graph, layout, paths, portable, render, trust
 from .operators import provenance as P
-from .plans.fixtures import World, with_views
+from .plans.fixtures import World
 from .sources.scratch import written
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *views: str):
-    """Registers a function of a World under its name, with its SQL over the named views."""
-
-    def add(f: Callable[[World], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(World(spark, folder))
-        QUERIES[f.__name__].__doc__ = f.__doc__
-        if sql is not None:
-            ORACLES[f.__name__] = with_views(sql, *views)
-        return f
-
-    return add
-
-
 def explained(w: World) -> DataFrame:
     return P.explain_citations(w.citations(), w.segments(), w.sources(), w.overlay())
 
@@ -1087,3 +1069,8 @@ def citation_edges(w):
     own = w.assets().select(F.concat(F.lit("l:"), F.expr("substring(id, 3)")).alias("passage_id"), F.lit(False).alias("bridged"))
     other = w.table("nation").select(F.concat(F.lit("none:"), "n_nationkey").alias("passage_id"), F.expr("n_nationkey % 2 = 0").alias("bridged"))
     return A.citation_edges(own.unionByName(other), w.edges(), "s:1")
+
+
+from . import world_queries  # noqa: E402,F401  (registers its queries)
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Fixed values.
 THRESHOLD, CLUSTER_COSINE, CHUNK = 0.541, 0.60, 3200
+#: Gaps that a round of clustering settles among themselves.
+LEADERS = 1024
 
 
 def chunks(text: Column, cap: int = CHUNK) -> Column:
@@ -90,32 +94,48 @@ def coverage_total(nearest: DataFrame, stats: DataFrame, limit: float) -> DataFr
     )
 
 
-def gap_clusters(gaps: DataFrame, cosine: float = CLUSTER_COSINE) -> DataFrame:
+def _leaders(names: list[str], v: np.ndarray, cosine: float) -> tuple[dict[str, str], list[int]]:
+    """The leader of each row, in order, and which rows lead."""
+    of: dict[str, str] = {}
+    lead: list[int] = []
+    near = v @ v.T >= cosine
+    for i, name in enumerate(names):
+        first = next((j for j in lead if near[i, j]), i)
+        of[name] = names[first]
+        if first == i:
+            lead.append(i)
+    return of, lead
+
+
+def gap_clusters(gaps: DataFrame, cosine: float = CLUSTER_COSINE, block: int = LEADERS) -> DataFrame:
     """Rows (relation, leader): by falling frequency, then name, each gap joins the first cluster
     whose leader is near enough, or leads a new one.
 
-    The order makes this sequential, but only leaders matter to what follows. So rounds take
-    the next gaps in blocks: a block is matched against all leaders as one matrix product, and
-    just the rest of it is walked through. Gaps are few (relations that no family covers).
+    Rounds settle the order without walking through it: the first ``block`` gaps that no leader
+    so far is near to are led by each other, one after the other, and all gaps that are left are
+    held against these new leaders, first to last, wherever they are. Whatever is near none of
+    them waits for the next round. A round brings a block to the driver and leaders to the tasks.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaders, names = None, []
-        for b in batches:
-            v = np.array(b["v"].tolist(), np.float64).reshape(len(b), -1)
-            out = []
-            for i in range(len(b)):
-                near = np.flatnonzero(leaders @ v[i] >= cosine) if names else []
-                if len(near):
-                    out.append(names[near[0]])
-                else:
-                    leaders = v[i : i + 1] if leaders is None else np.concatenate([leaders, v[i : i + 1]])
-                    names.append(b["relation"].iloc[i])
-                    out.append(names[-1])
-            yield pd.DataFrame({"relation": b["relation"], "leader": out})
-
-    ordered = gaps.select("relation", "freq", "v").repartition(1).sortWithinPartitions(F.desc("freq"), "relation")
-    return ordered.mapInPandas(run, "relation string, leader string")
+    left, done = written(gaps.select("relation", "freq", "v"), "gaps"), None
+    while True:
+        first = left.orderBy(F.desc("freq"), "relation").limit(block).toPandas()
+        if first.empty:
+            return done if done is not None else left.select("relation", F.col("relation").alias("leader"))
+        names, v = first["relation"].tolist(), np.array(first["v"].tolist(), np.float64).reshape(len(first), -1)
+        own, lead = _leaders(names, v, cosine)
+        leaders, matrix = [names[i] for i in lead], v[lead]
+
+        def join(batches: Iterator[pd.DataFrame], own=own, leaders=leaders, matrix=matrix) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    near = np.array(b["v"].tolist(), np.float64) @ matrix.T >= cosine
+                    at = np.where(near.any(axis=1), near.argmax(axis=1), -1)
+                    yield b.assign(leader=[own.get(r) or (leaders[i] if i >= 0 else None) for r, i in zip(b["relation"], at)])
+
+        matched = written(left.mapInPandas(join, f"relation string, freq {dict(left.dtypes)['freq']}, v array<double>, leader string"), "gaps")
+        joined = matched.where("leader IS NOT NULL").select("relation", "leader")
+        done = joined if done is None else done.unionByName(joined)
+        left = matched.where("leader IS NULL").select("relation", "freq", "v")
 
 
 def extension_candidates(clusters: DataFrame, stats: DataFrame, members: int = 12) -> DataFrame:

@@ -6,9 +6,6 @@ weight, confidence, evidence (array of passage ids), quarantined, reason, at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -258,37 +255,6 @@ def first_periods(mentions: DataFrame) -> DataFrame:
     return first.select(F.col("parent_id").alias("from_id"), "to_id", F.lit("_covers_period").alias("family"))
 
 
-def detected_mentions(passages: DataFrame, labels: DataFrame, most: int = 50_000) -> DataFrame:
-    """Rows (id, label): labels that passages hold as whole words, the longest first.
-
-    A found span is blanked, so that a label inside a longer one doesn't count there. Labels are
-    a vocabulary; more than ``most`` raise.
-    """
-    known = [r.label for r in labels.select("label").distinct().limit(most + 1).collect()]
-    if len(known) > most:
-        raise ValueError(f"a vocabulary has at most {most} labels")
-    ordered = sorted((x for x in known if x), key=lambda x: (-len(x), x))
-    low = [x.lower() for x in ordered]
-
-    def find(text: str) -> list[str]:
-        rest, out = (text or "").lower(), []
-        for label, l in zip(ordered, low):
-            at = rest.find(l)
-            while at >= 0 and (at and rest[at - 1].isalnum() or rest[at + len(l) : at + len(l) + 1].isalnum()):
-                at = rest.find(l, at + 1)
-            if at >= 0:
-                out.append(label)
-                rest = rest[:at] + "\0" * len(l) + rest[at + len(l) :]
-        return out
-
-    @F.pandas_udf("array<string>")
-    def held(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(find)
-
-    return passages.select("id", F.explode(held("text")).alias("label"))
-
-
 def truth_gated_rate(edges: DataFrame) -> DataFrame:
     """One row (gated, rate): edges that the gate applies to, and the quarantined share of them."""
     report = integrity_report(edges).withColumn("gated", F.col("total") - F.col("exempt"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import ORACLES, QUERIES, query
 from .functions import text as T
 from .operators import answers as A
-from .operators import audit, closure, erasure, graph, layout, paths, portable, render, trust
+from .operators import audit, closure, detection, erasure, graph, layout, paths, portable, render, trust
 from .operators import provenance as P
 from .plans.fixtures import World
 from .sources.scratch import written
@@ -304,9 +304,19 @@ def coverage_threshold(w):
     return closure.threshold(closure.nearest_family(w.relations(), w.families()).select(F.col("best").alias("cosine")))
 
 
-@query()
+@query(
+    """RECURSIVE , g AS MATERIALIZED (SELECT relation, freq, v, row_number() OVER (ORDER BY freq DESC, relation) AS k FROM nearest JOIN stats USING (relation) JOIN relations USING (relation) WHERE best < 0.19),
+       near AS MATERIALIZED (SELECT a.k AS i, list(b.k) AS js FROM g a JOIN g b ON a.k <= b.k AND (a.k = b.k OR list_inner_product(a.v, b.v) >= 0.25) GROUP BY a.k),
+       led AS (SELECT i, js AS held FROM near WHERE i = 1 UNION ALL
+            SELECT i, list_concat(held, js) FROM (SELECT held, list_filter(range(1, (SELECT count(*) + 1 FROM g)), lambda x: NOT list_contains(held, x))[1] AS nxt FROM led) JOIN near ON i = nxt),
+       own AS (SELECT j, min(i) AS i FROM (SELECT led.i, unnest(js) AS j FROM led JOIN near USING (i)) GROUP BY j),
+       r AS (SELECT l.relation AS leader, m.relation, m.freq, row_number() OVER (PARTITION BY l.relation ORDER BY m.freq DESC, m.relation) AS n FROM own JOIN g l ON l.k = own.i JOIN g m ON m.k = own.j)
+       SELECT leader, count(*) AS size, sum(freq)::BIGINT AS freq, string_agg(relation, ',' ORDER BY n) FILTER (n <= 12) AS members FROM r GROUP BY leader HAVING count(*) >= 2""",
+    "nearest",
+    "stats",
+)
 def gap_clusters(w):
-    """Clusters of relations that no family covers; sequential by definition, so tested by brute force."""
+    """Clusters of relations that no family covers, by the first leader that is near enough."""
     near = closure.nearest_family(w.relations(), w.families()).where("best < 0.19")
     stats = closure.relation_stats(w.triples())
     gaps = near.join(stats, "relation").join(w.relations().select("relation", "v"), "relation")
@@ -565,12 +575,14 @@ def first_periods(w):
 
 
 @query(
-    """SELECT p_partkey::VARCHAR AS id, w AS label FROM part, (SELECT unnest(['red', 'ring', 'small', 'bolt']) AS w) WHERE regexp_matches(p_name, '(^|[^a-z0-9])' || w || '($|[^a-z0-9])')"""
+    """vocabulary AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(p_name, '[0-9A-Za-zÀ-ɏ]+')) AS w FROM part UNION ALL SELECT unnest(regexp_extract_all(text, '[0-9A-Za-zÀ-ɏ]+')) FROM benchmark))
+       SELECT id, w AS label FROM (SELECT DISTINCT doc_id::VARCHAR AS id, unnest(regexp_extract_all(text, '[0-9A-Za-zÀ-ɏ]+')) AS w FROM documents) SEMI JOIN vocabulary USING (w)"""
 )
 def detected_mentions(w):
-    """Words of a small vocabulary in part names."""
-    labels = w.spark.createDataFrame([("red",), ("ring",), ("small",), ("bolt",)], "label string")
-    return graph.detected_mentions(w.table("part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("text")), labels)
+    """Words of part names and of the benchmark in whole documents."""
+    words = lambda t, c: w.table(t).select(F.explode(F.regexp_extract_all(F.col(c), F.lit("[0-9A-Za-zÀ-ɏ]+"), F.lit(0))).alias("label"))
+    labels = words("part", "p_name").unionByName(words("benchmark", "text"))
+    return detection.detected_mentions(w.table("documents").select(F.col("doc_id").cast("string").alias("id"), "text"), labels)
 
 
 # -- rendering --------------------------------------------------------------------------------

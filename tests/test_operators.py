@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import ed25519
 from tessella.functions import text as T
-from tessella.operators import answers, closure, graph, layout, paths, portable, provenance, registry, render, trust
+from tessella.operators import answers, closure, detection, graph, layout, paths, portable, provenance, registry, render, trust
 from tessella.sources.corpus import registers, text_files
 from tessella.sources.schemas import TABLES
 from tessella.sources.store import Store
@@ -190,8 +190,10 @@ def test_gap_clusters_lead_by_frequency(spark):
         want[name] = hit or name
         if not hit:
             leaders.append((name, x))
-    got = closure.gap_clusters(spark.createDataFrame(rows, "relation string, freq int, v array<double>"), 0.6)
-    assert {r.relation: r.leader for r in got.collect()} == want
+    for block in (7, 1024):
+        got = closure.gap_clusters(spark.createDataFrame(rows, "relation string, freq int, v array<double>"), 0.6, block)
+        assert {r.relation: r.leader for r in got.collect()} == want
+    assert closure.gap_clusters(spark.createDataFrame([], "relation string, freq int, v array<double>")).count() == 0
 
 
 def test_packs_never_replace_the_core(spark):
@@ -279,7 +281,7 @@ def test_registry():
 def test_mentions_blank_longer_labels_first(spark):
     p = spark.createDataFrame([("1", "New York City and York"), ("2", "yorkshire"), ("3", None)], "id string, text string")
     labels = spark.createDataFrame([("York",), ("New York City",), ("and",)], "label string")
-    assert sorted(map(tuple, graph.detected_mentions(p, labels).collect())) == [("1", "New York City"), ("1", "York"), ("1", "and")]
+    assert sorted(map(tuple, detection.detected_mentions(p, labels).collect())) == [("1", "New York City"), ("1", "York"), ("1", "and")]
 
 
 def test_chronology_orders_a_chain_only(spark):

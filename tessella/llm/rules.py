@@ -222,15 +222,16 @@ def chosen(labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
     return known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) < int(share * 2**53))
 
 
-def fit(counts: DataFrame, labelled: DataFrame) -> list[list[Condition]]:
-    """Learns the list from the counts of the ``chosen`` rows, which are bounded and broadcast."""
-    rows = (
-        counts.join(F.broadcast(labelled), "doc_id")
-        .where("n_words > 0")
-        .select("quality", F.xxhash64("doc_id", F.lit(5)).alias("h"), *[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in STATISTICS.items()])
-        .toPandas()
-        .sort_values(["h", *STATISTICS], ignore_index=True)
-    )
+def fit(counts: DataFrame, labelled: DataFrame, most_rows: int = 20_000) -> list[list[Condition]]:
+    """Learns the list from the counts of the ``chosen`` rows, which are broadcast.
+
+    Bound: at most twice ``most_rows`` rows reach the driver, whatever ids repeat: of an id's
+    rows those with equal statistics count once, and of all the ones with the smallest hashes stay.
+    """
+    named = [F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in STATISTICS.items()]
+    known = counts.join(F.broadcast(labelled), "doc_id").where("n_words > 0").select("quality", F.xxhash64("doc_id", F.lit(5)).alias("h"), *named).distinct()
+    rows = known.orderBy(F.xxhash64("h", *STATISTICS), "h", "quality", *STATISTICS).limit(2 * most_rows).toPandas()
+    rows = rows.sort_values(["h", *STATISTICS], ignore_index=True)
     if rows.empty:
         return []
     table = {k: rows[k].to_numpy() for k in STATISTICS}

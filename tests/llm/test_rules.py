@@ -87,3 +87,16 @@ def test_without_labels_and_rows(spark):
 def test_rules_are_one_case_expression():
     rule = [rules.Condition("symbol_rate", True, 0.5), rules.Condition("mean_word", False, 3.0)]
     assert rule[0].sql() == "n_symbols / greatest(n_words, 1) >= 0.5D"
+
+
+def test_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
+    seen = []
+    learn = rules.learn
+    monkeypatch.setattr(rules, "learn", lambda table, bad, split: seen.append(len(bad)) or learn(table, bad, split))
+    counts = spark.range(5000).selectExpr("CAST(id % 2 AS LONG) AS doc_id", *[f"CAST(10 + id % 997 AS LONG) AS {c}" for c in rules.COUNTS])
+    labelled = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    rules.fit(counts, labelled, most_rows=100)
+    assert seen == [200]
+    same = spark.range(5000).selectExpr("0L AS doc_id", *[f"10L AS {c}" for c in rules.COUNTS])
+    rules.fit(same, labelled, most_rows=100)
+    assert seen == [200, 1]

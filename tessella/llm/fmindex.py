@@ -20,8 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .repeats import INTERVALS, SLICE, Windows, by_part, candidates, chosen_spans, covered, cut_hot, dealt_parts, from_planes, gathered, gathered_rows, interval_batches, keyed, planes, row_batches, runs_of, spans_of, units_of
-from .tables import text_slices, written
+from .repeats import CONTENTS, PACKED, SLICE, VERDICTS, Windows, candidates, chosen_spans, covered, cut_hot, from_planes, gathered, gathered_rows, interval_rows, keyed, packed_batches, planes, runs_of, settled, settled_batches, shared_spans, spans_of, units_of
+from .tables import text_slices
 from .words import mix64, split_words
 
 #: Windows that one search takes at a time.
@@ -176,61 +176,84 @@ def folded(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _span_rows(windows: Windows, parts: int, hot: np.ndarray):
-    """Packs the words of candidate spans by part, equal ones of a slice once."""
+    """Packs the words of candidate spans by part, equal ones of a slice once.
+
+    Of spans of hot anchors only the contents are packed, each of them until the task has sent
+    two owners of it, which is all that the index has to know.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple[int, int], int] = {}
         for batch in text_slices(batches, "text", SLICE):
             units = units_of(batch.column("text"), "words")
-            spans, deal = cut_hot(units, chosen_spans(spans_of(units, windows), batch.column("found")), windows, hot)
-            rk, own = batch.column("rk").to_numpy(), batch.column("own").to_numpy()
+            spans, deal, cold = cut_hot(units, chosen_spans(spans_of(units, windows), batch.column("found")), windows, hot)
+            rk, own = batch.column("rk").to_numpy()[spans.text], batch.column("own").to_numpy()[spans.text]
             size = spans.more + windows.length
             begin = units.starts[spans.text] + spans.first
+            some = shared_spans(units.data, begin[cold:], size[cold:], rk[cold:], own[cold:], spans.first[cold:], parts)
+            new = []
+            for i, key in enumerate(zip(some.one.tolist(), some.two.tolist())):
+                if sent.get(key, 0) < 2:
+                    sent[key] = sent.get(key, 0) + int(some.count[i])
+                    new.append(i)
+            chosen = np.concatenate([np.arange(cold), cold + some.keep[new]]).astype(np.int64)
+            weight = np.concatenate([np.zeros(cold, np.int64), some.count[new]])  # 0: an owner by itself
+            one, two = (np.concatenate([np.zeros(cold, np.int64), x[new]]) for x in (some.one, some.two))
+            spans, deal, rk, own, size, begin = spans.take(chosen), deal[chosen], rk[chosen], own[chosen], size[chosen], begin[chosen]
             group, head = folded(units.data[gathered(begin, size)], size)
             part = (deal % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((group, part))
-            out = []
+            out = some.owners
             for a, b in runs_of(part[order]):
                 at = order[a:b]
                 which, code = np.unique(group[at], return_inverse=True)
-                some = head[which]
-                words, coded = np.unique(units.data[gathered(begin[some], size[some])], return_inverse=True)
+                first = head[which]
+                words, coded = np.unique(units.data[gathered(begin[first], size[first])], return_inverse=True)
                 wide = 2 if len(words) <= 1 << 16 else 4
+                shared = np.flatnonzero(weight[at])
                 data = (
-                    struct.pack("<iiiii", len(some), len(words), len(coded), wide, b - a)
-                    + planes(size[some], 4)
+                    struct.pack("<iiiiii", len(first), len(words), len(coded), wide, b - a, len(shared))
+                    + planes(size[first], 4)
                     + words.astype("<u8").tobytes()
                     + planes(coded, wide)
                     + planes(code, 4)
-                    + rk[spans.text[at]].astype("<i8").tobytes()
-                    + own[spans.text[at]].astype("<i8").tobytes()
+                    + rk[at].astype("<i8").tobytes()
+                    + own[at].astype("<i8").tobytes()
                     + spans.first[at].astype("<i4").tobytes()
+                    + planes(shared, 4)
+                    + np.minimum(weight[at[shared]], 2).astype("<i4").tobytes()
+                    + one[at[shared]].astype("<i8").tobytes()
+                    + two[at[shared]].astype("<i8").tobytes()
                 )
-                out.append((int(part[at[0]]), data))
-            yield from row_batches(out, ["part", "data"], [pa.int32(), pa.binary()])
+                out.append((int(part[at[0]]), CONTENTS, None, None, data))
+            yield from packed_batches(out)
 
     return run
 
 
 def _unpacked(blobs: list[bytes]):
-    """(words, sizes) of the spans of a part, and (span, rk, own, first) of its entries."""
-    held: list[list] = [[], [], [], [], [], []]
-    spans = 0
+    """(words, sizes) of the spans of a part, (span, rk, own, first) of its entries, and (entry,
+    owners, one, two) of those that stand for shared spans."""
+    held: list[list] = [[] for _ in range(10)]
+    spans = entries = 0
     for data in blobs:
-        n, known, total, wide, m = struct.unpack_from("<iiiii", data)
-        size, at = from_planes(data, 20, n, 4)
+        n, known, total, wide, m, h = struct.unpack_from("<iiiiii", data)
+        size, at = from_planes(data, 24, n, 4)
         words, at = np.frombuffer(data, "<u8", known, at), at + 8 * known
         coded, at = from_planes(data, at, total, wide)
         code, at = from_planes(data, at, m, 4)
         values = [words[coded], size, code + spans, np.frombuffer(data, "<i8", m, at), np.frombuffer(data, "<i8", m, at + 8 * m), np.frombuffer(data, "<i4", m, at + 16 * m)]
+        shared, at = from_planes(data, at + 20 * m, h, 4)
+        values += [shared + entries, np.frombuffer(data, "<i4", h, at), np.frombuffer(data, "<i8", h, at + 4 * h), np.frombuffer(data, "<i8", h, at + 12 * h)]
         for x, y in zip(held, values):
             x.append(y)
-        spans += n
+        spans, entries = spans + n, entries + m
     return [np.concatenate(x) for x in held]
 
 
 def _search(windows: Windows):
     def shard(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words, size, span, rk, own, first = _unpacked(blobs)
+        words, size, span, rk, own, first, shared, owners, one, two = _unpacked(blobs)
         group, head = folded(words, size)
         entry = group[span]
         begin, size = (np.cumsum(size) - size)[head], size[head]
@@ -238,7 +261,9 @@ def _search(windows: Windows):
         place = np.cumsum(size + 1) - (size + 1)
         text = np.zeros(int((size + 1).sum()), np.int64)
         text[gathered(place, size)] = codes + 1
-        index = FMIndex(text, windows.length, np.repeat(np.bincount(entry, minlength=len(size)) > 1, size + 1))
+        weight = np.ones(len(entry), np.int64)
+        weight[shared] = owners
+        index = FMIndex(text, windows.length, np.repeat(np.bincount(entry, weight, minlength=len(size)) > 1, size + 1))
         n = size - windows.length + 1
         start = gathered(place, n)
         hit = np.concatenate([index.repeated(text, start[a : a + _STREAM], windows.length) for a in range(0, len(start), _STREAM)])
@@ -249,17 +274,33 @@ def _search(windows: Windows):
         run = np.flatnonzero(new)
         last = np.append(run[1:] - 1, len(of) - 1)[: len(run)]
         of, low, high = of[run], inside[run], inside[last] + windows.length
-        # and of every text that has the span
         times = np.bincount(of, minlength=len(n))
-        each = gathered((np.cumsum(times) - times)[entry], times[entry])
-        who = np.repeat(np.arange(len(entry)), times[entry])
-        yield from interval_batches(rk[who], own[who], first[who] + low[each], first[who] + high[each])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in by_part(batches):
-            yield from shard(blobs)
-
-    return run
+        begins = np.cumsum(times) - times
+        # of every text that has the span by itself
+        alone = np.ones(len(entry), bool)
+        alone[shared] = False
+        alone = np.flatnonzero(alone)
+        each = gathered(begins[entry[alone]], times[entry[alone]])
+        who = np.repeat(alone, times[entry[alone]])
+        yield from settled_batches(interval_rows(rk[who], own[who], first[who] + low[each], first[who] + high[each]))
+        # and once of every shared span
+        order = np.lexsort((two, one))
+        verdicts = []
+        for a, _ in runs_of(one[order], two[order]):
+            i = order[a]
+            g = entry[shared[i]]
+            if times[g]:
+                at = slice(begins[g], begins[g] + times[g])
+                verdicts.append((VERDICTS, int(one[i]), int(two[i]), np.stack([low[at], high[at]], axis=1).astype("<i4").tobytes()))
+        yield from settled_batches(verdicts)
+
+    return shard
+
+
+def _same_for_all(own: np.ndarray, verdict: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every owner of a shared span loses the span's intervals."""
+    low, high = np.frombuffer(verdict, "<i4").reshape(-1, 2).T
+    return np.repeat(np.arange(len(own)), len(low)), np.tile(low, len(own)), np.tile(high, len(own))
 
 
 def _keep_words(texts: bool):
@@ -291,13 +332,14 @@ def remove_repeated_words(
     its SHA-256 in hex. ``gram`` is the length of the grams that anchor windows.
 
     Defined cases: a null or empty text has no words; every row is a text of its own, whether
-    it has an id, shares it, or is equal to another; words are compared by 64-bit hashes; an
+    it has an id, shares it, or is equal to another; words are compared by 64-bit hashes, and spans
+    of anchors that very many have are told apart by 128-bit digests; an
     empty table gives an empty table; other columns are left unread.
     """
     windows = Windows("words", length, gram or max(1, length // 3))
     rows = keyed(docs, id_col, text_col)
     open_ = candidates(rows, windows)
-    packed = open_.rows.mapInArrow(_span_rows(windows, open_.parts, open_.hot), "part int, data binary")
-    intervals = written(dealt_parts(packed, open_.parts).mapInArrow(_search(windows), INTERVALS), "intervals")
+    packed = open_.rows.mapInArrow(_span_rows(windows, open_.parts, open_.hot), PACKED)
+    intervals = settled(packed, open_.parts, _search(windows), _same_for_all, len(open_.hot) > 0)
     out = gathered_rows(rows, intervals, "left").select("doc_id", "text", "found")
     return out.mapInArrow(_keep_words(texts), "doc_id long, n_words long, n_removed long, kept string")

@@ -9,7 +9,9 @@ A window whose anchor occurs once cannot repeat. ``candidates`` counts anchors a
 spans of the others; nothing is decided here. The contents of these spans go to the shard of
 their anchor, where the caller's index compares them. Spans of an anchor that very many others
 have are cut by a second anchor, the least gram beside the first, so that they meet in shards
-of their own: equal windows have the second one in common too.
+of their own: equal windows have the second one in common too. Such a span may be one that very
+many texts share, so its owners don't go to its shard: a task sends its content there once or
+twice, and the owners meet the shard's verdict by a join on the content's digest.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SCATTER = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 PLACES, HOT_ANCHORS = 0, 1
+#: Kinds of rows to and from shards: contents to compare; intervals of texts; owners of shared
+#: spans, which pass through; and what holds for a shared span.
+CONTENTS, INTERVALS, OWNERS, VERDICTS = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -160,14 +165,16 @@ def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-def cut_hot(units: Units, spans: Spans, windows: Windows, hot: np.ndarray) -> tuple[Spans, np.ndarray]:
-    """The spans, those of a hot anchor cut by second anchors, and the key by which each is dealt."""
-    if not len(hot) or not len(spans.text):
-        return spans, spans.anchor
+def cut_hot(units: Units, spans: Spans, windows: Windows, hot: np.ndarray) -> tuple[Spans, np.ndarray, int]:
+    """The spans, those of a hot anchor cut by second anchors and last, the key by which each is
+    dealt, and how many aren't of a hot anchor."""
+    n = len(spans.text)
+    if not len(hot) or not n:
+        return spans, spans.anchor, n
     place = np.minimum(np.searchsorted(hot, spans.anchor), len(hot) - 1)
     is_hot = hot[place] == spans.anchor
     if not is_hot.any():
-        return spans, spans.anchor
+        return spans, spans.anchor, n
     rest, own = spans.take(np.flatnonzero(~is_hot)), spans.take(np.flatnonzero(is_hot))
     size = own.more + windows.length
     ends, out, keys = np.cumsum(size), [rest], [rest.anchor]
@@ -182,7 +189,51 @@ def cut_hot(units: Units, spans: Spans, windows: Windows, hot: np.ndarray) -> tu
         out.append(Spans(some.text[of], some.first[of] + got.first, got.more, some.at[of] - got.first, some.anchor[of]))
         keys.append(mix64(some.anchor[of] * _BASE + got.anchor))
         a = b
-    return _together(out), np.concatenate(keys)
+    return _together(out), np.concatenate(keys), len(rest.text)
+
+
+def digests(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash, in two halves, of the units of each range."""
+    one, two = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    ends, a = np.cumsum(size), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
+        n = size[a:b]
+        first = np.cumsum(n) - n
+        flat = data[gathered(begin[a:b], n)].astype(np.uint64)
+        place = mix64(np.arange(len(flat), dtype=np.uint64) - np.repeat(first, n).astype(np.uint64))
+        one[a:b] = mix64(np.add.reduceat(mix64(flat + place), first) + n.astype(np.uint64))
+        two[a:b] = mix64(np.add.reduceat(mix64(flat * _BASE ^ place), first) + n.astype(np.uint64))
+        a = b
+    return one.view(np.int64), two.view(np.int64)
+
+
+@dataclass
+class Shared:
+    """Spans of hot anchors in a slice: one for each content, and rows with the owners of all."""
+
+    keep: np.ndarray  # the spans that go to their shard, of those that were asked about
+    one: np.ndarray  # their digests
+    two: np.ndarray
+    count: np.ndarray  # and owners in the slice
+    owners: list[tuple]  # (part, kind, one, two, data)
+
+
+def shared_spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray, rk: np.ndarray, own: np.ndarray, first: np.ndarray, parts: int) -> Shared:
+    """Takes the owners from spans: of equal spans the one of least ``own`` stays for the shard.
+
+    Owners leave in a row for each content, dealt by content and text, so that no part has all.
+    """
+    one, two = digests(data, begin, size)
+    order = np.lexsort((rk, own, two, one))
+    bounds = list(runs_of(one[order], two[order]))
+    keep = order[[a for a, _ in bounds]] if bounds else np.zeros(0, np.int64)
+    rows = []
+    for a, b in bounds:
+        at = order[a:b]
+        packed = rk[at].astype("<i8").tobytes() + own[at].astype("<i8").tobytes() + first[at].astype("<i4").tobytes()
+        rows.append((int((int(one[at[0]]) ^ int(rk[at[0]])) % parts), OWNERS, int(one[at[0]]), int(two[at[0]]), packed))
+    return Shared(keep, one[keep], two[keep], np.array([b - a for a, b in bounds], np.int64), rows)
 
 
 def planes(values: np.ndarray, size: int) -> bytes:
@@ -337,29 +388,77 @@ def chosen_spans(spans: Spans, found: pa.Array) -> Spans:
     return spans.take(np.flatnonzero(np.isin(spans.text * wide + spans.first, text * wide + first[:, 0])))
 
 
-def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The values of each part; the rows of a part come together."""
-    current, held = None, []
-    for batch in batches:
-        for p, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
-            if p != current and held:
-                yield held
-                held = []
-            current = p
-            held.append(data)
-    if held:
-        yield held
+PACKED = "part int, kind int, one long, two long, data binary"
+SETTLED = "kind int, one long, two long, data binary"
+
+
+def packed_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    return row_batches(rows, ["part", "kind", "one", "two", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])
+
+
+def settled_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    return row_batches(rows, ["kind", "one", "two", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()], 5000)
+
 
+def in_shards(settle: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Callable:
+    """Settles the contents of each part, whose rows come together; owners pass through."""
 
-def dealt_parts(packed: DataFrame, parts: int) -> DataFrame:
-    return packed.repartitionById(parts, "part").sortWithinPartitions("part")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            passing = []
+            for p, kind, one, two, data in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "one", "two", "data"))):
+                if kind == OWNERS:
+                    passing.append((kind, one, two, data))
+                    continue
+                if p != current and held:
+                    yield from settle(held)
+                    held = []
+                current = p
+                held.append(data)
+            if passing:
+                yield from settled_batches(passing)
+        if held:
+            yield from settle(held)
+
+    return run
 
 
-INTERVALS = "rk long, own long, data binary"
+def interval_rows(rk: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
+    """The intervals of each text: (INTERVALS, rk, own, data)."""
+    return ints_rows(INTERVALS, rk, own, start, end)
 
 
-def interval_batches(rk: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    return row_batches(ints_rows(None, rk, own, start, end), ["rk", "own", "data"], [pa.int64(), pa.int64(), pa.binary()], 5000)
+def _hand(meet: Callable) -> Callable:
+    """Intervals of the owners of shared spans; ``meet(own, verdict)`` gives (owner, low, high)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, verdict in zip(batch.column("data").to_pylist(), batch.column("verdict").to_pylist()):
+                n = len(data) // 20
+                rk, own, first = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<i4", n, 16 * n)
+                who, low, high = meet(own, verdict)
+                rows = [r[1:] for r in interval_rows(rk[who], own[who], first[who] + low, first[who] + high)]
+                yield from row_batches(rows, ["rk", "own", "data"], [pa.int64(), pa.int64(), pa.binary()], 5000)
+
+    return run
+
+
+def settled(packed: DataFrame, parts: int, settle: Callable, meet: Callable, shared: bool) -> DataFrame:
+    """Rows (rk, own, data): the intervals of all texts, those of shared spans by their digests.
+
+    ``packed`` has rows of ``PACKED``. Owners and verdicts are joined by digest, where a content
+    that many rows of owners have is split; without hot anchors there are none.
+    """
+    dealt = packed.repartitionById(parts, "part").sortWithinPartitions("part")
+    out = written(dealt.mapInArrow(in_shards(settle), SETTLED), "intervals")
+    of = lambda kind: out.where(F.col("kind") == kind)
+    own = of(INTERVALS).select(F.col("one").alias("rk"), F.col("two").alias("own"), "data")
+    if not shared:
+        return own
+    verdicts = of(VERDICTS).select("one", "two", F.col("data").alias("verdict"))
+    met = of(OWNERS).select("one", "two", "data").join(verdicts, ["one", "two"]).select("data", "verdict")
+    return own.unionByName(met.mapInArrow(_hand(meet), "rk long, own long, data binary"))
 
 
 def covered(starts: np.ndarray, found: pa.Array) -> np.ndarray:

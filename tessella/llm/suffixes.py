@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import INTERVALS, SLICE, Windows, by_part, candidates, chosen_spans, covered, cut_hot, dealt_parts, from_planes, gathered, gathered_rows, interval_batches, keyed, planes, row_batches, runs_of, spans_of, units_of
-from .tables import text_slices, written
+from .repeats import CONTENTS, PACKED, SLICE, VERDICTS, Windows, candidates, chosen_spans, covered, cut_hot, from_planes, gathered, gathered_rows, interval_rows, keyed, packed_batches, planes, runs_of, settled, settled_batches, shared_spans, spans_of, units_of
+from .tables import text_slices
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -102,11 +102,12 @@ def _lanes(matrix: np.ndarray) -> list[np.ndarray]:
 def _runs(windows: Windows, parts: int, hot: np.ndarray):
     """Sorts the candidate suffixes of a slice, front-codes them, and packs them by part.
 
-    Spans that are equal in the slice are one entry of a run with several owners.
+    Spans that are equal in the slice are one entry of a run with several owners. Of spans of hot
+    anchors only the contents are packed, with the least id that the task has seen so far.
     """
     longest, before = windows.length, windows.length - windows.gram
 
-    def sorted_runs(data: np.ndarray, spans, deal: np.ndarray, begin: np.ndarray, rk: np.ndarray, own: np.ndarray) -> list[tuple]:
+    def sorted_runs(data: np.ndarray, spans, deal: np.ndarray, begin: np.ndarray, rk: np.ndarray, own: np.ndarray, shared: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple]:
         left = spans.at
         size = spans.more + longest - left
         suffix = _matrix(data, begin + left, size, longest)
@@ -118,11 +119,11 @@ def _runs(windows: Windows, parts: int, hot: np.ndarray):
         new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
         head = order[new]  # the first of each group of equal spans
         unlike = suffix[head][1:] != suffix[head][:-1]
-        shared = np.concatenate([[0], np.where(unlike.any(axis=1), unlike.argmax(axis=1), longest)])
-        shared = np.minimum(shared, np.minimum(size[head], np.concatenate([[0], size[head][:-1]])))
-        shared[1:][part[head][1:] != part[head][:-1]] = 0
+        common_ = np.concatenate([[0], np.where(unlike.any(axis=1), unlike.argmax(axis=1), longest)])
+        common_ = np.minimum(common_, np.minimum(size[head], np.concatenate([[0], size[head][:-1]])))
+        common_[1:][part[head][1:] != part[head][:-1]] = 0
         at = np.arange(longest)
-        rests = (at >= shared[:, None]) & (at < size[head][:, None])
+        rests = (at >= common_[:, None]) & (at < size[head][:, None])
         flat, ends = suffix[head][rests], np.concatenate([[0], np.cumsum(rests.sum(axis=1))])
         fronts, cuts = back[head][np.arange(before) < left[head][:, None]], np.concatenate([[0], np.cumsum(left[head])])
         entry = np.cumsum(new) - 1
@@ -131,30 +132,46 @@ def _runs(windows: Windows, parts: int, hot: np.ndarray):
             e, f = np.searchsorted(entry, [a, b])
             mine = order[e:f]
             own_ends, own_cuts = ends[a : b + 1], cuts[a : b + 1]
+            of_many = np.flatnonzero(shared[mine])
             parts_ = [
-                struct.pack("<iiii", b - a, own_ends[-1] - own_ends[0], own_cuts[-1] - own_cuts[0], f - e),
-                planes(shared[a:b], 2),
+                struct.pack("<iiiii", b - a, own_ends[-1] - own_ends[0], own_cuts[-1] - own_cuts[0], f - e, len(of_many)),
+                planes(common_[a:b], 2),
                 planes(np.diff(own_ends), 2),
                 planes(left[head[a:b]], 2),
                 planes(spans.more[head[a:b]], 2),
                 planes(entry[e:f] - a, 4),
-                rk[spans.text[mine]].astype("<i8").tobytes(),
-                own[spans.text[mine]].astype("<i8").tobytes(),
+                rk[mine].astype("<i8").tobytes(),
+                own[mine].astype("<i8").tobytes(),
                 spans.first[mine].astype("<i4").tobytes(),
+                planes(of_many, 4),
+                one[mine[of_many]].astype("<i8").tobytes(),
+                two[mine[of_many]].astype("<i8").tobytes(),
                 flat[own_ends[0] : own_ends[-1]].tobytes(),
                 fronts[own_cuts[0] : own_cuts[-1]].tobytes(),
             ]
-            out.append((int(part[head[a]]), b"".join(parts_)))
+            out.append((int(part[head[a]]), CONTENTS, None, None, b"".join(parts_)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple[int, int], int] = {}
         for batch in text_slices(batches, "text", SLICE):
             units = units_of(batch.column("text"), "bytes")
-            spans, deal = cut_hot(units, chosen_spans(spans_of(units, windows), batch.column("found")), windows, hot)
-            if len(spans.text):
-                begin = units.starts[spans.text] + spans.first
-                rows = sorted_runs(units.data, spans, deal, begin, batch.column("rk").to_numpy(), batch.column("own").to_numpy())
-                yield from row_batches(rows, ["part", "data"], [pa.int32(), pa.binary()])
+            spans, deal, cold = cut_hot(units, chosen_spans(spans_of(units, windows), batch.column("found")), windows, hot)
+            if not len(spans.text):
+                continue
+            begin = units.starts[spans.text] + spans.first
+            rk, own = batch.column("rk").to_numpy()[spans.text], batch.column("own").to_numpy()[spans.text]
+            some = shared_spans(units.data, begin[cold:], spans.more[cold:] + longest, rk[cold:], own[cold:], spans.first[cold:], parts)
+            new = []
+            for i, (key, least) in enumerate(zip(zip(some.one.tolist(), some.two.tolist()), own[cold + some.keep].tolist())):
+                if key not in sent or least < sent[key]:
+                    sent[key] = least
+                    new.append(i)
+            chosen = np.concatenate([np.arange(cold), cold + some.keep[new]]).astype(np.int64)
+            shared = np.arange(len(chosen)) >= cold
+            one, two = (np.concatenate([np.zeros(cold, np.int64), x[new]]) for x in (some.one, some.two))
+            rows = sorted_runs(units.data, spans.take(chosen), deal[chosen], begin[chosen], rk[chosen], own[chosen], shared, one, two) if len(chosen) else []
+            yield from packed_batches(some.owners + rows)
 
     return run
 
@@ -200,29 +217,31 @@ def _merge(windows: Windows):
     before = windows.length - windows.gram
 
     def part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        runs, held, seen = [], [[] for _ in range(7)], 0
+        runs, held, seen, entries = [], [[] for _ in range(10)], 0, 0
         for data in blobs:
-            n, size, front, m = struct.unpack_from("<iiii", data)
-            at, values = 16, []
+            n, size, front, m, h = struct.unpack_from("<iiiii", data)
+            at, values = 20, []
             for wide in (2, 2, 2, 2):
                 x, at = from_planes(data, at, n, wide)
                 values.append(x)
             entry, at = from_planes(data, at, m, 4)
             rk, own, first = np.frombuffer(data, "<i8", m, at), np.frombuffer(data, "<i8", m, at + 8 * m), np.frombuffer(data, "<i4", m, at + 16 * m)
-            at += 20 * m
+            shared, at = from_planes(data, at + 20 * m, h, 4)
+            one, two = np.frombuffer(data, "<i8", h, at), np.frombuffer(data, "<i8", h, at + 8 * h)
+            at += 16 * h
             runs.append(_strings(values[0].tolist(), values[1].tolist(), data[at : at + size], seen))
             back = np.zeros((n, before), np.uint8)
             back[np.arange(before) < values[2][:, None]] = np.frombuffer(data, np.uint8, front, at + size)
-            for x, y in zip(held, (values[2], values[3], back, entry + seen, rk, own, first)):
+            for x, y in zip(held, (values[2], values[3], back, entry + seen, rk, own, first, shared + entries, one, two)):
                 x.append(y)
-            seen += n
-        left, more, back, entry, rk, own, first = (np.concatenate(x) for x in held)
-        row, shared = np.zeros(seen, np.int64), np.zeros(seen, np.int64)
+            seen, entries = seen + n, entries + m
+        left, more, back, entry, rk, own, first, shared, one, two = (np.concatenate(x) for x in held)
+        row, common_ = np.zeros(seen, np.int64), np.zeros(seen, np.int64)
         for i, (_, h, payload) in enumerate(LoserTree(runs)):
-            row[i], shared[i] = payload, h
+            row[i], common_[i] = payload, h
         least = np.full(seen, np.iinfo(np.int64).max)
         np.minimum.at(least, entry, own)
-        at, offset = earlier_windows(least[row], shared, left[row], back[row], more[row], windows)
+        at, offset = earlier_windows(least[row], common_, left[row], back[row], more[row], windows)
         # what an earlier document has goes from the owners with the least id, all from the others
         span, start = row[at], left[row[at]] - offset
         order = np.lexsort((start, span))
@@ -233,18 +252,39 @@ def _merge(windows: Windows):
         last = np.append(run[1:] - 1, len(span) - 1)[: len(run)]
         span, low, high = span[run], start[run], start[last] + windows.length
         times = np.bincount(span, minlength=seen)
-        mine, late = np.flatnonzero(own == least[entry]), np.flatnonzero(own > least[entry])
-        each = gathered((np.cumsum(times) - times)[entry[mine]], times[entry[mine]])
+        begins = np.cumsum(times) - times
+        alone = np.ones(len(entry), bool)
+        alone[shared] = False
+        mine, late = np.flatnonzero(alone & (own == least[entry])), np.flatnonzero(alone & (own > least[entry]))
+        each = gathered(begins[entry[mine]], times[entry[mine]])
         who = np.repeat(mine, times[entry[mine]])
-        low, high = np.concatenate([low[each], np.zeros(len(late), np.int64)]), np.concatenate([high[each], more[entry[late]] + windows.length])
+        starts, ends = np.concatenate([low[each], np.zeros(len(late), np.int64)]), np.concatenate([high[each], more[entry[late]] + windows.length])
         who = np.concatenate([who, late])
-        yield from interval_batches(rk[who], own[who], first[who] + low, first[who] + high)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in by_part(batches):
-            yield from part(blobs)
-
-    return run
+        yield from settled_batches(interval_rows(rk[who], own[who], first[who] + starts, first[who] + ends))
+        # a shared span's verdict: its least owner, its length, and what goes from that owner
+        order = np.lexsort((own[shared], two, one))
+        verdicts = []
+        for a, _ in runs_of(one[order], two[order]):
+            i = order[a]
+            e = entry[shared[i]]
+            gone = slice(begins[e], begins[e] + times[e])
+            lead = struct.pack("<qi", int(own[shared[i]]), int(more[e]) + windows.length)
+            verdicts.append((VERDICTS, int(one[i]), int(two[i]), lead + np.stack([low[gone], high[gone]], axis=1).astype("<i4").tobytes()))
+        yield from settled_batches(verdicts)
+
+    return part
+
+
+def _first_keeps(own: np.ndarray, verdict: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shared span's owners those of least id lose the intervals, all others the span."""
+    least, size = struct.unpack_from("<qi", verdict)
+    low, high = np.frombuffer(verdict, "<i4", offset=12).reshape(-1, 2).T
+    mine, late = np.flatnonzero(own == least), np.flatnonzero(own > least)
+    return (
+        np.concatenate([np.repeat(mine, len(low)), late]),
+        np.concatenate([np.tile(low, len(mine)), np.zeros(len(late), np.int64)]),
+        np.concatenate([np.tile(high, len(mine)), np.full(len(late), size)]),
+    )
 
 
 def _keep_bytes(texts: bool):
@@ -285,7 +325,7 @@ def remove_repeated_bytes(
     windows = Windows("bytes", length, gram or max(1, length * 2 // 5))
     rows = keyed(docs, id_col, text_col)
     open_ = candidates(rows.where("doc_id IS NOT NULL"), windows)
-    runs = open_.rows.mapInArrow(_runs(windows, open_.parts, open_.hot), "part int, data binary")
-    intervals = written(dealt_parts(runs, open_.parts).mapInArrow(_merge(windows), INTERVALS), "intervals")
+    runs = open_.rows.mapInArrow(_runs(windows, open_.parts, open_.hot), PACKED)
+    intervals = settled(runs, open_.parts, _merge(windows), _first_keeps, len(open_.hot) > 0)
     out = gathered_rows(rows, intervals, "left").select("doc_id", "text", "found")
     return out.mapInArrow(_keep_bytes(texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}")

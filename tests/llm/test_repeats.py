@@ -100,6 +100,37 @@ def test_hot_anchors_are_cut_and_still_meet(spark, monkeypatch, hot):
     assert sorted(((*x[:4], bytes(x[4])) for x in got), key=str) == brute_bytes(both(rows + texts()), 30)
 
 
+def shared_passage(n=300):
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(20)]
+    return [(d, " ".join([f"u{r.random()}" for _ in range(r.randint(3, 9))] + passage + [f"v{r.random()}" for _ in range(r.randint(3, 9))]), *texts()[0][2:]) for d in range(n)]
+
+
+@pytest.mark.parametrize("slice_", [1 << 21, 2000])
+def test_owners_of_a_shared_passage_are_dealt_out(spark, monkeypatch, slice_):
+    for m in (repeats, fmindex, suffixes):
+        monkeypatch.setattr(m, "SLICE", slice_)
+    monkeypatch.setattr(repeats, "HOT", 20)
+    rows = shared_passage()
+    docs = frame(spark, rows).repartition(6)
+    got = fmindex.remove_repeated_words(docs, length=12, gram=4).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_words(both(rows), 12)
+    got = suffixes.remove_repeated_bytes(docs, length=30, gram=12).collect()
+    assert sorted(((*x[:4], bytes(x[4])) for x in got), key=str) == brute_bytes(both(rows), 30)
+    for windows, pack, keyed in ((repeats.Windows("words", 12, 4), fmindex._span_rows, 0), (repeats.Windows("bytes", 30, 12), suffixes._runs, 1)):
+        open_ = repeats.candidates(repeats.keyed(docs, "doc_id", "text"), windows)
+        assert len(open_.hot)
+        sent = open_.rows.repartition(6).mapInArrow(pack(windows, open_.parts, open_.hot), repeats.PACKED).collect()
+        owners = [(x.part, x.one, len(x.data) // 20) for x in sent if x.kind == repeats.OWNERS]
+        contents = [x for x in sent if x.kind == repeats.CONTENTS]
+        spans = len({o for _, o, _ in owners})
+        assert sum(n for *_, n in owners) >= len(rows)
+        # a task sends a content to its shard twice at most (words), or as often as a smaller id turns up
+        assert sum(len(x.data) for x in contents) < 6 * 2 * spans * (400 if keyed else 600) * (1 if slice_ > 2000 else 4)
+        if slice_ == 2000:  # and the owners go to many parts
+            assert len({p for p, *_ in owners}) > 1
+
+
 def test_a_text_beyond_24_bit_places(spark):
     r = np.random.default_rng(8)
     long = r.integers(97, 123, (1 << 24) + 5000).astype(np.uint8).tobytes().decode()

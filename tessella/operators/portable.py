@@ -1,13 +1,25 @@
-"""Portable units of a graph: closures for export, and imports that can be repeated."""
+"""Portable units of a graph: closures for export, and imports that can be repeated.
+
+A store is a dict of nodes (id, category, label, body), edges (from_id, to_id, relation), mentions
+(id, passage_id, asset_id) and provenance (from_id, to_id, relation, passage_id, confidence). An
+artifact has the same tables, its nodes with ``stub`` and its edges with ``scope``, entities
+(asset_id, id, mentions), and two dropped-row counts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .provenance import merged
 
 
+#: Fixed values of the artifact's format.
+VERSION, RUNGS, STUB = 1, ("source", "asset"), "extraction_stub"
+EDGE = ["from_id", "to_id", "relation"]
+
+
 def node_closure(mentions: DataFrame, unit: DataFrame) -> DataFrame:
     """Rows (id, scope): entities whose passages are all in the unit are derived, others that it
     mentions are boundary stubs. mentions: id, passage_id; unit: passage_id."""
@@ -41,3 +53,87 @@ def checked(artifact_nodes: DataFrame, artifact_edges: DataFrame) -> None:
         raise ValueError("an edge has an end that the artifact lacks")
     if not artifact_nodes.groupBy("id").count().where("count > 1").limit(1).isEmpty():
         raise ValueError("an id is there twice")
+
+
+def exported(store: dict[str, DataFrame], unit: DataFrame) -> dict[str, DataFrame]:
+    """The artifact of a unit (passage_id).
+
+    Nodes that only the unit knows travel whole, shared ones as a label. Edges with evidence in
+    the unit travel if an end is one of these nodes: internal between whole nodes, boundary with
+    one, shared with none; an end that is no node at all is left for the importer. ``dropped``
+    counts the rows that have no place: mentions of what is no node, and evidence of edges that
+    don't travel.
+    """
+    inside = written(unit.select("passage_id").distinct(), "unit")
+    scopes = written(node_closure(store["mentions"], inside).join(store["nodes"].select("id"), "id", "left_semi"), "scopes")
+    whole = F.col("scope") == "derived"
+    nodes = store["nodes"].join(scopes, "id").select("id", F.when(whole, F.col("category")).otherwise(STUB).alias("category"), "label", F.when(whole, F.col("body")).otherwise("").alias("body"), (~whole).alias("stub"))
+    end = lambda c: scopes.select(F.col("id").alias(c), whole.cast("int").alias(f"__{c}"))
+    evidence = store["provenance"].join(inside, "passage_id", "left_semi")
+    known = evidence.select(*EDGE).distinct().join(end("from_id"), "from_id", "left").join(end("to_id"), "to_id", "left").where("__from_id IS NOT NULL OR __to_id IS NOT NULL")
+    n = F.coalesce("__from_id", F.lit(0)) + F.coalesce("__to_id", F.lit(0))
+    edges = written(known.select(*EDGE, F.when(n == 2, "internal").when(n == 1, "boundary").otherwise("shared").alias("scope")), "edges")
+    said = store["mentions"].join(inside, "passage_id", "left_semi")
+    entities = said.join(scopes.select("id"), "id", "left_semi").groupBy("asset_id", "id").agg(F.count("*").alias("mentions"))
+    lost = said.join(scopes.select("id"), "id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("entity_rows").alias("table"), "n")
+    unheld = evidence.join(edges.select(*EDGE), EDGE, "left_anti").agg(F.count("*").alias("n")).select(F.lit("provenance_rows").alias("table"), "n")
+    return {
+        "nodes": nodes,
+        "edges": edges,
+        "mentions": said.join(scopes.select("id"), "id", "left_semi"),
+        "provenance": evidence.join(edges.select(*EDGE), EDGE, "left_semi"),
+        "entities": entities,
+        "dropped": lost.unionByName(unheld),
+    }
+
+
+def accepted(header: dict, record_id: str | None = None) -> None:
+    """Raises ValueError for a header (artifact_version, rung, asset_id, asset) that can't be imported.
+
+    The asset rung needs its record, whose id must be the header's and the expected one.
+    """
+    if header.get("artifact_version") != VERSION:
+        raise ValueError(f"artifact_version {header.get('artifact_version')!r}")
+    if header.get("rung") not in RUNGS:
+        raise ValueError(f"rung {header.get('rung')!r}")
+    if header["rung"] == "asset":
+        record = header.get("asset")
+        if not record:
+            raise ValueError("an asset's artifact has no record of it")
+        if record.get("asset_id") != header.get("asset_id") or record_id not in (None, header.get("asset_id")):
+            raise ValueError("the record is of another asset")
+
+
+def import_artifact(store: dict[str, DataFrame], artifact: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The store after an import, which may be repeated.
+
+    Whole nodes replace what the store has; a stub is only taken where the store has nothing or
+    a stub. Ends of edges that are no node become stubs with their id for a label. Edges,
+    mentions and evidence are there once each.
+    """
+    old = store["nodes"].withColumn("stub", F.col("category") == STUB)
+    nodes = written(imported(old, artifact["nodes"].select(*old.columns)).drop("stub"), "nodes")
+    once = lambda name, keys: written(merged(store[name], artifact[name].select(*store[name].columns), keys), name)
+    out = {"edges": once("edges", EDGE), "mentions": once("mentions", ["id", "passage_id"]), "provenance": once("provenance", [*EDGE, "passage_id"])}
+    ends = out["edges"].select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    unmet = ends.join(nodes.select("id"), "id", "left_anti").select("id", F.lit(STUB).alias("category"), F.col("id").alias("label"), F.lit("").alias("body"))
+    return {"nodes": nodes.unionByName(unmet.select(*nodes.columns)), **out}
+
+
+def import_report(before: dict[str, DataFrame], after: dict[str, DataFrame], artifact: dict[str, DataFrame]) -> DataFrame:
+    """Rows (measure, n): what an import brought, kept from being overwritten, made up, and what the artifact dropped."""
+    count = lambda t, name: t.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n")
+    full = before["nodes"].where(F.col("category") != STUB).select("id")
+    rows = [
+        count(artifact["nodes"].where("NOT stub"), "whole_nodes"),
+        count(artifact["nodes"].where("stub"), "stubs"),
+        count(artifact["nodes"].where("stub").join(full, "id", "left_semi"), "stubs_held_back"),
+        count(after["nodes"].join(before["nodes"].select("id"), "id", "left_anti").join(artifact["nodes"].select("id"), "id", "left_anti"), "stubs_made"),
+        count(after["edges"].join(before["edges"].select(*EDGE), EDGE, "left_anti"), "edges_added"),
+        *[count(artifact["edges"].where(F.col("scope") == s), f"{s}_edges") for s in ("internal", "boundary", "shared")],
+        artifact["dropped"].select(F.concat(F.lit("dropped_"), "table").alias("measure"), "n"),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

@@ -198,6 +198,32 @@ class World:
         held = p.select(F.col("supplier").alias("id"), F.col("parent_id").alias("asset_id")).distinct()
         return mentions, held.unionByName(self.assets().select(F.expr("concat('src:', substring(id, 3))").alias("id"), F.col("id").alias("asset_id")))
 
+    # -- units that travel ----------------------------------------------------------------------
+
+    def shelf(self, where: str) -> dict[str, DataFrame]:
+        """A store of the passages for which ``where`` (SQL over p, s and k, their numbers) holds.
+
+        Every part and supplier that they mention is a node, but for those of a number that leaves
+        5 modulo 97; its edges and evidence are theirs too.
+        """
+        rows = self.passages().select("*", F.expr("CAST(substring(part, 3) AS LONG)").alias("p"), F.expr("CAST(substring(supplier, 3) AS LONG)").alias("s"), F.expr("CAST(substring(parent_id, 3) AS LONG)").alias("k")).where(where)
+        mentions = rows.select(F.explode(F.array("part", "supplier")).alias("id"), F.col("id").alias("passage_id"), F.col("parent_id").alias("asset_id"))
+        known = self.nodes().where("kind = 'entity' AND CAST(substring(id, 3) AS LONG) % 97 <> 5").join(mentions.select("id").distinct(), "id", "left_semi")
+        provenance = rows.select(F.col("supplier").alias("from_id"), F.col("part").alias("to_id"), F.lit("supplies").alias("relation"), F.col("id").alias("passage_id"), F.expr("(k % 10) / 10D").alias("confidence"))
+        return {
+            "nodes": known.select("id", F.lit("entity").alias("category"), "label", F.concat(F.lit("about "), "label").alias("body")),
+            "edges": provenance.select("from_id", "to_id", "relation").distinct(),
+            "mentions": mentions,
+            "provenance": provenance,
+        }
+
+    def destination(self) -> dict[str, DataFrame]:
+        """A store of every seventh order's passages, which has every third node as a stub."""
+        store = self.shelf("k % 7 = 1")
+        third = F.expr("CAST(substring(id, 3) AS LONG) % 3 = 0")
+        nodes = store["nodes"].select("id", F.when(third, "extraction_stub").otherwise("own").alias("category"), "label", F.when(third, "").otherwise("known here").alias("body"))
+        return {**store, "nodes": nodes}
+
     # -- a world with faults --------------------------------------------------------------------
 
     def line_texts(self) -> DataFrame:
@@ -354,6 +380,18 @@ CTES = {
         SELECT 'mention', unnest([part, supplier]), id, 0.75::DOUBLE FROM passages UNION ALL
         SELECT 'attach', id, asset_id, 0.55::DOUBLE FROM (SELECT DISTINCT supplier AS id, parent_id AS asset_id FROM passages) WHERE asset_id IN (SELECT id FROM layout_nodes) UNION ALL
         SELECT 'attach', 'src:' || substr(id, 3), id, 0.55::DOUBLE FROM assets""",
+    "said": """SELECT id AS passage_id, parent_id AS asset_id, part, supplier, p % 5 = 0 OR s % 10 = 0 OR k % 11 = 0 AS unit, k % 7 = 1 AS dest, k FROM (
+        SELECT *, substr(part, 3)::BIGINT AS p, substr(supplier, 3)::BIGINT AS s, substr(parent_id, 3)::BIGINT AS k FROM passages)""",
+    "told": "SELECT part AS id, passage_id, asset_id, unit, dest FROM said UNION ALL SELECT supplier, passage_id, asset_id, unit, dest FROM said",
+    "scopes": """SELECT id, label, CASE WHEN bool_and(unit) THEN 'derived' ELSE 'boundary' END AS scope FROM told JOIN nodes USING (id) WHERE kind = 'entity' AND substr(id, 3)::BIGINT % 97 <> 5 GROUP BY ALL HAVING bool_or(unit)""",
+    "sent_edges": """SELECT from_id, to_id, CASE coalesce((a.scope = 'derived')::INT, 0) + coalesce((b.scope = 'derived')::INT, 0) WHEN 2 THEN 'internal' WHEN 1 THEN 'boundary' ELSE 'shared' END AS scope
+        FROM (SELECT DISTINCT supplier AS from_id, part AS to_id FROM said WHERE unit) LEFT JOIN scopes a ON a.id = from_id LEFT JOIN scopes b ON b.id = to_id WHERE a.id IS NOT NULL OR b.id IS NOT NULL""",
+    "dest_nodes": """SELECT id, CASE WHEN substr(id, 3)::BIGINT % 3 = 0 THEN 'extraction_stub' ELSE 'own' END AS category, label, CASE WHEN substr(id, 3)::BIGINT % 3 = 0 THEN '' ELSE 'known here' END AS body
+        FROM nodes WHERE kind = 'entity' AND substr(id, 3)::BIGINT % 97 <> 5 AND id IN (SELECT id FROM told WHERE dest)""",
+    "landed_edges": "SELECT from_id, to_id, 'supplies' AS relation FROM sent_edges UNION SELECT supplier, part, 'supplies' FROM said WHERE dest",
+    "landed_nodes": """SELECT * FROM (SELECT id, CASE WHEN s.scope = 'derived' THEN 'entity' WHEN d.category = 'own' THEN 'own' ELSE 'extraction_stub' END AS category, coalesce(s.label, d.label) AS label,
+            CASE WHEN s.scope = 'derived' THEN 'about ' || s.label WHEN d.category = 'own' THEN d.body ELSE '' END AS body FROM scopes s FULL JOIN dest_nodes d USING (id))
+        UNION ALL SELECT DISTINCT id, 'extraction_stub', id, '' FROM (SELECT unnest([from_id, to_id]) AS id FROM landed_edges) WHERE id NOT IN (SELECT id FROM scopes UNION SELECT id FROM dest_nodes)""",
     "relations": "SELECT 'rel:' || vec_id AS relation, list_transform(embedding, lambda x: x::DOUBLE) AS v, label, vec_id FROM embeddings",
     "triples": "SELECT 'reg' || (vec_id + k) % 6 AS register, 'rel:' || vec_id AS relation FROM (SELECT vec_id, unnest(range(0, (vec_id % 4)::INT + 1)) AS k FROM embeddings)",
     "families": "SELECT 'fam:' || label AS family, label AS place, v FROM relations QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1",
@@ -368,6 +406,13 @@ NEEDS = {
     "ownership": ["segments"],
     "trade_edges": ["edges"],
     "line_texts": ["passages"],
+    "said": ["passages"],
+    "told": ["said"],
+    "scopes": ["told", "nodes"],
+    "sent_edges": ["said", "scopes"],
+    "dest_nodes": ["nodes", "told"],
+    "landed_edges": ["sent_edges", "said"],
+    "landed_nodes": ["scopes", "dest_nodes", "landed_edges"],
     "layout_nodes": ["nodes", "assets", "passages"],
     "layout_links": ["edges", "layout_nodes", "passages", "assets"],
     "f_sources": ["line_texts"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .operators import layout, mining, paths, topology, validation, verdicts
+from .operators import layout, mining, paths, portable, topology, validation, verdicts
 from .operators.graph import QUARANTINE_REASONS
 
 
@@ -180,3 +180,53 @@ def topology_diffused(w):
     links = _links(w).select(F.lit("").alias("id"), F.col("a").alias("from_id"), F.col("b").alias("to_id"), "weight")
     features = w.layout_nodes().select("id", F.array("centrality", (F.col("kind") == "entity").cast("double")).alias("v"))
     return paths.diffused(features, links, rounds=2).select("id", F.round(F.col("v")[0], 6).alias("x"), F.round(F.col("v")[1], 6).alias("y"))
+
+
+_UNIT = "p % 5 = 0 OR s % 10 = 0 OR k % 11 = 0"
+
+
+def _imported(w):
+    """(destination, the artifact of a unit, the destination after two imports of it)"""
+    store, unit = w.shelf("true"), w.shelf(_UNIT)["mentions"].select("passage_id")
+    artifact, before = portable.exported(store, unit), w.destination()
+    once = portable.import_artifact(before, artifact)
+    return before, artifact, portable.import_artifact(once, artifact)
+
+
+@query("SELECT * FROM landed_nodes", "landed_nodes")
+def imported_nodes(w):
+    """The nodes of a store that has imported a unit of another twice."""
+    return _imported(w)[2]["nodes"]
+
+
+@query("SELECT * FROM landed_edges", "landed_edges")
+def imported_edges(w):
+    """The edges of that store."""
+    return _imported(w)[2]["edges"]
+
+
+@query(
+    """, missing AS (SELECT t.* FROM told t WHERE unit AND id NOT IN (SELECT id FROM scopes))
+       SELECT 'whole_nodes' AS measure, count(*) AS n FROM scopes WHERE scope = 'derived' UNION ALL SELECT 'stubs', count(*) FROM scopes WHERE scope <> 'derived'
+       UNION ALL SELECT 'stubs_held_back', count(*) FROM scopes WHERE scope <> 'derived' AND id IN (SELECT id FROM dest_nodes WHERE category = 'own')
+       UNION ALL SELECT 'stubs_made', count(*) FROM landed_nodes WHERE id NOT IN (SELECT id FROM dest_nodes UNION SELECT id FROM scopes)
+       UNION ALL SELECT 'edges_added', count(*) FROM landed_edges WHERE (from_id, to_id) NOT IN (SELECT (supplier, part) FROM said WHERE dest)
+       UNION ALL SELECT s || '_edges', count(from_id) FROM (SELECT unnest(['internal', 'boundary', 'shared']) AS s) LEFT JOIN sent_edges ON scope = s GROUP BY s
+       UNION ALL SELECT 'dropped_entity_rows', count(*) FROM missing
+       UNION ALL SELECT 'dropped_provenance_rows', count(*) FROM said WHERE unit AND (supplier, part) NOT IN (SELECT (from_id, to_id) FROM sent_edges)""",
+    "landed_nodes",
+)
+def import_report(w):
+    """What the import brought, held back, made up and dropped."""
+    before, artifact, after = _imported(w)
+    return portable.import_report(before, after, artifact)
+
+
+@query(
+    """, held AS (SELECT id, passage_id, unit FROM told WHERE dest UNION SELECT id, passage_id, unit FROM told WHERE unit AND id IN (SELECT id FROM scopes))
+       SELECT id, CASE WHEN bool_and(unit) THEN 'derived' ELSE 'boundary' END AS scope FROM held GROUP BY id HAVING bool_or(unit)""",
+    "scopes",
+)
+def reclosed_nodes(w):
+    """The unit's closure computed anew where it was imported: what was shared may be derived there."""
+    return portable.node_closure(_imported(w)[2]["mentions"], w.shelf(_UNIT)["mentions"].select("passage_id"))

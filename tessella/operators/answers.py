@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,41 +84,6 @@ def source_window(text: Column, first: Column, last: Column, around: int = 420)
     return F.concat(F.when(a > 0, "…").otherwise(""), F.substring(text, a + 1, b - a), F.when(b < F.length(text), "…").otherwise(""))
 
 
-def fuzzy_score(query: str, text: str) -> float | None:
-    """Subsequence match of lower-cased query in text, or null.
-
-    A character counts 12 at the start, 8 at a word's start, 6 next to the one before; a gap of
-    g costs g, the lead 2 a character at most 10, and length 0.05 a character. After a gap only
-    word starts are candidates if one exists, else the next occurrence.
-    """
-    low, q = text.lower(), query.lower().replace(" ", "")
-    starts = {i for i in range(len(low)) if low[i].isalnum() and (i == 0 or not low[i - 1].isalnum())}
-    score, last = 0.0, -1
-    for c in q:
-        at = last + 1 if last >= 0 and low[last + 1 : last + 2] == c else -1
-        if at < 0:
-            where = [i for i in range(last + 1, len(low)) if low[i] == c]
-            if not where:
-                return None
-            at = next((i for i in where if i in starts), where[0])
-        score += (12 if at == 0 else 8 if at in starts else 0) + (6 if last >= 0 and at == last + 1 else 0)
-        score -= (at - last - 1) if last >= 0 else min(10, 2 * at)
-        last = at
-    return round(score - 0.05 * len(low), 6)
-
-
-def fuzzy(query: str, labels: DataFrame) -> DataFrame:
-    """Rows (id, label, score): labels and aliases (4 less) that match; the best of each id."""
-
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: None if t is None else fuzzy_score(query, t)).astype("float64")
-
-    scored = labels.withColumn("score", score("label") - F.when(F.col("alias"), 4.0).otherwise(0.0)).where("score IS NOT NULL AND NOT isnan(score)")
-    return scored.groupBy("id").agg(F.max_by(F.struct("label", "score"), F.struct("score", "label")).alias("b")).select("id", "b.*")
-
-
 def lod_histogram(view: DataFrame, lod: DataFrame) -> DataFrame:
     """Rows (lod, nodes) over a view; nodes without a state count as 'hole'."""
     joined = view.select("id").join(lod.select("id", "lod"), "id", "left")
@@ -158,41 +120,6 @@ def chronology(path: DataFrame, dates: DataFrame) -> DataFrame:
     return placed.join(dates.select("id", "at"), "id", "left").select("place", "id", "at", F.datediff(day, F.lag(day).over(w)).alias("days"))
 
 
-def word_diff(before: str, after: str, most: int = 1200) -> list[tuple[str, str]] | None:
-    """Runs (same, removed or added; words) of a longest common subsequence; null for long texts."""
-    a, b = before.split(), after.split()
-    if len(a) > most or len(b) > most:
-        return None
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    runs: list[tuple[str, list[str]]] = []
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            kind, word, i, j = "same", a[i], i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            kind, word, i = "removed", a[i], i + 1
-        else:
-            kind, word, j = "added", b[j], j + 1
-        if not runs or runs[-1][0] != kind:
-            runs.append((kind, []))
-        runs[-1][1].append(word)
-    return [(k, " ".join(w)) for k, w in runs]
-
-
-def word_diffs(pairs: DataFrame) -> DataFrame:
-    """Adds diff, the runs between columns before and after."""
-
-    @F.pandas_udf("array<struct<kind:string,words:string>>")
-    def diff(before: pd.Series, after: pd.Series) -> pd.Series:
-        found = [None if a is None or b is None else word_diff(a, b) for a, b in zip(before, after)]
-        return pd.Series([None if f is None else [{"kind": k, "words": w} for k, w in f] for f in found])
-
-    return pairs.withColumn("diff", diff("before", "after"))
-
-
 def _halved(before: Column, after: Column, c: Column) -> Column:
     """The half of low..high in which two texts begin to differ, or high if they agree up to it."""
     middle = ((c["low"] + c["high"] + 1) / 2).cast("int")

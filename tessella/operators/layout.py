@@ -52,6 +52,62 @@ def picked(positions: DataFrame, x: float, y: float, slop: float = 0.0) -> DataF
     return over.groupBy().agg(F.min_by("id", F.struct("r", d2.alias("d"), "id")).alias("id")).where("id IS NOT NULL")
 
 
+def levelled(positions: DataFrame, base: float, slop: float = 0.0) -> DataFrame:
+    """Rows (level, cell_x, cell_y, id, x, y, r): each disc in the cells that it touches at its level.
+
+    A level's cells are ``base`` times a power of two wide, and a disc's level is the least whose
+    cells are as wide as the disc, so that it touches four at most, whatever its size.
+    """
+    wide = 2 * (F.col("r") + slop)
+    level = F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(base)) / base)), F.lit(0)).cast("int")
+    cell = F.col("level").cast("double")
+    size = F.lit(float(base)) * F.pow(F.lit(2.0), cell)
+    reach = F.col("r") + slop
+    touched = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
+    rows = positions.select("id", "x", "y", "r").withColumn("level", level)
+    return rows.withColumn("cell_x", touched("x")).withColumn("cell_y", touched("y"))
+
+
+def picked_many(positions: DataFrame, points: DataFrame, base: float, slop: float = 0.0) -> DataFrame:
+    """Rows (point, id): for each of (point, px, py) the smallest disc over it, then the nearest, then by id.
+
+    A point looks into its one cell of each level there is; so picks are an equality join.
+    """
+    discs = levelled(positions, base, slop)
+    levels = discs.select("level").distinct()  # a few dozen: each doubles the width
+    at = points.crossJoin(F.broadcast(levels))
+    size = F.lit(float(base)) * F.pow(F.lit(2.0), F.col("level").cast("double"))
+    at = at.withColumn("cell_x", F.floor(F.col("px") / size)).withColumn("cell_y", F.floor(F.col("py") / size))
+    d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
+    over = at.join(discs, ["level", "cell_x", "cell_y"]).where(d2 <= (F.col("r") + slop) ** 2)
+    return over.groupBy("point").agg(F.min_by("id", F.struct("r", d2.alias("d"), "id")).alias("id"))
+
+
+def separation(positions: DataFrame, draws: int = 4, seed: int = 0) -> DataFrame:
+    """Rows (stratum, pairs, distance): the mean distance of pairs within and across communities.
+
+    Each node draws ``draws`` partners of its own community and as many of others, by hashes, so
+    that reruns agree; a partner is a rank, so pairs meet by equality. A draw weighs as many
+    pairs as it stands for: the means are those of all pairs, up to the sample.
+    """
+    from ..sources.scratch import written
+    from .topology import indexed
+
+    ranked = written(indexed(positions.where("community IS NOT NULL").select("community", "id", "x", "y"), "community", "id"), "ranked")
+    homes = ranked.groupBy("community").agg(F.min("index").alias("first"), F.count("*").alias("size"))
+    n = ranked.count()
+    rows = ranked.join(homes, "community").select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = lambda name: F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), F.lit(name), "id", F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
+    own = F.col("first") + F.pmod(F.col("index") - F.col("first") + 1 + F.pmod(drawn("intra"), F.greatest(F.col("size") - 1, F.lit(1))), F.col("size"))
+    other = F.pmod(F.col("first") + F.col("size") + F.pmod(drawn("inter"), F.greatest(F.lit(n) - F.col("size"), F.lit(1))), F.lit(max(n, 1)))
+    pairs = rows.where("size > 1").select(F.lit("intra").alias("stratum"), own.alias("partner"), "x", "y", (F.col("size") - 1).alias("w")).unionByName(
+        rows.where(F.col("size") < n).select(F.lit("inter").alias("stratum"), other.alias("partner"), "x", "y", (F.lit(n) - F.col("size")).alias("w"))
+    )
+    met = pairs.join(ranked.select(F.col("index").alias("partner"), F.col("x").alias("u"), F.col("y").alias("v")), "partner")
+    far = F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2)
+    return met.groupBy("stratum").agg(F.count("*").alias("pairs"), F.round(F.sum(far * F.col("w")) / F.sum("w"), 6).alias("distance"))
+
+
 def lod_hint(kind: Column, central: Column, bridge: Column) -> Column:
     """The level of detail by kind; central nodes and bridges are one level up."""
     base = F.when(kind.isin("continent", "island"), 0).when(kind.isin("asset", "entity"), 1).otherwise(2)

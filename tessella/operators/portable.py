@@ -104,6 +104,14 @@ def accepted(header: dict, record_id: str | None = None) -> None:
             raise ValueError("the record is of another asset")
 
 
+def _single(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key, the least of several."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*rows.columns)
+
+
 def import_artifact(store: dict[str, DataFrame], artifact: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The store after an import, which may be repeated.
 
@@ -113,7 +121,7 @@ def import_artifact(store: dict[str, DataFrame], artifact: dict[str, DataFrame])
     """
     old = store["nodes"].withColumn("stub", F.col("category") == STUB)
     nodes = written(imported(old, artifact["nodes"].select(*old.columns)).drop("stub"), "nodes")
-    once = lambda name, keys: written(merged(store[name], artifact[name].select(*store[name].columns), keys), name)
+    once = lambda name, keys: written(merged(_single(store[name], keys), _single(artifact[name].select(*store[name].columns), keys), keys), name)
     out = {"edges": once("edges", EDGE), "mentions": once("mentions", ["id", "passage_id"]), "provenance": once("provenance", [*EDGE, "passage_id"])}
     ends = out["edges"].select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
     unmet = ends.join(nodes.select("id"), "id", "left_anti").select("id", F.lit(STUB).alias("category"), F.col("id").alias("label"), F.lit("").alias("body"))

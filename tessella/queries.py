@@ -781,13 +781,6 @@ def reach_map(w):
     return A.reach(w.edges(), "s:1").select("other", "edge_id", "quarantined")
 
 
-@query()
-def fuzzy_search(w):
-    """Parts whose names match a few letters; the scorer is held against a table in the tests."""
-    labels = w.nodes().where("id LIKE 'p:%'").select("id", "label", F.lit(False).alias("alias"))
-    return A.fuzzy("rwg", labels)
-
-
 @query(
     """SELECT CASE WHEN k % 7 = 0 THEN 'lod-0' WHEN k % 5 = 0 THEN 'lod-1' ELSE 'hole' END AS lod, count(*) AS nodes FROM (SELECT substr(id, 3)::BIGINT AS k FROM positions) GROUP BY 1""",
     "positions",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .operators import layout, mining, paths, portable, topology, validation, verdicts
+from .operators import diffs, layout, mining, paths, portable, search, topology, validation, verdicts
 from .operators.graph import QUARANTINE_REASONS
 
 
@@ -230,3 +230,75 @@ def import_report(w):
 def reclosed_nodes(w):
     """The unit's closure computed anew where it was imported: what was shared may be derived there."""
     return portable.node_closure(_imported(w)[2]["mentions"], w.shelf(_UNIT)["mentions"].select("passage_id"))
+
+
+@query(
+    """, n AS (SELECT count(*) AS n FROM positions), r AS (SELECT *, row_number() OVER (ORDER BY community, id) - 1 AS i, count(*) OVER (PARTITION BY community) AS size FROM positions),
+       d AS (SELECT r.*, min(i) OVER (PARTITION BY community) AS first, draw FROM r, range(4) t(draw)),
+       h AS (SELECT *, ('0x' || md5('0#intra#' || id || '#' || draw)[1:8])::BIGINT AS a, ('0x' || md5('0#inter#' || id || '#' || draw)[1:8])::BIGINT AS b FROM d),
+       p AS (SELECT 'intra' AS stratum, first + (i - first + 1 + a % greatest(size - 1, 1)) % size AS partner, x, y, size - 1 AS w FROM h WHERE size > 1 UNION ALL
+             SELECT 'inter', (first + size + b % (n - size)) % n, x, y, n - size FROM h, n WHERE size < n)
+       SELECT stratum, count(*) AS pairs, round(sum(sqrt((p.x - r.x) ** 2 + (p.y - r.y) ** 2) * w) / sum(w), 6) AS distance FROM p JOIN r ON r.i = partner GROUP BY stratum""",
+    "positions",
+)
+def community_separation(w):
+    """The mean distance within and across communities, from four draws of each node."""
+    return layout.separation(w.positions())
+
+
+@query(
+    """, c AS (SELECT c_custkey::VARCHAR AS point, (c_custkey * 17 % 1000 + 0.25)::DOUBLE AS px, (c_custkey * 29 % 1000 + 0.5)::DOUBLE AS py FROM customer)
+       SELECT point, arg_min(id, (r, (x - px) ** 2 + (y - py) ** 2, id)) AS id FROM c JOIN positions ON (x - px) ** 2 + (y - py) ** 2 <= (r + 0.5) ** 2 GROUP BY point""",
+    "positions",
+)
+def picks(w):
+    """What is picked at a place for each customer, in one join."""
+    points = w.table("customer").select(F.col("c_custkey").cast("string").alias("point"), F.expr("CAST(c_custkey * 17 % 1000 + 0.25 AS DOUBLE)").alias("px"), F.expr("CAST(c_custkey * 29 % 1000 + 0.5 AS DOUBLE)").alias("py"))
+    return layout.picked_many(w.positions(), points, base=1.0, slop=0.5)
+
+
+#: ASCII white space and its opposite; what documents must not hold to be compared in SQL.
+_GAP, _INK = r"[\t\n\v\f\r ]", r"[^\t\n\v\f\r ]"
+_ODD = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}#]"
+_FIGURE = f"{_INK}*[0-9]{_INK}*"
+
+
+@query(
+    f"""t AS (SELECT doc_id AS id, text, regexp_replace(text, '{_FIGURE}', '#', 'g') AS masked FROM documents WHERE NOT regexp_matches(text, '{_ODD}')),
+        n AS (SELECT *, regexp_extract_all(text, '{_INK}+') AS words, len(regexp_extract_all(text, '{_INK}+')) + len(regexp_extract_all(text, '{_GAP}+')) AS size FROM t),
+        c AS (SELECT *, len(list_filter(words, lambda x: regexp_matches(x, '[0-9]'))) AS hit FROM n)
+        SELECT id, CASE WHEN size <= 1200 THEN array_to_string(regexp_extract_all(text, '{_FIGURE}({_GAP}+{_FIGURE})*'), '|') END AS removed,
+               CASE WHEN size <= 1200 THEN array_to_string(regexp_extract_all(masked, '#({_GAP}+#)*'), '|') END AS added,
+               CASE WHEN size > 1200 THEN NULL WHEN len(words) = 0 THEN 0 ELSE round(hit / len(words), 6) END AS share FROM c"""
+)
+def masked_diffs(w):
+    """Whole documents against themselves with every word of a digit masked: what changed, and how much.
+
+    Documents that hold the mask, or white space beyond ASCII, have no such plain answer.
+    """
+    java = _FIGURE.replace(r"\v", r"\x0B")
+    pairs = w.table("documents").where(~F.col("text").rlike(_ODD)).select(F.col("doc_id").alias("id"), F.col("text").alias("before"), F.regexp_replace("text", java, "#").alias("after"))
+    found = diffs.word_diffs(pairs)
+    phrases = lambda op: F.array_join(diffs.changed_phrases(op), "|")
+    return found.select("id", phrases("del").alias("removed"), phrases("ins").alias("added"), F.round("share", 6).alias("share"))
+
+
+@query(
+    """, l AS (SELECT id, label, false AS alias FROM nodes UNION ALL SELECT 'p:' || p_partkey, p_brand, true FROM part),
+       a AS (SELECT *, lower(label) AS h FROM l),
+       s AS (SELECT *, unnest(list_filter(range(len(h)), lambda i: h[i + 1] = 'r')) AS p0 FROM a),
+       b AS (SELECT *, CASE WHEN h[p0 + 2] = 'w' THEN p0 + 1 ELSE list_filter(range(p0 + 2, len(h)), lambda i: h[i + 1] = 'w' AND contains(' -_.:/', h[i]))[1] END AS p1 FROM s),
+       c AS (SELECT *, CASE WHEN h[p1 + 2] = 'i' THEN p1 + 1 ELSE list_filter(range(p1 + 2, len(h)), lambda i: h[i + 1] = 'i' AND contains(' -_.:/', h[i]))[1] END AS p2 FROM b WHERE p1 IS NOT NULL),
+       m AS (SELECT *, CASE WHEN p0 = 0 THEN 12 WHEN contains(' -_.:/', h[p0]) THEN 8 ELSE 0 END - 2 * p0 + CASE WHEN p1 = p0 + 1 THEN 6 ELSE 8 - (p1 - p0 - 1) END
+                 + CASE WHEN p2 = p1 + 1 THEN 6 ELSE 8 - (p2 - p1 - 1) END - len(h) * 0.05::DOUBLE - CASE WHEN alias THEN 4 ELSE 0 END AS score FROM c WHERE p2 IS NOT NULL),
+       o AS (SELECT *, list_transform(range(len(label)), lambda i: NOT alias AND (i = p0 OR i = p1 OR i = p2)) AS hits FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, alias, label, p0) = 1)
+       SELECT id, label, round(score, 6) AS score, array_to_string(list_transform(range(len(label)), lambda i: CASE WHEN hits[i + 1] AND (i = 0 OR NOT hits[i]) THEN '[' ELSE '' END || label[i + 1]
+              || CASE WHEN hits[i + 1] AND (i + 1 = len(label) OR NOT hits[i + 2]) THEN ']' ELSE '' END), '') AS marked FROM o""",
+    "nodes",
+)
+def fuzzy_search(w):
+    """All nodes, and the brands of parts as aliases, that match a few letters, with the letters marked."""
+    labels = w.nodes().select("id", "label", F.lit(False).alias("alias")).unionByName(w.table("part").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.col("p_brand").alias("label"), F.lit(True).alias("alias")))
+    found = search.fuzzy("rw i", labels)
+    marked = F.array_join(F.transform("runs", lambda r: F.when(r["hit"], F.concat(F.lit("["), r["text"], F.lit("]"))).otherwise(r["text"])), "")
+    return found.select("id", "label", F.round("score", 6).alias("score"), marked.alias("marked"))

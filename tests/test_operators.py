@@ -243,12 +243,6 @@ def test_chains_forks_and_windows(spark):
     assert one(spark, answers.source_window(F.lit("abcdefghij"), F.lit(4), F.lit(6), 2)) == "…cdefgh…"
 
 
-def test_fuzzy_scores():
-    assert answers.fuzzy_score("rw", "red widget") == round(12 + 8 - 3 - 0.5, 6)
-    assert answers.fuzzy_score("zz", "red widget") is None
-    assert answers.fuzzy_score("red", "red widget") > answers.fuzzy_score("rdt", "red widget")
-
-
 def test_imports_keep_full_nodes(spark):
     rows = lambda *x: spark.createDataFrame(list(x), "id string, label string, stub boolean")
     once = portable.imported(rows(("a", "full", False), ("b", "stub", True)), rows(("a", "s", True), ("b", "now full", False), ("c", "s", True)))
@@ -293,13 +287,6 @@ def test_chronology_orders_a_chain_only(spark):
         assert answers.chronology(steps(*bad), dates).count() == 0
 
 
-def test_word_diffs(spark):
-    assert answers.word_diff("a b c d", "a x c d e") == [("same", "a"), ("removed", "b"), ("added", "x"), ("same", "c d"), ("added", "e")]
-    assert answers.word_diff("w " * 1201, "w") is None
-    pairs = spark.createDataFrame([("a b", "a c"), (None, "x")], "before string, after string")
-    assert [None if r.diff is None else [tuple(x) for x in r.diff] for r in answers.word_diffs(pairs).collect()] == [[("same", "a"), ("removed", "b"), ("added", "c")], None]
-
-
 def test_signals_and_counterfactual(spark):
     cited = spark.createDataFrame([(0.5, True, "s1"), (1.0, False, "s1")], "score double, verbatim boolean, source_id string")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")

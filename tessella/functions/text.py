@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Words that a question's terms leave out.
 STOPWORDS = (
-    "the and for that this with from what which who whom whose how why when where are was were has have had does "
-    "did do say says said name missing complete entity between them about into over under their they its put order"
+    "the and for that this with from what which who whom whose how why when where are was were has have had does did "
+    "say says said name missing complete entity between them about into over under their they its put order"
 ).split()
 #: Fixed value: what parts terms.
 TERM_BREAK = "[^a-z0-9åäöæøéèüß-]+"

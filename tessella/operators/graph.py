@@ -155,10 +155,66 @@ def bridges(mentions: DataFrame) -> DataFrame:
     return mentions.distinct().groupBy("id").agg(F.count("*").alias("islands")).where("islands > 1")
 
 
-def world_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (measure, key, value): nodes by kind, edges by sigma and by quarantine reason."""
-    part = lambda t, name, key: t.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("value")).select(F.lit(name).alias("measure"), "key", "value")
-    return part(nodes, "nodes", "kind").unionByName(part(edges, "edges", "sigma")).unionByName(part(edges.where("quarantined"), "quarantined", "reason"))
+def world_stats(nodes: DataFrame, edges: DataFrame, entities: DataFrame, passages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows (measure, key, value): the world's measures, each table read in one aggregation.
+
+    nodes: kind, community; edges: family, sigma, quarantined, reason, crosses_strait; entities:
+    is_bridge; passages: resolution, tokens; sources: chars. Histograms have a row for each key;
+    rates are 0 where there is nothing to divide by.
+    """
+    row = lambda name, key, value: F.struct(F.lit(name).alias("measure"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    no = F.lit(None)
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    kinds = nodes.groupBy("kind").agg(F.count("*").alias("n")).select(row("nodes_by_kind", F.col("kind"), F.col("n")).alias("r"))
+    totals = nodes.agg(F.count("*").alias("n"), F.countDistinct("community").alias("c")).select(F.explode(F.array(row("nodes_total", no, F.col("n")), row("communities", no, F.col("c")))).alias("r"))
+    # edges are counted once by all that is asked of them, and the few combinations are added up
+    by = edges.groupBy("family", "sigma", "quarantined", "reason", "crosses_strait").agg(F.count("*").alias("n"))
+    sigmas = by.groupBy("sigma").agg(F.sum("n").alias("n")).select(row("edges_by_sigma", F.col("sigma"), F.col("n")).alias("r"))
+    reasons = by.where("quarantined").groupBy(F.coalesce("reason", F.lit("unspecified")).alias("reason")).agg(F.sum("n").alias("n")).select(row("quarantine_by_reason", F.col("reason"), F.col("n")).alias("r"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    sums = by.agg(
+        of(F.lit(True)).alias("all"), of(F.col("sigma") != "structural").alias("semantic"), of(F.col("quarantined")).alias("bad"), of(F.col("crosses_strait")).alias("strait"), F.countDistinct("family").alias("families")
+    )
+    edge_rows = sums.select(
+        F.explode(
+            F.array(
+                row("edges_total", no, F.col("all")),
+                row("edges_semantic", no, F.col("semantic")),
+                row("edges_structural", no, F.col("all") - F.col("semantic")),
+                row("quarantined", no, F.col("bad")),
+                row("quarantine_rate", no, share(F.col("bad"), F.col("semantic"))),
+                row("strait_edges", no, F.col("strait")),
+                row("distinct_families_used", no, F.col("families")),
+            )
+        ).alias("r")
+    )
+    bridges = entities.agg(F.count("*").alias("n"), F.count_if("is_bridge").alias("b")).select(F.explode(F.array(row("bridge_entities", no, F.col("b")), row("bridge_entity_rate", no, share(F.col("b"), F.col("n"))))).alias("r"))
+    told = passages.agg(F.count("*").alias("n"), F.count_if(F.col("resolution") != "verbatim").alias("b"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
+    told = told.select(F.explode(F.array(row("resolved_passages", no, F.col("b")), row("resolution_rate", no, share(F.col("b"), F.col("n"))), row("tokens_total", no, F.col("t")))).alias("r"))
+    chars = sources.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("c")).select(row("source_characters", no, F.col("c")).alias("r"))
+    out = kinds
+    for t in (totals, sigmas, reasons, edge_rows, bridges, told, chars):
+        out = out.unionByName(t)
+    return out.select("r.*")
+
+
+def source_centrality(sources: DataFrame, assets: DataFrame) -> DataFrame:
+    """Rows (id, centrality): each source has that of its most central asset (source_id, centrality), 0 without."""
+    best = assets.groupBy(F.col("source_id").alias("id")).agg(F.max("centrality").alias("best"))
+    return sources.select("id").join(best, "id", "left").select("id", F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(0.0)).alias("centrality"))
+
+
+def family_usage(edges: DataFrame, families: DataFrame) -> DataFrame:
+    """Each family of the vocabulary with its edges, the admitted ones, and those whose sigma isn't the family's.
+
+    Families that edges have and the vocabulary lacks come with a null sigma.
+    """
+    used = edges.groupBy("family", F.col("sigma").alias("__sigma")).agg(F.count("*").alias("n"), F.count_if(~F.col("quarantined")).alias("ok"))
+    both = families.join(used, "family", "full")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return both.groupBy("family", "sigma", "inverse", "label", "truth_gated", "self_inverse").agg(
+        zero("n").alias("edges"), zero("ok").alias("admitted"), zero(F.when(~F.col("__sigma").eqNullSafe(F.col("sigma")), F.col("n"))).alias("other_sigma")
+    )
 
 
 def reading_fiber(passages: DataFrame) -> DataFrame:

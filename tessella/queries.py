@@ -256,14 +256,26 @@ def anchor_sources(w):
 
 
 @query(
-    f""", {_FILES}, last AS (SELECT sha256(text) AS content_hash, max(path) AS path FROM files GROUP BY 1)
-       SELECT s.source_id, 'WHOLE' AS class, count(*) AS segments FROM segments s JOIN sources r USING (source_id) JOIN last l USING (content_hash) GROUP BY 1""",
+    f""", {_FILES}, last AS (SELECT sha256(text) AS content_hash, max(path) AS path FROM files GROUP BY 1),
+       asked AS (SELECT source_id, CASE seq % 5 WHEN 0 THEN '[Session date: 2024-01-01] ' || text WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN text || ' ' || text
+              WHEN 3 THEN text || ' This was never written by anyone here.' ELSE 'Nothing of this is in any file, not a single line.' END AS text FROM segments WHERE seq > 0),
+       b AS (SELECT a.source_id, regexp_replace(a.text, '^\\[Session date: [^\\]]+\\]\\s*', '') AS body, f.text AS file, trim(regexp_replace(f.text, '\\s+', ' ', 'g')) AS flat
+              FROM asked a JOIN sources r USING (source_id) JOIN last l USING (content_hash) JOIN files f USING (path)),
+       u AS (SELECT *, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS near, list_filter(list_transform(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 20) AS units FROM b),
+       c AS (SELECT *, len(list_filter(units, lambda x: contains(flat, x))) AS held FROM u)
+       SELECT source_id, CASE WHEN contains(file, body) THEN 'WHOLE' WHEN contains(flat, near) THEN 'NORMALIZED' WHEN len(units) > 0 AND held = len(units) THEN 'UNITS' WHEN held > 0 THEN 'PARTIAL' ELSE 'ABSENT' END AS class,
+              count(*) AS segments FROM c GROUP BY ALL""",
     "segments",
     "sources",
 )
 def segment_classes(w):
-    """How the anchoring files hold the segments."""
-    return audit.segment_classes(w.segments(), audit.anchored_sources(w.sources(), files(w)), files(w))
+    """How the anchoring files hold lines: as they are, spaced out, twice over, with an addition, or not at all."""
+    told = F.expr(
+        """CASE seq % 5 WHEN 0 THEN concat('[Session date: 2024-01-01] ', text) WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN concat(text, ' ', text)
+           WHEN 3 THEN concat(text, ' This was never written by anyone here.') ELSE 'Nothing of this is in any file, not a single line.' END"""
+    )
+    lines = w.segments().where("seq > 0").select("source_id", told.alias("text"))
+    return audit.segment_classes(lines, audit.anchored_sources(w.sources(), files(w)), files(w))
 
 
 # -- vocabulary closure -----------------------------------------------------------------------
@@ -439,16 +451,6 @@ def region_rollup(w):
     return graph.region_rollup(children, w.edges(), w.region_of("island"))
 
 
-@query(
-    """SELECT 'nodes' AS measure, kind AS key, count(*) AS value FROM nodes GROUP BY kind UNION ALL SELECT 'edges', sigma, count(*) FROM edges GROUP BY sigma
-       UNION ALL SELECT 'quarantined', reason, count(*) FROM edges WHERE quarantined GROUP BY reason""",
-    "nodes",
-    "edges",
-)
-def world_stats(w):
-    return graph.world_stats(w.nodes(), w.edges())
-
-
 @query("SELECT part AS id, count(DISTINCT a.parent_id) AS islands FROM passages p JOIN assets a ON a.id = p.parent_id GROUP BY 1 HAVING count(DISTINCT a.parent_id) > 1", "passages", "assets")
 def bridge_entities(w):
     island = w.assets().select(F.col("id").alias("parent_id"), F.col("parent_id").alias("island"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import query
-from .operators import diffs, layout, mining, paths, portable, search, topology, validation, verdicts
+from .functions import text as T
+from .functions import vocabulary
+from .operators import diffs, graph, layout, mining, paths, portable, search, topology, validation, verdicts
 from .operators.graph import QUARANTINE_REASONS
 
 
@@ -302,3 +304,61 @@ def fuzzy_search(w):
     found = search.fuzzy("rw i", labels)
     marked = F.array_join(F.transform("runs", lambda r: F.when(r["hit"], F.concat(F.lit("["), r["text"], F.lit("]"))).otherwise(r["text"])), "")
     return found.select("id", "label", F.round("score", 6).alias("score"), marked.alias("marked"))
+
+
+@query(
+    """, own AS (SELECT n.kind, coalesce(n.community, p.community, g.community) AS c FROM layout_nodes n LEFT JOIN layout_nodes p ON p.id = n.parent_id LEFT JOIN layout_nodes g ON g.id = p.parent_id),
+       e AS (SELECT f.*, coalesce(a.island <> b.island, false) AS strait FROM f_edges f LEFT JOIN region_of a ON a.id = from_id LEFT JOIN region_of b ON b.id = to_id),
+       t AS (SELECT count(*) AS n, count(*) FILTER (sigma <> 'structural') AS m, count(*) FILTER (quarantined) AS q, count(*) FILTER (strait) AS s, count(DISTINCT family) AS f FROM e),
+       p AS (SELECT count(*) AS n, count(*) FILTER (resolution <> 'verbatim') AS r, sum(greatest(1, floor(length(text) / 4.0 + 0.5))) AS k FROM f_passages),
+       b AS (SELECT count(*) AS n, count(*) FILTER (is_bridge) AS b FROM f_entities)
+       SELECT measure, key, round(value::DOUBLE, 6) AS value FROM (
+         SELECT 'nodes_by_kind' AS measure, kind AS key, count(*)::DOUBLE AS value FROM own GROUP BY kind UNION ALL SELECT 'nodes_total', NULL, count(*) FROM own UNION ALL SELECT 'communities', NULL, count(DISTINCT c) FROM own
+         UNION ALL SELECT 'edges_by_sigma', sigma, count(*) FROM e GROUP BY sigma UNION ALL SELECT 'quarantine_by_reason', coalesce(reason, 'unspecified'), count(*) FROM e WHERE quarantined GROUP BY 2
+         UNION ALL SELECT 'edges_total', NULL, n FROM t UNION ALL SELECT 'edges_semantic', NULL, m FROM t UNION ALL SELECT 'edges_structural', NULL, n - m FROM t UNION ALL SELECT 'quarantined', NULL, q FROM t
+         UNION ALL SELECT 'quarantine_rate', NULL, q / m FROM t UNION ALL SELECT 'strait_edges', NULL, s FROM t UNION ALL SELECT 'distinct_families_used', NULL, f FROM t
+         UNION ALL SELECT 'bridge_entities', NULL, b FROM b UNION ALL SELECT 'bridge_entity_rate', NULL, b / n FROM b UNION ALL SELECT 'resolved_passages', NULL, r FROM p UNION ALL SELECT 'resolution_rate', NULL, r / n FROM p
+         UNION ALL SELECT 'tokens_total', NULL, k FROM p UNION ALL SELECT 'source_characters', NULL, sum(length(text)) FROM f_sources)""",
+    "layout_nodes",
+    "f_edges",
+    "f_passages",
+    "f_entities",
+    "f_sources",
+    "region_of",
+)
+def world_stats(w):
+    """All measures of the world with faults, and its nodes by kind and community."""
+    t = w.faulty()
+    nodes = topology.inherited(w.layout_nodes()).select("kind", "community")
+    edges = graph.crossing(t["edges"], w.region_of())
+    passages = t["passages"].select("resolution", T.token_count(F.col("text")).alias("tokens"))
+    found = graph.world_stats(nodes, edges, t["entities"], passages, t["sources"].select(F.length("text").alias("chars")))
+    return found.select("measure", "key", F.round("value", 6).alias("value"))
+
+
+@query(
+    """SELECT 'c:' || c_custkey AS id, coalesce(max(o_orderkey % 10 / 10.0), 0)::DOUBLE AS centrality FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""
+)
+def source_centrality(w):
+    """Customers as sources of their orders."""
+    assets = w.table("orders").select(F.concat(F.lit("c:"), "o_custkey").alias("source_id"), F.expr("o_orderkey % 10 / 10D").alias("centrality"))
+    return graph.source_centrality(w.table("customer").select(F.concat(F.lit("c:"), "c_custkey").alias("id")), assets)
+
+
+def _values(rows) -> str:
+    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, (bool, int)) else "'" + x + "'"
+    return ", ".join("(" + ", ".join(quote(x) for x in r) + ")" for r in rows)
+
+
+@query(
+    f""", dims AS (SELECT * FROM (VALUES {_values(vocabulary.family_rows())}) t(family, ds, inverse, label, truth_gated, self_inverse, place))
+       SELECT coalesce(d.family, e.family) AS family, ds AS sigma, inverse, label, truth_gated, self_inverse, count(e.id) AS edges, count(e.id) FILTER (NOT quarantined) AS admitted,
+              count(e.id) FILTER (e.sigma IS DISTINCT FROM ds) AS other_sigma
+       FROM dims d FULL JOIN (SELECT id, family, sigma, quarantined FROM f_edges UNION ALL SELECT id, 'ships', sigma, quarantined FROM edges WHERE sigma = 'episodic') e ON e.family = d.family GROUP BY ALL""",
+    "f_edges",
+)
+def family_usage(w):
+    """The vocabulary with what edges use of it; some edges are of a family that it lacks."""
+    edges = w.faulty()["edges"].select("family", "sigma", "quarantined")
+    odd = w.edges().where("sigma = 'episodic'").select(F.lit("ships").alias("family"), "sigma", "quarantined")
+    return graph.family_usage(edges.unionByName(odd), vocabulary.families(w.spark).drop("place"))

@@ -58,17 +58,19 @@ def budgeted(rows: DataFrame, order: list, budget: int, most: int, scope: list[s
     return numbered.withColumn("spent", F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("spent") <= budget)
 
 
-def admission(candidates: DataFrame, budget: int, slots: int = SLOTS, scope: str = "question") -> DataFrame:
+def admission(candidates: DataFrame, budget: int, slots: int = SLOTS, scope: str = "question", spent: str | None = None) -> DataFrame:
     """Rows (scope, id, lod, cost): candidates in order, those that overflow skipped, not ending it.
 
-    candidates: scope, place, id, on_path, mentions, assets. A node on the path, and the first
+    candidates: scope, place, id, on_path, mentions, assets, and what of the budget is gone
+    before (column ``spent``, the same for all of a scope). A node on the path, and the first
     ``slots`` admitted, come as summaries (lod 1), others as pointers (lod 2). Whether a node
     fits depends on all before it, so a question's ordered candidates (its path's neighbours,
     hundreds) are folded as one array.
     """
     kind = "array<struct<id:string,lod:int,cost:long>>"
     rows = F.sort_array(F.collect_list(F.struct("place", "id", "on_path", "mentions", "assets")))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
+    before = F.lit(0) if spent is None else F.max(spent)
+    start = F.struct(before.cast("long").alias("spent"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
 
     def step(a: Column, c: Column) -> Column:
         full = c["on_path"] | (a["n"] < slots)

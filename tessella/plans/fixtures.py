@@ -198,6 +198,34 @@ class World:
         held = p.select(F.col("supplier").alias("id"), F.col("parent_id").alias("asset_id")).distinct()
         return mentions, held.unionByName(self.assets().select(F.expr("concat('src:', substring(id, 3))").alias("id"), F.col("id").alias("asset_id")))
 
+    # -- questions ------------------------------------------------------------------------------
+
+    def asked(self) -> DataFrame:
+        """A question (question, text) for each order: about the part of its first line, or its
+        customer, or nothing that there is."""
+        first = self.line_texts().where("seq = 0").join(self.table("part").select(F.concat(F.lit("p:"), "p_partkey").alias("part"), "p_name"), "part")
+        who = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("o:"), "o_orderkey").alias("parent_id"), "c_name")
+        text = "CASE WHEN k % 13 = 0 THEN 'Why, though?' WHEN k % 17 = 0 THEN concat('What did ', c_name, ' buy?') ELSE concat('Which supplier delivers the ', p_name, '?') END"
+        return first.join(who, "parent_id").select(F.col("parent_id").alias("question"), F.expr(text).alias("text"))
+
+    def rendering(self) -> dict[str, DataFrame]:
+        """entities, edges, passages, facts and assets that questions are answered from."""
+        lines, edges = self.line_texts(), self.edges()
+        degree = edges.where("NOT quarantined").select(F.explode(F.array("from_id", "to_id")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+        top = degree.agg(F.max("d").alias("top"))
+        central = self.nodes().where("kind = 'entity'").select("id", "label").join(degree, "id", "left").crossJoin(F.broadcast(top))  # one row
+        central = central.select("id", "label", F.round(F.coalesce("d", F.lit(0)) / F.col("top"), 6).alias("centrality"))
+        said = lines.select(F.explode(F.array("part", "supplier")).alias("id"), "parent_id").groupBy("id").agg(F.count("*").alias("mentions"), F.countDistinct("parent_id").alias("assets"))
+        passages = lines.select("id", F.col("v").alias("text"), F.expr("concat('src:', k)").alias("source_id"), F.col("parent_id").alias("asset_id"), F.expr("seq % 5 <> 4").alias("verbatim"))
+        own = lines.select(F.expr("concat('x:', k, '-', substring(part, 3), '-', substring(supplier, 3))").alias("id"), F.array("id").alias("passage"))
+        return {
+            "entities": central,
+            "edges": edges.drop("evidence").join(own, "id").withColumnRenamed("passage", "evidence"),
+            "passages": passages,
+            "facts": central.join(said, "id").select("id", "centrality", "mentions", "assets"),
+            "assets": self.assets().select("id", F.col("parent_id").alias("island")),
+        }
+
     # -- units that travel ----------------------------------------------------------------------
 
     def shelf(self, where: str) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import query
 from .functions import text as T
 from .functions import vocabulary
-from .operators import diffs, graph, layout, mining, paths, portable, search, topology, validation, verdicts
+from .operators import answering, diffs, graph, layout, mining, paths, portable, search, topology, validation, verdicts
 from .operators.graph import QUARANTINE_REASONS
 
 
@@ -362,3 +362,58 @@ def family_usage(w):
     edges = w.faulty()["edges"].select("family", "sigma", "quarantined")
     odd = w.edges().where("sigma = 'episodic'").select(F.lit("ships").alias("family"), "sigma", "quarantined")
     return graph.family_usage(edges.unionByName(odd), vocabulary.families(w.spark).drop("place"))
+
+
+_RENDER = """RECURSIVE , q AS MATERIALIZED (SELECT l.parent_id AS question, CASE WHEN k % 13 = 0 THEN 'Why, though?' WHEN k % 17 = 0 THEN 'What did ' || c_name || ' buy?' ELSE 'Which supplier delivers the ' || p_name || '?' END AS text
+         FROM line_texts l JOIN part ON part = 'p:' || p_partkey JOIN orders ON l.parent_id = 'o:' || o_orderkey JOIN customer ON c_custkey = o_custkey WHERE seq = 0),
+       ed AS MATERIALIZED (SELECT e.id, from_id, to_id, sigma, quarantined, confidence, l.id AS passage FROM edges e JOIN line_texts l ON e.id = 'x:' || k || '-' || substr(part, 3) || '-' || substr(supplier, 3)),
+       ok AS (SELECT * FROM ed WHERE NOT quarantined), inc AS MATERIALIZED (SELECT from_id AS id, to_id AS other, id AS edge_id, confidence, passage FROM ok UNION ALL SELECT to_id, from_id, id, confidence, passage FROM ok),
+       deg AS (SELECT id, count(*) AS d FROM inc GROUP BY id),
+       ent AS MATERIALIZED (SELECT n.id, label, round(coalesce(d, 0) / (SELECT max(d) FROM deg), 6) AS centrality FROM nodes n LEFT JOIN deg USING (id) WHERE kind = 'entity'),
+       facts AS MATERIALIZED (SELECT id, centrality, count(*) AS mentions, count(DISTINCT parent_id) AS assets FROM ent JOIN (SELECT unnest([part, supplier]) AS id, parent_id FROM line_texts) USING (id) GROUP BY ALL),
+       lab AS (SELECT label, max(centrality) AS centrality, arg_min(id, (-centrality, id)) AS id FROM ent GROUP BY label),
+       lw AS (SELECT label, w, sum(length(w)) AS n FROM (SELECT label, unnest(string_split_regex(lower(label), '[^a-z0-9]+')) AS w FROM lab) WHERE length(w) > 2 GROUP BY ALL),
+       qw AS (SELECT DISTINCT question, w FROM (SELECT question, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM q) WHERE length(w) > 2),
+       focus AS MATERIALIZED (SELECT question, arg_min(lab.id, (-(n + centrality), lab.id)) AS id FROM (SELECT question, label, sum(n) AS n FROM qw JOIN lw USING (w) GROUP BY ALL) JOIN lab USING (label) GROUP BY question),
+       hops AS MATERIALIZED (SELECT f.question, t.* FROM focus f JOIN (SELECT *, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, edge_id) AS place FROM inc QUALIFY place <= 3) t USING (id)),
+       terms AS (SELECT question, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9åäöæøéèüß-]+'), lambda t: length(t) >= 3 AND NOT list_contains(STOP, t))) AS terms FROM q),
+       sc AS (SELECT question, passage, place, least(greatest(0.5 * CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(v), t))) / len(terms) ELSE 0 END + 0.5 * confidence, 0), 1) AS score,
+              greatest(1, floor(length(v) / 4.0 + 0.5))::BIGINT + 128 AS cost, 'src:' || k AS source_id, parent_id AS asset_id, seq % 5 <> 4 AS verbatim
+            FROM (SELECT question, passage, min(h.place) AS place, arg_min(h.confidence, h.place) AS confidence FROM hops h GROUP BY question, passage) JOIN line_texts l ON l.id = passage JOIN terms USING (question)),
+       cited AS MATERIALIZED (SELECT *, row_number() OVER w AS n, sum(cost) OVER w AS spent FROM sc WINDOW w AS (PARTITION BY question ORDER BY place, passage ROWS UNBOUNDED PRECEDING) QUALIFY n <= 5 AND spent <= 6000),
+       spent AS MATERIALIZED (SELECT question, max(spent)::BIGINT AS spent, string_agg(passage, ',' ORDER BY n) AS cited FROM cited GROUP BY question),
+       path AS (SELECT DISTINCT question, unnest([id, other]) AS id FROM hops),
+       cand AS MATERIALIZED (SELECT question, id, on_path, mentions AS m, assets AS a, s.spent, row_number() OVER (PARTITION BY question ORDER BY on_path DESC, centrality DESC, id) AS place
+            FROM (SELECT question, id, bool_or(p) AS on_path FROM (SELECT question, id, true AS p FROM path UNION ALL SELECT f.question, i.other, false FROM focus f JOIN inc i USING (id)) GROUP BY ALL) JOIN facts USING (id) JOIN spent s USING (question)),
+       fold AS (SELECT question, 0::BIGINT AS place, ''::VARCHAR AS id, spent::BIGINT AS spent, 0 AS n, 0 AS lod, 0::BIGINT AS cost FROM spent UNION ALL
+            SELECT question, place, id, CASE WHEN spent + c <= 6000 THEN spent + c ELSE spent END, n + (spent + c <= 6000)::INT, CASE WHEN spent + c > 6000 THEN 0 WHEN fl THEN 1 ELSE 2 END, CASE WHEN spent + c <= 6000 THEN c ELSE 0 END
+            FROM (SELECT cand.question, cand.place, cand.id, fold.spent, fold.n, on_path OR fold.n < 4 AS fl, CASE WHEN on_path OR fold.n < 4 THEN 128 + 12 * m + 24 * a ELSE 30 + m + a END AS c FROM fold JOIN cand ON cand.question = fold.question AND cand.place = fold.place + 1)),
+       adm AS MATERIALIZED (SELECT * FROM fold WHERE place > 0),
+       st AS (SELECT question, count(*) FILTER (lod = 1) AS summaries, count(*) FILTER (lod = 2) AS pointers, count(*) FILTER (lod = 0) AS evicted, sum(cost) AS t FROM adm GROUP BY question),
+       tok AS (SELECT a.id, a.parent_id AS island, sum(greatest(1, floor(length(v) / 4.0 + 0.5)))::BIGINT AS tokens FROM assets a JOIN line_texts l ON l.parent_id = a.id GROUP BY ALL),
+       own AS (SELECT DISTINCT question, tok.* FROM cited JOIN tok ON tok.id = asset_id),
+       wide AS (SELECT question, sum(t) AS b FROM (SELECT DISTINCT question, island FROM own) JOIN (SELECT island, sum(tokens) AS t FROM tok GROUP BY island) USING (island) GROUP BY question),
+       cf AS (SELECT question, sum(tokens) AS a FROM own GROUP BY question),
+       links AS (SELECT DISTINCT b.question, e.id, from_id, to_id, sigma, quarantined FROM adm b JOIN ed e ON e.to_id = b.id JOIN adm a ON a.question = b.question AND a.id = e.from_id WHERE a.lod > 0 AND b.lod > 0),
+       in_ AS (SELECT question, id FROM path SEMI JOIN (SELECT question, id FROM adm WHERE lod > 0) USING (question, id)),
+       way AS (SELECT question, from_id AS a, to_id AS b FROM links WHERE NOT quarantined UNION SELECT question, to_id, from_id FROM links WHERE NOT quarantined),
+       r1 AS (SELECT question, id FROM in_ UNION SELECT question, b FROM in_ JOIN way USING (question) WHERE a = id), r2 AS (SELECT question, id FROM r1 UNION SELECT question, b FROM r1 JOIN way USING (question) WHERE a = id),
+       sig AS (SELECT question, semantic, r / n AS topology, temporal, authorial FROM (SELECT question, count(*) AS n FROM adm WHERE lod > 0 GROUP BY 1) LEFT JOIN (SELECT question, count(*) AS r FROM r2 GROUP BY 1) USING (question)
+            LEFT JOIN (SELECT question, avg((NOT quarantined)::INT) AS temporal FROM links WHERE sigma = 'temporal' GROUP BY 1) USING (question)
+            FULL JOIN (SELECT question, avg(score) AS semantic, 0.5 * avg(verbatim::INT) + 0.5 * count(DISTINCT source_id) / count(*) AS authorial FROM cited GROUP BY 1) USING (question)),
+       comp AS (SELECT question, round((coalesce(semantic * 0.4, 0) + coalesce(topology * 0.25, 0) + coalesce(temporal * 0.1, 0) + coalesce(authorial * 0.25, 0))
+            / ((semantic IS NOT NULL)::INT * 0.4::DOUBLE + (topology IS NOT NULL)::INT * 0.25::DOUBLE + (temporal IS NOT NULL)::INT * 0.1::DOUBLE + (authorial IS NOT NULL)::INT * 0.25::DOUBLE), 2) AS composite FROM sig),
+       fin AS (SELECT question, st.*EXCLUDE (question), spent.spent + t AS tokens, CASE WHEN coalesce(a, 0) < spent.spent + t THEN coalesce(b, 0) ELSE coalesce(a, 0) END AS cfa FROM st JOIN spent USING (question) LEFT JOIN cf USING (question) LEFT JOIN wide USING (question))
+       SELECT q.question, f.id AS focus, CASE WHEN f.id IS NULL THEN 'QUERY_NO_MATCH' WHEN s.cited IS NULL THEN 'QUERY_NO_EVIDENCE' END AS error, s.cited, s.spent, summaries, pointers, evicted, tokens::BIGINT AS tokens, cfa::BIGINT AS counterfactual,
+              CASE WHEN cfa > 0 THEN round(100.0::DOUBLE * (1 - tokens / cfa), 1) WHEN cfa = 0 THEN 0 END AS saved_pct, composite
+       FROM q LEFT JOIN focus f USING (question) LEFT JOIN spent s USING (question) LEFT JOIN fin USING (question) LEFT JOIN comp USING (question)""".replace(
+    "STOP", "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+)
+
+
+@query(_RENDER, "line_texts", "edges", "nodes", "assets")
+def answered_questions(w):
+    """A question for each order, answered: what it names, what is cited and admitted under a budget, and how sure that is."""
+    t = w.rendering()
+    assets = answering.asset_tokens(t["passages"], t["assets"])
+    return answering.answered(w.asked(), t["entities"], t["edges"], t["passages"], t["facts"], assets, budget=6000, most=5, slots=4)

@@ -105,12 +105,15 @@ def chronology(path: DataFrame, dates: DataFrame) -> DataFrame:
     """Rows (place, id, at, days): the nodes of a chain in order, with days since the one before.
 
     No rows for a path that branches, has several heads or a cycle. path: from_id, to_id;
-    dates: id, at. A path is an answer's (at most 24 steps), so its order is found on the driver.
+    dates: id, at. A path is an answer's (at most 24 steps), so its order is found on the driver;
+    one of more than 1,024 steps raises ValueError.
     """
     steps = [(r.from_id, r.to_id) for r in path.select("from_id", "to_id").limit(1025).collect()]
+    if len(steps) > 1024:
+        raise ValueError("an answer's path has at most 1,024 steps")
     following, heads = dict(steps), {a for a, _ in steps} - {b for _, b in steps}
     order = []
-    if len(following) == len(steps) == len(dict((b, a) for a, b in steps)) and len(heads) == 1 and len(steps) <= 1024:
+    if len(following) == len(steps) == len(dict((b, a) for a, b in steps)) and len(heads) == 1:
         order = [heads.pop()]
         while order[-1] in following:
             order.append(following[order[-1]])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .topology import indexed
 
 #: Fixed values.
 THRESHOLD, CLUSTER_COSINE, CHUNK = 0.541, 0.60, 3200
@@ -43,25 +45,31 @@ def relation_stats(triples: DataFrame) -> DataFrame:
     return triples.groupBy(F.trim(F.lower("relation")).alias("relation")).agg(F.count("*").alias("freq"), F.sort_array(F.collect_set("register")).alias("registers"))
 
 
-def nearest_family(relations: DataFrame, families: DataFrame) -> DataFrame:
+def nearest_family(relations: DataFrame, families: DataFrame, block: int = 4096) -> DataFrame:
     """Rows (relation, family, best): the family of greatest cosine, ties to the first by place.
 
-    Vectors are unit length. The family table is a vocabulary (tens of rows, checked to be at
-    most 4096), so it goes to every task and a batch of relations is one matrix product.
+    Vectors are unit length. A family table is a vocabulary (tens of rows); it goes to the tasks
+    in blocks of bounded size, and a batch of relations is one matrix product with each.
     """
-    table = families.orderBy("place").limit(4097).toPandas()
-    if len(table) > 4096:
-        raise ValueError("a vocabulary has at most 4096 families")
-    names, matrix = table["family"].tolist(), np.array(table["v"].tolist(), np.float64).reshape(len(table), -1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b) and names:
-                cosine = np.array(b["v"].tolist(), np.float64) @ matrix.T
-                at = cosine.argmax(axis=1)
-                yield pd.DataFrame({"relation": b["relation"], "family": [names[i] for i in at], "best": np.round(cosine[np.arange(len(b)), at], 6)})
-
-    return relations.select("relation", "v").mapInPandas(run, "relation string, family string, best double")
+    placed = written(indexed(families.select("place", "family", "v"), "place", "family"), "families")
+    count, parts = placed.count(), []
+    for first in range(0, max(count, 1), block):
+        table = placed.where(F.col("index").between(first, first + block - 1)).orderBy("index").toPandas()
+        names, matrix = table["family"].tolist(), np.array(table["v"].tolist(), np.float64).reshape(len(table), -1)
+
+        def run(batches: Iterator[pd.DataFrame], names=names, matrix=matrix, first=first) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b) and names:
+                    cosine = np.array(b["v"].tolist(), np.float64) @ matrix.T
+                    at = cosine.argmax(axis=1)
+                    yield pd.DataFrame({"relation": b["relation"], "at": first + at, "family": [names[i] for i in at], "best": cosine[np.arange(len(b)), at]})
+
+        parts.append(relations.select("relation", "v").mapInPandas(run, "relation string, at long, family string, best double"))
+    if len(parts) == 1:
+        return parts[0].select("relation", "family", F.round("best", 6).alias("best"))
+    rows = reduce(DataFrame.unionByName, parts)
+    best = rows.groupBy("relation").agg(F.min_by(F.struct("family", "best"), F.struct(-F.col("best"), "at")).alias("b"))
+    return best.select("relation", "b.family", F.round("b.best", 6).alias("best"))
 
 
 def threshold(true_cosines: DataFrame, default: float = THRESHOLD) -> DataFrame:

@@ -187,7 +187,8 @@ def principal_axes(features: DataFrame, dims: int) -> DataFrame:
     """Rows (id, px, py): the first two principal components of vectors ``v`` of ``dims`` numbers.
 
     Each task sums its rows and their products in one matrix product; only a ``dims`` by ``dims``
-    matrix reaches the driver. A component's largest loading is positive.
+    matrix reaches the driver. A component's largest loading is positive. Vectors that are null
+    or of another length take no part.
     """
     import numpy as np
     import pandas as pd
@@ -200,7 +201,8 @@ def principal_axes(features: DataFrame, dims: int) -> DataFrame:
                 total += np.concatenate([[len(b)], v.sum(axis=0), (v.T @ v).ravel()])
         yield pd.DataFrame({"x": [total]})
 
-    parts = features.where("v IS NOT NULL").select("v").mapInPandas(sums, "x array<double>").select(F.posexplode("x").alias("at", "x"))
+    features = features.where(F.size("v") == dims)
+    parts = features.select("v").mapInPandas(sums, "x array<double>").select(F.posexplode("x").alias("at", "x"))
     total = np.zeros(1 + dims + dims * dims)
     for r in parts.groupBy("at").agg(F.sum("x").alias("x")).collect():
         total[r["at"]] = r["x"]

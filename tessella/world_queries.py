@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .catalog import query
 from .functions import text as T
 from .functions import vocabulary
-from .operators import answering, diffs, graph, layout, mining, paths, portable, search, topology, validation, verdicts
+from .operators import answering, answers, diffs, graph, layout, mining, paths, portable, search, topology, validation, verdicts
+from .operators import provenance as P
 from .operators.graph import QUARANTINE_REASONS
 
 
@@ -417,3 +418,97 @@ def answered_questions(w):
     t = w.rendering()
     assets = answering.asset_tokens(t["passages"], t["assets"])
     return answering.answered(w.asked(), t["entities"], t["edges"], t["passages"], t["facts"], assets, budget=6000, most=5, slots=4)
+
+
+# -- stores and views ---------------------------------------------------------------------------
+
+
+@query(
+    """SELECT s.segment_id, CASE WHEN m THEN 'doc:new' ELSE s.source_id END AS source_id, count(DISTINCT o.source_id) + (m AND NOT bool_or(o.source_id = 'doc:new'))::INT AS owners
+       FROM (SELECT *, seq = 1 AND substr(source_id, 5)::BIGINT % 7 = 0 AS m FROM segments) s JOIN ownership o USING (segment_id) GROUP BY s.segment_id, s.source_id, m""",
+    "segments",
+    "ownership",
+)
+def reowned_segments(w):
+    """Primary owners and their number, once a new source has taken every seventh document's first line."""
+    new = w.segments().where("seq = 1 AND CAST(substring(source_id, 5) AS LONG) % 7 = 0").withColumn("source_id", F.lit("doc:new"))
+    segments, owners = P.upsert_segments(w.segments(), w.ownership(), new)
+    n = owners.groupBy("segment_id").agg(F.countDistinct("source_id").alias("owners"))
+    return segments.join(n, "segment_id").select("segment_id", "source_id", "owners")
+
+
+@query("SELECT DISTINCT segment_id, source_id FROM ownership", "ownership")
+def back_filled_owners(w):
+    """Owners of all segments, once those of every fifth document are lost and filled in again."""
+    fifth = F.expr("CAST(substring(source_id, 5) AS LONG) % 5 = 0")
+    shared = w.ownership().join(w.segments().select("segment_id", "source_id"), ["segment_id", "source_id"], "left_anti")
+    kept = w.segments().select("segment_id", "source_id").where(~fifth).unionByName(shared)
+    return P.back_filled_ownership(w.segments(), kept).distinct()
+
+
+@query("SELECT 'sources' AS measure, count(*) AS rows FROM sources UNION ALL SELECT 'segments', count(*) FROM segments UNION ALL SELECT 'citations', count(*) FROM citations", "sources", "segments", "citations")
+def store_health(w):
+    """How many rows the store's tables have."""
+    return P.health({"sources": w.sources(), "segments": w.segments(), "citations": w.citations()})
+
+
+@query("SELECT user_id, answer_id, answered_at FROM answers QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY answer_id DESC) = 1", "answers")
+def latest_answers(w):
+    """Each user's last answer by its id."""
+    return P.latest(w.answers(), ["user_id"], "answer_id").select("user_id", "answer_id", "answered_at")
+
+
+@query("SELECT sigma, count(*) AS edges, count(*) FILTER (quarantined) AS quarantined FROM edges WHERE 's:1' IN (from_id, to_id) GROUP BY sigma", "edges")
+def sigma_mix(w):
+    """The edges of one supplier by sigma."""
+    return answers.sigma_mix(w.edges(), "s:1")
+
+
+_SEEN = """seen AS (SELECT id, kind, id AS label, place AS degree, 2 AS depth FROM layout_nodes WHERE kind <> 'passage' UNION ALL SELECT id, kind, 'near ' || id, place, 1 FROM layout_nodes WHERE place % 3 = 0 AND kind = 'entity'
+        UNION ALL SELECT id, kind, 'here ' || id, place, 0 FROM layout_nodes WHERE place % 9 = 0 AND kind = 'entity')"""
+
+
+@query(f", {_SEEN} SELECT id, kind, label, degree FROM seen QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth) = 1", "layout_nodes")
+def search_index(w):
+    """Nodes of three views, each from the view that is nearest."""
+    n = w.layout_nodes()
+    entity = n.where("kind = 'entity'")
+    view = lambda t, label, depth: t.select("id", "kind", F.concat(F.lit(label), "id").alias("label"), F.col("place").alias("degree"), F.lit(depth).alias("depth"))
+    views = view(n.where("kind <> 'passage'"), "", 2).unionByName(view(entity.where("place % 3 = 0"), "near ", 1)).unionByName(view(entity.where("place % 9 = 0"), "here ", 0))
+    return answers.search_index(views).select("id", "kind", "label", "degree")
+
+
+@query(
+    """, own AS (SELECT DISTINCT unnest([from_id, to_id]) AS id, id AS e FROM edges WHERE asset_id = 'o:7'), step AS (SELECT id, count(*) AS step FROM own GROUP BY id)
+       SELECT id FROM layout_nodes LEFT JOIN step USING (id) ORDER BY step NULLS LAST, centrality DESC, id LIMIT 200""",
+    "edges",
+    "layout_nodes",
+)
+def outline(w):
+    """The nodes of one order's answer, then the most central ones."""
+    path = w.edges().where("asset_id = 'o:7'").select(F.explode(F.array("from_id", "to_id")).alias("id"), F.col("id").alias("e")).distinct().groupBy("id").agg(F.count("*").alias("step"))
+    return answers.outline(w.layout_nodes(), path).select("id")
+
+
+@query(
+    """SELECT id, greatest(0, CASE WHEN kind IN ('continent', 'island') THEN 0 WHEN kind IN ('asset', 'entity') THEN 1 ELSE 2 END - (centrality >= 0.8 OR place % 50 = 1)::INT)::INT AS lod,
+              round(CASE kind WHEN 'continent' THEN 0.06 WHEN 'island' THEN 0.03 WHEN 'asset' THEN 0.008 ELSE 0.003 END::DOUBLE * 1000 * (1 + least(sqrt(place) / 10, 1.0)), 6) AS r FROM layout_nodes""",
+    "layout_nodes",
+)
+def discs(w):
+    """The level of detail and the radius of all nodes; every fiftieth counts as a bridge."""
+    rows = layout.radii(w.layout_nodes().withColumn("content", F.col("place")))
+    return rows.select("id", layout.lod_hint(F.col("kind"), F.col("centrality"), F.expr("place % 50 = 1")).alias("lod"), F.round("r", 6).alias("r"))
+
+
+@query(
+    """, near1 AS (SELECT 's:1' AS id UNION SELECT to_id FROM edges WHERE from_id = 's:1' AND NOT quarantined), near AS (FROM near1 UNION SELECT from_id FROM edges WHERE NOT quarantined AND to_id IN (SELECT id FROM near1)),
+       kept AS (SELECT id FROM layout_nodes SEMI JOIN near USING (id) ORDER BY centrality DESC, id LIMIT 400)
+       SELECT id, weight FROM edges WHERE from_id IN (SELECT id FROM kept) AND to_id IN (SELECT id FROM kept) ORDER BY weight DESC, id LIMIT 40""",
+    "edges",
+    "layout_nodes",
+)
+def neighborhood_edges(w):
+    """The heaviest edges among the most central nodes within two hops of one supplier."""
+    seed = w.spark.createDataFrame([("s:1",)], "id string")
+    return paths.neighborhood(w.layout_nodes(), w.edges(), seed, 2, 400, 40)[1].select("id", "weight")

@@ -190,7 +190,7 @@ def _span_rows(windows: Windows, parts: int, hot: np.ndarray):
             rk, own = batch.column("rk").to_numpy()[spans.text], batch.column("own").to_numpy()[spans.text]
             size = spans.more + windows.length
             begin = units.starts[spans.text] + spans.first
-            some = shared_spans(units.data, begin[cold:], size[cold:], rk[cold:], own[cold:], spans.first[cold:], parts)
+            some = shared_spans(units.data, begin[cold:], size[cold:], rk[cold:], own[cold:], spans.text[cold:], spans.first[cold:], parts)
             new = []
             for i, key in enumerate(zip(some.one.tolist(), some.two.tolist())):
                 if sent.get(key, 0) < 2:
@@ -225,7 +225,7 @@ def _span_rows(windows: Windows, parts: int, hot: np.ndarray):
                     + one[at[shared]].astype("<i8").tobytes()
                     + two[at[shared]].astype("<i8").tobytes()
                 )
-                out.append((int(part[at[0]]), CONTENTS, None, None, data))
+                out.append((int(part[at[0]]), CONTENTS, None, None, None, data))
             yield from packed_batches(out)
 
     return run
@@ -291,7 +291,7 @@ def _search(windows: Windows):
             g = entry[shared[i]]
             if times[g]:
                 at = slice(begins[g], begins[g] + times[g])
-                verdicts.append((VERDICTS, int(one[i]), int(two[i]), np.stack([low[at], high[at]], axis=1).astype("<i4").tobytes()))
+                verdicts.append((VERDICTS, int(one[i]), int(two[i]), None, np.stack([low[at], high[at]], axis=1).astype("<i4").tobytes()))
         yield from settled_batches(verdicts)
 
     return shard

@@ -46,8 +46,8 @@ _SCATTER = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 PLACES, HOT_ANCHORS = 0, 1
 #: Kinds of rows to and from shards: contents to compare; intervals of texts; owners of shared
-#: spans, which pass through; and what holds for a shared span.
-CONTENTS, INTERVALS, OWNERS, VERDICTS = 0, 1, 2, 3
+#: spans and the texts that these name, which pass through; and what holds for a shared span.
+CONTENTS, INTERVALS, OWNERS, TEXTS, VERDICTS = 0, 1, 2, 3, 4
 
 
 @dataclass(frozen=True)
@@ -216,23 +216,30 @@ class Shared:
     one: np.ndarray  # their digests
     two: np.ndarray
     count: np.ndarray  # and owners in the slice
-    owners: list[tuple]  # (part, kind, one, two, data)
+    owners: list[tuple]  # (part, kind, one, two, slice, data)
 
 
-def shared_spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray, rk: np.ndarray, own: np.ndarray, first: np.ndarray, parts: int) -> Shared:
+def shared_spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray, rk: np.ndarray, own: np.ndarray, text: np.ndarray, first: np.ndarray, parts: int) -> Shared:
     """Takes the owners from spans: of equal spans the one of least ``own`` stays for the shard.
 
-    Owners leave in a row for each content, dealt by content and text, so that no part has all.
+    Owners leave in a row for each content, as places in a list of the slice's texts, which
+    leaves too, under a number of its own; rows are dealt so that no part has all of a content.
     """
+    if not len(text):
+        none = np.zeros(0, np.int64)
+        return Shared(none, none, none, none, [])
     one, two = digests(data, begin, size)
-    order = np.lexsort((rk, own, two, one))
+    _, some, place = np.unique(text, return_index=True, return_inverse=True)
+    texts, owns = rk[some].astype("<i8"), own[some].astype("<i8")
+    number = int(mix64(np.array([np.sum(mix64(texts.view(np.uint64) + mix64(np.arange(len(texts), dtype=np.uint64)))) + np.uint64(len(texts))])).view(np.int64)[0])
+    rows: list[tuple] = [(number % parts, TEXTS, None, None, number, texts.tobytes() + owns.tobytes())]
+    order = np.lexsort((first, rk, own, two, one))
     bounds = list(runs_of(one[order], two[order]))
-    keep = order[[a for a, _ in bounds]] if bounds else np.zeros(0, np.int64)
-    rows = []
+    keep = order[[a for a, _ in bounds]]
     for a, b in bounds:
         at = order[a:b]
-        packed = rk[at].astype("<i8").tobytes() + own[at].astype("<i8").tobytes() + first[at].astype("<i4").tobytes()
-        rows.append((int((int(one[at[0]]) ^ int(rk[at[0]])) % parts), OWNERS, int(one[at[0]]), int(two[at[0]]), packed))
+        packed = planes(place[at], 4) + planes(first[at], 4)
+        rows.append(((int(one[at[0]]) ^ number) % parts, OWNERS, int(one[at[0]]), int(two[at[0]]), number, packed))
     return Shared(keep, one[keep], two[keep], np.array([b - a for a, b in bounds], np.int64), rows)
 
 
@@ -388,16 +395,16 @@ def chosen_spans(spans: Spans, found: pa.Array) -> Spans:
     return spans.take(np.flatnonzero(np.isin(spans.text * wide + spans.first, text * wide + first[:, 0])))
 
 
-PACKED = "part int, kind int, one long, two long, data binary"
-SETTLED = "kind int, one long, two long, data binary"
+PACKED = "part int, kind int, one long, two long, slice long, data binary"
+SETTLED = "kind int, one long, two long, slice long, data binary"
 
 
 def packed_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    return row_batches(rows, ["part", "kind", "one", "two", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])
+    return row_batches(rows, ["part", "kind", "one", "two", "slice", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
 
 def settled_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    return row_batches(rows, ["kind", "one", "two", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()], 5000)
+    return row_batches(rows, ["kind", "one", "two", "slice", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], 5000)
 
 
 def in_shards(settle: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Callable:
@@ -407,9 +414,9 @@ def in_shards(settle: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Call
         current, held = None, []
         for batch in batches:
             passing = []
-            for p, kind, one, two, data in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "one", "two", "data"))):
-                if kind == OWNERS:
-                    passing.append((kind, one, two, data))
+            for p, kind, *row, data in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "one", "two", "slice", "data"))):
+                if kind != CONTENTS:
+                    passing.append((kind, *row, data))
                     continue
                 if p != current and held:
                     yield from settle(held)
@@ -425,30 +432,40 @@ def in_shards(settle: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Call
 
 
 def interval_rows(rk: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
-    """The intervals of each text: (INTERVALS, rk, own, data)."""
-    return ints_rows(INTERVALS, rk, own, start, end)
+    """The intervals of each text: (INTERVALS, rk, own, no slice, data)."""
+    return [(kind, k, o, None, data) for kind, k, o, data in ints_rows(INTERVALS, rk, own, start, end)]
 
 
 def _hand(meet: Callable) -> Callable:
-    """Intervals of the owners of shared spans; ``meet(own, verdict)`` gives (owner, low, high)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, verdict in zip(batch.column("data").to_pylist(), batch.column("verdict").to_pylist()):
-                n = len(data) // 20
-                rk, own, first = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<i4", n, 16 * n)
-                who, low, high = meet(own, verdict)
-                rows = [r[1:] for r in interval_rows(rk[who], own[who], first[who] + low, first[who] + high)]
-                yield from row_batches(rows, ["rk", "own", "data"], [pa.int64(), pa.int64(), pa.binary()], 5000)
-
-    return run
+    """Intervals of a slice's texts in shared spans; ``meet(own, verdict)`` gives (owner, low, high)."""
+
+    def hand(slice_: pa.Table) -> pa.Table:
+        texts = next((d for d, v in zip(slice_.column("data").to_pylist(), slice_.column("verdict").to_pylist()) if v is None), b"")
+        rk, own = np.frombuffer(texts, "<i8").reshape(2, -1)
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
+        for data, verdict in zip(slice_.column("data").to_pylist(), slice_.column("verdict").to_pylist()):
+            if verdict is None:
+                continue
+            n = len(data) // 8
+            place, at = from_planes(data, 0, n, 4)
+            first, _ = from_planes(data, at, n, 4)
+            who, low, high = meet(own[place], verdict)
+            for x, y in zip(found, (place[who], first[who] + low, first[who] + high)):
+                x.append(y)
+        place, low, high = (np.concatenate(x) for x in found)
+        rows = ints_rows(None, rk[place], own[place], low, high)
+        columns = list(zip(*rows)) or [[]] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("rk", "own", "data"), columns, (pa.int64(), pa.int64(), pa.binary()))})
+
+    return hand
 
 
 def settled(packed: DataFrame, parts: int, settle: Callable, meet: Callable, shared: bool) -> DataFrame:
     """Rows (rk, own, data): the intervals of all texts, those of shared spans by their digests.
 
     ``packed`` has rows of ``PACKED``. Owners and verdicts are joined by digest, where a content
-    that many rows of owners have is split; without hot anchors there are none.
+    that many rows of owners have is split, and go on by slice to the texts that they name, of
+    which a slice has about ``SLICE`` bytes. Without hot anchors there are none.
     """
     dealt = packed.repartitionById(parts, "part").sortWithinPartitions("part")
     out = written(dealt.mapInArrow(in_shards(settle), SETTLED), "intervals")
@@ -457,8 +474,9 @@ def settled(packed: DataFrame, parts: int, settle: Callable, meet: Callable, sha
     if not shared:
         return own
     verdicts = of(VERDICTS).select("one", "two", F.col("data").alias("verdict"))
-    met = of(OWNERS).select("one", "two", "data").join(verdicts, ["one", "two"]).select("data", "verdict")
-    return own.unionByName(met.mapInArrow(_hand(meet), "rk long, own long, data binary"))
+    met = of(OWNERS).select("one", "two", "slice", "data").join(verdicts, ["one", "two"]).select("slice", "data", "verdict")
+    met = met.unionByName(of(TEXTS).select("slice", "data", F.lit(None).cast("binary").alias("verdict")).distinct())
+    return own.unionByName(met.groupBy("slice").applyInArrow(_hand(meet), "rk long, own long, data binary"))
 
 
 def covered(starts: np.ndarray, found: pa.Array) -> np.ndarray:

@@ -149,7 +149,7 @@ def _runs(windows: Windows, parts: int, hot: np.ndarray):
                 flat[own_ends[0] : own_ends[-1]].tobytes(),
                 fronts[own_cuts[0] : own_cuts[-1]].tobytes(),
             ]
-            out.append((int(part[head[a]]), CONTENTS, None, None, b"".join(parts_)))
+            out.append((int(part[head[a]]), CONTENTS, None, None, None, b"".join(parts_)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def _runs(windows: Windows, parts: int, hot: np.ndarray):
                 continue
             begin = units.starts[spans.text] + spans.first
             rk, own = batch.column("rk").to_numpy()[spans.text], batch.column("own").to_numpy()[spans.text]
-            some = shared_spans(units.data, begin[cold:], spans.more[cold:] + longest, rk[cold:], own[cold:], spans.first[cold:], parts)
+            some = shared_spans(units.data, begin[cold:], spans.more[cold:] + longest, rk[cold:], own[cold:], spans.text[cold:], spans.first[cold:], parts)
             new = []
             for i, (key, least) in enumerate(zip(zip(some.one.tolist(), some.two.tolist()), own[cold + some.keep].tolist())):
                 if key not in sent or least < sent[key]:
@@ -269,7 +269,7 @@ def _merge(windows: Windows):
             e = entry[shared[i]]
             gone = slice(begins[e], begins[e] + times[e])
             lead = struct.pack("<qi", int(own[shared[i]]), int(more[e]) + windows.length)
-            verdicts.append((VERDICTS, int(one[i]), int(two[i]), lead + np.stack([low[gone], high[gone]], axis=1).astype("<i4").tobytes()))
+            verdicts.append((VERDICTS, int(one[i]), int(two[i]), None, lead + np.stack([low[gone], high[gone]], axis=1).astype("<i4").tobytes()))
         yield from settled_batches(verdicts)
 
     return part

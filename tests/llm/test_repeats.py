@@ -121,7 +121,7 @@ def test_owners_of_a_shared_passage_are_dealt_out(spark, monkeypatch, slice_):
         open_ = repeats.candidates(repeats.keyed(docs, "doc_id", "text"), windows)
         assert len(open_.hot)
         sent = open_.rows.repartition(6).mapInArrow(pack(windows, open_.parts, open_.hot), repeats.PACKED).collect()
-        owners = [(x.part, x.one, len(x.data) // 20) for x in sent if x.kind == repeats.OWNERS]
+        owners = [(x.part, x.one, len(x.data) // 8) for x in sent if x.kind == repeats.OWNERS]
         contents = [x for x in sent if x.kind == repeats.CONTENTS]
         spans = len({o for _, o, _ in owners})
         assert sum(n for *_, n in owners) >= len(rows)

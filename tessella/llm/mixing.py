@@ -108,10 +108,10 @@ def slot_counts(sources: DataFrame, seed: int) -> DataFrame:
         .groupBy("place", "shard")
         .agg(F.count("*").alias("n"))
     )
-    w = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     dealt = (
-        drawn.join(sources.select("place", "quota"), "place")
-        .select("place", "shard", "quota", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
+        _prefix(drawn, "shard", "n", "place")
+        .join(sources.select("place", "quota"), "place")
+        .select("place", "shard", "quota", "n", F.col("start").alias("first"))
         .select("place", "shard", F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("first"))).alias("n"), "first")
         .where("n > 0")
     )
@@ -125,17 +125,21 @@ def slot_counts(sources: DataFrame, seed: int) -> DataFrame:
     return dealt.unionByName(short)
 
 
-def _prefix(table: DataFrame, order: str, amount: str) -> DataFrame:
-    """Adds ``start``: the sum of ``amount`` over rows before, in two steps by thousands of places."""
+def _prefix(table: DataFrame, order: str, amount: str, *by: str) -> DataFrame:
+    """Adds ``start``: the sum of ``amount`` over rows before, of equal ``by``, in two steps by thousands of places.
+
+    A task sums a thousand places, or one sum for each thousand; so a source of very many shards
+    or chunks is no task's alone.
+    """
     thousand = F.floor(F.col(order) / 1000)
-    inner = Window.partitionBy("__t").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("__m").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    sums = table.groupBy(thousand.alias("__t")).agg(F.sum(amount).alias("__s")).withColumn("__m", F.lit(0))
-    offsets = sums.select("__t", F.coalesce(F.sum("__s").over(outer), F.lit(0)).alias("__o"))
+    inner = Window.partitionBy(*by, "__t").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*by, "__m").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    sums = table.groupBy(*by, thousand.alias("__t")).agg(F.sum(amount).alias("__s")).withColumn("__m", F.lit(0))
+    offsets = sums.select(*by, "__t", F.coalesce(F.sum("__s").over(outer), F.lit(0)).alias("__o"))
     return (
         table.withColumn("__t", thousand)
         .withColumn("__i", F.coalesce(F.sum(amount).over(inner), F.lit(0)))
-        .join(offsets, "__t")
+        .join(offsets, [*by, "__t"])
         .withColumn("start", F.col("__o") + F.col("__i"))
         .drop("__t", "__o", "__i")
     )
@@ -181,8 +185,7 @@ def mix(
     placed = sized.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     chunked = placed.where("size > 0").select("*", F.pmod(F.xxhash64("key", F.lit(3)), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
     offsets = chunked.groupBy("place", "chunk").agg(F.sum("size").alias("words"))
-    after = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("place", "chunk", F.coalesce(F.sum("words").over(after), F.lit(0)).alias("offset"))
+    offsets = _prefix(offsets, "chunk", "words", "place").select("place", "chunk", F.col("start").alias("offset"))
     inner = Window.partitionBy("place", "chunk").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     packed = written(
         chunked.select("*", F.coalesce(F.sum("size").over(inner), F.lit(0)).alias("within"))

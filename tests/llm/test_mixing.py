@@ -86,3 +86,14 @@ def test_empty(spark):
     assert rows.count() == 0 and pieces.count() == 0
     rows, _ = mixing.mix(frame(spark, [row(1, None), row(2, " ", None)]))
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in rows.collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_sums_before_in_two_steps(spark):
+    from itertools import accumulate
+
+    rows = [(p, i, (i * 7 + p) % 11) for p in (0, 1) for i in range(0, 2500, p + 1)]
+    got = {(r.place, r.at): r.start for r in mixing._prefix(spark.createDataFrame(rows, "place int, at long, n long"), "at", "n", "place").collect()}
+    for p in (0, 1):
+        own = [r for r in rows if r[0] == p]
+        before = [0, *accumulate(n for *_, n in own)][:-1]
+        assert [got[p, i] for _, i, _ in own] == before

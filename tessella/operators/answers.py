@@ -41,6 +41,36 @@ def lod_states(view: DataFrame, pointers: DataFrame, admitted: DataFrame, cited:
     return joined.select("id", F.when(F.col("c"), "lod-0").when(F.col("a"), "lod-1").when(F.col("p"), "ghost").otherwise(F.concat(F.lit("lod-"), F.col("hint").cast("string"))).alias("lod"))
 
 
+#: Levels of detail, the sharpest first.
+LODS = ("lod-0", "lod-1", "lod-2", "ghost", "latent")
+
+
+def derived_lod(view: DataFrame, rung: str, selection: DataFrame, trace: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Rows (id, lod) of a view's nodes and of all that a receipt or the selection names.
+
+    view: id, kind, hint (a level or null). At rest a node has its hint, and one of the view's
+    rung is a label at least. With a receipt (trace: pointers (id, hop), admitted (id, lod),
+    cited (id), path (id)) what it doesn't name is an outline; pointers within one hop are
+    ghosts, admitted nodes have their level over that, citations are verbatim, nodes on the path
+    summaries at least. What is selected (id) is verbatim, whatever else holds.
+    """
+    place = lambda c: F.array_position(F.array(*[F.lit(x) for x in LODS]), c).cast("int") - 1
+    base = F.greatest(place(F.coalesce("hint", F.lit("latent"))), F.lit(0))
+    floor = F.when(F.col("kind") == rung, F.least(base, F.lit(2))).otherwise(base) if trace is None else F.lit(4)
+    named = lambda t, level, value: t.select("id", F.lit(level).alias("level"), value.cast("int").alias("value"))
+    rows = named(view.withColumn("v", floor), 0, F.col("v")).unionByName(named(selection, 5, F.lit(0)))
+    if trace is not None:
+        rows = rows.unionByName(named(trace["pointers"], 1, F.when(F.col("hop") <= 1, 3).otherwise(4)))
+        known = place(F.col("lod"))
+        rows = rows.unionByName(named(trace["admitted"], 2, F.when(known >= 0, known).otherwise(2)))
+        rows = rows.unionByName(named(trace["cited"], 3, F.lit(0))).unionByName(named(trace["path"], 4, F.lit(1)))
+    of = lambda level: F.min(F.when(F.col("level") == level, F.col("value")))
+    each = rows.groupBy("id").agg(*[of(i).alias(f"l{i}") for i in range(6)])
+    told = F.coalesce("l3", "l2", "l1", "l0", F.lit(4))
+    rank = F.when(F.col("l5").isNotNull(), 0).when(F.col("l4").isNotNull(), F.least(told, F.lit(1))).otherwise(told)
+    return each.select("id", F.element_at(F.array(*[F.lit(x) for x in LODS]), rank + 1).alias("lod"))
+
+
 def busiest(path: DataFrame, least: int = 2) -> DataFrame:
     """Rows (id, steps): the node that most steps of a path touch, ties by id."""
     ends = path.select(F.explode(F.array("from_id", "to_id")).alias("id"))

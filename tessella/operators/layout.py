@@ -138,6 +138,44 @@ def rebaked(new: DataFrame, fit: DataFrame) -> DataFrame:
     return both.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in new.columns])
 
 
+def alignment(old: DataFrame, new: DataFrame, weights: DataFrame, mirror: bool = True) -> DataFrame:
+    """One row (rotation, scale, tx, ty, mirror, mean_drift, drift_pct): how new positions lie best on old ones.
+
+    The weighted least squares over nodes that both have, in closed form from one aggregation;
+    new positions are mirrored (y to -y) where that leaves less than 0.999 of the error. Drift is
+    the mean distance that is left, also as a share of the old rectangle's diagonal. Fewer than
+    two common nodes give the identity and no drift.
+    """
+    both = new.select("id", "x", "y").join(old.select("id", F.col("x").alias("u"), F.col("y").alias("v")), "id").join(weights.select("id", "w"), "id")
+    w = F.col("w")
+    m = both.agg(F.count("*").alias("k"), F.sum("w").alias("w"), *[F.sum(w * F.col(a)).alias(a) for a in "xyuv"], *[F.sum(w * F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "yy", "uu", "vv", "xu", "yv", "xv", "yu")])
+    central = lambda a, b: F.col(a + b) - F.col(a) * F.col(b) / F.col("w")
+    q, p = central("x", "x") + central("y", "y"), central("u", "u") + central("v", "v")
+    fits = {s: (central("x", "u") + s * central("y", "v"), central("x", "v") - s * central("y", "u")) for s in (1, -1)}
+    error = {s: p - F.when(q > 1e-12, (d * d + c * c) / q).otherwise(0.0) for s, (d, c) in fits.items()}
+    turned = F.lit(mirror) & (error[-1] < error[1] * 0.999)
+    pick = lambda i: F.when(turned, fits[-1][i]).otherwise(fits[1][i])
+    known = F.col("k") >= 2
+    solved = m.select(
+        "k", "w", "x", "y", "u", "v", F.coalesce(known & turned, F.lit(False)).alias("mirror"),
+        F.when(known, F.atan2(pick(1), pick(0))).otherwise(0.0).alias("rotation"),
+        F.when(known & (q > 1e-12), F.sqrt(pick(0) * pick(0) + pick(1) * pick(1)) / q).otherwise(1.0).alias("scale"),
+    )
+    sign = F.when(F.col("mirror"), -1.0).otherwise(1.0)
+    qx, qy = F.col("x") / F.col("w"), sign * F.col("y") / F.col("w")
+    cos, sin = F.cos("rotation"), F.sin("rotation")
+    shift = lambda at, turn: F.when(F.col("k") >= 2, F.col(at) / F.col("w") - F.col("scale") * turn).otherwise(0.0)
+    fit = solved.select("rotation", "scale", shift("u", cos * qx - sin * qy).alias("tx"), shift("v", sin * qx + cos * qy).alias("ty"), "mirror", "k")
+    moved = both.crossJoin(F.broadcast(fit))  # one row
+    my = sign * F.col("y")
+    dx = F.col("scale") * (cos * F.col("x") - sin * my) + F.col("tx") - F.col("u")
+    dy = F.col("scale") * (sin * F.col("x") + cos * my) + F.col("ty") - F.col("v")
+    drift = moved.where("k >= 2").agg(F.coalesce(F.avg(F.sqrt(dx * dx + dy * dy)), F.lit(0.0)).alias("mean_drift"))
+    ends = old.agg(F.sqrt((F.max(F.col("x") + F.col("r")) - F.min(F.col("x") - F.col("r"))) ** 2 + (F.max(F.col("y") + F.col("r")) - F.min(F.col("y") - F.col("r"))) ** 2).alias("diagonal"))
+    share = F.when(F.col("diagonal") >= 1e-9, F.col("mean_drift") / F.col("diagonal") * 100).otherwise(0.0)
+    return fit.drop("k").crossJoin(F.broadcast(drift)).crossJoin(F.broadcast(ends)).select("rotation", "scale", "tx", "ty", "mirror", "mean_drift", share.alias("drift_pct"))  # one row each
+
+
 def community_spread(positions: DataFrame) -> DataFrame:
     """Rows (community, n, x, y, spread): centroid and root-mean-square distance from it."""
     return positions.groupBy("community").agg(

@@ -139,6 +139,38 @@ def trace_problems(citations: DataFrame, admitted: DataFrame, left_out: DataFram
     return out.where("rows > 0")
 
 
+def traces_checked(traces: DataFrame, citations: DataFrame, admitted: DataFrame, omitted_: DataFrame) -> DataFrame:
+    """Rows (trace_id, problem, rows): what traces may not have; a trace without faults has none.
+
+    citations: trace_id, passage_id, quote, content_hash, tokens, score; admitted: trace_id, id,
+    tokens, score; omitted: trace_id, id, hop. A citation is an admission of its passage too.
+    Rows of a trace are held against all rules in one pass; repeats and what is both admitted
+    and omitted are found by grouping.
+    """
+    named = lambda rows, checks: rows.select("trace_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())).alias("problem"))
+    score = F.col("score").isNull() | F.isnan("score") | (F.col("score") < 0) | (F.col("score") > 1)
+    whole = lambda least: F.col("tokens").isNull() | (F.col("tokens") != F.floor("tokens")) | (F.col("tokens") < least)
+    told = named(
+        citations,
+        {
+            "hash_prefix": ~F.coalesce(F.startswith("content_hash", F.lit("sha256:")), F.lit(False)),
+            "blank_quote": F.trim(F.coalesce("quote", F.lit(""))) == "",
+            "citation_cost": whole(1),
+            "score_range": score,
+        },
+    )
+    nodes = named(admitted, {"admission_cost": whole(0), "score_range": score})
+    hops = named(omitted_, {"pointer_hop": F.col("hop").isNull() | (F.col("hop") < 1) | (F.col("hop") != F.floor("hop"))})
+    every = citations.select("trace_id", F.col("passage_id").alias("id"), F.lit(1).alias("c"), F.lit(0).alias("a"), F.lit(0).alias("o"))
+    every = every.unionByName(admitted.select("trace_id", "id", F.lit(0).alias("c"), F.lit(1).alias("a"), F.lit(0).alias("o")))
+    every = every.unionByName(omitted_.select("trace_id", "id", F.lit(0).alias("c"), F.lit(0).alias("a"), F.lit(1).alias("o")))
+    ids = every.groupBy("trace_id", "id").agg(F.sum("c").alias("c"), F.sum("a").alias("a"), F.sum("o").alias("o"))
+    both = named(ids, {"cited_twice": F.col("c") > 1, "admitted_twice": (F.col("a") + F.col("c") > 1) & (F.col("a") > 0), "omitted_and_admitted": (F.col("o") > 0) & (F.col("a") + F.col("c") > 0)})
+    none = traces.select("trace_id").join(citations.select("trace_id").distinct(), "trace_id", "left_anti").select("trace_id", F.lit("no_citation").alias("problem"))
+    rows = told.unionByName(nodes).unionByName(hops).unionByName(both).unionByName(none)
+    return rows.groupBy("trace_id", "problem").agg(F.count("*").alias("rows"))
+
+
 def counterfactual(touched: DataFrame, assets: DataFrame, spent: int) -> DataFrame:
     """One row (tokens, widened): what reading all touched assets costs; if that is less than was
     spent, what their whole islands cost. touched: id; assets: id, island, tokens."""

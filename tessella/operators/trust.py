@@ -129,11 +129,18 @@ def did_document(domain: str, public_key: bytes) -> dict:
 
 
 def tampered(text: Column) -> Column:
-    """The text with its first digit bumped, or, without one, its first letter's case flipped."""
+    """The text with its first digit bumped, or, without one, its first letter's case flipped, or else a full stop after it."""
     at = F.regexp_instr(text, F.lit("[0-9]"))
     digit = F.substring(text, at, F.lit(1))
     letter = F.regexp_instr(text, F.lit("[A-Za-z]"))
     one = F.substring(text, letter, F.lit(1))
     flipped = F.when(one == F.lower(one), F.upper(one)).otherwise(F.lower(one))
     bumped = ((digit.cast("int") + 1) % 10).cast("string")
-    return F.when(at > 0, F.overlay(text, bumped, at, 1)).when(letter > 0, F.overlay(text, flipped, letter, 1)).otherwise(text)
+    return F.when(at > 0, F.overlay(text, bumped, at, 1)).when(letter > 0, F.overlay(text, flipped, letter, 1)).otherwise(F.concat(text, F.lit(".")))
+
+
+def tampered_signature(signature: Column) -> Column:
+    """A hex signature whose last digit is the next one; '0' for an empty one."""
+    last = F.lower(F.right(signature, F.lit(1)))
+    following = F.when(last.rlike("^[0-9a-f]$"), F.lower(F.hex(F.pmod(F.conv(last, 16, 10).cast("int") + 1, F.lit(16))))).otherwise("0")
+    return F.when(F.length(signature) == 0, "0").otherwise(F.concat(F.left(signature, F.length(signature) - 1), following))

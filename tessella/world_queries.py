@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import query
 from .functions import text as T
 from .functions import vocabulary
-from .operators import answering, answers, diffs, graph, layout, mining, paths, portable, search, topology, validation, verdicts
+from .operators import answering, answers, diffs, graph, layout, mining, paths, portable, render, search, topology, trust, validation, verdicts
 from .operators import provenance as P
 from .operators.graph import QUARANTINE_REASONS
 
@@ -512,3 +512,99 @@ def neighborhood_edges(w):
     """The heaviest edges among the most central nodes within two hops of one supplier."""
     seed = w.spark.createDataFrame([("s:1",)], "id string")
     return paths.neighborhood(w.layout_nodes(), w.edges(), seed, 2, 400, 40)[1].select("id", "weight")
+
+
+def _lod_view(w):
+    k = "CAST(substring(id, 3) AS LONG)"
+    view = w.nodes().select("id", "kind", F.expr(f"CASE WHEN {k} % 4 = 3 THEN NULL ELSE element_at(array('lod-0', 'lod-1', 'ghost'), CAST({k} % 4 AS INT) + 1) END").alias("hint"))
+    return view, lambda t, where: t.where(where.format(k=k))
+
+
+@query(
+    """, n AS (SELECT id, kind, substr(id, 3)::BIGINT AS k, CASE substr(id, 3)::BIGINT % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END AS h FROM nodes)
+       SELECT id, ['lod-0', 'lod-1', 'lod-2', 'ghost', 'latent'][CASE WHEN kind = 'entity' AND k % 101 = 5 THEN 0 WHEN kind = 'asset' THEN least(h, 2) ELSE h END + 1] AS lod FROM n""",
+    "nodes",
+)
+def lod_at_rest(w):
+    """Levels of all nodes without a receipt: hints, labels for the rung in view, and some selected."""
+    view, some = _lod_view(w)
+    return answers.derived_lod(view, "asset", some(view, "kind = 'entity' AND {k} % 101 = 5").select("id"))
+
+
+@query(
+    """, n AS (SELECT id, kind, substr(id, 3)::BIGINT AS k FROM nodes UNION ALL SELECT id, 'passage', substr(parent_id, 3)::BIGINT FROM passages WHERE substr(parent_id, 3)::BIGINT % 19 = 0),
+       r AS (SELECT *, CASE WHEN kind = 'passage' THEN 0 WHEN k % 6 = 1 THEN CASE WHEN k % 5 = 0 THEN 2 ELSE k % 3 END WHEN k % 4 = 1 THEN CASE WHEN k % 3 < 2 THEN 3 ELSE 4 END ELSE 4 END AS told FROM n)
+       SELECT id, ['lod-0', 'lod-1', 'lod-2', 'ghost', 'latent'][CASE WHEN kind = 'entity' AND k % 101 = 5 THEN 0 WHEN kind = 'entity' AND k % 7 = 2 THEN least(told, 1) ELSE told END + 1] AS lod FROM r""",
+    "nodes",
+    "passages",
+)
+def lod_of_receipt(w):
+    """Levels of all nodes under a receipt that points, admits, cites and has a path, and of what is selected."""
+    view, some = _lod_view(w)
+    k = F.expr("CAST(substring(id, 3) AS LONG)")
+    odd = F.expr("CASE WHEN CAST(substring(id, 3) AS LONG) % 5 = 0 THEN 'unknown' ELSE concat('lod-', CAST(substring(id, 3) AS LONG) % 3) END")
+    trace = {
+        "pointers": some(view, "{k} % 4 = 1").select("id", (k % 3).cast("int").alias("hop")),
+        "admitted": some(view, "{k} % 6 = 1").select("id", odd.alias("lod")),
+        "cited": w.passages().where("CAST(substring(parent_id, 3) AS LONG) % 19 = 0").select("id"),
+        "path": some(view, "kind = 'entity' AND {k} % 7 = 2").select("id"),
+    }
+    return answers.derived_lod(view, "asset", some(view, "kind = 'entity' AND {k} % 101 = 5").select("id"), trace)
+
+
+@query(
+    """, c AS (SELECT parent_id AS trace_id, CASE WHEN k % 23 = 1 THEN 'same' ELSE id END AS id, CASE WHEN k % 29 = 2 THEN ' ' ELSE v END AS quote, CASE WHEN k % 31 = 3 THEN 'md5:x' ELSE 'sha256:x' END AS h, CASE WHEN k % 37 = 4 THEN 0 ELSE length(v) END AS tokens,
+            CASE WHEN k % 41 = 5 THEN 1.5 ELSE seq / 10.0 END AS score FROM line_texts WHERE k % 43 <> 6 AND seq < 3),
+       a AS (SELECT parent_id AS trace_id, CASE WHEN k % 47 = 7 THEN id ELSE part END AS id, CASE WHEN k % 53 = 8 THEN 1.5 ELSE 12 END AS tokens, CASE WHEN k % 59 = 9 THEN NULL ELSE 0.5 END AS score FROM line_texts),
+       o AS (SELECT parent_id AS trace_id, CASE WHEN k % 61 = 10 THEN part ELSE supplier END AS id, CASE WHEN k % 67 = 11 THEN 0 ELSE 1 END AS hop FROM line_texts),
+       i AS (SELECT trace_id, id, sum(c) AS c, sum(a) AS a, sum(o) AS o FROM (SELECT trace_id, id, 1 AS c, 0 AS a, 0 AS o FROM c UNION ALL SELECT trace_id, id, 0, 1, 0 FROM a UNION ALL SELECT trace_id, id, 0, 0, 1 FROM o) GROUP BY ALL),
+       bad AS (SELECT trace_id, 'hash_prefix' AS problem FROM c WHERE h NOT LIKE 'sha256:%' UNION ALL SELECT trace_id, 'blank_quote' FROM c WHERE trim(quote) = '' UNION ALL SELECT trace_id, 'citation_cost' FROM c WHERE tokens < 1
+            UNION ALL SELECT trace_id, 'score_range' FROM c WHERE score > 1 UNION ALL SELECT trace_id, 'score_range' FROM a WHERE score IS NULL UNION ALL SELECT trace_id, 'admission_cost' FROM a WHERE tokens <> floor(tokens)
+            UNION ALL SELECT trace_id, 'pointer_hop' FROM o WHERE hop < 1 UNION ALL SELECT trace_id, 'cited_twice' FROM i WHERE c > 1 UNION ALL SELECT trace_id, 'admitted_twice' FROM i WHERE a + c > 1 AND a > 0
+            UNION ALL SELECT trace_id, 'omitted_and_admitted' FROM i WHERE o > 0 AND a + c > 0 UNION ALL SELECT DISTINCT parent_id, 'no_citation' FROM line_texts WHERE parent_id NOT IN (SELECT trace_id FROM c))
+       SELECT trace_id, problem, count(*) AS rows FROM bad GROUP BY ALL""",
+    "line_texts",
+)
+def traces_checked(w):
+    """A trace for each order, a few with a fault of each kind."""
+    t = w.line_texts().withColumnRenamed("parent_id", "trace_id")
+    either = lambda when, bad, good: F.expr(f"CASE WHEN {when} THEN {bad} ELSE {good} END")
+    citations = t.where("k % 43 <> 6 AND seq < 3").select(
+        "trace_id", either("k % 23 = 1", "'same'", "id").alias("passage_id"), either("k % 29 = 2", "' '", "v").alias("quote"), either("k % 31 = 3", "'md5:x'", "'sha256:x'").alias("content_hash"),
+        either("k % 37 = 4", "0", "length(v)").alias("tokens"), either("k % 41 = 5", "1.5D", "seq / 10D").alias("score"),
+    )
+    admitted = t.select("trace_id", either("k % 47 = 7", "id", "part").alias("id"), either("k % 53 = 8", "1.5D", "12D").alias("tokens"), either("k % 59 = 9", "NULL", "0.5D").alias("score"))
+    omitted = t.select("trace_id", either("k % 61 = 10", "part", "supplier").alias("id"), either("k % 67 = 11", "0", "1").alias("hop"))
+    return render.traces_checked(t.select("trace_id").distinct(), citations, admitted, omitted)
+
+
+@query(
+    """, b AS (SELECT id, 2 * (0.6 * x + 0.8 * y) + 30 + CASE WHEN k % 10 = 0 THEN 5 ELSE 0 END AS x, -2 * (-0.8 * x + 0.6 * y) + 7 AS y, x AS u, y AS v, 0.25 + k % 4 / 4.0::DOUBLE AS w FROM (SELECT *, substr(id, 3)::BIGINT AS k FROM positions) WHERE k % 9 <> 0),
+       m AS (SELECT sum(w) AS w, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * u) / sum(w) AS mu, sum(w * v) / sum(w) AS mv FROM b),
+       c AS (SELECT sum(b.w * ((x - mx) ** 2 + (y - my) ** 2)) AS q, sum(b.w * ((u - mu) ** 2 + (v - mv) ** 2)) AS p, sum(b.w * (x - mx) * (u - mu)) AS xu, sum(b.w * (y - my) * (v - mv)) AS yv, sum(b.w * (x - mx) * (v - mv)) AS xv, sum(b.w * (y - my) * (u - mu)) AS yu FROM b, m),
+       s AS (SELECT *, p - ((xu - yv) ** 2 + (xv + yu) ** 2) / q < 0.999 * (p - ((xu + yv) ** 2 + (xv - yu) ** 2) / q) AS mirror FROM c),
+       f AS (SELECT mirror, atan2(xv - g * yu, xu + g * yv) AS rotation, sqrt((xu + g * yv) ** 2 + (xv - g * yu) ** 2) / q AS scale, g FROM (SELECT *, CASE WHEN mirror THEN -1 ELSE 1 END AS g FROM s)),
+       t AS (SELECT f.*, mu - scale * (cos(rotation) * mx - sin(rotation) * g * my) AS tx, mv - scale * (sin(rotation) * mx + cos(rotation) * g * my) AS ty FROM f, m),
+       d AS (SELECT avg(sqrt((scale * (cos(rotation) * x - sin(rotation) * g * y) + tx - u) ** 2 + (scale * (sin(rotation) * x + cos(rotation) * g * y) + ty - v) ** 2)) AS mean_drift FROM b, t)
+       SELECT round(rotation, 6) AS rotation, round(scale, 6) AS scale, round(tx, 6) AS tx, round(ty, 6) AS ty, mirror, round(mean_drift, 6) AS mean_drift,
+              round(mean_drift / (SELECT sqrt((max(x + r) - min(x - r)) ** 2 + (max(y + r) - min(y - r)) ** 2) FROM positions) * 100, 6) AS drift_pct FROM t, d""",
+    "positions",
+)
+def alignment(w):
+    """Turned, mirrored and scaled positions, some of them moved and some new, on the old ones."""
+    k = F.expr("CAST(substring(id, 3) AS LONG)")
+    old = w.positions()
+    moved = old.select("id", (2 * (0.6 * F.col("x") + 0.8 * F.col("y")) + 30 + F.when(k % 10 == 0, 5).otherwise(0)).alias("x"), (-2 * (-0.8 * F.col("x") + 0.6 * F.col("y")) + 7).alias("y"))
+    new = moved.select(F.when(k % 9 == 0, F.concat(F.lit("new:"), "id")).otherwise(F.col("id")).alias("id"), "x", "y")
+    found = layout.alignment(old, new, old.select("id", (0.25 + k % 4 / 4.0).alias("w")))
+    return found.select(*[F.col(c) if c == "mirror" else F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query(
+    """SELECT doc_id, CASE WHEN d > 0 THEN text[:d - 1] || ((text[d]::INT + 1) % 10) || text[d + 1:] WHEN l > 0 THEN text[:l - 1] || CASE WHEN text[l] = lower(text[l]) THEN upper(text[l]) ELSE lower(text[l]) END || text[l + 1:] ELSE text || '.' END AS quote,
+              h[:63] || lower(to_base(('0x' || h[64])::BIGINT + 1, 16))[-1:] AS signature
+       FROM (SELECT *, length(regexp_extract(text, '^[^0-9]*')) + 1 AS d0, length(regexp_extract(text, '^[^A-Za-z]*')) + 1 AS l0, sha256(text) AS h, CASE WHEN regexp_matches(text, '[0-9]') THEN d0 ELSE 0 END AS d, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN l0 ELSE 0 END AS l FROM documents)"""
+)
+def tampered_quotes(w):
+    """Whole documents with one character changed, and digests with their last digit changed."""
+    return w.table("documents").select("doc_id", trust.tampered(F.col("text")).alias("quote"), trust.tampered_signature(F.sha2("text", 256)).alias("signature"))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import labels, settled
 from .tables import text_slices, written
 from .words import as_large, mix64, split_words, window_hashes, word_hashes
 
@@ -111,9 +111,9 @@ def _sketches(column: pa.Array) -> list[np.ndarray]:
 def _entries(run: int, small: int):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [run_keys(x, n, run, small) for x, n in zip(_sketches(batch.column("sketch")), batch.column("n").to_pylist())]
-            cls = np.repeat(batch.column("cls").to_numpy(), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))], ["cls", "key"])
+            keys = [np.unique(run_keys(x, n, run, small)) for x, n in zip(_sketches(batch.column("sketch")), batch.column("n").to_pylist())]
+            cls, n = (np.repeat(batch.column(c).to_numpy(), [len(x) for x in keys]) for c in ("cls", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64))], ["cls", "n", "key"])
 
     return entries
 
@@ -153,14 +153,29 @@ def possible(sketches: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, ri
 
     The union's sketch reaches up to the smaller of the two greatest retained values.
     """
+    small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
+    if len(left) * len(right) <= 4 * len(sketches):  # a leader and its members, or a few: pair by pair
+        seen, overlap = np.zeros((2, len(left), len(right)), np.int64)
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                seen[i, j], overlap[i, j] = _seen_and_shared(sketches[x], sketches[y])
+        return _estimate(overlap, seen, small, large, numerator, denominator)
     overlap = shared_counts(sketches, left, right)
     top = np.array([x[-1] if len(x) else 0 for x in sketches], np.uint64)
     upto = np.stack([np.searchsorted(sketches[i], top, "right") for i in range(len(sketches))])
     seen = upto[np.ix_(left, right)] + upto.T[np.ix_(left, right)]
-    small, large = np.minimum.outer(sizes[left], sizes[right]), np.maximum.outer(sizes[left], sizes[right])
     return _estimate(overlap, seen, small, large, numerator, denominator)
 
 
+def _seen_and_shared(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """How many values of two sketches their union's sketch reaches up to, and how many of them both hold."""
+    if not len(x) or not len(y):
+        return 0, 0
+    top = min(x[-1], y[-1])
+    x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+    return len(x) + len(y), len(np.intersect1d(x, y, assume_unique=True))
+
+
 def _estimate(overlap, seen, small, large, numerator: int, denominator: int):
     union = np.maximum(seen - overlap, 1)
     threshold = numerator / denominator
@@ -236,14 +251,14 @@ def _near(numerator: int, denominator: int):
             sketches, sizes, own = _sketches(rows.column("sketch")), rows.column("n").to_numpy(), rows.column("own").to_numpy()
             pairs = possible(sketches, sizes, left, right, numerator, denominator) & (own[left][:, None] != own[right][None, :])
             some = np.unique(np.concatenate([left[pairs.any(axis=1)], right[pairs.any(axis=0)]]))
-            columns = [np.full(len(some), leader, np.int64), cls[some], np.full(len(some), a, np.int32), np.full(len(some), b, np.int32), sides[some].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["leader", "cls", "a", "b", "side"])
+            columns = [np.full(len(some), leader, np.int64), cls[some], np.full(len(some), a, np.int32), np.full(len(some), b, np.int32), sides[some].astype(np.int32), own[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["leader", "cls", "a", "b", "side", "own"])
 
     return near
 
 
 def _compare(shingle: int, k: int, numerator: int, denominator: int):
-    """On full sets: a star for each component of a block."""
+    """On full sets: a star for each component of a block, between what its members are in."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, rows in _groups(batches):
@@ -252,29 +267,12 @@ def _compare(shingle: int, k: int, numerator: int, denominator: int):
             i, j = linked_pairs(sets, left, right, k, numerator, denominator) if len(left) and len(right) else (left[:0], right[:0])
             root = _roots(len(cls), i, j)
             moved = np.flatnonzero(root != np.arange(len(cls)))
-            yield pa.RecordBatch.from_arrays([pa.array(cls[moved], pa.int64()), pa.array(cls[root[moved]], pa.int64())], ["u", "v"])
+            own = rows.column("own").to_numpy()[at]
+            yield pa.RecordBatch.from_arrays([pa.array(own[moved], pa.int64()), pa.array(own[root[moved]], pa.int64())], ["u", "v"])
 
     return compare
 
 
-def _likely(numerator: int, denominator: int):
-    """Keeps the rows of (leader, cls) that may reach the threshold, by their two sketches."""
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (_sketches(batch.column(c)) for c in ("sketch", "other"))
-            seen, overlap = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
-            for i, (x, y) in enumerate(zip(one, two)):
-                top = min(x[-1], y[-1])
-                x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
-                seen[i], overlap[i] = len(x) + len(y), len(np.intersect1d(x, y, assume_unique=True))
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            keep = _estimate(overlap, seen, np.minimum(n, m), np.maximum(n, m), numerator, denominator)
-            yield batch.select(["leader", "cls", "n"]).filter(pa.array(keep))
-
-    return likely
-
-
 def _blocks(count, shingles):
     return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
@@ -284,7 +282,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _across(tagged: DataFrame) -> DataFrame:
-    """Rows (leader, cls, a, b, side) in which all meet that are in different components.
+    """Rows (leader, cls, own, a, b, side) in which all meet that are in different components.
 
     Members in the component of their leader are in blocks 0, 1, ... and the others in blocks
     ``REST``, ``REST`` + 1, ...; every block of the others meets every block. Groups without
@@ -294,59 +292,60 @@ def _across(tagged: DataFrame) -> DataFrame:
     sized = lambda where: F.coalesce(_blocks(F.count(F.when(where, 1)), F.sum(F.when(where, F.col("n")))), F.lit(0))
     open_ = tagged.groupBy("leader").agg(sized(~rest).alias("m"), sized(rest).alias("r")).where("r > 0")
     hashed = F.xxhash64("cls", F.lit(11))
-    placed = tagged.join(open_, "leader").select("leader", "cls", "m", "r", "rest", F.when(rest, REST + F.pmod(hashed, F.col("r"))).otherwise(F.pmod(hashed, F.col("m"))).cast("int").alias("own"))
+    block = F.when(rest, REST + F.pmod(hashed, F.col("r"))).otherwise(F.pmod(hashed, F.col("m"))).cast("int")
+    placed = tagged.join(open_, "leader").select("leader", "cls", "own", "m", "r", "rest", block.alias("block"))
     others = F.sequence(F.lit(REST), REST + F.col("r") - 1)
     all_ = F.when(F.col("m") > 0, F.concat(F.sequence(F.lit(0), F.greatest("m", F.lit(1)) - 1), others)).otherwise(others)
-    return placed.select("leader", "cls", "own", F.explode(F.when(rest, all_).otherwise(others)).alias("other")).select(
+    return placed.select("leader", "cls", "own", "block", F.explode(F.when(rest, all_).otherwise(others)).alias("other")).select(
         "leader",
         "cls",
-        F.least("own", "other").alias("a"),
-        F.greatest("own", "other").alias("b"),
-        F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END").alias("side"),
+        "own",
+        F.least("block", "other").alias("a"),
+        F.greatest("block", "other").alias("b"),
+        F.expr("CASE WHEN block = other THEN 0 WHEN block < other THEN 1 ELSE 2 END").alias("side"),
     )
 
 
 def _class_links(classes: DataFrame, rows: DataFrame, shingle: int, numerator: int, denominator: int, k: int) -> DataFrame:
-    """Links (u, v) between classes (cls, n, sketch, doc_id, rk), whose texts are in ``rows``."""
+    """Links (u, v) between classes (cls, n, sketch, doc_id, rk), whose texts are in ``rows``.
+
+    A table is written only where several steps read what Python or a join of texts made: at
+    many partitions each costs more than the rows in it.
+    """
     run, small = choose_run(k, numerator / denominator)
-    entries = classes.select("cls", "n", "sketch").mapInArrow(_entries(run, small), "cls long, key long")
-    lists = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "lists")
-    members = written(entries.join(lists, "key").select(F.col("key").alias("list"), "cls").distinct(), "members")
-    wanted = written(members.groupBy("cls").agg(F.count("*").alias("lists")), "wanted")
-    facts = written(classes.join(wanted.hint("merge"), "cls").select("cls", "n", "sketch", "lists"), "facts")
-    place = classes.join(wanted.hint("merge"), "cls", "left_semi").select("cls", F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"))
-    here = (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    entries = classes.select("cls", "n", "sketch").mapInArrow(_entries(run, small), "cls long, n long, key long")
+    lists = entries.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    members = written(entries.join(lists, "key").select(F.col("key").alias("list"), "cls", "n"), "members")
     # too many to broadcast where it matters, so that every size takes the same plan
-    texts = written(rows.join(written(place, "places").hint("merge"), here).select("cls", "text"), "texts")
+    wanted = members.groupBy("cls").agg(F.count("*").alias("lists")).hint("merge")
+    facts = written(classes.join(wanted, "cls").select("cls", "n", "sketch", "lists", "doc_id", "rk"), "facts")
+    place = facts.select("cls", F.col("doc_id").alias("__id"), F.col("rk").alias("__rk")).hint("merge")
+    here = (F.col("rk") == F.col("__rk")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    texts = written(rows.join(place, here).select("cls", "text"), "texts")
 
     def compared(placed: DataFrame) -> DataFrame:
-        whole = _dealt(placed.join(texts, "cls").select("leader", "a", "b", "side", "cls", "text"))
+        meet = placed.join(facts.select("cls", "n", "sketch"), "cls").select("leader", "a", "b", "side", "cls", "own", "n", "sketch")
+        open_ = _dealt(meet).mapInArrow(_near(numerator, denominator), "leader long, cls long, a int, b int, side int, own long")
+        whole = _dealt(open_.join(texts, "cls").select("leader", "a", "b", "side", "cls", "own", "text"))
         return whole.mapInArrow(_compare(shingle, k, numerator, denominator), "u long, v long")
 
     # members and leaders
-    counted = members.join(facts.select("cls", "n", "lists"), "cls")
     best = F.max(F.struct("lists", (-F.col("cls")).alias("cls")))
-    leaders = counted.groupBy("list").agg((-best["cls"]).alias("leader"))
-    group = written(counted.join(leaders, "list").where("cls <> leader").select("leader", "cls", "n").distinct(), "groups")
-    both = group.join(facts.select("cls", "sketch"), "cls").join(facts.select(F.col("cls").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("other")), "leader")
-    likely = written(both.mapInArrow(_likely(numerator, denominator), "leader long, cls long, n long"), "likely")
-    sizes = likely.groupBy("leader").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
-    asked = likely.join(sizes, "leader").select("leader", "cls", F.pmod(F.xxhash64("cls", F.lit(13)), F.col("blocks")).cast("int").alias("a"), F.lit(0).alias("b"), F.lit(2).alias("side"))
+    leaders = members.select("list", "cls").join(facts.select("cls", "lists"), "cls").groupBy("list").agg((-best["cls"]).alias("leader"))
+    group = written(members.join(leaders, "list").where("cls <> leader").select("leader", "cls", "n").distinct(), "groups")
+    sizes = group.groupBy("leader").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    asked = group.join(sizes, "leader").select("leader", "cls", F.pmod(F.xxhash64("cls", F.lit(13)), F.col("blocks")).cast("int").alias("a"), F.lit(0).alias("b"), F.lit(2).alias("side"))
     lead = sizes.select("leader", F.col("leader").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("side"))
-    stars = written(compared(asked.unionByName(lead)), "stars")
+    stars = settled(written(compared(asked.unionByName(lead).withColumn("own", F.col("cls"))), "stars"))
 
     # members of different components
-    found = components(stars)
-    tagged = written(
+    found = labels(stars)
+    tagged = (
         group.join(found.select(F.col("node").alias("cls"), F.col("component").alias("c")), "cls", "left")
         .join(found.select(F.col("node").alias("leader"), F.col("component").alias("l")), "leader", "left")
-        .select("leader", "cls", "n", F.coalesce("c", "cls").alias("own"), (F.coalesce("c", "cls") != F.coalesce("l", "leader")).alias("rest")),
-        "tagged",
+        .select("leader", "cls", "n", F.coalesce("c", "cls").alias("own"), (F.coalesce("c", "cls") != F.coalesce("l", "leader")).alias("rest"))
     )
-    own = tagged.select("leader", "cls", F.col("own").alias("component")).join(facts.select("cls", "n", "sketch"), "cls")
-    meet = _across(tagged).join(own, ["leader", "cls"]).select("leader", "a", "b", "side", "cls", F.col("component").alias("own"), "n", "sketch")
-    open_ = written(_dealt(meet).mapInArrow(_near(numerator, denominator), "leader long, cls long, a int, b int, side int"), "near")
-    return stars.unionByName(written(compared(open_), "links"))
+    return stars.unionByName(compared(_across(tagged)))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -368,10 +367,11 @@ def _labelled(rows: DataFrame, shingle: int, similarity: tuple[int, int], k: int
     links = _class_links(classes, rows, shingle, numerator, denominator, k)
     if by_id:  # texts that share an id are one document
         several = named.groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("two")).where("one <> two").select("doc_id")
-        twice = named.select("doc_id", "set_id").join(several, "doc_id").join(classes.select("set_id", "cls"), "set_id")
-        least = twice.groupBy("doc_id").agg(F.min("cls").alias("v"))
-        links = links.unionByName(twice.join(least, "doc_id").select(F.col("cls").alias("u"), "v"))
-    found = components(links).withColumnRenamed("node", "cls")
+        if several.agg(F.count("*")).first()[0]:
+            twice = named.select("doc_id", "set_id").join(several, "doc_id").join(classes.select("set_id", "cls"), "set_id")
+            least = twice.groupBy("doc_id").agg(F.min("cls").alias("v"))
+            links = links.unionByName(twice.join(least, "doc_id").select(F.col("cls").alias("u"), "v"))
+    found = labels(settled(written(links, "links"))).withColumnRenamed("node", "cls")
     placed = classes.select("set_id", "first", "cls").join(found, "cls", "left").select("set_id", "first", F.coalesce("component", "cls").alias("component"))
     heads = placed.groupBy("component").agg(F.min("first").alias("head"))
     return described, placed.join(heads, "component").select("set_id", "head")

@@ -64,3 +64,45 @@ def test_sets_do_not_depend_on_the_slice():
     whole = minhash.shingle_sets(texts, 5)
     for i in range(len(texts)):
         assert minhash.shingle_sets(texts.slice(i, 1), 5)[0].tolist() == whole[i].tolist()
+
+
+def counted(monkeypatch):
+    """The names of the tables that the operator writes from now on."""
+    from tessella.llm import components
+
+    names = []
+    for module in (minhash, components):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: names.append(name) or f(df, name))
+    return names
+
+
+def test_writes_no_more_tables_than_steps_need(spark, monkeypatch):
+    names = counted(monkeypatch)
+    check(spark, made(4, 50), shingle=3, similarity=(85, 100))
+    assert [x for x in names if x != "edges"] == ["sketches", "classes", "members", "facts", "texts", "groups", "stars", "links"]
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from tessella.llm.components import components
+
+    names = counted(monkeypatch)
+    links = lambda rows: {(r.node, r.component) for r in components(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert links([(3, 1), (1, 2), (3, 1), (9, 9), (None, 4), (6, 5)]) == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
+    assert names == ["links"]
+    chain = list(range(1, 12))
+    assert links([*zip(chain, chain[1:]), (30, 20), (21, 30)]) == {(x, 1) for x in chain} | {(x, 20) for x in (20, 21, 30)}
+    assert "edges" in names and links([]) == set()
+
+
+def test_pairs_of_a_leader_are_judged_as_in_blocks():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    base = np.unique(r.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[r.random(len(base)) > q], r.integers(0, 2**63, int(q * 150)).astype(np.uint64)])) for q in np.linspace(0, 0.6, 24)]
+    sketches, sizes, every = [x[:48] for x in sets], np.array([len(x) for x in sets]), np.arange(len(sets))
+    blocks = minhash.possible(sketches, sizes, every, every, 85, 100)
+    for i in every:
+        others = every[every != i]
+        assert minhash.possible(sketches, sizes, every[i : i + 1], others, 85, 100)[0].tolist() == blocks[i, others].tolist()
+    assert blocks.any() and not blocks.all()

@@ -217,6 +217,8 @@ def mix(
         F.greatest(F.lit(0), F.col("index") * block - F.col("start")).alias("at"),
         (F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - F.greatest("start", F.col("index") * block)).alias("words"),
     )
+    # a table with exploded rows counts as large as before them, and would be broadcast by that
+    held, slots = held.hint("merge"), slots.hint("merge")
     pieces = held.join(slots, ["place", "index"])
     times = slots.groupBy("place", "index").agg(F.count("*").alias("times"))
     taken = held.join(times, ["place", "index"]).groupBy("place", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))

@@ -97,3 +97,20 @@ def test_sums_before_in_two_steps(spark):
         own = [r for r in rows if r[0] == p]
         before = [0, *accumulate(n for *_, n in own)][:-1]
         assert [got[p, i] for _, i, _ in own] == before
+
+
+def test_no_exploded_table_is_broadcast(spark):
+    """Spark estimates slots and held blocks as the few rows that they are made from."""
+    rows = [row(i, "w " * 400, f"s{i % 3}") for i in range(60)]
+    pieces = mixing.mix(frame(spark, rows), block=4)[1]
+    assert pieces.count() > 0
+    plan = pieces._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = []
+            for other in plan[i + 1 :]:
+                if depth(other) <= depth(line):
+                    break
+                below.append(other)
+            assert not any("Generate" in x and ("slot#" in x or "index#" in x) for x in below)

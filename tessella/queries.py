@@ -555,7 +555,7 @@ def constellation_edges(w):
 )
 def corroborating_evidence(w):
     """For each supplier and part the first passage with both besides the least id."""
-    p = w.passages()
+    p = w.settled().passages()
     pairs = p.groupBy(F.col("supplier").alias("from_id"), F.col("part").alias("to_id")).agg(F.min("id").alias("primary")).withColumn("id", F.concat("from_id", F.lit(">"), "to_id"))
     mentions = p.select(F.col("part").alias("id"), F.col("id").alias("passage_id"), "seq").unionByName(p.select(F.col("supplier").alias("id"), F.col("id").alias("passage_id"), "seq"))
     return graph.corroborated(pairs, mentions)

@@ -32,9 +32,13 @@ def broken(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def unresolved(references: list[tuple[str, DataFrame, Column]], ids: DataFrame) -> DataFrame:
-    """Rows (invariant, id) whose reference isn't among ``ids`` (id); a null reference isn't either."""
-    rows = [t.select(F.lit(n).alias("invariant"), "id", r.alias("ref")) for n, t, r in references]
-    return reduce(DataFrame.unionByName, rows).join(ids.select(F.col("id").alias("ref")), "ref", "left_anti").select("invariant", "id").distinct()
+    """Rows (invariant, id) whose reference isn't among ``ids`` (id); a null reference isn't either.
+
+    References are made distinct where they are; only those that aren't met go back to their rows.
+    """
+    rows = reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("invariant"), "id", r.alias("ref")) for n, t, r in references])
+    gone = written(rows.select("ref").distinct().join(ids.select(F.col("id").alias("ref")), "ref", "left_anti").withColumnRenamed("ref", "__gone"), "unmet")
+    return rows.join(gone, F.col("ref").eqNullSafe(F.col("__gone")), "left_semi").select("invariant", "id").distinct()
 
 
 def digest(text: Column) -> Column:

@@ -8,6 +8,8 @@ artifact has the same tables, its nodes with ``stub`` and its edges with ``scope
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def node_closure(mentions: DataFrame, unit: DataFrame) -> DataFrame:
     """Rows (id, scope): entities whose passages are all in the unit are derived, others that it
     mentions are boundary stubs. mentions: id, passage_id; unit: passage_id."""
     inside = unit.select("passage_id", F.lit(True).alias("in_unit")).distinct()
-    per = mentions.distinct().join(inside, "passage_id", "left").groupBy("id").agg(F.bool_and(F.coalesce("in_unit", F.lit(False))).alias("all_in"), F.bool_or(F.coalesce("in_unit", F.lit(False))).alias("any_in"))
+    per = mentions.select("id", "passage_id").join(inside, "passage_id", "left").groupBy("id").agg(F.bool_and(F.coalesce("in_unit", F.lit(False))).alias("all_in"), F.bool_or(F.coalesce("in_unit", F.lit(False))).alias("any_in"))
     return per.where("any_in").select("id", F.when(F.col("all_in"), "derived").otherwise("boundary").alias("scope"))
 
 
@@ -112,20 +114,47 @@ def _single(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*").select(*rows.columns)
 
 
-def import_artifact(store: dict[str, DataFrame], artifact: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The store after an import, which may be repeated.
+class _Made(Mapping):
+    """Tables by name, each made once, when it is first asked for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def import_artifact(store: dict[str, DataFrame], artifact: dict[str, DataFrame]) -> Mapping[str, DataFrame]:
+    """The store after an import, which may be repeated; its tables are made when they are asked for.
 
     Whole nodes replace what the store has; a stub is only taken where the store has nothing or
     a stub. Ends of edges that are no node become stubs with their id for a label. Edges,
     mentions and evidence are there once each.
     """
-    old = store["nodes"].withColumn("stub", F.col("category") == STUB)
-    nodes = written(imported(old, artifact["nodes"].select(*old.columns)).drop("stub"), "nodes")
     once = lambda name, keys: written(merged(_single(store[name], keys), _single(artifact[name].select(*store[name].columns), keys), keys), name)
-    out = {"edges": once("edges", EDGE), "mentions": once("mentions", ["id", "passage_id"]), "provenance": once("provenance", [*EDGE, "passage_id"])}
-    ends = out["edges"].select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
-    unmet = ends.join(nodes.select("id"), "id", "left_anti").select("id", F.lit(STUB).alias("category"), F.col("id").alias("label"), F.lit("").alias("body"))
-    return {"nodes": nodes.unionByName(unmet.select(*nodes.columns)), **out}
+
+    def settled() -> DataFrame:
+        old = store["nodes"].withColumn("stub", F.col("category") == STUB)
+        nodes = written(imported(old, artifact["nodes"].select(*old.columns)).drop("stub"), "nodes")
+        ends = out["edges"].select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+        unmet = ends.join(nodes.select("id"), "id", "left_anti").select("id", F.lit(STUB).alias("category"), F.col("id").alias("label"), F.lit("").alias("body"))
+        return nodes.unionByName(unmet.select(*nodes.columns))
+
+    out = _Made(
+        nodes=settled,
+        edges=lambda: once("edges", EDGE),
+        mentions=lambda: once("mentions", ["id", "passage_id"]),
+        provenance=lambda: once("provenance", [*EDGE, "passage_id"]),
+    )
+    return out
 
 
 def import_report(before: dict[str, DataFrame], after: dict[str, DataFrame], artifact: dict[str, DataFrame]) -> DataFrame:
